@@ -27,26 +27,45 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end, text) of the leftmost non-overlapping matches, in code points, end exclusive.
+SPAN = "struct<kind:int,start:int,end:int,hit:string>"
+NO_SPANS = f"array<{SPAN}>"
+
+
+def match_spans(text: Column, pattern: str, kind: int = 0, keep=None, gate: str | None = None) -> Column:
+    """Array of (kind, start, end, hit) of the leftmost non-overlapping matches, in code points, end exclusive.
 
     The pattern must not match the empty string. The gaps between matches come from `split`, the matches from
-    `regexp_extract_all`; running sums of their lengths are the positions.
+    `regexp_extract_all`; running sums of their lengths are the positions. `keep(hit)` drops matches that fail it.
+    Texts that do not match `gate` (the pattern itself, if not given) cost one scan and nothing more.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def place(both: Column) -> Column:
         gaps, hits = both["gaps"], both["hits"]
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(NO_SPANS).alias("out"))
 
         def step(acc: Column, i: Column) -> Column:
             hit = F.get(hits, i)
             begin = acc["at"] + F.length(F.get(gaps, i))
             end = begin + F.length(hit)
-            return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), hit.alias("hit"))).alias("out"))
+            span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), hit.alias("hit"))
+            out = F.array_append(acc["out"], span)
+            return F.struct(end.alias("at"), (out if keep is None else F.when(keep(hit), out).otherwise(acc["out"])).alias("out"))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step, lambda acc: acc["out"])
 
-    both = F.struct(F.split(text, pattern, -1).alias("gaps"), found.alias("hits"))
-    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    return F.when(F.rlike(text, F.lit(pattern)), let(both, place)).otherwise(none)
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    sure = F.when(F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))) > 0, let(both, place)) if gate else let(both, place)
+    return F.when(F.rlike(text, F.lit(gate or pattern)), F.coalesce(sure, F.array().cast(NO_SPANS))).otherwise(F.array().cast(NO_SPANS))
+
+
+def span_string(spans: Column, names: tuple[str, ...], by_kind: bool) -> Column:
+    """kind:start:end of all spans, comma-joined, ordered by kind and start, or by start and kind."""
+    first, second = ("kind", "start") if by_kind else ("start", "kind")
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s[first].alias("a"), s[second].alias("b"), s["end"].alias("end"))))
+    kinds = F.array(*[F.lit(n) for n in names])
+
+    def show(s: Column) -> Column:
+        kind, start = (s["a"], s["b"]) if by_kind else (s["b"], s["a"])
+        return F.concat_ws(":", F.get(kinds, kind), start.cast("string"), s["end"].cast("string"))
+
+    return F.array_join(F.transform(ordered, show), ",")
