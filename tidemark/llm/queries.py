@@ -32,6 +32,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality_fm import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
