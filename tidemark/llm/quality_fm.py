@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     got = rows.mapInArrow(extract, "y double, stats array<double>, buckets array<int>").toArrow()
     # repeated ids may bring more rows than labels: hold the bound, in an order that reruns share
     order = sorted(range(len(got)), key=lambda i: (got["stats"][i].as_py(), got["y"][i].as_py()))[:max_rows]
-    got = got.take(order)
+    got = got.take(pa.array(order, pa.int64()))
     stats = np.array(got["stats"].to_pylist()).reshape(-1, len(STATS))
     buckets = got["buckets"].combine_chunks()
     sizes = np.array([len(b) for b in buckets], int)
