@@ -20,6 +20,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.near_dups import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, similarity=0.85)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.secrets import scan_secrets
 
