@@ -26,6 +26,14 @@ def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, similarity=0.85)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.secrets import scan_secrets
 
