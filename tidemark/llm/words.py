@@ -99,6 +99,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     firsts = np.searchsorted(starts, offsets).astype(np.int64)
     if lower:
         data = _LOWER[data]
+    return span_hashes(data, starts, ends), starts, ends, firsts
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans whose starts and ends both rise."""
     hashes = np.empty(len(starts), _U)
     i = 0
     while i < len(starts):
@@ -110,7 +115,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
         s, e = starts[i:j] - lo, ends[i:j] - lo
         hashes[i:j] = (sums[e] - sums[s]) * inverse[s]
         i = j
-    return mix(hashes), starts, ends, firsts
+    return mix(hashes)
 
 
 _COMBINE = [0xD6E8FEB86659FD93, 0xA5A3564E27F8862B, 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F]
