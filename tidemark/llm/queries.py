@@ -40,6 +40,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.hnsw import build_index, nearest, usable
+    from tidemark.plans.staging import stage
+
+    rows = stage(usable(table(spark, sf_dir, "embeddings")), "ann-rows")
+    index, shards = build_index(rows, 5)
+    return nearest(rows.filter("vec_id % 50 = 0"), index, shards, 5)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.secrets import scan_secrets
 
