@@ -91,14 +91,28 @@ def thresholds(sized: DataFrame, targets: DataFrame, source_cap: int = CAP) -> D
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: int = CAP, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for every row of `docs` (doc_id, text, source)."""
-    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), none("doc_id"), F.lit(":"), none("text")).cast("binary"))
-    hashed = F.conv(F.left(digest, F.lit(15)), 16, 10).cast("long")
-    sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), hashed.alias("hash")), "mix-sized")
+    sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _hash(seed).alias("hash")), "mix-sized")
     targets = stage(source_targets(sized, weights, share, cap).coalesce(1), "mix-targets")
     return apply_thresholds(sized, thresholds(sized, targets, cap))
 
 
+def _hash(seed: int) -> Column:
+    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), none("doc_id"), F.lit(":"), none("text")).cast("binary"))
+    return F.conv(F.left(digest, F.lit(15)), 16, 10).cast("long")
+
+
+def resample(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: int = CAP, seed: int = 17) -> DataFrame:
+    """The mixed corpus: every row of `docs` as often as the mix takes it, with the columns it came with."""
+    sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _hash(seed).alias("hash")), "mix-sized")
+    edges = thresholds(sized, stage(source_targets(sized, weights, share, cap).coalesce(1), "mix-targets"), cap)
+    e = edges.select(F.col("source").alias("mix_source"), F.col("passes").alias("mix_passes"), F.col("threshold").alias("mix_threshold"))
+    extra = (F.shiftright(_hash(seed), 60 - BITS * LEVELS) < F.col("mix_threshold")).cast("long")
+    copies = F.least(F.col("mix_passes") + extra, F.lit(cap).cast("long")).cast("int")
+    joined = docs.join(e, docs["source"].eqNullSafe(F.col("mix_source"))).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    return joined.select(*[docs[c] for c in docs.columns])
+
+
 def apply_thresholds(sized: DataFrame, edges: DataFrame) -> DataFrame:
     e = edges.select(F.col("source").alias("s"), "source_size", "target", "passes", "threshold")
     extra = (F.shiftright(F.col("hash"), 60 - BITS * LEVELS) < F.col("threshold")).cast("long")
