@@ -131,11 +131,11 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     dealt = counted.join(many, "owner").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / GROUP)).cast("int")).drop("n")
     dealt = stage(dealt.groupBy("owner", "salt", "doc_id").agg(F.collect_list(F.struct("shift", "at")).alias("seeds")), "seeds-dealt")
 
-    wanted = dealt.select(F.col("owner").alias("doc_id")).union(dealt.select("doc_id")).distinct()
-    texts = stage(docs.join(wanted, "doc_id", "left_semi").withColumnRenamed("doc_id", "id").dropDuplicates(["id"]), "seed-texts")
+    # both joins read one shuffle of the texts by id
+    texts = docs.withColumnRenamed("doc_id", "id")
     empty = F.array().cast(dealt.schema["seeds"].dataType)
-    heads = dealt.select("owner", "salt").distinct().join(texts, F.col("owner") == F.col("id")).select("owner", "salt", F.lit(None).cast("long").alias("doc_id"), empty.alias("seeds"), "text")
-    tails = dealt.join(texts, F.col("doc_id") == F.col("id")).select("owner", "salt", "doc_id", "seeds", "text")
+    heads = texts.join(dealt.select("owner", "salt").distinct(), F.col("owner") == F.col("id")).select("owner", "salt", F.lit(None).cast("long").alias("doc_id"), empty.alias("seeds"), "text")
+    tails = texts.join(dealt, F.col("doc_id") == F.col("id")).select("owner", "salt", "doc_id", "seeds", "text")
     rows = heads.union(tails).repartition("owner", "salt").sortWithinPartitions("owner", "salt", F.col("doc_id").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
