@@ -154,7 +154,7 @@ def idle_seconds(rows: DataFrame) -> DataFrame:
 
 def backoff(n: Column, initial: int, most: int) -> Column:
     """min(initial * 2**n, most), safe for any n."""
-    return F.least(F.lit(initial).cast("long") * F.shiftleft(F.lit(1).cast("long"), F.least(n, F.lit(40)).cast("int")), F.lit(most).cast("long"))
+    return F.least(F.lit(initial).cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), F.least(n, F.lit(40)).cast("int")), F.lit(most).cast("long"))
 
 
 def bursts(events: DataFrame, gap: str) -> DataFrame:

@@ -1 +1,168 @@
-"""Queries."""
+"""Path predicates, cascades and names over derived paths (PRED, PROJ, SCL-1/2/14..17, SRC-12..14 rows)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import paths as P
+from tidemark.plans.registry import query
+from tidemark.sources import fixtures as X
+from tidemark.sources.fixtures import with_sql
+from tidemark.sources.tables import table
+
+ROOTS, OUT = ("src1", "src2", "credentials/"), ("src11",)
+_P = "replace(path, '\\', '/')"
+_BASE = f"split_part({_P}, '/', -1)"
+_DOT = "list_contains(regexp_split_to_array(path, '[/\\\\]'), '..')"
+_SAFE = f"NOT ({_DOT} OR starts_with(path, '/') OR starts_with(path, '\\') OR contains(path, ':\\') OR contains(path, ':/'))"
+_ROOT = "(starts_with({0}, 'src1') OR starts_with({0}, 'src2') OR starts_with({0}, 'credentials/'))"
+_JUNK = f"len(list_filter(string_split({_P}, '/'), lambda s: starts_with(s, '._') OR s IN ('.DS_Store', 'Thumbs.db', '.obsidian', '.trash', '.git', 'node_modules', '__pycache__') OR suffix(s, '.pyc') OR suffix(s, '.swp') OR suffix(s, '.tmp'))) > 0"
+_LOCAL = f"len(list_filter(string_split({_P}, '/'), lambda s: starts_with(s, '.%'))) > 0"
+_EXCL = "coalesce(" + ", ".join(f"CASE WHEN starts_with({_P}, '{e}') OR contains({_P}, '/{e}') THEN '{e}' END" for e in P.EXCLUDES) + ")"
+_EXT = f"regexp_extract({_BASE}, '^.+(\\.[^.]*)$', 1)"
+_INNER = f"CASE WHEN suffix({_BASE}, '.md') THEN left({_BASE}, length({_BASE}) - 3) END"
+_CONF = f"""(SELECT CASE WHEN strpos(x, '.conflict-from-') > 1 AND pre <> '' AND TRY_CAST(CASE WHEN regexp_full_match(l1, '\\+?[0-9]+') THEN l1 END AS DECIMAL(38,0)) <= 18446744073709551615
+   THEN {{'stem': left(x, strpos(x, '.conflict-from-') - 1), 'device': CASE WHEN two THEN dev ELSE pre END, 'lsn': CASE WHEN two THEN CAST(TRY_CAST(l2 AS DECIMAL(38,0)) AS VARCHAR) ELSE CAST(TRY_CAST(l1 AS DECIMAL(38,0)) AS VARCHAR) END}} END
+  FROM (SELECT x, regexp_extract(a, '^(.+)-([^-]*)$', 1) AS pre, regexp_extract(a, '^(.+)-([^-]*)$', 2) AS l1, regexp_extract(a, '^(.+)-([^-]*)-([^-]*)$', 1) AS dev, regexp_extract(a, '^(.+)-([^-]*)-([^-]*)$', 2) AS l2,
+    coalesce(regexp_extract(a, '^(.+)-([^-]*)-([^-]*)$', 1) <> '' AND TRY_CAST(CASE WHEN regexp_full_match(regexp_extract(a, '^(.+)-([^-]*)-([^-]*)$', 2), '\\+?[0-9]+') THEN regexp_extract(a, '^(.+)-([^-]*)-([^-]*)$', 2) END AS DECIMAL(38,0)) <= 18446744073709551615, false) AS two
+   FROM (SELECT x, substr(x, strpos(x, '.conflict-from-') + 15) AS a FROM (SELECT {_INNER} AS x))))"""
+
+
+def _paths(spark, sf):
+    return X.paths(spark, sf)
+
+
+@query("pred1_to_pred11_paths", with_sql(f"""SELECT doc_id, path, NOT starts_with(path, 'src11') AND {_ROOT.format('path')} AS in_scope, {_DOT} AS dotdot, {_SAFE} AS safe, {_EXCL} AS excluded_by, {_JUNK} AS junk,
+  suffix(lower(path), '.md') AS suffix_ok, {_CONF} IS NOT NULL AS conflict_copy, contains({_BASE}, '.conflict-from-') OR {_BASE} = '.conflict-manifest.jsonl' AS managed, {_LOCAL} AS local_name,
+  CASE WHEN {_BASE} = 'Credentials.md' OR contains(lower({_P}), '/credentials/') OR starts_with(lower({_P}), 'credentials/') OR contains({_P}, '02_Projects/Protocols/Infrastructure') OR contains({_P}, '02_Projects/Protocols/Bootstrap') THEN 'D' ELSE 'C' END AS class
+  FROM paths""", "paths"))
+def pred1_to_pred10_pred18(spark, sf):
+    p = F.col("path")
+    q = P.fold_slashes(p)
+    return _paths(spark, sf).select(
+        "doc_id", "path", P.in_scope(p, ROOTS, OUT).alias("in_scope"), P.has_dotdot(p).alias("dotdot"), P.is_safe(p).alias("safe"), P.excluded_by(q, P.EXCLUDES).alias("excluded_by"),
+        P.is_junk(p).alias("junk"), P.allowed_suffix(p, [".md"]).alias("suffix_ok"), P.conflict_parts(P.basename(q)).isNotNull().alias("conflict_copy"),
+        P.is_managed_artifact(q).alias("managed"), P.has_local_prefix(q).alias("local_name"), P.sensitivity_class(p).alias("class"),
+    )
+
+
+_RULE = f"CASE WHEN lower({_BASE}) = 'credentials.md' THEN 'name:Credentials.md' WHEN (starts_with({_P}, 'src3/rules/') OR starts_with(CASE WHEN contains({_P}, '/') THEN substr({_P}, strpos({_P}, '/') + 1) ELSE {_P} END, 'src3/rules/')) THEN 'prefix:src3/rules/' WHEN (starts_with({_P}, 'rules/') OR starts_with(CASE WHEN contains({_P}, '/') THEN substr({_P}, strpos({_P}, '/') + 1) ELSE {_P} END, 'rules/')) AND lower({_BASE}) = 'en.md' THEN 'scoped:rules/:en.md' END"
+RULES = (("name", "Credentials.md", ""), ("prefix", "src3/rules/", ""), ("scoped", "rules/", "en.md"))
+_CASCADE = f"""CASE WHEN starts_with({_P}, '/') OR list_contains(string_split({_P}, '/'), '..') THEN 'drop_out_of_scope|' WHEN {_EXCL} IS NOT NULL THEN 'drop_exclude|' || {_EXCL} WHEN {_LOCAL} THEN 'drop_exclude|hardcoded-basename:.%' WHEN {_JUNK} THEN 'drop_exclude|junk'
+  WHEN {_CONF} IS NOT NULL THEN 'drop_exclude|conflict-copy' WHEN contains({_BASE}, '.conflict-from-') OR {_BASE} = '.conflict-manifest.jsonl' THEN 'drop_exclude|managed-conflict-artifact' WHEN starts_with({_P}, 'src11') THEN 'drop_exclude|src11'
+  WHEN NOT (starts_with({_P}, 'src') OR {_ROOT.format(_P)}) THEN 'drop_out_of_scope|' WHEN lower({_EXT}) <> '.md' THEN 'drop_extension|' || lower({_EXT}) WHEN {_RULE} IS NOT NULL THEN 'drop_substrate|' || {_RULE} ELSE 'allow|' END"""
+
+
+@query("pred12_write_filter", with_sql(f"SELECT doc_id, split_part({_CASCADE}, '|', 1) AS decision, nullif(substr({_CASCADE}, strpos({_CASCADE}, '|') + 1), CASE WHEN {_CASCADE} LIKE '%out_of_scope|' OR {_CASCADE} = 'allow|' THEN '' END) AS rule FROM paths", "paths"))
+def pred12_pred4_ord6(spark, sf):
+    """With a rule list, to exercise PRED-4; the default list is empty."""
+    f = P.write_filter(F.col("path"), ("src", *ROOTS), OUT, (".md",), RULES)
+    return _paths(spark, sf).withColumn("f", f).select("doc_id", "f.decision", "f.rule")
+
+
+@query("agg5_drop_counts", with_sql(f"SELECT split_part({_CASCADE}, '|', 1) AS decision, count(*)::BIGINT AS n FROM paths GROUP BY 1", "paths"))
+def agg5(spark, sf):
+    f = P.write_filter(F.col("path"), ("src", *ROOTS), OUT, (".md",), RULES)
+    return _paths(spark, sf).groupBy(f["decision"].alias("decision")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("pred13_renames", with_sql(f"SELECT a.doc_id, {_SAFE.replace('path', 'a.path')} AND {_SAFE.replace('path', 'b.path')} AS allowed FROM paths a JOIN paths b ON b.doc_id = a.doc_id + 1", "paths"))
+def pred13(spark, sf):
+    """A rename passes only where both of its sides do."""
+    a = _paths(spark, sf)
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("path").alias("new"))
+    return a.join(b, "doc_id").select("doc_id", (P.is_safe(F.col("path")) & P.is_safe(F.col("new"))).alias("allowed"))
+
+
+@query("pred11_pred16_kinds", "SELECT event_type, count(*)::BIGINT AS n, event_type NOT IN ('view') AS mutating, event_type = 'purchase' AS enriched FROM events GROUP BY event_type")
+def pred11_pred16(spark, sf):
+    t = F.col("event_type")
+    return table(spark, sf, "events").groupBy(t).agg(F.count(F.lit(1)).alias("n")).select("event_type", "n", (~t.isin("view")).alias("mutating"), (t == "purchase").alias("enriched"))
+
+
+@query("pred15_backfill_filter", with_sql(f"SELECT doc_id, doc_id % 2 = 0 AND {_SAFE} AND {_RULE} IS NULL AS pull FROM paths", "paths"))
+def pred15(spark, sf):
+    p = F.col("path")
+    return _paths(spark, sf).select("doc_id", ((F.col("doc_id") % 2 == 0) & P.is_safe(p) & P.substrate_rule(p, RULES).isNull()).alias("pull"))
+
+
+@query("scl1_scl2_scl17_identity", with_sql(f"""WITH c AS (SELECT doc_id, replace(nfc_normalize(path), '\\', '/') AS p FROM paths)
+  SELECT doc_id, p AS canonical, CASE WHEN contains(p, '/') AND split_part(p, '/', 1) IN ('src0', 'src1', 'src2') AND substr(p, strpos(p, '/') + 1) <> '' THEN substr(p, strpos(p, '/') + 1) ELSE p END AS key,
+  split_part(p, '/', -1) AS base, regexp_extract(split_part(p, '/', -1), '^.+(\\.[^.]*)$', 1) AS ext, CASE WHEN contains(p, '/') THEN substr(p, strpos(p, '/') + 1) END AS rest FROM c""", "paths"))
+def scl1_scl2_scl17_fn9(spark, sf):
+    c = _paths(spark, sf).select("doc_id", P.canonical_path(F.col("path")).alias("canonical"))
+    p = F.col("canonical")
+    return c.select("doc_id", "canonical", P.strip_known_folder(p, X.FOLDERS).alias("key"), P.basename(p).alias("base"), P.extension(p).alias("ext"), P.after_first_segment(p).alias("rest"))
+
+
+@query("scl16_src12_conflicts", with_sql(f"SELECT doc_id, path, c.stem, c.device, c.lsn, left({_P}, length({_P}) - length({_BASE})) || c.stem || '.md' AS original FROM (SELECT *, {_CONF} AS c FROM paths) WHERE c IS NOT NULL", "paths"))
+def scl16_src12_join11_pred8(spark, sf):
+    rows = _paths(spark, sf).withColumn("c", P.conflict_parts(P.basename(P.fold_slashes(F.col("path"))))).filter("c IS NOT NULL")
+    return rows.select("doc_id", "path", "c.stem", "c.device", "c.lsn", P.original_of(F.col("path")).alias("original"))
+
+
+@query("src13_unresolved", with_sql(f"SELECT count(*)::BIGINT AS n FROM paths WHERE contains({_BASE}, '.conflict-from-') AND suffix({_BASE}, '.md')", "paths"))
+def src13_fn5(spark, sf):
+    name = P.basename(P.fold_slashes(F.col("path")))
+    return _paths(spark, sf).agg(F.count_if(F.contains(name, F.lit(P.CONFLICT_MARK)) & F.endswith(name, F.lit(".md"))).alias("n"))
+
+
+@query("src14_folders", with_sql("SELECT split_part(path, '/', 1) AS folder, bool_or(split_part(path, '/', 2) = 'node_modules') AS has_app FROM paths WHERE contains(path, '/') AND NOT starts_with(path, '.') AND split_part(path, '/', 1) <> '' GROUP BY 1", "paths"))
+def src14_ord4(spark, sf):
+    f = F.split_part("path", F.lit("/"), F.lit(1))
+    rows = _paths(spark, sf).filter(F.contains("path", F.lit("/")) & ~F.startswith("path", F.lit(".")) & (f != ""))
+    return rows.groupBy(f.alias("folder")).agg(F.bool_or(F.split_part("path", F.lit("/"), F.lit(2)) == "node_modules").alias("has_app"))
+
+
+@query("scl14_scl15_stash_names", """WITH s AS (SELECT doc_id, source || '/' || repeat(lang, (1 + doc_id % 130)::INT) || '.md' AS path, repeat(lang, (1 + doc_id % 130)::INT) AS stem FROM documents)
+  SELECT doc_id, split_part(path, '/', 1) || '/' || CASE WHEN strlen(stem || '.conflict-from-dev-a-' || doc_id || '.md') <= 250 THEN stem || '.conflict-from-dev-a-' || doc_id || '.md'
+  ELSE left(stem, 48) || '.' || left(sha256(path), 16) || '.conflict-from-dev-a-' || doc_id || '.md' END AS stash FROM s""")
+def scl14_scl15(spark, sf):
+    d = table(spark, sf, "documents")
+    path = F.concat("source", F.lit("/"), F.expr("repeat(lang, cast(1 + doc_id % 130 AS int))"), F.lit(".md"))
+    return d.select("doc_id", P.stash_path(path, F.lit(X.DEVICE), F.col("doc_id")).alias("stash"))
+
+
+@query("join10_identical_stash", """WITH s AS (SELECT 'n' || (doc_id % 50) AS stem, sha256(lang) AS sha FROM documents WHERE doc_id % 4 = 0) SELECT doc_id, stem, sha FROM (SELECT doc_id, 'n' || (doc_id % 60) AS stem, sha256(lang) AS sha FROM documents) w
+  WHERE EXISTS (SELECT 1 FROM s WHERE s.stem = w.stem AND s.sha = w.sha)""")
+def join10(spark, sf):
+    d = table(spark, sf, "documents")
+    stem = lambda n: F.concat(F.lit("n"), (F.col("doc_id") % n).cast("string"))
+    have = d.filter("doc_id % 4 = 0").select(stem(50).alias("stem"), F.sha2("lang", 256).alias("sha"))
+    return d.select("doc_id", stem(60).alias("stem"), F.sha2("lang", 256).alias("sha")).join(have, ["stem", "sha"], "left_semi").select("doc_id", "stem", "sha")
+
+
+@query("join12_preserve_bytes", with_sql("SELECT j.event_id, l.content_hash IS DISTINCT FROM j.content_sha AS stash FROM journal j LEFT JOIN (SELECT path, sha256(path) AS content_hash FROM (SELECT DISTINCT path FROM journal) WHERE path <> 'notes/3.md') l ON j.path = l.path", "journal"))
+def join12(spark, sf):
+    """Pushed bytes are stashed where the file differs or is gone."""
+    j = X.journal(spark, sf)
+    l = j.select("path").distinct().filter("path <> 'notes/3.md'").withColumn("content_hash", F.sha2("path", 256))
+    return j.join(l, "path", "left").select("event_id", (~F.col("content_hash").eqNullSafe(F.col("content_sha"))).alias("stash"))
+
+
+@query("proj1_push_events", with_sql("SELECT event_id, path, CASE WHEN action = 'modify' AND event_id % 5 = 0 THEN 'create' ELSE action END AS action, CASE WHEN action = 'delete' THEN '' ELSE content_sha END AS content_sha FROM journal WHERE action = 'delete' OR event_id % 9 <> 0", "journal"))
+def proj1(spark, sf):
+    """A rename (every fifth modify) is a create at the new path; missing content gives no row, but a delete needs none."""
+    j = X.journal(spark, sf)
+    content = F.when(F.col("event_id") % 9 != 0, F.col("content_sha"))
+    action = F.when((F.col("action") == "modify") & (F.col("event_id") % 5 == 0), "create").otherwise(F.col("action"))
+    gone = F.col("action") == "delete"
+    return j.filter(gone | content.isNotNull()).select("event_id", "path", action.alias("action"), F.when(gone, "").otherwise(content).alias("content_sha"))
+
+
+@query("proj3_relative", with_sql("SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN path END AS rel FROM paths", "paths"))
+def proj3(spark, sf):
+    absolute = F.concat(F.when(F.col("doc_id") % 3 > 0, F.lit("/vault/")).otherwise(F.lit("/vaults/")), "path")
+    return _paths(spark, sf).select("doc_id", P.relative_to(absolute, "/vault").alias("rel"))
+
+
+@query("fn4_targets", "SELECT doc_id, CASE WHEN lang = 'en' THEN '/live/' WHEN lang = 'de' THEN '/dry/' ELSE '/shadow/' END || source || '.md' AS target FROM documents")
+def fn4(spark, sf):
+    """Mode to root; an unknown mode is the shadow."""
+    root = F.when(F.col("lang") == "en", "/live/").when(F.col("lang") == "de", "/dry/").otherwise("/shadow/")
+    return table(spark, sf, "documents").select("doc_id", F.concat(root, "source", F.lit(".md")).alias("target"))
+
+
+@query("dec18_redflag", with_sql("SELECT bool_or(path = 'redflag.md') AS tripped, bool_or(lower(path) = 'readme.md') AS other FROM paths", "paths"))
+def dec18(spark, sf):
+    return _paths(spark, sf).agg(F.bool_or(F.col("path") == "redflag.md").alias("tripped"), F.bool_or(F.lower("path") == "readme.md").alias("other"))
