@@ -12,9 +12,10 @@ Null and empty texts have only the END id. Repeated rows are packed row by row.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,61 +26,97 @@ from tidemark.plans.staging import stage
 
 WINDOW, END = 2048, 1
 SHARD_TOKENS = 4 << 20
-_CACHE_WORDS = 250_000
+_CACHE_WORDS = 300_000
 _BATCH_BYTES = 1 << 20
-_SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
+_LETTERS = re.compile("[a-zà-öø-ÿ]+").fullmatch
+_SEPARATORS = re.compile("[\x1c-\x1f]").search
+_BLANKS = re.compile("[ \t\n\x0b\x0c\r]+")
 
 
 class WordTokenizer:
     """Ids of whole texts from a file of the `tokenizers` library, word by word.
 
-    Holds for tokenizers whose tokens never reach over ASCII white space and drop it: then a text's ids are its words'
-    ids on end. Words met before come from a bounded cache; new ones are encoded together, parted by a special token.
+    Holds for tokenizers that lower-case, drop white space, never join over it and part letters from other marks: then
+    a text's ids are its words' ids on end, and those of "Word," are those of "word" and ",". Words met before come from
+    bounded tables. New words of plain letters are encoded together, parted by spaces, and told apart by their end
+    tokens; all others are encoded one by one as they stand.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
-        self.mark_id, self.mark = special[0]
-        self.specials = tuple(s for _, s in special)
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if not any(s in w for s in self.specials)]
-        out = {w: self._encode(w).tobytes() for w in words if any(s in w for s in self.specials)}
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            starts, ends = np.concatenate([[0], cuts + 1]) * 4, np.concatenate([cuts, [len(ids)]]) * 4
-            raw = ids.tobytes()
-            out.update(zip(part, (raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True))
+        # the same vocabulary and merges for lower-case letters, on which its normalizers and splits do nothing more
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.marks = {m: self._whole(m) for m in ("", ".", ",")}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _plain(self, cores: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for i in range(0, len(cores), 400):
+            part = cores[i : i + 400]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(part):
+                out.update((w, self._whole(w)) for w in part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, cut in zip(part, cuts):
+                out[w] = raw[4 * at : 4 * cut]
+                at = cut
+        return out
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        cores, split, out = self.cores, [], {}
+        fresh = set()
+        for w in words:
+            mark = w[-1:] if w[-1:] in (".", ",") else ""
+            core = (w[:-1] if mark else w).lower()
+            if _LETTERS(core):
+                split.append((w, core, mark))
+                if core not in cores:
+                    fresh.add(core)
+            else:
+                out[w] = self._whole(w)
+        new = self._plain(sorted(fresh))
+        if len(cores) < _CACHE_WORDS:
+            cores.update(new)
+        marks = self.marks
+        for w, core, mark in split:
+            out[w] = (cores[core] if core in cores else new[core]) + marks[mark]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.translate(_SPACES).split(" ") if not t.isascii() else t.split() for t in texts]
-        if any(t.isascii() for t in texts):
-            # str.split() also cuts at the four ASCII separators 1C-1F, which are no white space here
-            split = [t.translate(_SPACES).split(" ") if t.isascii() and any(c in t for c in "\x1c\x1d\x1e\x1f") else s for t, s in zip(texts, split, strict=True)]
-        cache = self.cache
-        fresh = [w for w in set(chain.from_iterable(split)).difference(cache)]
-        if not fresh:
-            look = cache.__getitem__
-        else:
-            new = self._learn(fresh)
-            if len(cache) + len(new) <= _CACHE_WORDS:
-                cache.update(new)
-                look = cache.__getitem__
-            else:
-                both = {w: cache[w] if w in cache else new[w] for w in set(chain.from_iterable(split))}
-                look = both.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        get, found, missing = self.words.get, [], set()
+        for t in texts:
+            # str.split() also cuts at the separators 1C-1F, which are no white space to the tokenizer
+            words = t.split() if not _SEPARATORS(t) else _BLANKS.split(t)
+            ids = list(map(get, words))
+            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            missing.update([words[i] for i in gaps])
+            found.append((words, ids, gaps))
+        new = self._learn(missing)
+        for words, ids, gaps in found:
+            for i in gaps:
+                ids[i] = new[words[i]]
+        if len(self.words) < _CACHE_WORDS:
+            self.words.update(new)
+        return [b"".join(ids) for _, ids, _ in found]
+
+
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The tokenizer of a worker process: tasks that follow find its tables filled."""
+    return WordTokenizer(path)
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
@@ -87,7 +124,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = tokenizer_of(path)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             i = 0
