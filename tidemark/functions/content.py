@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 BOM = "﻿"
 
@@ -99,7 +100,7 @@ def contained_in_order(server: Column, local: Column) -> Column:
     return F.aggregate(lines(local), F.lit(0), lambda p, h: F.when(F.get(want, p).eqNullSafe(h), p + 1).otherwise(p)) >= F.size(want)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _yaml(s: pd.Series) -> pd.Series:
     def one(text: str | None) -> str | None:
         if text is None:
@@ -126,7 +127,7 @@ def byte_check(content: Column, size: Column, digest: Column) -> Column:
     return F.when(F.octet_length(b) != size, F.lit("size_mismatch")).when(actual == F.lower(digest), F.lit("ok")).otherwise(F.concat(F.lit("sha_mismatch:"), F.left(actual, F.lit(16))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _syntax(kind: pd.Series, text: pd.Series) -> pd.Series:
     import ast
     import tomllib

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Default excludes (a prefix at the root or after any slash) and machine-local name prefixes.
 EXCLUDES = (".obsidian/", ".trash/", "._/", "node_modules/")
@@ -26,7 +27,7 @@ def any_of(tests: Sequence[Column]) -> Column:
     return reduce(Column.__or__, tests, F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFC")
 
@@ -171,7 +172,7 @@ def sensitivity_class(path: Column) -> Column:
     return F.when(d, F.lit("D")).otherwise(F.lit("C"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _head_bytes(s: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else x.encode()[:k].decode(errors="ignore") for x, k in zip(s, n)])
 

@@ -1 +1,105 @@
-"""Queries."""
+"""Stores, journal files and lineage (SRC-3..5, SRC-8, AGG-8/9, DEC-10, DEC-13, KV, SNK-3/8 rows)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import stores as St
+from tidemark.plans.registry import query
+from tidemark.sources import fixtures as X
+from tidemark.sources.fixtures import with_sql
+from tidemark.sources.tables import table
+
+_LINE = """CASE WHEN event_id % 50 = 0 THEN '  ' WHEN event_id % 211 = 0 THEN '{"schema' WHEN event_id % 31 = 0 THEN '{"schema_version":2,"id":"x"}' WHEN event_id % 37 = 0 THEN '{"schema_version":1,"id":"x"}'
+ ELSE '{"schema_version":1,"id":"' || CASE WHEN event_id % 6 = 0 THEN '' ELSE event_id::VARCHAR END || '","path":"' || path || '","action":"' || action || '","content_sha":"' || content_sha || '","queued_at":"q","device_id":"d"}' END"""
+
+
+def _lines(spark, sf):
+    e = F.col("event_id")
+    text = lambda s: F.lit(s)
+    whole = F.concat(
+        text('{"schema_version":1,"id":"'), F.when(e % 6 == 0, "").otherwise(e.cast("string")), text('","path":"'), "path", text('","action":"'), "action",
+        text('","content_sha":"'), "content_sha", text('","queued_at":"q","device_id":"d"}'),
+    )
+    line = F.when(e % 50 == 0, "  ").when(e % 211 == 0, '{"schema').when(e % 31 == 0, '{"schema_version":2,"id":"x"}').when(e % 37 == 0, '{"schema_version":1,"id":"x"}').otherwise(whole)
+    return X.journal(spark, sf).select(F.floor(e / 500).alias("file"), "line_no", line.alias("line"))
+
+
+@query("src3_journal_lines", with_sql(f"""WITH l AS (SELECT event_id // 500 AS file, line_no, event_id, path, action, content_sha, {_LINE} AS line FROM journal),
+ s AS (SELECT file, min(line_no) AS stop FROM l WHERE line = '{{"schema' GROUP BY file)
+ SELECT l.file, line_no, CASE WHEN event_id % 6 = 0 THEN sha256(path || chr(31) || content_sha || chr(31) || 'q' || chr(31) || action) ELSE event_id::VARCHAR END AS id, path, action, NULL::VARCHAR AS base_hash, content_sha
+ FROM l LEFT JOIN s ON l.file = s.file WHERE (stop IS NULL OR line_no < stop) AND starts_with(line, '{{"schema_version":1,"id":"') AND line <> '{{"schema_version":1,"id":"x"}}'""", "journal"))
+def src3(spark, sf):
+    return St.journal_lines(_lines(spark, sf))
+
+
+def _store_files(spark, sf):
+    """One JSON object for each source, every seventh broken, every eleventh missing."""
+    d = table(spark, sf, "documents")
+    entry = F.concat(F.lit('"'), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit('.md":"'), F.sha2("lang", 256), F.lit('"'))
+    one = d.select(F.col("doc_id").alias("file"), F.when(F.col("doc_id") % 7 == 0, F.lit('{"a":')).when(F.col("doc_id") % 11 != 0, F.concat(F.lit("{"), entry, F.lit(',"k":"v"}'))).alias("body"))
+    return one
+
+
+@query("src4_src5_map_store", """SELECT doc_id AS file, unnest([source || '/' || doc_id || '.md', 'k']) AS key, unnest([sha256(lang), 'v']) AS value FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0""")
+def src4_src5(spark, sf):
+    return St.map_store(_store_files(spark, sf))
+
+
+@query("src8_diagnose", """SELECT doc_id, doc_id % 3 <> 0 AS failed, CASE doc_id % 3 WHEN 1 THEN 9 WHEN 2 THEN 300 END::INT AS size, CASE WHEN doc_id % 3 = 2 THEN repeat('x', 256) END AS sample, CASE WHEN doc_id % 3 = 0 THEN 'p' END AS path FROM documents""")
+def src8(spark, sf):
+    d = F.col("doc_id")
+    body = F.when(d % 3 == 0, F.lit('{"path":"p"}')).when(d % 3 == 1, F.lit('{"q":"p"}')).otherwise(F.repeat(F.lit("x"), 300))
+    return St.diagnose(table(spark, sf, "documents").select("doc_id", body.alias("body")), "path STRING").drop("body")
+
+
+_KEYS = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source || '/n' || (doc_id % 90) || '.md' WHEN 1 THEN source || '\\n' || (doc_id % 90) || '.md' ELSE 'n' || (doc_id % 90) || '.md' END AS key FROM documents"
+
+
+def _keyed(spark, sf):
+    n = F.concat(F.lit("n"), (F.col("doc_id") % 90).cast("string"), F.lit(".md"))
+    key = F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit("/"), n)).when(F.col("doc_id") % 3 == 1, F.concat("source", F.lit("\\"), n)).otherwise(n)
+    return table(spark, sf, "documents").select(key.alias("key"), F.col("doc_id").alias("id"))
+
+
+_CANON = f"""WITH k AS (SELECT key, min(doc_id) AS value FROM ({_KEYS}) GROUP BY key), c AS (SELECT key, value, replace(key, '\\', '/') AS p FROM k),
+ d AS (SELECT key, value, CASE WHEN split_part(p, '/', 1) IN ('src0', 'src1', 'src2') AND contains(p, '/') THEN substr(p, strpos(p, '/') + 1) ELSE p END AS n FROM c)"""
+
+
+@query("agg9_migrate_keys", _CANON + " SELECT n AS key, value FROM d QUALIFY row_number() OVER (PARTITION BY n ORDER BY key <> n, key) = 1")
+def agg9_kv5(spark, sf):
+    """Canonical keys win; among old ones the smallest (the reference leaves that open)."""
+    store = _keyed(spark, sf).groupBy("key").agg(F.min("id").alias("value"))
+    return St.migrate_keys(store, X.FOLDERS)
+
+
+@query("agg8_scope_suspect", f"SELECT nullif(count(*) FILTER (WHERE contains(key, '/')), 0)::BIGINT AS suspect FROM ({_KEYS})")
+def agg8(spark, sf):
+    return St.scope_suspect(_keyed(spark, sf), ())
+
+
+_WRITES = "SELECT event_id AS line_no, 'p' || (user_id % 50) AS path, (event_id // 300) % 5 + user_id % 2 AS seq, CASE WHEN event_type = 'click' THEN 'adopted' ELSE 'observed' END AS prov FROM events"
+
+
+@query("dec10_lineage", f"""WITH w AS ({_WRITES}), n AS (SELECT *, coalesce((lag(seq) OVER (PARTITION BY path ORDER BY line_no) <> seq)::INT, 1) AS new FROM w),
+ r AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY line_no) AS run FROM n), m AS (SELECT *, max(run) OVER (PARTITION BY path) AS last FROM r)
+ SELECT path, max(seq) AS seq, CASE WHEN bool_or(prov = 'adopted') THEN 'adopted' ELSE 'observed' END AS prov FROM m WHERE run = last GROUP BY path""")
+def dec10_kv2(spark, sf):
+    """Tests hold it against the plain loop."""
+    seq = F.floor(F.col("event_id") / 300) % 5 + F.col("user_id") % 2
+    prov = F.when(F.col("event_type") == "click", "adopted").otherwise("observed")
+    return St.lineage(table(spark, sf, "events").select(F.col("event_id").alias("line_no"), F.concat(F.lit("p"), (F.col("user_id") % 50).cast("string")).alias("path"), seq.alias("seq"), prov.alias("prov")))
+
+
+@query("dec13_conflict_refetch", with_sql("""SELECT l.path, CASE WHEN s.fs_hash IS NULL THEN CASE WHEN l.doc_id % 2 = 0 THEN 'accept_delete' ELSE 'recreate_no_row' END WHEN s.fs_hash = l.content_hash THEN 'receipt' ELSE 'receipt_and_merge' END AS action
+ FROM local_manifest l LEFT JOIN server_state s ON l.path = s.path""", "local_manifest", "server_state"))
+def dec13(spark, sf):
+    """After a 409: a note that is gone clears the stores (a delete is accepted, else re-created with no base row)."""
+    rows = X.local_manifest(spark, sf).join(X.server_state(spark, sf).select("path", "fs_hash"), "path", "left")
+    gone = F.when(F.col("doc_id") % 2 == 0, "accept_delete").otherwise("recreate_no_row")
+    return rows.select("path", F.when(F.col("fs_hash").isNull(), gone).when(F.col("fs_hash") == F.col("content_hash"), "receipt").otherwise("receipt_and_merge").alias("action"))
+
+
+@query("fn3_stash_positions", with_sql("SELECT l.path, coalesce(b.seq, 0) AS lsn FROM local_manifest l LEFT JOIN base_seq b ON l.path = b.path", "local_manifest", "server_state", "base_seq"))
+def fn3(spark, sf):
+    return X.local_manifest(spark, sf).join(X.base_seq(spark, sf).select("path", "seq"), "path", "left").select("path", F.coalesce("seq", F.lit(0).cast("long")).alias("lsn"))

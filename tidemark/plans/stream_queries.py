@@ -1 +1,93 @@
-"""Queries."""
+"""Files, feeds and live guards (SRC-1, SRC-9..11, §2.11 rows). Streams run to the end of their input."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tidemark.plans.registry import query
+from tidemark.sources import fixtures as X
+from tidemark.sources.files import candidate_files, file_manifest
+from tidemark.sources.tables import table
+from tidemark.streaming import feeds
+
+_DATA = """'{"path": "src' || (user_id % 20) || '/n' || (event_id % 200) || '.md", "phase": "done", "lsn": ' || event_id || CASE WHEN event_id % 9 = 0 THEN ', "op": "DELETE"' ELSE '' END || '}'"""
+
+
+def _feed(e):
+    n = lambda c: c.cast("string")
+    data = F.concat(
+        F.lit('{"path": "src'), n(F.col("user_id") % 20), F.lit("/n"), n(F.col("event_id") % 200), F.lit('.md", "phase": "done", "lsn": '), n(F.col("event_id")),
+        F.when(F.col("event_id") % 9 == 0, F.lit(', "op": "DELETE"')).otherwise(F.lit("")), F.lit("}"),
+    )
+    kind = F.when(F.col("event_type") == "view", "lint_complete").otherwise("enrichment_complete")
+    return e.select("event_id", kind.alias("event_type"), F.when(F.col("event_id") % 23 == 0, F.lit("{broken")).otherwise(data).alias("data"))
+
+
+_FEED_SQL = """WITH e AS (SELECT event_id, 'src' || (user_id % 20) || '/n' || (event_id % 200) || '.md' AS path, event_id AS seq, CASE WHEN event_id % 9 = 0 THEN 'DELETE' ELSE 'UPSERT' END AS op
+ FROM events WHERE event_type <> 'view' AND event_id % 23 <> 0 AND NOT starts_with('src' || (user_id % 20), 'src11')) SELECT path, max(seq) AS seq, arg_max(event_id, seq) AS event_id, arg_max(op, seq) AS op FROM e GROUP BY path"""
+
+
+@query("src9_feed_replay_batch", _FEED_SQL)
+def src9(spark, sf):
+    return feeds.latest(feeds.decode_feed(_feed(table(spark, sf, "events")), excludes=("src11",)))
+
+
+@query("src9_feed_replay_stream", _FEED_SQL)
+def src9_src10_src11_snk9(spark, sf):
+    """The same store from a stream of files, in micro-batches, with its offset in the checkpoint."""
+    static = table(spark, sf, "events")
+    stream = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events.parquet*")
+    return feeds.replay(feeds.decode_feed(_feed(stream), excludes=("src11",)), spark, f"feed-{uuid.uuid4().hex}")
+
+
+def _stream(spark, sf, view):
+    """A fixture view over a stream of the events table."""
+    static = table(spark, sf, "events")
+    events = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events.parquet*")
+    if view == "echo":
+        e = events.filter("event_type IN ('click', 'view')")
+        sha = F.pmod(F.floor(F.col("value")).cast("long"), F.lit(4))
+        return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("key"), F.when(F.col("event_type") == "click", "record").otherwise("probe").alias("kind"), sha.alias("sha"))
+    return events.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), (F.col("user_id") % 8).alias("root"))
+
+
+def _echo_sql() -> str:
+    from tidemark.plans.registry import _SQL
+    from tidemark.plans import guard_queries  # noqa: F401
+
+    return _SQL["win3_join6_echo"]
+
+
+@query("win3_live_echo", _echo_sql())
+def win3_live(spark, sf):
+    return feeds.drain(feeds.live_echo(_stream(spark, sf, "echo"), 6 * 3600), spark, f"echo-{uuid.uuid4().hex}")
+
+
+@query("win9_live_breaker", None)
+def win9_live(spark, sf):
+    return feeds.drain(feeds.live_breaker(_stream(spark, sf, "conflicts"), 5, 6 * 3600), spark, f"breaker-{uuid.uuid4().hex}")
+
+
+@query("src1_file_scan", None)
+def src1_ord1(spark, sf):
+    """Files of the folder by name and size; contents are read for none of them."""
+    files = candidate_files(spark, sf, roots=(), allowed=(".parquet",))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size_bytes", "decision")
+
+
+@query("src2_file_manifest", None)
+def src2_files(spark, sf):
+    return file_manifest(candidate_files(spark, f"{sf}/region.parquet", roots=(), allowed=(".parquet",)))
+
+
+@query("entry_fixture_counts", None)
+def counts(spark, sf):
+    """Rows of each derived view."""
+    views = ("local_manifest", "server_state", "shadow", "base_seq", "journal", "burst_events", "echo_events", "paths", "notes")
+    one = [getattr(X, v)(spark, sf).agg(F.count(F.lit(1)).alias("n")).select(F.lit(v).alias("view"), "n") for v in views]
+    out = one[0]
+    for x in one[1:]:
+        out = out.unionByName(x)
+    return out
