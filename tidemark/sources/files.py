@@ -14,6 +14,7 @@ def candidate_files(spark: SparkSession, root: str, roots: Sequence[str] = (), e
     """path (relative), decision, rule, size_bytes and the lazily read content of every file below `root`.
 
     Only the columns asked for are read: a query that needs no content opens no file. A missing root has no files.
+    Files without a byte are passed over: the reader of whole files does not list them.
     """
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(root)
