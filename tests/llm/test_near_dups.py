@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.near_dups import CHUNKS, max_errors, near_duplicates
+from tidemark.llm.near_dups import CHUNKS, INDEXED, max_errors, near_duplicates
 
 
 def shingle_set(t, k):
@@ -84,4 +84,44 @@ def test_odd_rows(spark):
 
 def test_pigeonhole():
     for s in (0.8, 0.85, 0.9):
-        assert max_errors(s) < 2 * CHUNKS
+        assert max_errors(s) < 2 * CHUNKS < INDEXED
+
+
+def test_rows_within_the_distance_share_a_tree(spark):
+    import numpy as np
+
+    from tidemark.llm import near_dups as nd
+    from tidemark.llm.components import components
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, (12, nd.POSITIONS), dtype=np.uint8)
+    rows, sigs = [], []
+    for i in range(240):
+        s = base[i % 12].copy()
+        hit = rng.random(nd.POSITIONS) < rng.uniform(0, 0.12)
+        s[hit] = rng.integers(0, 256, hit.sum(), dtype=np.uint8)
+        sigs.append(s)
+        rows.append((i, bytearray(s.tobytes())))
+    reps = spark.createDataFrame(rows, "rep long, signature binary")
+    keys = nd.index_keys(reps)
+    keys = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key")
+    near = {(i, j) for i in range(240) for j in range(i + 1, 240) if (sigs[i] != sigs[j]).sum() <= 60 and (sigs[i] != sigs[j])[: nd.INDEXED].sum() < 2 * nd.CHUNKS}
+    assert len(near) > 1000
+    old = nd.BLOCK
+    for block in (old, 7):
+        nd.BLOCK = block
+        got = nd.near_pairs(keys, spark.createDataFrame([], "node long, label long"), reps, 60)
+        tree = {r["node"]: r["label"] for r in components(got.filter("b IS NOT NULL")).collect()}
+        assert all(tree[i] == tree[j] for i, j in near)
+        met = {r["a"] for r in got.filter("b IS NULL").collect()}
+        assert met >= {i for p in near for i in p}
+        assert all((sigs[r["a"]] != sigs[r["b"]]).sum() <= 60 for r in got.filter("b IS NOT NULL").collect())
+    nd.BLOCK = old
+
+
+def test_small_text_blocks(spark, monkeypatch):
+    from tidemark.llm import near_dups as nd
+
+    monkeypatch.setattr(nd, "TEXT_BLOCK", 5)
+    monkeypatch.setattr(nd, "BLOCK", 9)
+    test_groups_near_the_threshold(spark)

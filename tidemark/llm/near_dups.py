@@ -4,14 +4,17 @@ A document's set is its distinct k-word shingles after lower-casing A-Z (with fe
 Documents with equal sets form a class at once; only a class's representative goes further.
 
 1. Signature: POSITIONS minima of multiplied shingle hashes, cut to 8 bits each. Sets of similarity s differ in each
-   position with probability just under 1 - s; `max_errors` leaves room for over four standard deviations.
-2. Index: the positions are split into CHUNKS groups. By pigeonhole two signatures within `max_errors` differences
-   agree in some group up to max_errors // CHUNKS = 1 position, so each group is indexed once for each position left
-   out. All pairs within the distance share a key.
-3. Links: each row is first held against the smallest id of its keys and linked if the full sets confirm it; keys whose
-   rows are then one component are done. In the rest, every pair of rows of different components is compared by
-   signature, large keys in blocks of BLOCK x BLOCK rows, and confirmed on full sets. So no link between
-   components is lost, and pairs within a component are not enumerated.
+   position with probability just under 1 - s; distance thresholds leave room for over four standard deviations.
+2. Index: the first INDEXED positions are split into CHUNKS groups. By pigeonhole two signatures within `max_errors`
+   differences there agree in some group up to max_errors // CHUNKS = 1 position, so each group is indexed once for
+   each position left out. All pairs within the distance share a key.
+3. Links. First round: in each key the pairs whose whole signatures look linked are gathered to a spanning forest, so
+   a key of n rows gives at most n - 1 pairs; these are confirmed on full sets, and components are formed. Second
+   round: in keys whose rows are still of several components, those that have a pair of different components within
+   the distance threshold of the whole signature are linked to clusters, again by forests. A cluster's documents are
+   then held against each other on full sets wherever two components come within the threshold, in blocks of
+   TEXT_BLOCK x TEXT_BLOCK texts, and a block gives a forest of its links. So no link between components is lost,
+   and what is written grows with the documents of a group, not with its pairs. Large keys are cut into blocks too.
 4. Components of the confirmed links; the smallest doc_id stands for each.
 
 Null, empty and blank texts have an empty set and link with nothing. Rows that repeat are rows of one class. A row
@@ -31,17 +34,17 @@ from tidemark.llm.components import components
 from tidemark.llm.words import mix, shingles, slices, texts_of, word_hashes
 from tidemark.plans.staging import stage
 
-POSITIONS, CHUNKS, BLOCK, GROUP = 64, 12, 2048, 64
+POSITIONS, INDEXED, CHUNKS = 256, 64, 12
+BLOCK, TEXT_BLOCK, GROUP = 2048, 256, 64
+_GROUPS = np.array_split(np.arange(INDEXED), CHUNKS)
 _MULTIPLIERS = (np.random.default_rng(20).integers(0, 1 << 32, POSITIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
 
-def max_errors(similarity: float) -> int:
-    """Most differing positions of two signatures that are still compared on full sets; below 2 * CHUNKS."""
+def max_errors(similarity: float, positions: int = INDEXED) -> int:
+    """Most differing positions of two signatures of that similarity, but for a chance near 1e-5."""
     p = 1 - similarity
-    most = int(POSITIONS * p + 4.4 * (POSITIONS * p * (1 - p)) ** 0.5 + 0.5)
-    if most >= 2 * CHUNKS:
-        most = 2 * CHUNKS - 1
-    return most
+    most = int(positions * p + 4.4 * (positions * p * (1 - p)) ** 0.5 + 0.5)
+    return min(most, 2 * CHUNKS - 1) if positions == INDEXED else most
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -57,8 +60,8 @@ def signature(s: np.ndarray) -> bytes:
     """One byte a position: bits of the least product, by multipliers fixed for all documents."""
     x = (s >> np.uint64(32)).astype(np.uint32)
     least = np.full(POSITIONS, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 4096):
-        np.minimum(least, (x[i : i + 4096, None] * _MULTIPLIERS).min(0), out=least)
+    for i in range(0, len(x), 1024):
+        np.minimum(least, (x[i : i + 1024, None] * _MULTIPLIERS).min(0), out=least)
     return (mix(least.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
@@ -80,43 +83,28 @@ def digests(docs: DataFrame, k: int) -> DataFrame:
 
 
 def index_keys(reps: DataFrame) -> DataFrame:
-    """(key, rep) for every group of positions and every position of it left out: POSITIONS rows for each signature."""
-    groups = np.array_split(np.arange(POSITIONS), CHUNKS)
-    weights = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
+    """(key, rep) for every group of positions and every position of it left out: INDEXED rows a signature."""
+    weights = mix(np.arange(1, INDEXED + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 n = part.num_rows
-                sig = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint8).reshape(n, POSITIONS)
-                terms = mix(sig.astype(np.uint64) + np.uint64(1) + (np.arange(POSITIONS, dtype=np.uint64) << np.uint64(8))) * weights
-                keys = np.empty((n, POSITIONS), np.uint64)
-                for g in groups:
+                sig = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint8).reshape(n, POSITIONS)[:, :INDEXED]
+                terms = mix(sig.astype(np.uint64) + np.uint64(1) + (np.arange(INDEXED, dtype=np.uint64) << np.uint64(8))) * weights
+                keys = np.empty((n, INDEXED), np.uint64)
+                for g in _GROUPS:
                     whole = terms[:, g].sum(1, dtype=np.uint64)
                     for p in g:
-                        keys[:, p] = mix((whole - terms[:, p]) ^ weights[p])
+                        # the lowest bit marks one key of each group
+                        keys[:, p] = mix((whole - terms[:, p]) ^ weights[p]) & ~np.uint64(1) | np.uint64(p == g[0])
                 rep = part.column("rep").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(rep, POSITIONS))], ["key", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(rep, INDEXED))], ["key", "rep"])
 
     return reps.select("rep", "signature").mapInArrow(run, "key long, rep long")
 
 
-def within(pairs: DataFrame, reps: DataFrame, most: int) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most `most` positions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, POSITIONS) for c in ("sa", "sb"))
-            near = pa.array((sa != sb).sum(1) <= most)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
-
-    a = reps.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
-    b = reps.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose full sets have at least the similarity, from the texts of `docs` (rep, text).
 
@@ -128,7 +116,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> Dat
     salted = stage(salted, "dup-pairs")
     # the one pass that moves texts: only those of documents in some pair go on
     wanted = salted.select(F.col("a").alias("rep")).union(salted.select("b")).distinct()
-    docs = stage(docs.join(wanted, "rep", "left_semi"), "dup-texts")
+    docs = stage(docs.join(wanted.hint("merge"), "rep", "left_semi"), "dup-texts")
     heads = salted.select("a", "salt").distinct().join(docs, F.col("a") == docs["rep"]).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     tails = salted.join(docs, F.col("b") == docs["rep"]).select("a", "salt", "b", "text")
     dealt = heads.union(tails).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -143,11 +131,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> Dat
                 if b[i] is None:
                     head = s
                     continue
-                least, most = sorted((len(head), len(s)))
-                if 100 * least < hundredths * most:
-                    continue
-                shared = len(np.intersect1d(head, s, assume_unique=True))
-                if 100 * shared >= hundredths * (len(head) + len(s) - shared):
+                if _linked(head, s, hundredths):
                     out[0].append(a[i])
                     out[1].append(b[i])
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
@@ -155,51 +139,151 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> Dat
     return stage(dealt.mapInArrow(run, "a long, b long"), "dup-links")
 
 
-def cross_pairs(keys: DataFrame, labels: DataFrame, reps: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and whose signatures are within the distance."""
-    rows = keys.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", "n")
-    rows = rows.join(mixed, "key").join(reps.select("rep", "signature"), "rep")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    # each row goes to the pairs of blocks that its own block is part of; a small key has one block, one pair
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "signature")
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def close(group: list[tuple], out: tuple[list, list]) -> None:
-        if len(group) < 2:
-            return
-        rep = np.array([g[0] for g in group])
-        label = np.array([g[1] for g in group])
-        own = np.array([g[2] for g in group])
-        sig = np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(len(group), POSITIONS)
-        split = own.min() != own.max()
-        for x in range(len(group) - 1):
-            rest = slice(x + 1, None)
-            ok = (label[rest] != label[x]) & ((sig[rest] != sig[x]).sum(1) <= most)
-            if split:
-                ok &= own[rest] != own[x]
-            for y in np.flatnonzero(ok) + x + 1:
-                out[0].append(min(rep[x], rep[y]))
-                out[1].append(max(rep[x], rep[y]))
+class _Forest:
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _forest_of_key(rep: np.ndarray, label: np.ndarray, own: np.ndarray, sig: np.ndarray, most: int) -> tuple[list, list, np.ndarray]:
+    """(a, b) of pairs of rows that join the labels of near rows to trees, and all rows near one of another label.
+
+    Rows of two blocks are compared across the blocks only. With a label for each row, a row is compared with those
+    that are not in its tree yet.
+    """
+    order = np.argsort(rep, kind="stable")
+    rep, label, own, sig = rep[order], label[order], own[order], sig[order]
+    split = own.min() != own.max()
+    names, tree, counts = np.unique(label, return_inverse=True, return_counts=True)
+    fixed, index, met = tree.copy(), np.arange(len(rep)), np.zeros(len(rep), bool)
+    single = counts.max() == 1
+    a, b = [], []
+    # rows of the commonest label are compared from the other side
+    for x in index if single else np.flatnonzero(fixed != counts.argmax()):
+        apart = (index > x) & (tree != tree[x]) if single else (fixed != fixed[x]) & ((fixed == counts.argmax()) | (index > x))
+        if split:
+            apart &= own != own[x]
+        rest = np.flatnonzero(apart)
+        rest = rest[(sig[rest] != sig[x]).sum(1) <= most] if len(rest) else rest
+        if not len(rest):
+            continue
+        met[x] = met[rest] = True
+        for t, y in zip(*np.unique(tree[rest], return_index=True)):
+            if t != tree[x]:
+                a.append(int(rep[x]))
+                b.append(int(rep[rest[y]]))
+                tree[tree == t] = tree[x]
+    return a, b, rep[met]
+
+
+def _blocked(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """Deal rows (with n, the size of their key) to pairs of blocks (i, j) of their key; a small key has one pair."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "n")
+    return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str, columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Rows of one (key, i, j) at a time, from sorted rows."""
+    at, group = None, []
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in (key, "i", "j", *columns)]
+        for k, i, j, *row in zip(*cols, strict=True):
+            if (k, i, j) != at:
+                if len(group) > 1:
+                    yield group
+                at, group = (k, i, j), []
+            group.append(tuple(row))
+    if len(group) > 1:
+        yield group
+
+
+def _arrays(group: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    rep, label, own = (np.array([g[c] for g in group]) for c in range(3))
+    return rep, label, own, np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(len(group), POSITIONS)
+
+
+def near_pairs(keys: DataFrame, labels: DataFrame | None, reps: DataFrame, most: int) -> DataFrame:
+    """(a, b): forests over the rows of each key whose signatures differ in at most `most`, between labels (the rows
+    themselves, if none are given); with labels also (a, null) for every row that has a near row of another label."""
+    rows = keys.withColumn("label", F.col("rep"))
+    if labels is not None:
+        rows = keys.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+        rows = rows.join(mixed, "key", "left_semi")
+    rows = rows.join(reps.select("rep", "signature"), "rep").select("key", "n", "rep", "label", "signature")
+    labels = None if labels is None else True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group = None, []
-        for batch in batches:
-            out: tuple[list, list] = ([], [])
-            cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "rep", "label", "own", "signature")]
-            for key, i, j, *row in zip(*cols, strict=True):
-                if (key, i, j) != at:
-                    close(group, out)
-                    at, group = (key, i, j), []
-                group.append(tuple(row))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
-        out = ([], [])
-        close(group, out)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+        seen: set = set()
+        for group in _groups(batches, "key", ("rep", "label", "own", "signature")):
+            a, b, met = _forest_of_key(*_arrays(group), most)
+            pairs = {(min(x, y), max(x, y)) for x, y in zip(a, b)}
+            if labels is not None:
+                pairs |= {(x, None) for x in met.tolist()}
+            pairs -= seen  # one task meets the same rows under many keys
+            seen = (seen if len(seen) < 500_000 else set()) | pairs
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
+
+    return _blocked(rows, "key", BLOCK).mapInArrow(run, "a long, b long").distinct()
+
+
+def cluster_links(near: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, most: int, k: int, similarity: float) -> DataFrame:
+    """Links (a, b) between components, on full sets, among the rows and forests of near_pairs()."""
+    near = stage(near, "dup-near")
+    of = labels.withColumnRenamed("label", "of")
+    name = lambda rows, c: rows.join(of.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("of", c)).drop("of")
+    clusters = components(name(name(near.filter("b IS NOT NULL"), "a"), "b").select("a", "b"))
+    members = near.filter("b IS NULL").select(F.col("a").alias("rep"))
+    members = members.join(of.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("of", "rep")).drop("of")
+    members = stage(members.join(clusters.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label"), "dup-members")
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    rows = members.join(sizes, "cluster").join(reps.select("rep", "signature"), "rep")
+    rows = docs.join(rows.hint("merge"), "rep").select("cluster", "n", "rep", "label", "signature", "text")
+    hundredths = round(100 * similarity)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "cluster", ("rep", "label", "own", "signature", "text")):
+            rep, label, own, sig = _arrays(group)
+            split, index, trees = own.min() != own.max(), np.arange(len(rep)), _Forest()
+            sets: dict[int, np.ndarray] = {}
+            out: tuple[list, list] = ([], [])
+            for x in index:
+                rest = index[(label != label[x]) & (index > x)]
+                if split:
+                    rest = rest[own[rest] != own[x]]
+                for y in rest[(sig[rest] != sig[x]).sum(1) <= most]:
+                    if trees.root(int(label[x])) == trees.root(int(label[y])):
+                        continue
+                    for z in (x, y):
+                        if z not in sets:
+                            sets[z] = next(shingle_sets(pa.array([group[z][4]], pa.large_string()), k))
+                    if _linked(sets[x], sets[y], hundredths):
+                        trees.join(int(label[x]), int(label[y]))
+                        out[0].append(int(rep[x]))
+                        out[1].append(int(rep[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
+
+    return stage(_blocked(rows, "cluster", TEXT_BLOCK).mapInArrow(run, "a long, b long"), "dup-links")
+
+
+def _linked(a: np.ndarray, b: np.ndarray, hundredths: int) -> bool:
+    least, most = sorted((len(a), len(b)))
+    if 100 * least < hundredths * most:
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= hundredths * (len(a) + len(b) - shared)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -208,19 +292,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Dat
     sets = stage(digests(docs, k), "dup-sets")
     full = sets.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
     reps = stage(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "dup-reps")
-    most = max_errors(similarity)
-
     keys = index_keys(reps)
-    shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    keys = stage(keys.join(shared, "key").select("key", "rep", "pivot"), "dup-keys")
-    first = within(keys.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), reps, most)
-    first = first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    keys = stage(keys.join(shared, "key"), "dup-keys")
     # one text for each representative: repeated ids may carry other texts, whose sets differ
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    links = confirm(first, texts, k, similarity)
+    # the first round only saves work for the second, so one key of each group does: of 12, linked rows share some
+    likely = stage(near_pairs(keys.filter("key & 1 = 1"), None, reps, round(POSITIONS * (1 - similarity))), "dup-likely")
+    links = confirm(likely, texts, k, similarity)
     labels = stage(components(links), "dup-labels")
-    more = confirm(cross_pairs(keys.select("key", "rep"), labels, reps, most), texts, k, similarity)
+    most = max_errors(similarity, POSITIONS)
+    more = cluster_links(near_pairs(keys, labels, reps, most), labels, reps, texts, most, k, similarity)
     labels = stage(components(links.union(more)), "dup-labels")
 
     classes = reps.select("set_id", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("label", "rep").alias("component"))
