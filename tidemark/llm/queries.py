@@ -77,8 +77,14 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
 def _op1_sql() -> str:
-    from tidemark.llm.quality_rules import STOP_WORDS
+    from tidemark.llm.quality_rules import RULES, STOP_WORDS
 
+    parts = {
+        "mean_word_chars": ("word_chars", "n_words"), "symbol_ratio": ("n_symbols", "n_words"), "stop_ratio": ("n_stop_words", "n_words"),
+        "dup_line_ratio": ("n_dup_lines", "n_lines"), "repeat_ratio": ("n_repeat_words", "n_words"),
+    }
+    ratio = lambda m: f"{parts[m][0]}::DOUBLE / nullif({parts[m][1]}, 0)"
+    tests = [f"{ratio(m)} >= {lo}" for m, lo, _ in RULES if lo is not None] + [f"{ratio(m)} <= {hi}" for m, _, hi in RULES if hi is not None]
     stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS.split())))
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
@@ -93,9 +99,7 @@ m AS (
   FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d) d
   LEFT JOIN cov ON d.r = cov.r),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT *, NOT base_failed AND coalesce(word_chars::DOUBLE / nullif(n_words, 0) BETWEEN 2.0 AND 14.0
-  AND n_symbols::DOUBLE / nullif(n_words, 0) <= 0.10 AND n_stop_words::DOUBLE / nullif(n_words, 0) >= 0.01
-  AND n_dup_lines::DOUBLE / nullif(n_lines, 0) <= 0.30 AND n_repeat_words::DOUBLE / nullif(n_words, 0) <= 0.50, false) AS kept
+SELECT *, NOT base_failed AND coalesce({" AND ".join(tests)}, false) AS kept
 FROM b"""
 
 
