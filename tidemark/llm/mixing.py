@@ -3,7 +3,7 @@
 Every document gets a 60-bit hash, the head of the MD5 of its id and text. A source whose target is f whole passes and a part takes each
 document f times, and once more those whose hash lies under the source's threshold. The threshold is found without a
 sort: tokens are summed by source and hash bucket, the bucket where the running sum crosses the budget is refined by
-the next hash bits, and so on for LEVELS rounds. All rows that share one hash (copies of one row) fall on the same side.
+the next hash bits, and so on until it holds one hash (LEVELS rounds at most). All rows that share one hash (copies of one row) fall on the same side.
 
 Sources are ordered by code point with null last; weights repeat over that order. A source holds one row in the target
 table, so only that table (a row a source) is ordered as a whole. Joins carry no broadcast hint: Spark
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.text_sql import n_words
 from tidemark.plans.staging import stage
 
-LEVELS, BITS = 5, 12
+HASH_BITS, LEVELS, BITS = 60, 5, 12
 CAP = 3
 
 
@@ -47,13 +47,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share
 
 
 def _bucket(level: int) -> Column:
-    return F.shiftright(F.col("hash"), 60 - BITS * (level + 1)).bitwiseAND(F.lit((1 << BITS) - 1))
+    return F.shiftright(F.col("hash"), HASH_BITS - BITS * (level + 1)).bitwiseAND(F.lit((1 << BITS) - 1))
 
 
-def thresholds(sized: DataFrame, targets: DataFrame, source_cap: int = CAP) -> DataFrame:
-    """source, passes, threshold: every document is taken `passes` times, and once more if its hash is below.
+def thresholds(sized: DataFrame, targets: DataFrame, source_cap: int = CAP) -> tuple[DataFrame, int]:
+    """(source, passes, threshold) and the hash bits that thresholds have: every document is taken `passes` times, and
+    once more if the head of its hash is below the threshold.
 
-    One histogram a level; after the first, only rows of each source's boundary bucket are counted.
+    One histogram a level; after the first, only rows of each source's boundary bucket are counted. It ends where each
+    boundary bucket holds one hash, or no hash bits are left: refining further would change nothing.
     """
     size = F.col("source_size")
     passes = F.when(size > 0, F.least(F.floor(F.col("target") / size), F.lit(source_cap).cast("long"))).otherwise(F.lit(0).cast("long"))
@@ -63,37 +65,40 @@ def thresholds(sized: DataFrame, targets: DataFrame, source_cap: int = CAP) -> D
         rows = sized
         if level:
             known = edge.select(F.col("source").alias("s"), F.col("prefix").alias("p"))
-            at = F.shiftright(F.col("hash"), 60 - BITS * level) == F.col("p")
+            at = F.shiftright(F.col("hash"), HASH_BITS - BITS * level) == F.col("p")
             rows = sized.join(known, F.col("source").eqNullSafe(F.col("s")) & at, "left_semi")
-        histogram = rows.groupBy("source", _bucket(level).alias("bucket")).agg(F.sum("size").alias("tokens"))
+        histogram = rows.groupBy("source", _bucket(level).alias("bucket")).agg(F.sum("size").alias("tokens"), (F.min("hash") < F.max("hash")).alias("mixed"))
         run = F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket"))
-        histogram = histogram.withColumn("upto", run)
-        hs = histogram.select(F.col("source").alias("hs"), "bucket", "tokens", "upto")
-        crossed = edge.join(hs, F.col("source").eqNullSafe(F.col("hs")) & (F.col("upto") > F.col("rest")), "left")
-        first = crossed.groupBy("source", "source_size", "target", "passes", "rest", "prefix").agg(F.min(F.struct("bucket", "tokens", "upto")).alias("b"))
+        hs = histogram.select(F.col("source").alias("hs"), F.struct("bucket", "tokens", run.alias("upto"), "mixed").alias("h"))
+        crossed = edge.join(hs, F.col("source").eqNullSafe(F.col("hs")) & (F.col("h.upto") > F.col("rest")), "left")
+        first = crossed.groupBy("source", "source_size", "target", "passes", "rest", "prefix").agg(F.min("h").alias("b"))
         # no bucket crosses: all of them fit, the boundary lies past the last
         bucket = F.coalesce(F.col("b.bucket"), F.lit((1 << BITS) - 1).cast("long"))
         spent = F.coalesce(F.col("b.upto") - F.col("b.tokens"), F.lit(0).cast("long"))
         edge = stage(
             first.select(
-                "source", "source_size", "target", "passes", (F.col("rest") - spent).alias("rest"),
-                (F.shiftleft(F.col("prefix"), BITS) + bucket).alias("prefix"),
-                (F.col("b.bucket").isNull()).alias("all"), F.col("b.tokens").alias("tokens"),
+                "source", "source_size", "target", "passes", (F.col("rest") - spent).alias("rest"), (F.shiftleft(F.col("prefix"), BITS) + bucket).alias("prefix"),
+                (F.col("b.bucket").isNull()).alias("all"), F.col("b.tokens").alias("tokens"), F.coalesce(F.col("b.mixed"), F.lit(False)).alias("mixed"),
             ).coalesce(1),
             "mix-edge",
         )
-        edge = edge.drop("all", "tokens") if level < LEVELS - 1 else edge
-    # the last boundary bucket holds one hash but for chance: in if more than half of it is owed
+        if edge.filter("mixed AND rest > 0").isEmpty():
+            break
+    # the boundary bucket holds one hash: in if at least half of it is owed
     within = F.col("all") | (F.col("rest") * 2 >= F.coalesce(F.col("tokens"), F.lit(0)))
     threshold = F.col("prefix") + F.when(within & (F.col("rest") > 0), F.lit(1)).otherwise(F.lit(0))
-    return edge.select("source", "source_size", "target", "passes", threshold.alias("threshold"))
+    return edge.select("source", "source_size", "target", "passes", threshold.alias("threshold")), BITS * (level + 1)
+
+
+def _extra(hashed: Column, threshold: str, bits: int) -> Column:
+    return (F.shiftright(hashed, HASH_BITS - bits) < F.col(threshold)).cast("long")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: int = CAP, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for every row of `docs` (doc_id, text, source)."""
     sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _hash(seed).alias("hash")), "mix-sized")
     targets = stage(source_targets(sized, weights, share, cap).coalesce(1), "mix-targets")
-    return apply_thresholds(sized, thresholds(sized, targets, cap))
+    return apply_thresholds(sized, *thresholds(sized, targets, cap))
 
 
 def _hash(seed: int) -> Column:
@@ -105,17 +110,15 @@ def _hash(seed: int) -> Column:
 def resample(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: int = CAP, seed: int = 17) -> DataFrame:
     """The mixed corpus: every row of `docs` as often as the mix takes it, with the columns it came with."""
     sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _hash(seed).alias("hash")), "mix-sized")
-    edges = thresholds(sized, stage(source_targets(sized, weights, share, cap).coalesce(1), "mix-targets"), cap)
+    edges, bits = thresholds(sized, stage(source_targets(sized, weights, share, cap).coalesce(1), "mix-targets"), cap)
     e = edges.select(F.col("source").alias("mix_source"), F.col("passes").alias("mix_passes"), F.col("threshold").alias("mix_threshold"))
-    extra = (F.shiftright(_hash(seed), 60 - BITS * LEVELS) < F.col("mix_threshold")).cast("long")
-    copies = F.least(F.col("mix_passes") + extra, F.lit(cap).cast("long")).cast("int")
+    copies = F.least(F.col("mix_passes") + _extra(_hash(seed), "mix_threshold", bits), F.lit(cap).cast("long")).cast("int")
     joined = docs.join(e, docs["source"].eqNullSafe(F.col("mix_source"))).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies)))
     return joined.select(*[docs[c] for c in docs.columns])
 
 
-def apply_thresholds(sized: DataFrame, edges: DataFrame) -> DataFrame:
+def apply_thresholds(sized: DataFrame, edges: DataFrame, bits: int) -> DataFrame:
     e = edges.select(F.col("source").alias("s"), "source_size", "target", "passes", "threshold")
-    extra = (F.shiftright(F.col("hash"), 60 - BITS * LEVELS) < F.col("threshold")).cast("long")
     joined = sized.join(e, F.col("source").eqNullSafe(F.col("s")))
-    copies = F.least(F.col("passes") + extra, F.lit(CAP).cast("long"))
+    copies = F.least(F.col("passes") + _extra(F.col("hash"), "threshold", bits), F.lit(CAP).cast("long"))
     return joined.select("doc_id", "source", "hash", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
