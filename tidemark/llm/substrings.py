@@ -4,8 +4,9 @@ A 16-bit gear hash runs over a text's bytes, each step a shift and a table entry
 bytes alone. A cut lies where its top five bits are zero, about every 32 bytes; a chunk runs from a cut to the first
 cut at least MIN_BYTES on. Both depend on nearby bytes only, so an insertion changes the chunks around it and no
 others. Chunks are matched by digest: each digest that occurs in two documents or more has an owner, the smallest
-doc_id with it, and every other document gets seeds (owner, document, distance between the two places). A seed is
-then extended byte by byte in both whole texts and kept if the common passage has at least `min_words` whole words.
+doc_id with it, and every other document gets seeds (owner, document, distance between the two places). A chunk also
+carries the hash values of the 16 bytes ahead of it and behind it: a passage of 50 words has at least 99 bytes, so
+around a chunk of up to LONG_BYTES one of the two agrees, and seeds where neither does are dropped. A seed is then extended byte by byte in both whole texts and kept if the common passage has at least `min_words` whole words.
 
 Repeats within one document do not count. Null, empty and short texts have no passages; rows with a null doc_id take no
 part; equal rows share their id and so do not repeat each other. Letter case and white space must agree.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.words import slices, span_hashes, texts_of
 from tidemark.plans.staging import stage
 
-MIN_BYTES, MIN_WORDS, GROUP = 24, 50, 64
+MIN_BYTES, LONG_BYTES, MIN_WORDS, GROUP = 24, 60, 50, 64
 _GEAR = np.random.default_rng(42).integers(0, 1 << 16, 256, dtype=np.uint16)
 _SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _CUT_SHIFT = np.uint16(11)
@@ -39,9 +40,14 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, end) of the chunks of a slice of documents, as byte positions in the slice."""
-    cuts = np.flatnonzero((gear(data) >> _CUT_SHIFT) == 0) + 1
+def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end, context) of the chunks of a slice of documents, as byte positions in the slice.
+
+    The context holds the hashes of the 16 bytes before the chunk and after it (0 past the text's end), 16 bits each;
+    -1 for a long chunk.
+    """
+    h = gear(data)
+    cuts = np.flatnonzero((h >> _CUT_SHIFT) == 0) + 1
     owner = np.searchsorted(offsets, cuts, side="left") - 1
     # a cut needs 16 bytes of its own document behind it
     own = cuts - offsets[owner] >= 16
@@ -50,11 +56,14 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ok = ends_at < len(cuts)
     starts, ends, doc, last = cuts[ok], cuts[ends_at[ok]], owner[ok], owner[ends_at[ok]]
     same = doc == last
-    return doc[same], starts[same], ends[same]
+    doc, starts, ends = doc[same], starts[same], ends[same]
+    after = np.where(ends + 16 <= offsets[doc + 1], h[np.minimum(ends + 15, len(data) - 1)], 0) if len(doc) else np.zeros(0, np.uint16)
+    context = (h[starts - 1].astype(np.int32) << 16) | after.astype(np.int32)
+    return doc, starts, ends, np.where(ends - starts > LONG_BYTES, np.int32(-1), context)
 
 
 def chunk_rows(docs: DataFrame, first_only: bool) -> DataFrame:
-    """(digest, doc_id, pos) of all chunks, or of the first with its digest in each document."""
+    """(digest, doc_id, pos, context) of all chunks, or of the first with its digest in each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +72,7 @@ def chunk_rows(docs: DataFrame, first_only: bool) -> DataFrame:
             for i, j in slices(data, offsets):
                 local = offsets[i : j + 1] - offsets[i]
                 part = data[offsets[i] : offsets[j]]
-                doc, starts, ends = chunks(part, local)
+                doc, starts, ends, context = chunks(part, local)
                 digest = span_hashes(part, starts, ends)
                 if first_only:
                     order = np.lexsort((starts, digest, doc))
@@ -73,10 +82,10 @@ def chunk_rows(docs: DataFrame, first_only: bool) -> DataFrame:
                 else:
                     keep = np.ones(len(doc), bool)
                     keep[1:] = (digest[1:] != digest[:-1]) | (doc[1:] != doc[:-1])
-                doc, starts, digest = doc[keep], starts[keep], digest[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids[i + doc]), pa.array((starts - local[doc]).astype(np.int64))], ["digest", "doc_id", "pos"])
+                doc, starts, digest, context = doc[keep], starts[keep], digest[keep], context[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids[i + doc]), pa.array((starts - local[doc]).astype(np.int64)), pa.array(context)], ["digest", "doc_id", "pos", "context"])
 
-    return docs.mapInArrow(run, "digest long, doc_id long, pos long")
+    return docs.mapInArrow(run, "digest long, doc_id long, pos long, context int")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -122,9 +131,11 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Positions are code points, end exclusive. `first` rows lie in the owner, which has the smaller id.
     """
     docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    owned = chunk_rows(docs, True).groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"), F.min_by("pos", "doc_id").alias("at"))
-    owned = owned.filter("owner <> other").select("digest", "owner", "at")
-    seeds = chunk_rows(docs, False).join(owned, "digest").filter("doc_id <> owner")
+    owned = chunk_rows(docs, True).groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"), F.min_by("pos", "doc_id").alias("at"), F.min_by("context", "doc_id").alias("near"))
+    owned = owned.filter("owner <> other").select("digest", "owner", "at", "near")
+    differ = F.col("context").bitwiseXOR(F.col("near"))
+    alike = (differ.bitwiseAND(F.lit(0xFFFF)) == 0) | (F.shiftrightunsigned(differ, 16) == 0)
+    seeds = chunk_rows(docs, False).join(owned, "digest").filter((F.col("doc_id") != F.col("owner")) & alike)
     seeds = seeds.groupBy("owner", "doc_id", (F.col("pos") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set("pos")).alias("at"))
     counted = stage(seeds, "seeds")
     many = counted.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
