@@ -49,6 +49,7 @@ def receipt(body: Column, declared: Column, head: Column, seq: Column) -> Column
 def tooltip(redflag, verifying, broken, error, integrity, conflicts, paused, pending, received, sent, idle) -> Column:
     """One line of status: the first of stop flag, check, outage, issues, uploads, rest."""
     text = lambda c: c.cast("string")
+    # fixed values: the wording of each line
     parts = F.concat_ws(
         " / ", F.when(integrity > 0, F.concat(text(integrity), F.lit(" integrity"))), F.when(conflicts > 0, F.concat(text(conflicts), F.lit(" conflicts"))),
         F.when(paused, F.lit("delete-propagation paused (inbound sync OK)")),
