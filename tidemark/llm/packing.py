@@ -12,13 +12,13 @@ Null and empty texts have only the END id. Repeated rows are packed row by row.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,18 +26,17 @@ from tidemark.plans.staging import stage
 
 WINDOW, END = 2048, 1
 SHARD_TOKENS = 4 << 20
-_CACHE_WORDS = 300_000
-_BATCH_BYTES = 1 << 20
-_LETTERS = re.compile("[a-zà-öø-ÿ]+").fullmatch
-_SEPARATORS = re.compile("[\x1c-\x1f]").search
-_BLANKS = re.compile("[ \t\n\x0b\x0c\r]+")
+_CACHE_WORDS = 500_000
+_BATCH_BYTES = 2 << 20
+#: Plain letters, then marks of ASCII that are neither letter, digit nor space: these never join with letters.
+_PARTS = "^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[!-/:-@\\[-`{-~]*)$"
 
 
 class WordTokenizer:
     """Ids of whole texts from a file of the `tokenizers` library, word by word.
 
     Holds for tokenizers that lower-case, drop white space, never join over it and part letters from other marks: then
-    a text's ids are its words' ids on end, and those of "Word," are those of "word" and ",". Words met before come from
+    a text's ids are its words' ids on end, and those of "Word.)" are those of "word" and ".)". Words met before come from
     bounded tables. New words of plain letters are encoded together, parted by spaces, and told apart by their end
     tokens; all others are encoded one by one as they stand.
     """
@@ -52,9 +51,7 @@ class WordTokenizer:
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.marks = {m: self._whole(m) for m in ("", ".", ",")}
+        self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -74,43 +71,50 @@ class WordTokenizer:
                 at = cut
         return out
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        cores, split, out = self.cores, [], {}
-        fresh = set()
-        for w in words:
-            mark = w[-1:] if w[-1:] in (".", ",") else ""
-            core = (w[:-1] if mark else w).lower()
-            if _LETTERS(core):
-                split.append((w, core, mark))
-                if core not in cores:
-                    fresh.add(core)
-            else:
-                out[w] = self._whole(w)
-        new = self._plain(sorted(fresh))
-        if len(cores) < _CACHE_WORDS:
-            cores.update(new)
-        marks = self.marks
-        for w, core, mark in split:
-            out[w] = (cores[core] if core in cores else new[core]) + marks[mark]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        get, found, missing = self.words.get, [], set()
-        for t in texts:
-            # str.split() also cuts at the separators 1C-1F, which are no white space to the tokenizer
-            words = t.split() if not _SEPARATORS(t) else _BLANKS.split(t)
-            ids = list(map(get, words))
-            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
-            missing.update([words[i] for i in gaps])
-            found.append((words, ids, gaps))
-        new = self._learn(missing)
-        for words, ids, gaps in found:
+    def _look_up(self, names: list[str], learn) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all names on end, number of ids of each)."""
+        ids = list(map(self.known.get, names))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        if gaps:
+            new = learn([names[i] for i in gaps])
             for i in gaps:
-                ids[i] = new[words[i]]
-        if len(self.words) < _CACHE_WORDS:
-            self.words.update(new)
-        return [b"".join(ids) for _, ids, _ in found]
+                ids[i] = new[names[i]]
+            if len(self.known) < _CACHE_WORDS:
+                self.known.update(new)
+        return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts on end, the n + 1 places where texts begin).
+
+        Distinct words of a batch are split into letters and marks; the distinct parts are looked up once.
+        """
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        names, each = words.dictionary, words.indices.to_numpy()
+        parts = pc.extract_regex(names, _PARTS)
+        plain = parts.is_valid()
+        core = pc.if_else(plain, pc.utf8_lower(parts.field("core")), names).dictionary_encode()
+        mark = pc.if_else(plain, parts.field("mark"), "").dictionary_encode()
+        letters = np.zeros(len(core.dictionary), bool)
+        letters[core.indices.to_numpy()[plain.to_numpy(zero_copy_only=False)]] = True
+        keys = core.dictionary.to_pylist()
+
+        def learn(fresh: list[str]) -> dict[str, bytes]:
+            is_plain = dict(zip(keys, letters.tolist()))
+            out = self._plain([w for w in fresh if is_plain[w]])
+            out.update((w, self._whole(w)) for w in fresh if not is_plain[w])
+            return out
+
+        a, a_size = self._look_up(keys, learn)
+        b, b_size = self._look_up(mark.dictionary.to_pylist(), lambda fresh: {m: self._whole(m) for m in fresh})
+        pool, size = np.concatenate([a, b]), np.concatenate([a_size, b_size])
+        first = np.cumsum(size) - size
+        # each word is its letters, then its marks
+        piece = np.stack([core.indices.to_numpy()[each], mark.indices.to_numpy()[each].astype(np.int64) + len(a_size)], 1).ravel()
+        n = size[piece]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = pool[np.arange(ends[-1]) + np.repeat(first[piece] - ends[:-1], n)]
+        return out, ends[2 * (np.asarray(split.offsets) - split.offsets[0].as_py())]
 
 
 @lru_cache(maxsize=1)
@@ -126,23 +130,25 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(path)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            texts = batch.column("text").cast(pa.large_string())
+            size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
             i = 0
-            while i < len(ids):
-                part, size = [], 0
-                while i + len(part) < len(ids) and (not part or size < _BATCH_BYTES):
-                    part.append(texts[i + len(part)].as_py() or "")
-                    size += len(part[-1])
-                out: list[list] = [[], [], [], [], []]
-                for doc_id, raw in zip(ids[i : i + len(part)], tokenizer.encode(part), strict=True):
-                    raw += end
+            while i < len(texts):
+                done = int(size[i - 1]) if i else 0
+                j = min(max(int(np.searchsorted(size, done + _BATCH_BYTES, side="right")), i + 1), len(texts))
+                ids, at = tokenizer.encode(texts.slice(i, j - i))
+                out: list[list] = [[], [], [], []]
+                for k in range(j - i):
+                    raw = ids[at[k] : at[k + 1]].tobytes() + end
                     n = len(raw) // 4
                     for start in range(0, n, window):
                         piece = raw[4 * start : 4 * (start + window)]
-                        for column, x in zip(out, (doc_id, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
+                        for column, x in zip(out, (k, start, zlib.crc32(piece), n), strict=True):
                             column.append(x)
-                i += len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                k, start, crc, n = (np.array(x, np.int64) for x in out)
+                doc_id = batch.column("doc_id").take(pa.array(k + i))
+                yield pa.RecordBatch.from_arrays([doc_id, *map(pa.array, (start, np.minimum(n - start, window), crc, n))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                i = j
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
