@@ -233,7 +233,7 @@ def near_pairs(keys: DataFrame, labels: DataFrame | None, reps: DataFrame, most:
             if labels is not None:
                 pairs |= {(x, None) for x in met.tolist()}
             pairs -= seen  # one task meets the same rows under many keys
-            seen = (seen if len(seen) < 500_000 else set()) | pairs
+            seen = (seen if len(seen) < 100_000 else set()) | pairs
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
 
     return _blocked(rows, "key", BLOCK).mapInArrow(run, "a long, b long").distinct()
