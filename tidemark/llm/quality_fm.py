@@ -107,27 +107,33 @@ def _forward(row, feature, value, n, bias, w, v):
     return z, sums
 
 
-def train(stats: np.ndarray, owner: np.ndarray, bucket: np.ndarray, y: np.ndarray, steps: int = 60, rate: float = 0.15, decay: float = 2e-4) -> Model:
-    """Full-batch Adam on the log loss of a bounded sample."""
+def train(stats: np.ndarray, owner: np.ndarray, bucket: np.ndarray, y: np.ndarray, epochs: int = 10, least_steps: int = 150, batch: int = 400, rate: float = 0.05, decay: float = 2e-4) -> Model:
+    """Adam on the log loss of a bounded sample, in batches of rows dealt by a fixed seed; a small sample is gone over more often."""
     edges = np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(y) else np.zeros((len(STATS), BINS - 1))
     if len(y) == 0 or y.min() == y.max():
         return Model(edges, float(y.mean()) if len(y) else 0.5, np.zeros(0), None)
-    size, n = (1 << WORD_BITS) + len(STATS) * BINS, len(y)
-    model = Model(edges, 0.0, np.zeros(size), np.random.default_rng(7).normal(0, 0.05, (size, RANK)))
-    row, feature, value = _design(model.bins(stats), owner, bucket, n)
+    size, rng = (1 << WORD_BITS) + len(STATS) * BINS, np.random.default_rng(7)
+    model = Model(edges, 0.0, np.zeros(size), rng.normal(0, 0.05, (size, RANK)))
+    bins, buckets = model.bins(stats), np.split(bucket, np.searchsorted(owner, np.arange(1, len(y))))
     theta = [np.array([np.log(y.mean() / (1 - y.mean()))]), model.w, model.v]
-    first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-    for step in range(1, steps + 1):
-        z, sums = _forward(row, feature, value, n, theta[0][0], theta[1], theta[2])
-        err = ((1 / (1 + np.exp(-np.clip(z, -35, 35)))) - y) / n
-        gw = np.bincount(feature, err[row] * value, size) + decay * theta[1]
-        gv = np.empty_like(theta[2])
-        for f in range(RANK):
-            gv[:, f] = np.bincount(feature, err[row] * value * (sums[row, f] - theta[2][feature, f] * value), size) + decay * theta[2][:, f]
-        for k, g in enumerate((np.array([err.sum()]), gw, gv)):
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
-            theta[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+    first, second, step = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta], 0
+    for _ in range(max(epochs, -(-least_steps * batch // len(y)))):
+        order = rng.permutation(len(y))
+        for at in range(0, len(y), batch):
+            docs, step = order[at : at + batch], step + 1
+            n, held = len(docs), [buckets[d] for d in docs]
+            row, feature, value = _design(bins[docs], np.repeat(np.arange(n), [len(h) for h in held]), np.concatenate(held), n)
+            z, sums = _forward(row, feature, value, n, theta[0][0], theta[1], theta[2])
+            err = ((1 / (1 + np.exp(-np.clip(z, -35, 35)))) - y[docs]) / n
+            pull = err[row] * value
+            gw = np.bincount(feature, pull, size) + decay * theta[1]
+            gv = np.empty_like(theta[2])
+            for f in range(RANK):
+                gv[:, f] = np.bincount(feature, pull * (sums[row, f] - theta[2][feature, f] * value), size) + decay * theta[2][:, f]
+            for k, g in enumerate((np.array([err.sum()]), gw, gv)):
+                first[k] = 0.9 * first[k] + 0.1 * g
+                second[k] = 0.99 * second[k] + 0.01 * g * g
+                theta[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
     return Model(edges, float(theta[0][0]), theta[1], theta[2])
 
 
