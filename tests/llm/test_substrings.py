@@ -58,3 +58,51 @@ def test_odd_rows(spark):
     got = {r["doc_id"] for r in repeated_passages(df).collect()}
     assert got <= {5, 6}
     assert repeated_passages(df.limit(0)).count() == 0
+
+
+def held(rows, n=50):
+    """{(doc_id, first): code points} that lie in windows of n words which two documents have."""
+    import re
+
+    seen, spans = defaultdict(lambda: defaultdict(list)), {}
+    for i, t in rows:
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        for k in range(len(spans) - n + 1):
+            s, e = spans[k][0], spans[k + n - 1][1]
+            seen[t[s:e]][i].append((s, e))
+    out = defaultdict(set)
+    for ids in seen.values():
+        for i in ids if len(ids) > 1 else ():
+            for s, e in ids[i]:
+                out[i, i == min(ids)].update(range(s, e))
+    return dict(out)
+
+
+def covered(got):
+    out = defaultdict(set)
+    for r in got:
+        out[r["doc_id"], r["first"]].update(range(r["start"], r["end"]))
+    return dict(out)
+
+
+def test_edited_smallest_copy(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    prose = lambda n: [word() for _ in range(n)]
+    rows = []
+    for g in range(40):
+        passage = prose(55)
+        edited = passage[:6] + [word()] + passage[7:]
+        other = passage[:50] + [word()] + passage[51:]
+        for m, body in enumerate((edited, passage, passage, other)):
+            rows.append((10 * g + m, " ".join(prose(20) + body + prose(20))))
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert covered(got) == held(rows)
+    assert {r["doc_id"] % 10 for r in got} == {1, 2, 3} and len({r["doc_id"] for r in got}) == 120
+    assert {(r["doc_id"] % 10, r["partner_id"] % 10, r["n_words"]) for r in got} == {(1, 2, 55), (2, 1, 55), (3, 1, 50)}
+
+
+def test_table_passage_by_passage(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    assert covered(repeated_passages(df).collect()) == held(rows)

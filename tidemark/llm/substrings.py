@@ -1,15 +1,15 @@
-"""Passages that repeat across documents, by content-defined chunks.
-
-A 16-bit gear hash runs over a text's bytes, each step a shift and a table entry, so a value depends on the last 16
-bytes alone. A cut lies where its top five bits are zero, about every 32 bytes; a chunk runs from a cut to the first
-cut at least MIN_BYTES on. Both depend on nearby bytes only, so an insertion changes the chunks around it and no
-others. Chunks are matched by digest: each digest that occurs in two documents or more has an owner, the smallest
-doc_id with it, and every other document gets seeds (owner, document, distance between the two places). A chunk also
-carries the hash values of the 16 bytes ahead of it and behind it: a passage of 50 words has at least 99 bytes, so
-around a chunk of up to LONG_BYTES one of the two agrees, and seeds where neither does are dropped. A seed is then extended byte by byte in both whole texts and kept if the common passage has at least `min_words` whole words.
-
-Repeats within one document do not count. Null, empty and short texts have no passages; rows with a null doc_id take no
-part; equal rows share their id and so do not repeat each other. Letter case and white space must agree.
+"""Passages that repeat across documents, by winnowed anchors and exact windows of words.
+
+A window is a run of `min_words` whole words with the white space between them. Its anchor is the smallest hash among the
+runs of two fifths as many words in it, so equal windows have equal anchors wherever they stand. Neighbouring windows with
+one anchor form a unit, about one in 16 words. Units whose anchor lies in two documents or more are grouped by the hash
+of their whole bytes: documents of one group share every window of it. Where an anchor has several groups (copies that
+were edited nearby), the smallest document of each group writes out its windows one by one, and these are grouped by
+their own hashes, so every holder of a window is held against all others. No pair of documents is formed.
+
+Every window that two documents share is found, whatever its words, and no other, but for equal 64-bit hashes of unequal
+bytes. Repeats within one document do not count. Null, empty and short texts have no passages; rows with a null doc_id
+take no part; equal rows share their id and so do not repeat each other. Letter case and white space must agree.
 """
 
 from __future__ import annotations
@@ -21,179 +21,140 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import slices, span_hashes, texts_of
+from tidemark.llm.words import _bounds, slices, span_hashes, texts_of
 from tidemark.plans.staging import stage
 
-MIN_BYTES, LONG_BYTES, MIN_WORDS, GROUP = 24, 60, 50, 64
-_GEAR = np.random.default_rng(42).integers(0, 1 << 16, 256, dtype=np.uint16)
-_SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
-_CUT_SHIFT = np.uint16(11)
+MIN_WORDS = 50
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte: sum of table[byte i steps ago] << i over 16 bytes, by doubling."""
-    h = _GEAR[data]
-    for width in (1, 2, 4, 8):
-        nxt = h.copy()
-        nxt[width:] += h[:-width] << np.uint16(width)
-        h = nxt
-    return h
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of each run of `width` values, by doubling."""
+    m, have = h, 1
+    while have < width:
+        step = min(have, width - have)
+        m, have = np.minimum(m[:-step], m[step:]), have + step
+    return m
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, end, context) of the chunks of a slice of documents, as byte positions in the slice.
+def units(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """(document, anchor, hash, first window, last window) of the units of a slice of documents, and the starts and ends of
+    its words; a window has the number of its first word."""
+    starts, ends = _bounds(data, offsets)
+    firsts = np.searchsorted(starts, offsets)
+    n, run = len(starts), max(min_words * 2 // 5, 1)
+    if n < min_words:
+        none = np.zeros(0, np.int64)
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, starts, ends
+    least = _least(span_hashes(data, starts[: n - run + 1], ends[run - 1 :]), min_words - run + 1)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))[: len(least)]
+    at = np.flatnonzero(np.arange(len(least)) + min_words <= firsts[doc + 1])
+    new = np.ones(len(at) + 1, bool)
+    new[1:-1] = (doc[at][1:] != doc[at][:-1]) | (least[at][1:] != least[at][:-1])
+    edge = np.flatnonzero(new)
+    lo, hi = at[edge[:-1]], at[edge[1:] - 1]
+    return doc[lo], least[lo], span_hashes(data, starts[lo], ends[hi + min_words - 1]), lo, hi, starts, ends
 
-    The context holds the hashes of the 16 bytes before the chunk and after it (0 past the text's end), 16 bits each;
-    -1 for a long chunk.
-    """
-    h = gear(data)
-    cuts = np.flatnonzero((h >> _CUT_SHIFT) == 0) + 1
-    owner = np.searchsorted(offsets, cuts, side="left") - 1
-    # a cut needs 16 bytes of its own document behind it
-    own = cuts - offsets[owner] >= 16
-    cuts, owner = cuts[own], owner[own]
-    ends_at = np.searchsorted(cuts, cuts + MIN_BYTES, side="left")
-    ok = ends_at < len(cuts)
-    starts, ends, doc, last = cuts[ok], cuts[ends_at[ok]], owner[ok], owner[ends_at[ok]]
-    same = doc == last
-    doc, starts, ends = doc[same], starts[same], ends[same]
-    after = np.where(ends + 16 <= offsets[doc + 1], h[np.minimum(ends + 15, len(data) - 1)], 0) if len(doc) else np.zeros(0, np.uint16)
-    context = (h[starts - 1].astype(np.int32) << 16) | after.astype(np.int32)
-    return doc, starts, ends, np.where(ends - starts > LONG_BYTES, np.int32(-1), context)
-
-
-def chunk_rows(docs: DataFrame, first_only: bool) -> DataFrame:
-    """(digest, doc_id, pos, context) of all chunks, or of the first with its digest in each document."""
+
+def _points(data: np.ndarray) -> np.ndarray:
+    """Code points before each byte."""
+    out = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=out[1:])
+    return out
+
+
+def unit_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """(anchor, unit, doc_id, word, start, end, n) of all units: first word, code points, number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             data, offsets = texts_of(batch.column("text"))
             for i, j in slices(data, offsets):
-                local = offsets[i : j + 1] - offsets[i]
-                part = data[offsets[i] : offsets[j]]
-                doc, starts, ends, context = chunks(part, local)
-                digest = span_hashes(part, starts, ends)
-                if first_only:
-                    order = np.lexsort((starts, digest, doc))
-                    new = np.ones(len(order), bool)
-                    new[1:] = (digest[order][1:] != digest[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-                    keep = np.sort(order[new])
-                else:
-                    keep = np.ones(len(doc), bool)
-                    keep[1:] = (digest[1:] != digest[:-1]) | (doc[1:] != doc[:-1])
-                doc, starts, digest, context = doc[keep], starts[keep], digest[keep], context[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(ids[i + doc]), pa.array((starts - local[doc]).astype(np.int64)), pa.array(context)], ["digest", "doc_id", "pos", "context"])
-
-    return docs.mapInArrow(run, "digest long, doc_id long, pos long, context int")
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the common head of two arrays."""
-    n, at, step = min(len(a), len(b)), 0, 256
-    while at < n:
-        differ = a[at : min(at + step, n)] != b[at : min(at + step, n)]
-        if differ.any():
-            return at + int(differ.argmax())
-        at, step = at + step, step * 4
-    return n
-
-
-def common_passage(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int, int, int]:
-    """(start in a, start in b, length, raw end in b) of the whole words that a and b share around a[i] = b[j]."""
-    right = _common(a[i:], b[j:])
-    left = _common(a[:i][::-1], b[:j][::-1])
-    s, t, n = i - left, j - left, left + right
-    raw = t + n
-    space = _SPACE[b[t : t + n]]
-    whole = (s == 0 or _SPACE[a[s - 1]]) and (t == 0 or _SPACE[b[t - 1]])
-    head = 0 if whole else (int(space.argmax()) if space.any() else n)
-    whole = (s + n == len(a) or _SPACE[a[s + n]]) and (t + n == len(b) or _SPACE[b[t + n]])
-    tail = n if whole else (n - int(space[::-1].argmax()) if space.any() else 0)
-    solid = np.flatnonzero(~space[head:tail])
-    if not len(solid):
-        return s, t, 0, raw
-    return s + head + int(solid[0]), t + head + int(solid[0]), int(solid[-1] - solid[0]) + 1, raw
-
-
-def _words_in(x: np.ndarray) -> int:
-    solid = ~_SPACE[x]
-    return int(solid[0]) + int((solid[1:] & ~solid[:-1]).sum()) if len(x) else 0
-
-
-def _points(x: np.ndarray) -> int:
-    return int(((x & 0xC0) != 0x80).sum())
+                local, part = offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]
+                doc, anchor, unit, lo, hi, starts, ends = units(part, local, min_words)
+                points, first = _points(part), np.searchsorted(starts, local)
+                base = points[local[doc]]
+                columns = [anchor.view(np.int64), unit.view(np.int64), ids[i + doc], lo - first[doc], points[starts[lo]] - base, points[ends[hi + min_words - 1]] - base, hi - lo + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.int32()] * 4)], ["anchor", "unit", "doc_id", "word", "start", "end", "n"])
 
+    return docs.mapInArrow(run, "anchor long, unit long, doc_id long, word int, start int, end int, n int")
 
-def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, end, n_words, partner_id, first of the passages of each pair of a document and an owner.
 
-    Positions are code points, end exclusive. `first` rows lie in the owner, which has the smaller id.
-    """
-    docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    owned = chunk_rows(docs, True).groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"), F.min_by("pos", "doc_id").alias("at"), F.min_by("context", "doc_id").alias("near"))
-    owned = owned.filter("owner <> other").select("digest", "owner", "at", "near")
-    differ = F.col("context").bitwiseXOR(F.col("near"))
-    alike = (differ.bitwiseAND(F.lit(0xFFFF)) == 0) | (F.shiftrightunsigned(differ, 16) == 0)
-    seeds = chunk_rows(docs, False).join(owned, "digest").filter((F.col("doc_id") != F.col("owner")) & alike)
-    seeds = seeds.groupBy("owner", "doc_id", (F.col("pos") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    counted = stage(seeds, "seeds")
-    many = counted.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
-    dealt = counted.join(many, "owner").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / GROUP)).cast("int")).drop("n")
-    dealt = stage(dealt.groupBy("owner", "salt", "doc_id").agg(F.collect_list(F.struct("shift", "at")).alias("seeds")), "seeds-dealt")
-
-    # both joins read one shuffle of the texts by id
-    texts = docs.withColumnRenamed("doc_id", "id")
-    empty = F.array().cast(dealt.schema["seeds"].dataType)
-    heads = texts.join(dealt.select("owner", "salt").distinct(), F.col("owner") == F.col("id")).select("owner", "salt", F.lit(None).cast("long").alias("doc_id"), empty.alias("seeds"), "text")
-    tails = texts.join(dealt, F.col("doc_id") == F.col("id")).select("owner", "salt", "doc_id", "seeds", "text")
-    rows = heads.union(tails).repartition("owner", "salt").sortWithinPartitions("owner", "salt", F.col("doc_id").asc_nulls_first())
+def window_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """(anchor, unit, k, digest, start, end, lo, next) of the windows of the units named in `wanted`, counted from the unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = np.zeros(0, np.uint8)
         for batch in batches:
+            wanted = batch.column("wanted")
             data, offsets = texts_of(batch.column("text"))
-            owners, ids, seeds = (batch.column(c).to_pylist() for c in ("owner", "doc_id", "seeds"))
-            out: list[tuple] = []
             for r in range(batch.num_rows):
-                b = data[offsets[r] : offsets[r + 1]]
-                if ids[r] is None:
-                    a = b
+                names = {w["unit"]: w for w in wanted[r].as_py()}
+                part = data[offsets[r] : offsets[r + 1]]
+                _, anchor, unit, lo, hi, starts, ends = units(part, np.array([0, len(part)]), min_words)
+                unit, picked = unit.view(np.int64), {}
+                for x in np.flatnonzero(np.isin(unit, np.fromiter(names, np.int64, len(names)))):
+                    picked.setdefault(int(unit[x]), x)
+                if not picked:
                     continue
-                found = set()
-                for seed in seeds[r]:
-                    done = -1
-                    for j in seed["at"]:
-                        if j < done:
-                            continue
-                        i = j - seed["shift"]
-                        if not np.array_equal(a[i : i + MIN_BYTES], b[j : j + MIN_BYTES]):
-                            continue
-                        s, t, n, done = common_passage(a, b, i, j)
-                        if n:
-                            found.add((s, t, n))
-                for s, t, n in sorted(found):
-                    words = _words_in(b[t : t + n])
-                    if words >= min_words:
-                        long = _points(b[t : t + n])
-                        x, y = _points(a[:s]), _points(b[:t])
-                        out += [(owners[r], x, x + long, words, ids[r], True), (ids[r], y, y + long, words, owners[r], False)]
-            columns = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.bool_())], ["doc_id", "start", "end", "n_words", "partner_id", "first"])
-
-    return rows.mapInArrow(run, "doc_id long, start long, end long, n_words long, partner_id long, first boolean")
+                at = np.array(sorted(picked.values()))
+                count = hi[at] - lo[at] + 1
+                k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                w, points = np.repeat(lo[at], count) + k, _points(part)
+                base = np.repeat(points[starts[lo[at]]], count)
+                digest = span_hashes(part, starts[w], ends[w + min_words - 1]).view(np.int64)
+                docs_of = [pa.array([names[int(unit[x])][c] for x in at], pa.int64()).take(pa.array(np.repeat(np.arange(len(at)), count))) for c in ("lo", "next")]
+                columns = [np.repeat(anchor[at].view(np.int64), count), np.repeat(unit[at], count), k.astype(np.int32), digest, (points[starts[w]] - base).astype(np.int32), (points[ends[w + min_words - 1]] - base).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *docs_of], ["anchor", "unit", "k", "digest", "start", "end", "lo", "next"])
+
+    return docs.mapInArrow(run, "anchor long, unit long, k int, digest long, start int, end int, lo long, next long")
+
+
+def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, first, start, end, word, n, partner_id: runs of n neighbouring windows that another document has.
+
+    Positions are code points, end exclusive; `word` is the number of the first word. The smallest document with a window has
+    it `first`, with the next smallest as its partner; it is itself the partner of all others.
+    """
+    docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared = unit_rows(docs, min_words).groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("unit").alias("c"), F.max("unit").alias("d"))
+    shared = shared.filter("a <> b").select("anchor", (F.col("c") != F.col("d")).alias("mixed"))
+    held = stage(unit_rows(docs, min_words).join(shared, "anchor"), "units")
+
+    key = ["anchor", "unit"]
+    least = held.groupBy(*key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("mixed").alias("mixed"), F.first("n").alias("n"), F.first(F.col("end") - F.col("start")).alias("long"))
+    several = least.filter("lo <> hi").select(*key, "lo")
+    after = held.join(several, key).filter("doc_id <> lo").groupBy(*key).agg(F.min("doc_id").alias("next"))
+    groups = stage(least.drop("hi").join(after, key, "left"), "groups")
+
+    wanted = groups.filter("mixed").groupBy(F.col("lo").alias("id")).agg(F.collect_list(F.struct("unit", "lo", "next")).alias("wanted"))
+    windows = stage(window_rows(docs.join(wanted, F.col("doc_id") == F.col("id")).select("text", "wanted"), min_words).dropDuplicates([*key, "k"]), "windows")
+    owned = windows.groupBy("digest").agg(F.min("lo").alias("owner"), F.max(F.coalesce("next", "lo")).alias("top")).filter("owner <> top").select("digest", "owner")
+    found = windows.join(owned, "digest")
+    second = found.groupBy("digest").agg(F.min(F.when(F.col("lo") != F.col("owner"), F.col("lo")).otherwise(F.col("next"))).alias("second"))
+    found = found.drop("lo", "next").join(second, "digest")
+    run = F.col("k") - F.row_number().over(Window.partitionBy(*key, "owner", "second").orderBy("k"))
+    parts = found.withColumn("run", run).groupBy(*key, "owner", "second", "run").agg(F.min("k").alias("k"), F.min("start").alias("from"), F.max("end").alias("to"), F.count(F.lit(1)).cast("int").alias("windows"))
+    whole = groups.filter("NOT mixed AND next IS NOT NULL").select(*key, F.col("lo").alias("owner"), F.col("next").alias("second"), F.lit(0).alias("k"), F.lit(0).alias("from"), F.col("long").alias("to"), F.col("n").alias("windows"))
+    runs = whole.unionByName(parts.drop("run"))
+
+    first = F.col("doc_id") == F.col("owner")
+    place = [(F.col("start") + F.col(c)).cast("long").alias(name) for c, name in (("from", "start"), ("to", "end"))]
+    return held.select(*key, "doc_id", "word", "start").join(runs, key).select("doc_id", first.alias("first"), *place, (F.col("word") + F.col("k")).alias("word"), F.col("windows").alias("n"), F.when(first, F.col("second")).otherwise(F.col("owner")).alias("partner_id"))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start, end, n_words, partner_id, first: the passages of each document, those that overlap as one.
 
-    n_words is that of the longest passage merged, partner_id the smallest document that shares one of them.
+    n_words is that of the longest run of words merged whose windows all have one partner, partner_id the smallest partner.
     """
-    found = passages(docs, min_words).groupBy("doc_id", "first", "start", "end").agg(F.max("n_words").alias("n_words"), F.min("partner_id").alias("partner_id"))
-    order = Window.partitionBy("doc_id", "first").orderBy("start", "end")
+    found = passages(docs, min_words).distinct()
+    order = Window.partitionBy("doc_id", "first").orderBy("start", "end", "partner_id")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(reach.isNull() | (F.col("start") > reach), F.lit(1)).otherwise(F.lit(0))
-    grouped = stage(found, "passages").withColumn("new", new).withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    goes_on = (F.lag("partner_id").over(order) == F.col("partner_id")) & (F.lag("word").over(order) + F.lag("n").over(order) == F.col("word"))
+    grouped = found.withColumn("new", new).withColumn("turn", F.when(goes_on, F.lit(0)).otherwise(F.lit(1))).withColumn("group", F.sum("new").over(so_far)).withColumn("turn", F.sum("turn").over(so_far))
+    grouped = grouped.groupBy("doc_id", "first", "group", "turn").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.sum("n") + min_words - 1).alias("n_words"), F.min("partner_id").alias("partner_id"))
     merged = grouped.groupBy("doc_id", "first", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("n_words").alias("n_words"), F.min("partner_id").alias("partner_id"))
     return merged.select("doc_id", "start", "end", "n_words", "partner_id", "first")
 
