@@ -106,3 +106,14 @@ def test_table_passage_by_passage(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
     assert covered(repeated_passages(df).collect()) == held(rows)
+
+
+def test_short_words(spark):
+    rng = random.Random(7)
+    prose = lambda n, top: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, top))) for _ in range(n))
+    rows = []
+    for g in range(60):
+        shared = prose(51, 1 + g % 3)
+        rows += [(2 * g + m, f"{prose(30, 8)} {shared} {prose(30, 8)}") for m in (0, 1)]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert covered(got) == held(rows) and {r["doc_id"] for r in got} == set(range(120))
