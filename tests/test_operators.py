@@ -1,6 +1,7 @@
 """Operators that SQL does not say, and corner cases of those that it does, against plain loops."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -172,3 +173,31 @@ def test_files(spark, tmp_path):
     assert got == {"a/x.md": "allow", "a/x.tmp": "drop_exclude", "y.txt": "drop_extension"}
     assert [(r["path"], r["size_bytes"]) for r in file_manifest(candidate_files(spark, str(tmp_path))).collect()] == [("a/x.md", 5)]
     assert candidate_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_content_queries_take_whole_texts(spark, sf):
+    from tidemark.plans import registry
+    from tidemark.sources import fixtures as X
+    from tidemark.sources.tables import table
+
+    queries, end = registry.queries(), {"{R}": "\r", "{N}": "\n", "{B}": "\ufeff", "{Z}": "\0"}
+    want = {}
+    for r in table(spark, sf, "documents").select("doc_id", "text").collect():
+        note = X.NOTES[r["doc_id"] % len(X.NOTES)]
+        for mark, value in end.items():
+            note = note.replace(mark, value)
+        want[r["doc_id"]] = note.replace("{T}", r["text"])
+    fold = lambda s: s.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+    got = {r["doc_id"]: r["text"] for r in queries["scl3_canonical_form_whole"](spark, sf).collect()}
+    assert got == {i: None if "\0" in n else fold(n) for i, n in want.items()}
+    assert max(len(x or "") for x in got.values()) > 1000 and any((x or "").count("\n") > 20 for x in got.values())
+
+    def contained(server, local):
+        rest = iter(local)
+        return all(x in rest for x in server)
+
+    split = lambda s: re.sub("\r\n?", "\n", s).split("\n")
+    got = {r["doc_id"]: r["contained"] for r in queries["scl12_contained_whole"](spark, sf).collect()}
+    assert set(got) == {i for i in want if i + 15 in want}
+    same = [i for i in got if got[i] != contained(split(want[i]), split(want[i + 15]))]
+    assert same == []

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import content as C
 from tidemark.functions import paths as P
 from tidemark.functions import scalars as S
+from tidemark.plans import registry
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as X
 from tidemark.sources.fixtures import with_sql
@@ -31,49 +34,49 @@ def _fm_sql(source: str) -> str:
 
 
 @query("scl3_canonical_form", with_sql(f"SELECT doc_id, CASE WHEN contains(note, chr(0)) THEN NULL ELSE {_FOLD.format('ltrim(note, chr(65279))')} END AS text, CASE WHEN contains(note, chr(0)) THEN 'nul' END AS error FROM notes", "notes"))
-def scl3(spark, sf):
-    return X.notes(spark, sf).select("doc_id", C.canonical_form(F.col("note").cast("binary")).alias("c")).select("doc_id", "c.text", "c.error")
+def scl3(spark, sf, notes=X.notes):
+    return notes(spark, sf).select("doc_id", C.canonical_form(F.col("note").cast("binary")).alias("c")).select("doc_id", "c.text", "c.error")
 
 
 @query("scl6_pull_form", with_sql("WITH " + _fm_sql(_PULL) + " SELECT doc_id, form, sha256(form) AS sha FROM frm", "notes"))
-def scl6_scl9(spark, sf):
-    return X.notes(spark, sf).select("doc_id", C.pull_form(F.col("note"), X.STRIP).alias("form")).withColumn("sha", C.sha(F.col("form")))
+def scl6_scl9(spark, sf, notes=X.notes):
+    return notes(spark, sf).select("doc_id", C.pull_form(F.col("note"), X.STRIP).alias("form")).withColumn("sha", C.sha(F.col("form")))
 
 
 @query("scl7_push_form", with_sql("WITH " + _fm_sql("note") + " SELECT doc_id, form FROM frm", "notes"))
-def scl7(spark, sf):
-    return X.notes(spark, sf).select("doc_id", C.push_form(F.col("note"), X.STRIP).alias("form"))
+def scl7(spark, sf, notes=X.notes):
+    return notes(spark, sf).select("doc_id", C.push_form(F.col("note"), X.STRIP).alias("form"))
 
 
 @query("scl4_scl8_scl10_scl11_parts", with_sql(f"""WITH p AS (SELECT doc_id, note, {_BOM1} AS n, {_PULL} AS f FROM notes)
  SELECT doc_id, sha256(note) AS sha, starts_with(n, '---' || chr(10)) OR starts_with(n, '---' || chr(13) || chr(10)) OR n = '---' AS has_block,
  length({_BLOCK.format('f')})::INT AS body_at, substr(f, length({_BLOCK.format('f')}) + 1) AS body FROM p""", "notes"))
-def scl4_scl8_scl10_scl11(spark, sf):
+def scl4_scl8_scl10_scl11(spark, sf, notes=X.notes):
     f = C.fold_eol(C.strip_one_bom(F.col("note")))
-    n = X.notes(spark, sf).withColumn("body", C.body_only(F.col("note")))
+    n = notes(spark, sf).withColumn("body", C.body_only(F.col("note")))
     return n.select("doc_id", C.sha(F.col("note")).alias("sha"), C.has_frontmatter(F.col("note")).alias("has_block"), (F.length(f) - F.length("body")).alias("body_at"), "body")
 
 
 @query("scl12_contained", None)
-def scl12(spark, sf):
+def scl12(spark, sf, notes=X.notes):
     """Each note against the next one; tests hold it against the plain loop."""
-    a = X.notes(spark, sf)
+    a = notes(spark, sf)
     b = a.select((F.col("doc_id") - 15).alias("doc_id"), F.col("note").alias("local"))
     return a.join(b, "doc_id").select("doc_id", C.contained_in_order(F.col("note"), F.col("local")).alias("contained"))
 
 
 @query("fn2_same_after_folding", with_sql("WITH " + _fm_sql(_PULL) + " SELECT a.doc_id, a.form = b.form AS same FROM frm a JOIN frm b ON b.doc_id = a.doc_id + 15", "notes"))
-def fn2(spark, sf):
-    a = X.notes(spark, sf).select("doc_id", C.pull_form(F.col("note"), X.STRIP).alias("form"))
+def fn2(spark, sf, notes=X.notes):
+    a = notes(spark, sf).select("doc_id", C.pull_form(F.col("note"), X.STRIP).alias("form"))
     b = a.select((F.col("doc_id") - 15).alias("doc_id"), F.col("form").alias("other"))
     return a.join(b, "doc_id").select("doc_id", (F.col("form") == F.col("other")).alias("same"))
 
 
 @query("scl5_base64", with_sql("SELECT doc_id, to_base64(encode(note)) AS b64, strlen(note)::BIGINT AS bytes FROM notes", "notes"))
-def scl5(spark, sf):
+def scl5(spark, sf, notes=X.notes):
     """Base64 out and in again; an array of numbers is read too (tests)."""
     b = F.base64(F.col("note").cast("binary"))
-    return X.notes(spark, sf).select("doc_id", F.replace(b, F.lit("\r\n"), F.lit("")).alias("b64")).withColumn("bytes", F.octet_length(F.unbase64("b64")).cast("long"))
+    return notes(spark, sf).select("doc_id", F.replace(b, F.lit("\r\n"), F.lit("")).alias("b64")).withColumn("bytes", F.octet_length(F.unbase64("b64")).cast("long"))
 
 
 @query("scl13_serialize", None)
@@ -104,7 +107,7 @@ def scl27_fn1(spark, sf):
 
 @query("pred14_pre_journal", with_sql("WITH " + _fm_sql("note") + """ SELECT n.doc_id, CASE WHEN n.doc_id % 10 = 9 THEN 'managed' WHEN n.doc_id % 10 = 8 THEN 'extension' WHEN n.note = '' THEN 'empty'
  WHEN n.doc_id % 2 = 0 AND sha256(f.form) = sha256(n.note) THEN 'identical' END AS skip FROM notes n JOIN frm f ON n.doc_id = f.doc_id""", "notes"))
-def pred14(spark, sf):
+def pred14(spark, sf, notes=X.notes):
     d = F.col("doc_id")
     path = F.when(d % 10 == 9, "a.conflict-from-x-1.md").when(d % 10 == 8, "a.txt").otherwise("a.md")
     server = F.when(d % 2 == 0, F.sha2("note", 256))
@@ -112,15 +115,15 @@ def pred14(spark, sf):
         F.when(P.substrate_rule(F.col("path")).isNotNull(), "substrate").when(P.is_managed_artifact(F.col("path")), "managed").when(~P.allowed_suffix(F.col("path"), [".md"]), "extension")
         .when(F.col("note") == "", "empty").when(F.sha2(C.push_form(F.col("note"), X.STRIP), 256) == F.col("server"), "identical")
     )
-    return X.notes(spark, sf).withColumn("path", path).withColumn("server", server).select("doc_id", skip.alias("skip"))
+    return notes(spark, sf).withColumn("path", path).withColumn("server", server).select("doc_id", skip.alias("skip"))
 
 
 @query("dec12_materialize_back", with_sql(f"""WITH c AS (SELECT doc_id, note, {_FOLD.format('ltrim(note, chr(65279))')} AS f FROM notes WHERE NOT contains(note, chr(0)))
  SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'none' WHEN sha256(note) = h THEN 'none' WHEN sha256(f) = h THEN 'align_form_c' ELSE 'fetch' END AS action
  FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN sha256('other') ELSE sha256(f) END AS h FROM c)""", "notes"))
-def dec12(spark, sf):
+def dec12(spark, sf, notes=X.notes):
     """After an accepted push whose server hash differs: the canonical form if it has that hash, else a fetch. Deletes: none."""
-    n = X.notes(spark, sf).withColumn("c", C.canonical_form(F.col("note").cast("binary"))).filter("c.error IS NULL")
+    n = notes(spark, sf).withColumn("c", C.canonical_form(F.col("note").cast("binary"))).filter("c.error IS NULL")
     h = F.when(F.col("doc_id") % 3 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("c.text", 256))
     action = F.when(F.col("doc_id") % 4 == 0, "none").when(F.sha2("note", 256) == h, "none").when(F.sha2("c.text", 256) == h, "align_form_c").otherwise("fetch")
     return n.select("doc_id", action.alias("action"))
@@ -197,3 +200,18 @@ def dec17(spark, sf):
         paused=d % 11 == 0, pending=F.when(d % 3 == 0, d).otherwise(zero), received=d, sent=d, idle=F.when(d % 2 != 0, d % 60),
     )
     return table(spark, sf, "documents").select("doc_id", S.tooltip(**state).alias("line"))
+
+
+def _over_whole_texts(name: str) -> None:
+    """Register `name`_whole: the same function and twin over notes of whole texts."""
+    f, sql = registry.registered(name)
+    head = f"notes AS ({X.SQL['notes']})"
+    assert sql is None or head in sql, name
+    query(f"{name}_whole", sql and sql.replace(head, f"notes AS ({X.WHOLE_NOTES})"))(partial(f, notes=X.whole_notes))
+
+
+for _name in (
+    "scl3_canonical_form", "scl4_scl8_scl10_scl11_parts", "scl5_base64", "scl6_pull_form", "scl7_push_form", "scl12_contained", "fn2_same_after_folding", "pred14_pre_journal",
+    "dec12_materialize_back",
+):
+    _over_whole_texts(_name)

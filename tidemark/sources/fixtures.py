@@ -83,11 +83,22 @@ def paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 40 characters of each document in the note templates, as the SQL twins of the content queries have them."""
     d = table(spark, sf, "documents")
     head = F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" "))
     return d.select("doc_id", pick(NOTES, F.col("doc_id"), {"{T}": head, "{R}": F.lit("\r"), "{N}": F.lit("\n"), "{B}": F.lit("﻿"), "{Z}": F.lit("\x00")}).alias("note"))
 
 
+def whole_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole text of each document, with its line ends, in the note templates."""
+    t = F.array(*[F.lit(x) for x in NOTES])
+    note = F.element_at(t, (F.col("doc_id") % len(NOTES) + 1).cast("int"))
+    for mark, value in (("{R}", "\r"), ("{N}", "\n"), ("{B}", "﻿"), ("{Z}", "\x00")):
+        note = F.replace(note, F.lit(mark), F.lit(value))
+    # the text goes in last, so that no mark in it is taken for one of the template
+    return table(spark, sf, "documents").select("doc_id", F.replace(note, F.lit("{T}"), F.col("text")).alias("note"))
+
+
 def _sql_list(items: tuple[str, ...]) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
 
@@ -104,6 +115,8 @@ SQL = {
     "paths": f"SELECT doc_id, replace(replace(replace({_sql_list(PATHS)}[doc_id % {len(PATHS)} + 1], '{{s}}', source), '{{l}}', lang), '{{d}}', doc_id::VARCHAR) AS path FROM documents",
     "notes": f"SELECT doc_id, replace(replace(replace(replace(replace({_sql_list(NOTES)}[doc_id % {len(NOTES)} + 1], '{{T}}', replace(substr(text, 1, 40), chr(10), ' ')), '{{R}}', chr(13)), '{{N}}', chr(10)), '{{B}}', chr(65279)), '{{Z}}', chr(0)) AS note FROM documents",
 }
+#: The same view over whole texts.
+WHOLE_NOTES = f"SELECT doc_id, replace(replace(replace(replace(replace({_sql_list(NOTES)}[doc_id % {len(NOTES)} + 1], '{{R}}', chr(13)), '{{N}}', chr(10)), '{{B}}', chr(65279)), '{{Z}}', chr(0)), '{{T}}', text) AS note FROM documents"
 _NEEDS = {"shadow": ("local_manifest", "server_state"), "base_seq": ("server_state",)}
 
 
