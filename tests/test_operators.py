@@ -201,3 +201,25 @@ def test_content_queries_take_whole_texts(spark, sf):
     assert set(got) == {i for i in want if i + 15 in want}
     same = [i for i in got if got[i] != contained(split(want[i]), split(want[i + 15]))]
     assert same == []
+
+
+def test_chains_cover_the_whole_journal(spark, sf):
+    from tidemark.plans import registry
+    from tidemark.sources import fixtures as X
+
+    lines = sorted((r["line_no"], r["path"], r["action"]) for r in X.journal(spark, sf).select("line_no", "path", "action").collect())
+    want = {}
+    for i, (_, path, action) in enumerate(lines):
+        want.setdefault((i // 32, path), []).append(action)
+    got = {(r["batch"], r["path"]): (r["n"], r["chain"]) for r in registry.queries()["agg10_chains_by_batch"](spark, sf).collect()}
+    assert len(lines) > 400 and got == {k: (len(v), ">".join(v)) for k, v in want.items()}
+
+
+def test_manifest_covers_the_whole_folder(spark, sf):
+    import hashlib
+    from pathlib import Path
+
+    from tidemark.plans import registry
+
+    want = {(str(p.relative_to(sf)), hashlib.sha256(p.read_bytes()).hexdigest(), p.stat().st_size) for p in Path(sf).rglob("*.parquet") if p.is_file()}
+    assert len(want) > 10 and {tuple(r) for r in registry.queries()["src2_file_manifest"](spark, sf).collect()} == want

@@ -176,6 +176,15 @@ def agg10(spark, sf):
     return X.journal(spark, sf).filter("line_no < 400").groupBy("path").agg(F.count(F.lit(1)).alias("n"), chain.alias("chain"))
 
 
+@query("agg10_chains_by_batch", with_sql("SELECT batch, path, count(*)::BIGINT AS n, string_agg(action, '>' ORDER BY line_no) AS chain FROM (SELECT *, (row_number() OVER (ORDER BY line_no) - 1) // 32 AS batch FROM journal) GROUP BY batch, path", "journal"))
+def agg10_all(spark, sf):
+    """The whole journal, drained in batches of 32 lines: each batch by path, order kept; the lists hold 32 actions at most."""
+    ranked = O.running_total(X.journal(spark, sf).withColumn("one", F.lit(1).cast("long")), "line_no", "one", "rank")
+    chain = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "action"))), lambda x: x["action"]), ">")
+    batched = ranked.withColumn("batch", F.floor((F.col("rank") - 1) / 32).cast("long"))
+    return batched.groupBy("batch", "path").agg(F.count(F.lit(1)).alias("n"), chain.alias("chain"))
+
+
 @query("agg11_depth", with_sql("SELECT count(*)::BIGINT AS depth, sum(line_bytes)::BIGINT AS bytes, count(*) = 0 AS is_empty FROM journal", "journal"))
 def agg11(spark, sf):
     return X.journal(spark, sf).agg(F.count(F.lit(1)).alias("depth"), F.sum("line_bytes").alias("bytes"), (F.count(F.lit(1)) == 0).alias("is_empty"))

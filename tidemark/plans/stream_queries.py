@@ -79,7 +79,8 @@ def src1_ord1(spark, sf):
 
 @query("src2_file_manifest", None)
 def src2_files(spark, sf):
-    return file_manifest(candidate_files(spark, f"{sf}/region.parquet", roots=(), allowed=(".parquet",)))
+    """Every file of the folder, hashed whole."""
+    return file_manifest(candidate_files(spark, sf, roots=(), allowed=(".parquet",)))
 
 
 @query("entry_fixture_counts", None)
