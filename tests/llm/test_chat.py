@@ -1,6 +1,7 @@
 """Chat formatting: accuracy where roles are known, Viterbi against all paths, long conversations and odd rows."""
 
 import itertools
+import math
 import random
 
 from tidemark.llm import chat
@@ -64,3 +65,22 @@ def test_markers_and_odd_rows(spark):
     assert [(r[4], r[3]) for r in got if r[0] == 2] == [("user", 1), ("assistant", 2)]
     assert [r[4] for r in got if r[0] == 4] == ["user", "assistant"]
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_repeated_turn_numbers(spark):
+    rng = random.Random(4)
+    rows = [(1, i % 2, rng.choice(["user", "assistant", "assistant", "system", None]), f"{rng.choice('abc')} {i} " * rng.choice([1, 5, 40])) for i in range(3000)]
+    rows += [(c, t, ("user", "assistant")[t % 2], f"hello {t}") for c in range(2, 40) for t in range(4)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    got = chat.prepare(df).groupBy("conv", "seg").count().collect()
+    assert max(r["count"] for r in got) == chat.SEGMENT and sum(r["seg"] for r in got) == sum(range(12))
+    assert sum(r["count"] for r in got) == len(rows)
+    change = [[1] * 3 for _ in range(3)]
+    for _, conv in itertools.groupby(sorted(rows, key=lambda r: (r[0], r[1], r[2] or "", r[3])), lambda r: r[0]):
+        roles = [chat.ROLES.index(r[2]) if r[2] else None for r in conv]
+        for a, b in itertools.pairwise(roles):
+            if a is not None and b is not None:
+                change[a][b] += 1
+    learned = chat.learn(chat.prepare(df))["change"]
+    assert all(abs(math.exp(learned[a][b]) - change[a][b] / sum(change[a])) < 1e-9 for a in range(3) for b in range(3))
+    assert sum(r["copies"] for r in chat.format_chats(df).collect() if r["part"] == 0) == len(rows)

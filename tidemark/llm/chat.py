@@ -6,9 +6,9 @@ Between lines of a row a speaker tends to stay; between rows the change follows
 counted over all rows with a known role; no model is given from outside. Viterbi finds the most likely roles twice: from
 all evidence (`role`) and without the given roles (`text_role`), which measures the parser where roles are known.
 
-A conversation is cut into segments of SEGMENT turn numbers. Where it has several, each segment's best-path matrix is
-computed first and a pass over these small matrices fixes the roles at its borders, so the path is that of the whole
-conversation while a task holds one segment at a time.
+A conversation is cut into segments of SEGMENT rows, in order of turn, role and text. Where it has several, each segment's
+best-path matrix is computed first and a pass over these small matrices fixes the roles at its borders, so the path is that
+of the whole conversation while a task holds one segment at a time.
 
 Rows equal in conversation, turn, role and text count once (`copies`). Rows with a null conversation or turn are
 conversations of their own. Null texts and empty ones are one blank line. Unknown and null roles are no evidence.
@@ -53,14 +53,23 @@ def canonical_role(role: F.Column) -> F.Column:
 
 
 def prepare(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, conv (key), seg, given, text, copies, first (is it the conversation's first turn number)."""
+    """conv_id, turn, given_role, text, copies, conv (key), given, id (rises in the sort order), seg.
+
+    Ranges of the sort order are numbered side by side; a conversation's rows in earlier ranges, one count a range, are
+    added. Ranges are cut by the first letters of texts, so the driver's sample holds no whole ones.
+    """
     t = turns.select("conv_id", "turn", F.col("role").alias("given_role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.groupBy("conv_id", "turn", "given_role", "text").agg(F.count(F.lit(1)).alias("copies"))
     alone = F.col("conv_id").isNull() | F.col("turn").isNull()
     own = F.concat(F.lit("-"), F.xxhash64("conv_id", "turn", "given_role", "text").cast("string"))
     t = t.withColumn("conv", F.when(alone, own).otherwise(F.concat(F.lit("+"), F.col("conv_id").cast("string"))))
-    t = t.withColumn("seg", F.when(alone, F.lit(0)).otherwise(F.floor(F.col("turn") / SEGMENT)).cast("long"))
-    return t.withColumn("given", canonical_role(F.col("given_role")))
+    t = t.withColumn("given", canonical_role(F.col("given_role")))
+    t = t.repartitionByRange("conv", "turn", "given_role", F.substring("text", 1, 200)).sortWithinPartitions("conv", "turn", "given_role", "text")
+    t = stage(t.withColumn("id", F.monotonically_increasing_id()), "chat-rows").withColumn("range", F.shiftright("id", 33))
+    parts = t.groupBy("conv", "range").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("conv").orderBy("range")) - F.col("n")
+    parts = parts.select("conv", "range", (F.col("low") - ahead).alias("zero"))
+    return t.join(parts, ["conv", "range"]).withColumn("seg", F.floor((F.col("id") - F.col("zero")) / SEGMENT).cast("long")).drop("range", "zero")
 
 
 def _length(text: F.Column) -> F.Column:
@@ -74,17 +83,23 @@ def _place(turn: F.Column) -> F.Column:
 def learn(rows: DataFrame) -> dict[str, list]:
     """Log-probabilities of length class, place and change of role, counted over every row with a known role.
 
-    Three small tables of fixed size reach the driver.
+    Two small tables of fixed size reach the driver.
     """
-    order = Window.partitionBy("conv", "seg").orderBy("turn", "given_role", "text")
+    order = Window.partitionBy("conv", "seg").orderBy("id")
     known = rows.withColumn("before", F.lag("given").over(order)).filter("given IS NOT NULL")
     counts = known.groupBy("given", "before", _length(F.col("text")).alias("length"), _place(F.col("turn")).alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()
+    # changes between the last row of a segment and the first of the next
+    ends = rows.groupBy("conv", "seg").agg(F.min_by("given", "id").alias("given"), F.max_by("given", "id").alias("last"))
+    ends = ends.withColumn("before", F.lag("last").over(Window.partitionBy("conv").orderBy("seg"))).filter("before IS NOT NULL AND given IS NOT NULL")
+    crossings = ends.groupBy("given", "before").agg(F.count(F.lit(1)).alias("n")).collect()
     length, place, change = np.ones((_N, LENGTHS)), np.ones((_N, PLACES)), np.ones((_N, _N))
     for r in counts:
         length[r["given"], r["length"]] += r["n"]
         place[r["given"], r["place"]] += r["n"]
         if r["before"] is not None:
             change[r["before"], r["given"]] += r["n"]
+    for r in crossings:
+        change[r["before"], r["given"]] += r["n"]
     log = lambda m: np.log(m / m.sum(1, keepdims=True)).tolist()
     return {"length": log(length), "place": log(place), "change": log(change)}
 
@@ -208,7 +223,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     A row whose lines change speaker, or carry a new marker, becomes several parts, numbered from 0.
     """
-    rows = stage(prepare(turns), "chat-rows")
+    rows = prepare(turns)
     model = learn(rows)
     fixed = stage(borders(rows, model), "chat-borders")
     dealt = rows.join(fixed, ["conv", "seg"], "left").repartition("conv", "seg").sortWithinPartitions(*_SORT)
