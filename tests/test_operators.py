@@ -223,3 +223,28 @@ def test_manifest_covers_the_whole_folder(spark, sf):
 
     want = {(str(p.relative_to(sf)), hashlib.sha256(p.read_bytes()).hexdigest(), p.stat().st_size) for p in Path(sf).rglob("*.parquet") if p.is_file()}
     assert len(want) > 10 and {tuple(r) for r in registry.queries()["src2_file_manifest"](spark, sf).collect()} == want
+
+
+def test_live_guards_in_bounded_batches(spark, tmp_path, monkeypatch):
+    import functools
+
+    from tidemark.plans import registry
+    from tidemark.streaming import feeds
+
+    rng, start, sizes = random.Random(6), datetime(2024, 1, 1), []
+    kinds = ["click", "view", "error"]
+    rows = [(i, start + timedelta(seconds=rng.randint(0, 200_000)), 1 if rng.random() < 0.6 else rng.randint(2, 9), rng.choice(kinds), float(rng.randint(0, 3))) for i in range(900)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df.repartition(1).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(feeds, "in_order", functools.partial(feeds.in_order, rows_a_file=100))
+    stream = feeds.in_order(spark.read.parquet(f"{tmp_path}/events.parquet"), ["ts", "event_id"], f"test-{tmp_path.name}-{rng.random()}")
+    stream.writeStream.foreachBatch(lambda b, n: sizes.append([tuple(r) for r in b.select("ts", "event_id").collect()])).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert len(sizes) >= 9 and max(map(len, sizes)) <= 100
+    assert [x for b in sizes for x in sorted(b)] == sorted((r[1], r[0]) for r in rows)
+    got = {r["event_id"]: r["admitted"] for r in registry.queries()["win9_live_breaker"](spark, str(tmp_path)).collect()}
+    want = {}
+    for root in range(8):
+        own = sorted((r[1], r[0]) for r in rows if r[2] % 8 == root)
+        micros = [int((t - start).total_seconds() * 1_000_000) for t, _ in own]
+        want |= dict(zip((i for _, i in own), admitted(micros, 5, 6 * 3600 * 1_000_000)))
+    assert got == want

@@ -43,9 +43,8 @@ def src9_src10_src11_snk9(spark, sf):
 
 
 def _stream(spark, sf, view):
-    """A fixture view over a stream of the events table."""
-    static = table(spark, sf, "events")
-    events = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events.parquet*")
+    """A fixture view over a stream of the events table, in order of time."""
+    events = feeds.in_order(table(spark, sf, "events"), ["ts", "event_id"], f"events-{uuid.uuid4().hex}")
     if view == "echo":
         e = events.filter("event_type IN ('click', 'view')")
         sha = F.pmod(F.floor(F.col("value")).cast("long"), F.lit(4))

@@ -48,6 +48,25 @@ def replay(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{base}/v{last['batchId'] if last else 0}") if last else spark.createDataFrame([], schema)
 
 
+def in_order(rows: DataFrame, order: list[str], name: str, rows_a_file: int = 100_000) -> DataFrame:
+    """`rows` as a stream of micro-batches of at most `rows_a_file` rows, in the order of the columns `order`.
+
+    The rows are written to files of that size, range by range; the stream takes one file at a time, by times set here
+    in the order of the files. So a key has no more rows in a batch than a file has, and none of them comes late.
+    """
+    spark, base = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/{name}"
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", rows_a_file).parquet(base)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")]
+    # part-<range>-<id>-c<file of the range>
+    place = lambda f: (int(f.getName().split("-")[1]), int(f.getName().split("-c")[-1].split(".")[0]))
+    first = fs.getFileStatus(path).getModificationTime() - 10 * len(files)
+    for i, f in enumerate(sorted(files, key=place)):
+        fs.setTimes(f, first + 10 * i, -1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base)
+
+
 class EchoGuard(StatefulProcessor):
     """The last record of a key, used up by the first probe that it matches within the TTL."""
 
