@@ -248,3 +248,40 @@ def test_live_guards_in_bounded_batches(spark, tmp_path, monkeypatch):
         micros = [int((t - start).total_seconds() * 1_000_000) for t, _ in own]
         want |= dict(zip((i for _, i in own), admitted(micros, 5, 6 * 3600 * 1_000_000)))
     assert got == want
+
+
+def test_guards_by_content(spark, sf):
+    from tidemark.plans import registry
+    from tidemark.sources import fixtures as X
+
+    forms = [C.pull_form(F.col(c), X.STRIP).alias(f"{c}_form") for c in ("local", "server")]
+    rows = sorted((r.asDict() for r in X.sides(spark, sf).select("*", *forms).collect()), key=lambda r: r["doc_id"])
+    cut = lambda s: s[1:] if s.startswith("\ufeff") else s
+    block = lambda s: cut(s).startswith(("---\n", "---\r\n")) or cut(s) == "---"
+    body = lambda s: re.sub(r"\A---\n(?:.*?\n)??---\n", "", cut(s).replace("\r\n", "\n").replace("\r", "\n"), flags=re.S)
+    want, asked = {}, {}
+    for r in rows:
+        base = {"server": r["server_form"], "local": r["local_form"], "other": object(), None: None}[r["base"]]
+        if r["local_form"] == r["server_form"]:
+            decision = "R1_noop"
+        elif base is None:
+            decision = "R5_conflict"
+        else:
+            decision = "R2_preserve_local" if base == r["server_form"] else "R3_pull_clean" if base == r["local_form"] else "R4_conflict"
+        strips = block(r["local"]) and not block(r["server"])
+        guard = "none"
+        if strips and decision in ("R3_pull_clean", "R4_conflict", "R5_conflict"):
+            guard = "preserve_and_push" if body(r["local"]) == body(r["server"]) else "stash_then_align"
+        align = "align" if decision == "R1_noop" and r["local"] != r["server"] else "keep"
+        rewrite = "skip_concurrent_edit" if r["now"] != r["local"] else "skip_frontmatter_strip" if strips else "written"
+        # every known path has a folder, so the store's scope is suspect
+        outcome = {"R5_conflict": "skip_scope_suspect"}.get(decision, "not_conflict")
+        if decision == "R4_conflict":
+            asked.setdefault(r["root"], []).append(r["doc_id"])
+        want[r["doc_id"]] = [decision, guard, align, outcome, rewrite]
+    for ids in asked.values():
+        for i, ok in zip(ids, admitted([600 * i for i in ids], 5, 6 * 3600)):
+            want[i][3] = "stash_and_write" if ok else "skip_breaker"
+    got = {r["doc_id"]: list(r)[1:] for r in registry.queries()["dec3_dec6_snk5_by_content"](spark, sf).collect()}
+    assert got == want
+    assert {x[1] for x in want.values()} == {"none", "preserve_and_push", "stash_then_align"} and len({x[3] for x in want.values()}) >= 3

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import paths as P
 from tidemark.operators import reconcile as R
 from tidemark.plans.registry import query
+from tidemark.plans.staging import stage
 from tidemark.sources import fixtures as X
 from tidemark.sources.fixtures import with_sql
 from tidemark.sources.tables import table
@@ -220,3 +221,33 @@ def kv1_kv2(spark, sf):
 def dec16(spark, sf):
     config, token, managed = F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0, F.col("doc_id") % 5 == 0
     return table(spark, sf, "documents").select("doc_id", config.alias("start_sync"), (~(config & token)).alias("show_wizard"), (~managed).alias("single_instance"))
+
+
+@query("dec3_dec6_snk5_by_content", None)
+def dec3_dec4_dec6_snk5(spark, sf):
+    """Guard, alignment, mint and compare-and-set on whole notes of both sides (X.sides), each test by its own function.
+
+    Decisions compare pull forms. Conflicts that the store does not hold back go to the breaker in order of time.
+    """
+    from tidemark.functions import content as C
+    from tidemark.operators import ordered as O
+    from tidemark.operators import stores as St
+
+    form = lambda c: C.sha(C.pull_form(F.col(c), X.STRIP))
+    rows = X.sides(spark, sf).withColumn("content_hash", form("local")).withColumn("server_hash", form("server"))
+    based = F.when(F.col("base") == "server", F.col("server_hash")).when(F.col("base") == "local", F.col("content_hash")).when(F.col("base") == "other", F.sha2(F.col("path"), 256))
+    rows = rows.withColumn("shadow_hash", based).withColumn("decision", R.decide_rows(rows.withColumn("shadow_hash", based)))
+    strips = C.has_frontmatter(F.col("local")) & ~C.has_frontmatter(F.col("server"))
+    rows = stage(rows.select(
+        "doc_id", "path", "root", "ts", "decision", F.col("shadow_hash").isNotNull().alias("known"), strips.alias("strips"), (C.body_only(F.col("local")) == C.body_only(F.col("server"))).alias("same_body"),
+        (F.col("local") == F.col("server")).alias("raw_equal"), C.sha(F.col("local")).alias("seen"), C.sha(F.col("now")).alias("content_hash"),
+    ), "content-sides")
+    suspect = St.scope_suspect(rows.filter("known").select(F.col("path").alias("key")), ()).select(F.col("suspect").isNotNull().alias("suspect"))
+    rows = rows.crossJoin(suspect)
+    asked = rows.filter(F.col("decision").contains("conflict") & (F.col("known") | ~F.col("suspect"))).select("root", "ts", F.col("doc_id").alias("event_id"))
+    admitted = O.admission(asked, 5, 6 * 3600).select(F.col("event_id").alias("doc_id"), "admitted")
+    rows = rows.join(admitted, "doc_id", "left")
+    d = F.col("decision")
+    minted = R.mint(d, F.col("known"), F.col("suspect"), ~F.coalesce("admitted", F.lit(True)))
+    out = R.compare_and_set(rows, F.col("seen"), F.col("strips")).withColumnRenamed("outcome", "rewrite")
+    return out.select("doc_id", "decision", R.guard(d, F.col("strips"), F.col("same_body")).alias("guard_arm"), R.align(d, F.col("raw_equal")).alias("alignment"), minted.alias("outcome"), "rewrite")

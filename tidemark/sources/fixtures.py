@@ -99,6 +99,22 @@ def whole_notes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.replace(note, F.lit("{T}"), F.col("text")).alias("note"))
 
 
+def sides(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, path, root, ts, local, server, now, base: whole notes of both sides, the local one as found later, and what
+    the last-synced hash is of (server, local, other or null)."""
+    from tidemark.functions import content as C
+
+    d, note, edit = F.col("doc_id"), F.col("note"), F.lit("\nserver-edit")
+    body = C.body_only(note)
+    kinds = (note, body, F.concat(note, edit), C.fold_eol(note), F.concat(body, edit), F.concat(F.lit("---\nk: v\n---\n"), body))
+    server = reduce(lambda out, i: F.when(d % 7 == i, kinds[i]).otherwise(out), range(len(kinds)), note)
+    now = F.when(d % 11 == 0, F.concat(note, F.lit("\nlater"))).otherwise(note)
+    base = F.when(d % 4 == 0, "server").when(d % 4 == 1, "local").when(d % 4 == 2, "other")
+    places = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.concat(d.cast("string"), F.lit(".md"))).alias("path"))
+    rows = whole_notes(spark, sf).join(places, "doc_id").withColumn("server", server)
+    return rows.select("doc_id", "path", (d % 3).alias("root"), F.timestamp_seconds(d * 600).alias("ts"), note.alias("local"), "server", now.alias("now"), base.alias("base"))
+
+
 def _sql_list(items: tuple[str, ...]) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
 
