@@ -125,3 +125,17 @@ def test_small_text_blocks(spark, monkeypatch):
     monkeypatch.setattr(nd, "TEXT_BLOCK", 5)
     monkeypatch.setattr(nd, "BLOCK", 9)
     test_groups_near_the_threshold(spark)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    from tidemark.llm.near_dups import drop_near_duplicates
+
+    rng = random.Random(8)
+    prose = lambda: " ".join(f"w{rng.randrange(50_000)}" for _ in range(120))
+    a, b, c, d = prose(), prose(), prose(), prose()
+    rows = [(1, a), (2, b), (2, c), (2, c), (3, c + " more"), (4, a), (5, d), (5, d + " end"), (None, a)]
+    got = sorted(((r["doc_id"] or 0), r["text"]) for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    texts = lambda i: {t for x, t in got if x == i}
+    assert texts(0) == {a} and texts(1) == {a} and texts(4) == set() and b in texts(2)
+    assert len([t for _, t in got if t in (c, c + " more")]) == 1 and len([t for _, t in got if t in (d, d + " end")]) == 1
+    assert len(got) == 5
