@@ -3,21 +3,27 @@
 Base spans (email, ip, card, phone) always stay. Candidates are the base patterns' matches, failing ones included, and
 looser shapes (written-out email addresses, national telephone numbers, identity and account numbers). Five labelers
 vote on each: the strict pattern, a gazetteer, context for, context against, and the shape of the digits.
-Expectation-maximisation over the counts of vote patterns (at most kinds x 3**5 rows, whatever the corpus) estimates the
-labelers' reliabilities; its posteriors train a logistic span classifier, which is applied as a column expression.
+Expectation-maximisation over the counts of vote patterns estimates the labelers' reliabilities; its posteriors train a
+logistic span classifier, which is applied as a column expression. Counts are taken over all documents, one for each
+combination of kind, votes and shape that occurs (at most kinds x 3**5 x SHAPES, whatever the corpus).
+
+The voters see the match by pattern, gazetteer, hint words and repeated digits; the classifier also sees what they do not: how many digits
+a span has, how they are parted, the character ahead of it and whether it opens a line (SHAPES values in all).
 
 Positions are code points of the whole text, end exclusive. Null and empty texts have no spans; repeated rows get
-equal ones. Every pattern takes time in proportion to a text's length.
+equal ones. Every pattern, and the placing and cutting of spans, takes time in proportion to a text's length, however
+many spans it has.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text_sql import NO_SPANS, let, match_spans, span_string
+from tidemark.llm.text_sql import NO_SPANS, apart, let, match_spans, replaced, span_string
 from tidemark.plans.staging import stage
 
 KINDS = ("email", "ip", "card", "phone", "ident")
@@ -47,6 +53,10 @@ CONTEXT_FOR = {
 }
 CONTEXT_AGAINST = "version|\\bv\\.?$|isbn|issn|order|invoice|serial|part no|model|figure|section|chapter|page|build|release|kapitel|seite"
 N_VOTES = 5
+#: Characters ahead of a span that count as its context; values of each part of its shape.
+CONTEXT = 40
+_SHAPE = {"size": 3, "parted": 3, "ahead": 3, "line": 2}
+SHAPES = math.prod(_SHAPE.values())
 
 
 def _digits(hit: Column) -> Column:
@@ -57,27 +67,18 @@ def _between(hit: Column, lo: int, hi: int) -> Column:
     return F.length(_digits(hit)).between(lo, hi)
 
 
-def _strict(kind: int, hit: Column) -> Column:
-    if kind == 0:
-        return ~F.contains(hit, F.lit("at")) | F.contains(hit, F.lit("@"))
-    if kind == 1:
-        return F.rlike(hit, F.lit(IP_OK))
-    if kind == 2:
-        return F.call_function("luhn_check", _digits(hit))
-    return _between(hit, 9, 15)
-
-
 def candidates(text: Column) -> Column:
     """Spans of every candidate; base ones are those that `is_base` accepts."""
     card = lambda hit: _between(hit, 13, 19)
+    spans = lambda pattern, kind, keep=None, gate=None: match_spans(text, pattern, kind, keep, gate, CONTEXT)
     return F.concat(
-        F.when(F.contains(text, F.lit("@")), match_spans(text, EMAIL, 0)).otherwise(F.array().cast(NO_SPANS)),
-        match_spans(text, IP, 1),
-        match_spans(text, CARD, 2, card, CARD_GATE),
-        match_spans(text, PHONE, 3),
-        match_spans(text, LOOSE_EMAIL, 0, None, LOOSE_EMAIL_GATE),
-        match_spans(text, LOOSE_PHONE, 3),
-        match_spans(text, IDENT, 4),
+        F.when(F.contains(text, F.lit("@")), spans(EMAIL, 0)).otherwise(F.array().cast(NO_SPANS)),
+        spans(IP, 1),
+        spans(CARD, 2, card, CARD_GATE),
+        spans(PHONE, 3),
+        spans(LOOSE_EMAIL, 0, None, LOOSE_EMAIL_GATE),
+        spans(LOOSE_PHONE, 3),
+        spans(IDENT, 4),
     )
 
 
@@ -92,7 +93,7 @@ def is_base(s: Column) -> Column:
     )
 
 
-def _votes(s: Column, text: Column) -> Column:
+def _votes(s: Column) -> Column:
     """The five votes as a base-3 number: 0 against, 1 abstains, 2 for; the first labeler is the lowest digit."""
     kind, hit = s["kind"], s["hit"]
     digits = _digits(hit)
@@ -107,8 +108,7 @@ def _votes(s: Column, text: Column) -> Column:
         .when(kind == 3, F.when(F.startswith(hit, F.lit("+")), yes(F.rlike(hit, F.lit(CALLING_CODES)))).otherwise(yes(F.rlike(digits, F.lit("^[2-9]")))))
         .otherwise(yes(F.rlike(hit, F.lit(IBAN_COUNTRIES)) | F.rlike(hit, F.lit("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"))))
     )
-    from_ = F.greatest(s["start"] - 40, F.lit(0))
-    before = F.lower(F.substring(text, from_ + 1, s["start"] - from_))
+    before = F.lower(s["before"])
     hints = F.lit(None).cast("string")
     for k, words in CONTEXT_FOR.items():
         hints = F.when(kind == k, F.lit(words)).otherwise(hints)
@@ -122,18 +122,38 @@ def _votes(s: Column, text: Column) -> Column:
     return total
 
 
+def _shape(s: Column) -> Column:
+    """The parts of _SHAPE as one number, the first the lowest: features of a span that no labeler votes on."""
+    hit, before = s["hit"], s["before"]
+    digits = F.length(_digits(hit))
+    marks = F.regexp_replace(hit, "[A-Za-z0-9]", "")
+    ahead = F.right(before, F.lit(1))
+    parts = (
+        F.when(digits < 9, F.lit(0)).when(digits < 13, F.lit(1)).otherwise(F.lit(2)),
+        F.when(marks == "", F.lit(0)).when(F.length(F.replace(marks, F.left(marks, F.lit(1)), F.lit(""))) == 0, F.lit(1)).otherwise(F.lit(2)),
+        F.when(F.btrim(ahead) == "", F.lit(0)).when(F.rlike(ahead, F.lit("[A-Za-z0-9]")), F.lit(1)).otherwise(F.lit(2)),
+        F.when(F.rlike(before, F.lit("(?:^|\n)[\x20\t]*$")), F.lit(1)).otherwise(F.lit(0)),
+    )
+    total, unit = F.lit(0), 1
+    for v, n in zip(parts, _SHAPE.values(), strict=True):
+        total, unit = total + v * unit, unit * n
+    return total
+
+
+def _described(s: Column) -> Column:
+    return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), is_base(s).alias("base"), _votes(s).alias("votes"), _shape(s).alias("shape"))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and found: array of (kind, start, end, base, votes), staged; one scan of the texts."""
+    """doc_id and found: array of (kind, start, end, base, votes, shape); one scan of the texts."""
     t = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    t = t.select("doc_id", "t", candidates(F.col("t")).alias("c"))
-    row = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), is_base(s).alias("base"), _votes(s, F.col("t")).alias("votes"))
-    return t.select("doc_id", F.transform("c", row).alias("found"))
+    return t.select("doc_id", F.transform(candidates(F.col("t")), _described).alias("found"))
 
 
-def vote_counts(found: DataFrame) -> list[tuple[int, int, int]]:
-    """(kind, votes, count): at most len(KINDS) * 3**N_VOTES rows reach the driver, whatever the corpus."""
-    rows = found.select(F.explode("found").alias("s")).groupBy("s.kind", "s.votes").agg(F.count(F.lit(1)).alias("n"))
-    return sorted((r["kind"], r["votes"], r["n"]) for r in rows.collect())
+def vote_counts(found: DataFrame) -> list[tuple[int, int, int, int]]:
+    """(kind, votes, shape, count): at most len(KINDS) * 3**N_VOTES * SHAPES rows reach the driver, whatever the corpus."""
+    rows = found.select(F.explode("found").alias("s")).groupBy("s.kind", "s.votes", "s.shape").agg(F.count(F.lit(1)).alias("n"))
+    return sorted((r["kind"], r["votes"], r["shape"], r["n"]) for r in rows.collect())
 
 
 def _split(votes: int) -> list[int]:
@@ -164,45 +184,58 @@ def reliabilities(counts: list[tuple[int, int, int]], rounds: int = 40) -> dict[
     return posterior
 
 
-def _features(kind: int, votes: int) -> list[int]:
-    """Indices of the features that are on: the bias, the kind, and each labeler's vote."""
-    return [0, 1 + kind] + [1 + len(KINDS) + 3 * j + v for j, v in enumerate(_split(votes))]
-
-
-def train(counts: list[tuple[int, int, int]], steps: int = 400, rate: float = 1.0) -> list[float]:
-    """Weights of the span classifier: logistic regression on the posteriors, a pattern weighing log(1 + its count)."""
-    posterior = reliabilities(counts)
-    w = [0.0] * (1 + len(KINDS) + 3 * N_VOTES)
-    rows = [(_features(k, v), posterior[k, v], math.log1p(n)) for k, v, n in counts]
-    mass = sum(r[2] for r in rows) or 1.0
-    for _ in range(steps):
-        g = [1e-3 * x for x in w]
-        for on, p, n in rows:
-            z = sum(w[i] for i in on)
-            err = n / mass * (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - p)
-            for i in on:
-                g[i] += err
-        w = [x - rate * d for x, d in zip(w, g, strict=True)]
-    return w
-
-
-def score(kind: Column, votes: Column, w: list[float]) -> Column:
-    """The classifier's log-odds as a column."""
-    kinds = F.array(*[F.lit(x) for x in w[1 : 1 + len(KINDS)]])
-    z = F.lit(w[0]) + F.get(kinds, kind)
+#: Places of the classifier's weights: the bias, each kind, each labeler's votes, each kind's values of each part of a shape.
+_VOTE_AT = 1 + len(KINDS)
+_SHAPE_AT = _VOTE_AT + 3 * N_VOTES
+_PER_KIND = sum(_SHAPE.values())
+
+
+def _features(kind: int, votes: int, shape: int) -> list[int]:
+    """Indices of the features that are on."""
+    on = [0, 1 + kind] + [_VOTE_AT + 3 * j + v for j, v in enumerate(_split(votes))]
+    at = _SHAPE_AT + kind * _PER_KIND
+    for n in _SHAPE.values():
+        on.append(at + shape % n)
+        at, shape = at + n, shape // n
+    return on
+
+
+def train(counts: list[tuple[int, int, int, int]], steps: int = 400, rate: float = 1.0) -> list[float]:
+    """Weights of the span classifier: logistic regression on the posteriors, a combination weighing log(1 + its count)."""
+    patterns: dict[tuple[int, int], int] = {}
+    for k, v, _, n in counts:
+        patterns[k, v] = patterns.get((k, v), 0) + n
+    posterior = reliabilities([(k, v, n) for (k, v), n in sorted(patterns.items())])
+    on = np.array([_features(k, v, s) for k, v, s, _ in counts], int).reshape(-1, 2 + N_VOTES + len(_SHAPE))
+    p = np.array([posterior[k, v] for k, v, _, _ in counts])
+    weight = np.log1p(np.array([n for *_, n in counts], float))
+    w = np.zeros(_SHAPE_AT + len(KINDS) * _PER_KIND)
+    for _ in range(steps if len(counts) else 0):
+        err = weight / weight.sum() * (1 / (1 + np.exp(-np.clip(w[on].sum(1), -30, 30))) - p)
+        w -= rate * (np.bincount(on.ravel(), np.repeat(err, on.shape[1]), len(w)) + 1e-3 * w)
+    return w.tolist()
+
+
+def score(s: Column, w: list[float]) -> Column:
+    """The classifier's log-odds of a span (kind, votes, shape) as a column."""
+    pick = lambda lo, n, i: F.get(F.array(*[F.lit(x) for x in w[lo : lo + n]]), i)
+    z = F.lit(w[0]) + pick(1, len(KINDS), s["kind"])
     for j in range(N_VOTES):
-        at = 1 + len(KINDS) + 3 * j
-        z = z + F.get(F.array(*[F.lit(x) for x in w[at : at + 3]]), F.floor(votes / 3**j).cast("int") % 3)
+        z = z + pick(_VOTE_AT + 3 * j, 3, F.floor(s["votes"] / 3**j).cast("int") % 3)
+    at, unit = _SHAPE_AT, 1
+    for n in _SHAPE.values():
+        values = [w[at + k * _PER_KIND + v] for k in range(len(KINDS)) for v in range(n)]
+        z = z + F.get(F.array(*[F.lit(x) for x in values]), s["kind"] * n + F.floor(s["shape"] / unit).cast("int") % n)
+        at, unit = at + n, unit * n
     return z
 
 
 def decide(found: DataFrame, w: list[float]) -> DataFrame:
     """doc_id, base, spans: the base spans, and with them the candidates that the classifier adds apart from these."""
     base = F.filter("found", lambda s: s["base"])
-    extra = F.filter("found", lambda s: ~s["base"] & (score(s["kind"], s["votes"], w) > 0))
+    extra = F.filter("found", lambda s: ~s["base"] & (score(s, w) > 0))
     t = found.select("doc_id", base.alias("base"), extra.alias("extra"))
-    apart = lambda b: F.filter("extra", lambda e: ~F.exists(b, lambda x: (x["start"] < e["end"]) & (e["start"] < x["end"])))
-    every = F.when(F.size("extra") == 0, F.col("base")).otherwise(let(F.col("base"), lambda b: F.concat(b, apart(b))))
+    every = F.when(F.size("extra") == 0, F.col("base")).otherwise(F.concat("base", apart(F.col("extra"), F.col("base"))))
     return t.select("doc_id", "base", every.alias("spans"))
 
 
@@ -224,21 +257,10 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Spans that overlap are replaced as one, under the kind of the first.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    row = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), is_base(s).alias("base"), _votes(s, text).alias("votes"))
-    found_in = F.transform(candidates(text), row)
+    found_in = F.transform(candidates(text), _described)
     w = train(vote_counts(docs.select(found_in.alias("found"))))
-    keep = lambda s: s["base"] | (score(s["kind"], s["votes"], w) > 0)
+    keep = lambda s: s["base"] | (score(s, w) > 0)
     spans = F.array_sort(F.transform(F.filter(found_in, keep), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-
-    def cut(spans: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-        def step(a: Column, s: Column) -> Column:
-            piece = F.substring(text, a["at"] + 1, s["start"] - a["at"])
-            fresh = F.array_append(F.array_append(a["out"], piece), F.get(names, s["kind"]))
-            return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"))
-
-        return F.aggregate(spans, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-
-    return docs.withColumn(text_col, let(spans, lambda x: F.when(F.size(x) > 0, cut(x)).otherwise(F.col(text_col))))
+    clean = let(spans, lambda x: F.when(F.size(x) > 0, replaced(text, x, lambda s: F.get(names, s["kind"]))).otherwise(F.col(text_col)))
+    return docs.withColumn(text_col, clean)
