@@ -1,11 +1,12 @@
-"""Passages that repeat across documents, by winnowed anchors and exact windows of words.
+"""Passages that repeat across documents, by content-defined chunks that are deduplicated by digest.
 
-A window is a run of `min_words` whole words with the white space between them. Its anchor is the smallest hash among the
-runs of two fifths as many words in it, so equal windows have equal anchors wherever they stand. Neighbouring windows with
-one anchor form a unit, about one in 16 words. Units whose anchor lies in two documents or more are grouped by the hash
-of their whole bytes: documents of one group share every window of it. Where an anchor has several groups (copies that
-were edited nearby), the smallest document of each group writes out its windows one by one, and these are grouped by
-their own hashes, so every holder of a window is held against all others. No pair of documents is formed.
+A window is a run of `min_words` whole words with the white space between them. A gear hash rolls over the bytes of a
+text; a window's cut is the word end in it with the least gear hash (equal ones by the words ahead of them), so equal
+windows have equal cuts wherever they stand, and an insertion moves no cut but those near it. Neighbouring windows with
+one cut form a chunk, about one in 16 words. Chunks whose cut lies in two documents or more are grouped by the digest of
+their whole bytes: documents of one group share every window of it. Where a cut has several groups (copies that were
+edited nearby), the smallest document of each group writes out its windows one by one, and these are grouped by their own
+digests, so every holder of a window is held against all others. No pair of documents is formed.
 
 Every window that two documents share is found, whatever its words, and no other, but for equal 64-bit hashes of unequal
 bytes. Repeats within one document do not count. Null, empty and short texts have no passages; rows with a null doc_id
@@ -21,10 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import _bounds, slices, span_hashes, texts_of
+from tidemark.llm.text_sql import replaced
+from tidemark.llm.words import SLICE_BYTES, _bounds, mix, slices, span_hashes, texts_of
 from tidemark.plans.staging import stage
 
 MIN_WORDS = 50
+#: Bytes that the gear hash looks back on, and its table: a number for each value of a byte.
+GEAR_BYTES = 32
+_GEAR = np.random.default_rng(41).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -36,16 +41,41 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return m
 
 
+def gear_hashes(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The gear hash of the `width` bytes (a power of two) that end at each place of `at`, rising.
+
+    h = (h << shift) + gear[byte] forgets a byte after `width` steps. Runs of 1, 2, 4 ... bytes are put together from two
+    halves, for a slice of the text at a time.
+    """
+    out, shift, i = np.empty(len(at), np.uint64), 64 // width, 0
+    while i < len(at):
+        j = max(int(np.searchsorted(at, at[i] + SLICE_BYTES)), i + 1)
+        lo = max(int(at[i]) - width + 1, 0)
+        h, have = _GEAR[data[lo : int(at[j - 1]) + 1]], 1
+        while have < width:
+            longer = h.copy()
+            longer[have:] += h[:-have] << np.uint64(shift * have)
+            h, have = longer, 2 * have
+        out[i:j] = h[at[i:j] - lo]
+        i = j
+    return out
+
+
 def units(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """(document, anchor, hash, first window, last window) of the units of a slice of documents, and the starts and ends of
-    its words; a window has the number of its first word."""
+    """(document, anchor, digest, first window, last window) of the chunks of a slice of documents, and the starts and ends
+    of its words; a window has the number of its first word. A chunk's anchor names its cut: the head of the gear hash
+    there, then that of the digest of the run of words ahead of it, which lies within every window of the chunk."""
     starts, ends = _bounds(data, offsets)
     firsts = np.searchsorted(starts, offsets)
     n, run = len(starts), max(min_words * 2 // 5, 1)
     if n < min_words:
         none = np.zeros(0, np.int64)
         return none, none.view(np.uint64), none.view(np.uint64), none, none, starts, ends
-    least = _least(span_hashes(data, starts[: n - run + 1], ends[run - 1 :]), min_words - run + 1)
+    # a run of words has at least 2 * run - 1 bytes, so the gear hash at its end knows nothing of what comes before it
+    gear = mix(gear_hashes(data, ends[run - 1 :] - 1, min(GEAR_BYTES, 1 << (2 * run - 1).bit_length() - 1)))
+    half = np.uint64(32)
+    cuts = gear >> half << half | span_hashes(data, starts[: n - run + 1], ends[run - 1 :]) >> half
+    least = _least(cuts, min_words - run + 1)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))[: len(least)]
     at = np.flatnonzero(np.arange(len(least)) + min_words <= firsts[doc + 1])
     new = np.ones(len(at) + 1, bool)
@@ -162,12 +192,6 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def drop_repeats(docs: DataFrame, spans: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of `docs` with every passage cut out that an earlier document has; first copies stay."""
     cuts = spans.filter("NOT first").groupBy(F.col("doc_id").alias("cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut_spans"))
-    text = F.col(text_col)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(a, s):
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))).alias("out"))
-
-    rest = F.aggregate("cut_spans", zero, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    rest = replaced(F.col(text_col), F.col("cut_spans"), lambda s: F.lit(""))
     joined = docs.join(cuts, docs["doc_id"] == F.col("cut_id"), "left")
     return joined.select(*[F.when(F.col("cut_spans").isNull(), docs[c]).otherwise(rest).alias(c) if c == text_col else docs[c] for c in docs.columns])
