@@ -1,11 +1,13 @@
 """Near-duplicates against all pairs of full sets."""
 
+import math
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.near_dups import CHUNKS, INDEXED, max_errors, near_duplicates
+from tidemark.llm.near_dups import INDEXED, LOSS, max_errors, near_duplicates, position_groups
 
 
 def shingle_set(t, k):
@@ -83,8 +85,14 @@ def test_odd_rows(spark):
 
 
 def test_pigeonhole():
-    for s in (0.8, 0.85, 0.9):
-        assert max_errors(s) < 2 * CHUNKS < INDEXED
+    """The index bound is that of the similarity, never less, and the groups admit it."""
+    for s in (0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95):
+        most, groups = max_errors(s), position_groups(s)
+        chance = lambda m: sum(math.comb(INDEXED, x) * (1 - s) ** x * s ** (INDEXED - x) for x in range(m + 1, INDEXED + 1))  # noqa: B023, E731
+        assert chance(most) <= LOSS * 1.0001 < chance(most - 1)
+        assert most <= 2 * len(groups) - 1 and sorted(x for g in groups for x in g) == list(range(INDEXED)) and min(map(len, groups)) >= 3
+    with pytest.raises(ValueError):
+        position_groups(0.5)
 
 
 def test_rows_within_the_distance_share_a_tree(spark):
@@ -101,11 +109,12 @@ def test_rows_within_the_distance_share_a_tree(spark):
         hit = rng.random(nd.POSITIONS) < rng.uniform(0, 0.12)
         s[hit] = rng.integers(0, 256, hit.sum(), dtype=np.uint8)
         sigs.append(s)
-        rows.append((i, bytearray(s.tobytes())))
+        rows.append((i, bytearray(s.tobytes() + s[: nd.INDEXED].tobytes())))
     reps = spark.createDataFrame(rows, "rep long, signature binary")
-    keys = nd.index_keys(reps)
+    groups = position_groups(0.85)
+    keys = nd.index_keys(reps, groups)
     keys = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key")
-    near = {(i, j) for i in range(240) for j in range(i + 1, 240) if (sigs[i] != sigs[j]).sum() <= 60 and (sigs[i] != sigs[j])[: nd.INDEXED].sum() < 2 * nd.CHUNKS}
+    near = {(i, j) for i in range(240) for j in range(i + 1, 240) if (sigs[i] != sigs[j]).sum() <= 60 and (sigs[i] != sigs[j])[: nd.INDEXED].sum() < 2 * len(groups)}
     assert len(near) > 1000
     old = nd.BLOCK
     for block in (old, 7):
@@ -124,6 +133,7 @@ def test_small_text_blocks(spark, monkeypatch):
 
     monkeypatch.setattr(nd, "TEXT_BLOCK", 5)
     monkeypatch.setattr(nd, "BLOCK", 9)
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 500)
     test_groups_near_the_threshold(spark)
 
 

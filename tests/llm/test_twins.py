@@ -1,0 +1,14 @@
+"""The registered queries that SQL can express against their twins."""
+
+import pytest
+
+from tests.compare import duck, same
+from tidemark.llm import queries
+
+SQL = queries.oracles()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_rows(spark, name):
+    sf = "/root/testdata/sf0.01"
+    same(queries.queries()[name](spark, sf), duck(sf), SQL[name])

@@ -3,17 +3,19 @@
 A document's set is its distinct k-word shingles after lower-casing A-Z (with fewer words the whole sequence as one).
 Documents with equal sets form a class at once; only a class's representative goes further.
 
-1. Signature: POSITIONS minima of multiplied shingle hashes, cut to 8 bits each. Sets of similarity s differ in each
-   position with probability just under 1 - s; distance thresholds leave room for over four standard deviations.
-2. Index: the first INDEXED positions are split into CHUNKS groups. By pigeonhole two signatures within `max_errors`
-   differences there agree in some group up to max_errors // CHUNKS = 1 position, so each group is indexed once for
-   each position left out. All pairs within the distance share a key.
+1. Signature: POSITIONS minima of multiplied shingle hashes, cut to 8 bits each, the first INDEXED to 16 bits for the index.
+   Sets of similarity s differ in each position with probability just under 1 - s; distance thresholds are the number
+   of differences that such sets pass with chance LOSS at most.
+2. Index: the first INDEXED positions are split into so many groups that two signatures within `max_errors` differences
+   there agree in some group up to one position (pigeonhole: with c groups, up to 2 * c - 1 differences). Each group is
+   indexed once for each position left out, so all pairs within the distance share a key. A similarity so low that
+   groups would have fewer than three positions is an error.
 3. Links. First round: in each key the pairs whose whole signatures look linked are gathered to a spanning forest, so
    a key of n rows gives at most n - 1 pairs; these are confirmed on full sets, and components are formed. Second
    round: in keys whose rows are still of several components, those that have a pair of different components within
    the distance threshold of the whole signature are linked to clusters, again by forests. A cluster's documents are
-   then held against each other on full sets wherever two components come within the threshold, in blocks of
-   TEXT_BLOCK x TEXT_BLOCK texts, and a block gives a forest of its links. So no link between components is lost,
+   then held against each other on full sets wherever two components come within the threshold, in pairs of blocks of
+   about TEXT_BLOCK texts or BLOCK_SHINGLES shingles, and each gives a forest of its links. So no link between components is lost,
    and what is written grows with the documents of a group, not with its pairs. Large keys are cut into blocks too.
 4. Components of the confirmed links; the smallest doc_id stands for each.
 
@@ -24,6 +26,7 @@ with a null doc_id links with nothing and is its own component (null), kept. Ver
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +37,28 @@ from tidemark.llm.components import components
 from tidemark.llm.words import mix, shingles, slices, texts_of, word_hashes
 from tidemark.plans.staging import stage
 
-POSITIONS, INDEXED, CHUNKS = 256, 64, 12
-BLOCK, TEXT_BLOCK, GROUP = 2048, 256, 64
-_GROUPS = np.array_split(np.arange(INDEXED), CHUNKS)
+POSITIONS, INDEXED = 256, 64
+BLOCK, TEXT_BLOCK, BLOCK_SHINGLES, GROUP = 2048, 256, 1 << 21, 64
+LOSS = 1e-5
 _MULTIPLIERS = (np.random.default_rng(20).integers(0, 1 << 32, POSITIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
 
 def max_errors(similarity: float, positions: int = INDEXED) -> int:
-    """Most differing positions of two signatures of that similarity, but for a chance near 1e-5."""
-    p = 1 - similarity
-    most = int(positions * p + 4.4 * (positions * p * (1 - p)) ** 0.5 + 0.5)
-    return min(most, 2 * CHUNKS - 1) if positions == INDEXED else most
+    """The least number of differing positions that two sets of that similarity exceed with chance LOSS at most."""
+    p, left = 1 - similarity, 1.0
+    for m in range(positions + 1):
+        left -= comb(positions, m) * p**m * (1 - p) ** (positions - m)
+        if left <= LOSS:
+            return m
+    return positions
+
+
+def position_groups(similarity: float) -> list[np.ndarray]:
+    """The indexed positions in groups, of which two signatures within max_errors() agree in one up to one position."""
+    count = max_errors(similarity) // 2 + 1
+    if INDEXED // count < 3:
+        raise ValueError(f"an index of {INDEXED} positions cannot serve a similarity of {similarity}")
+    return np.array_split(np.arange(INDEXED), count)
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -57,12 +71,18 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """One byte a position: bits of the least product, by multipliers fixed for all documents."""
+    """One byte a position, then a second one for each indexed position: bits of the least product, by multipliers fixed
+    for all documents."""
     x = (s >> np.uint64(32)).astype(np.uint32)
     least = np.full(POSITIONS, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 1024):
         np.minimum(least, (x[i : i + 1024, None] * _MULTIPLIERS).min(0), out=least)
-    return (mix(least.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes()
+    bits = mix(least.astype(np.uint64))
+    return (bits >> np.uint64(56)).astype(np.uint8).tobytes() + (bits[:INDEXED] >> np.uint64(48)).astype(np.uint8).tobytes()
+
+
+def _unpack(signatures: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), POSITIONS + INDEXED)
 
 
 def digests(docs: DataFrame, k: int) -> DataFrame:
@@ -82,7 +102,7 @@ def digests(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature binary")
 
 
-def index_keys(reps: DataFrame) -> DataFrame:
+def index_keys(reps: DataFrame, groups: list[np.ndarray]) -> DataFrame:
     """(key, rep) for every group of positions and every position of it left out: INDEXED rows a signature."""
     weights = mix(np.arange(1, INDEXED + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -91,10 +111,11 @@ def index_keys(reps: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 n = part.num_rows
-                sig = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint8).reshape(n, POSITIONS)[:, :INDEXED]
-                terms = mix(sig.astype(np.uint64) + np.uint64(1) + (np.arange(INDEXED, dtype=np.uint64) << np.uint64(8))) * weights
+                both = _unpack(part.column("signature").to_pylist()).astype(np.uint64)
+                sig = both[:, :INDEXED] << np.uint64(24) | both[:, POSITIONS:] << np.uint64(16)
+                terms = mix(sig + np.uint64(1) + (np.arange(INDEXED, dtype=np.uint64) << np.uint64(8))) * weights
                 keys = np.empty((n, INDEXED), np.uint64)
-                for g in _GROUPS:
+                for g in groups:
                     whole = terms[:, g].sum(1, dtype=np.uint64)
                     for p in g:
                         # the lowest bit marks one key of each group
@@ -186,11 +207,11 @@ def _forest_of_key(rep: np.ndarray, label: np.ndarray, own: np.ndarray, sig: np.
     return a, b, rep[met]
 
 
-def _blocked(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """Deal rows (with n, the size of their key) to pairs of blocks (i, j) of their key; a small key has one pair."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
+def _blocked(rows: DataFrame, key: str) -> DataFrame:
+    """Deal rows (with the number of blocks of their key) to pairs of blocks (i, j) of their key; a small key has one pair."""
+    blocks = F.col("blocks")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "n")
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
     return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
@@ -211,7 +232,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, columns: tuple[str, ...
 
 def _arrays(group: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     rep, label, own = (np.array([g[c] for g in group]) for c in range(3))
-    return rep, label, own, np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(len(group), POSITIONS)
+    return rep, label, own, _unpack([g[3] for g in group])[:, :POSITIONS]
 
 
 def near_pairs(keys: DataFrame, labels: DataFrame | None, reps: DataFrame, most: int) -> DataFrame:
@@ -222,7 +243,7 @@ def near_pairs(keys: DataFrame, labels: DataFrame | None, reps: DataFrame, most:
         rows = keys.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
         rows = rows.join(mixed, "key", "left_semi")
-    rows = rows.join(reps.select("rep", "signature"), "rep").select("key", "n", "rep", "label", "signature")
+    rows = rows.join(reps.select("rep", "signature"), "rep").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "rep", "label", "signature")
     labels = None if labels is None else True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +257,7 @@ def near_pairs(keys: DataFrame, labels: DataFrame | None, reps: DataFrame, most:
             seen = (seen if len(seen) < 100_000 else set()) | pairs
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
 
-    return _blocked(rows, "key", BLOCK).mapInArrow(run, "a long, b long").distinct()
+    return _blocked(rows, "key").mapInArrow(run, "a long, b long").distinct()
 
 
 def cluster_links(near: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, most: int, k: int, similarity: float) -> DataFrame:
@@ -248,9 +269,10 @@ def cluster_links(near: DataFrame, labels: DataFrame, reps: DataFrame, docs: Dat
     members = near.filter("b IS NULL").select(F.col("a").alias("rep"))
     members = members.join(of.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("of", "rep")).drop("of")
     members = stage(members.join(clusters.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label"), "dup-members")
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    rows = members.join(sizes, "cluster").join(reps.select("rep", "signature"), "rep")
-    rows = docs.join(rows.hint("merge"), "rep").select("cluster", "n", "rep", "label", "signature", "text")
+    members = members.join(reps.select("rep", "signature", "n_shingles"), "rep")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / TEXT_BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    rows = members.join(members.groupBy("cluster").agg(blocks.alias("blocks")), "cluster")
+    rows = docs.join(rows.hint("merge"), "rep").select("cluster", "blocks", "rep", "label", "signature", "text")
     hundredths = round(100 * similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +297,7 @@ def cluster_links(near: DataFrame, labels: DataFrame, reps: DataFrame, docs: Dat
                         out[1].append(int(rep[y]))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
-    return stage(_blocked(rows, "cluster", TEXT_BLOCK).mapInArrow(run, "a long, b long"), "dup-links")
+    return stage(_blocked(rows, "cluster").mapInArrow(run, "a long, b long"), "dup-links")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, hundredths: int) -> bool:
@@ -288,16 +310,16 @@ def _linked(a: np.ndarray, b: np.ndarray, hundredths: int) -> bool:
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    docs, groups = docs.select("doc_id", "text"), position_groups(similarity)
     sets = stage(digests(docs, k), "dup-sets")
     full = sets.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    reps = stage(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "dup-reps")
-    keys = index_keys(reps)
+    reps = stage(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "dup-reps")
+    keys = index_keys(reps, groups)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     keys = stage(keys.join(shared, "key"), "dup-keys")
     # one text for each representative: repeated ids may carry other texts, whose sets differ
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    # the first round only saves work for the second, so one key of each group does: of 12, linked rows share some
+    # the first round only saves work for the second, so one key of each group does
     likely = stage(near_pairs(keys.filter("key & 1 = 1"), None, reps, round(POSITIONS * (1 - similarity))), "dup-likely")
     links = confirm(likely, texts, k, similarity)
     labels = stage(components(links), "dup-labels")

@@ -124,10 +124,60 @@ mixed AS (SELECT s.doc_id, s.source, s.h, s.size, ps.source_size, ps.target, lea
     JOIN hit ON hit.source IS NOT DISTINCT FROM s.source AND hit.h = s.h)"""
 
 
+#: All pairs that share a shingle, and everything that each document reaches.
+OP3_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, k FROM (
+    SELECT doc_id, w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2] AS k FROM w, unnest(range(1, len(w) - 1)) AS u(i)
+    UNION ALL SELECT doc_id, array_to_string(w, chr(31)) FROM w WHERE len(w) BETWEEN 1 AND 2)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
+def _op8_sql() -> str:
+    """Gaps and matches of each pattern, their running lengths, and the entropy of every window of a candidate."""
+    from tidemark.llm.secrets import KINDS, THRESHOLDS, WINDOW
+
+    key = r"""(?i:password|passwd|secret|token|api_?key)[\"'']?\x20*[:=]\x20*[\"'']?"""
+    patterns = (key + "[A-Za-z0-9+/_.=-]+", "AKIA[A-Z0-9]+", "[0-9a-f]+", "[A-Za-z0-9+/_=-]{20,}")
+    cut = " UNION ALL ".join(f"SELECT r, {k} AS kind, regexp_extract_all(t, '{p}') AS h, string_split_regex(t, '{p}') AS g FROM d" for k, p in enumerate(patterns))
+    least = f"CASE WHEN regexp_matches(h, '^([0-9a-f]+|[0-9A-F]+)$') THEN {THRESHOLDS['hex']} WHEN regexp_matches(h, '^[A-Za-z0-9]+$') THEN {THRESHOLDS['alnum']} ELSE {THRESHOLDS['base64']} END"
+    # no regular expression of DuckDB goes back to a group: a run of one character has one distinct one
+    allowed = " OR ".join(
+        ["len(list_distinct(string_split(h, ''))) = 1"] + [f"regexp_matches(h, '{p}')" for p in (
+            "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "(?i)example|placeholder|changeme|your[_-]|xxxx|0123456789|abcdefgh",
+            "^[A-Za-z]+([/_=-]+[A-Za-z]+)*[/_=-]*$", "^[0-9/_=+-]+$")])
+    random = f"list_max(list_transform(range(1, length(h) - {WINDOW} + 2), lambda i: list_entropy(string_split(substr(h, i, {WINDOW}), ''))))"
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    show = f"string_agg({names}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+c AS ({cut}),
+u AS (SELECT r, kind, unnest(h) AS h, unnest(g[:len(h)]) AS g, unnest(range(len(h))) AS i FROM c),
+p AS (SELECT r, kind, h, (sum(length(g) + length(h)) OVER (PARTITION BY r, kind ORDER BY i))::BIGINT AS e FROM u),
+q AS (SELECT r, kind, h, e - length(h) AS s, e FROM p WHERE CASE kind WHEN 0 THEN length(regexp_extract(h, '^{key}(.*)$', 1)) >= 6 WHEN 1 THEN length(h) >= 20 WHEN 2 THEN length(h) >= 24 ELSE true END),
+b AS (SELECT * FROM q WHERE kind < 3),
+x AS (SELECT * FROM q WHERE kind = 3 AND NOT ({allowed}) AND length(regexp_replace(h, '[^0-9]', '', 'g')) >= 3 AND length(regexp_replace(h, '[^A-Za-z]', '', 'g')) >= 3
+  AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = q.r AND b.s < q.e AND q.s < b.e)),
+y AS (SELECT * FROM x WHERE {random} >= {least}),
+n AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n0, count(*) FILTER (WHERE kind = 1) AS n1, count(*) FILTER (WHERE kind = 2) AS n2, {show} AS base FROM b GROUP BY r),
+a AS (SELECT r, {show} AS spans FROM (SELECT * FROM b UNION ALL SELECT * FROM y) GROUP BY r)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN a ON a.r = d.r"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "op1_quality_rules": _op1_sql(),
         "op2_mixing": "WITH " + MIX_SQL.format(words=_WORDS, docs="documents") + " SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM mixed",
+        "op3_near_dups": OP3_SQL,
+        "op8_secrets": _op8_sql(),
     }
 
 
