@@ -59,6 +59,49 @@ def test_graph_on_clusters_and_shards(spark):
     assert Graph.build(v[:1]).search(v[:2], 1).tolist() == [[0], [0]]
 
 
+def test_graph_is_built_by_insertion():
+    """Every node can be reached, links lie within a layer, and searches find what brute force does."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 24))
+    g = Graph.build(v)
+    assert len(g.layers) >= 2 and [len(n) for n, _ in g.layers] == sorted((len(n) for n, _ in g.layers), reverse=True)
+    for nodes, table in g.layers:
+        assert set(table[table >= 0].tolist()) <= set(nodes.tolist()) and all(len(set(r[r >= 0])) == (r >= 0).sum() for r in table)
+        assert not (table == nodes[:, None]).any()
+    seen = set(g.layers[0][1][0].tolist())
+    while True:
+        more = seen | set(g.layers[0][1][sorted(x for x in seen if x >= 0)].ravel().tolist())
+        if more == seen:
+            break
+        seen = more
+    assert len(seen - {-1}) >= 2990
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    q = rng.normal(size=(100, 24))
+    want = np.argsort(-(q @ u.T), axis=1)[:, :5]
+    got = g.search(q, 5)
+    assert np.mean([np.isin(w, h).mean() for w, h in zip(want, got)]) > 0.95
+
+
+def test_ten_shards_and_ties_across_them(spark):
+    """Each vector comes three times, scaled, so equal cosines lie in different shards; ties fall to the smaller id."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(1200, 16)).round(2)
+    rows = [(3 * i + j, (x * 2.0**j).tolist()) for i, x in enumerate(v) for j in range(3)]
+    df = usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    index, shards = build_index(df, 5, shard_rows=300)
+    assert shards == 12
+    out = {}
+    for r in nearest(df.filter("vec_id % 50 = 0"), index, shards, 5).collect():
+        out.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    want = brute(rows, range(0, 3600, 50), 5)
+    assert recall({q: [s for _, s in x.values()] for q, x in out.items()}, want) >= 0.97
+    for q, x in out.items():
+        assert sorted(x) == [1, 2, 3, 4, 5]
+        own = [3 * (q // 3) + j for j in range(3) if 3 * (q // 3) + j != q]
+        assert [x[1][0], x[2][0]] == own and x[1][1] == x[2][1]
+        assert all(a[1] > b[1] or a[1] == b[1] and a[0] < b[0] for a, b in zip([x[i] for i in range(1, 5)], [x[i] for i in range(2, 6)]))
+
+
 def test_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [1.0, None]), (7, [math.nan, 1.0]), (8, [math.inf, 1.0]), (9, [1.0, 2.0, 3.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0]), (None, [1.0, 0.0]), (100, [1.0, 2.0, 3.5])]
     rows += [(200 + i, [1.0, 0.0]) for i in range(300)]

@@ -2,17 +2,26 @@
 
 Equal vectors are stored once, with their k + 1 smallest ids. Distinct vectors are dealt by hash to shards of about
 SHARD_ROWS; every row is indexed. A shard's graph lies in flat arrays of neighbour numbers, one for each layer: a node
-is in layer l with chance LINKS**-l. Within a layer each node links to diverse near nodes (a candidate that is nearer to
-a link already chosen is passed over, and fills up only what room is left) and back-links are kept while there is room.
-
-A search goes down the layers and keeps a beam of EF nodes in the lowest one, for a block of queries at once. Scores
-are cosines of the original vectors in double precision. Vectors that are null, empty or zero, or that hold null or
-non-finite components, take no part; vectors meet only those of their own length. An id that comes with several
+is in layer l with chance LINKS**-l. Nodes are inserted in batches, those of the highest layers first: each searches the graph
+that is there, from the top layer down, and in each of its layers links to diverse nodes among those found (a candidate
+that is nearer to a link already chosen is passed over, and fills up only what room is left). Nodes linked to link
+back; where one has no room left, its links are chosen anew by the same rule.
+
+A search goes down the layers and keeps a beam of EF nodes in the lowest one, for a block of queries at once. A shard is sent
+once: its queries stream past it. Every query visits every shard, so queries x shards rows are sent; with the queries a
+fixed share of the rows these grow faster than the index. Sending a query only to the shards nearest to it was measured
+and loses too much (README), so the shards are dealt by hash and none is passed over.
+
+Scores are cosines of the original vectors in double precision. Vectors that are null, empty or zero, or that hold null
+or non-finite components, take no part; vectors meet only those of their own length. An id that comes with several
 vectors is searched with each of them, and a candidate counts with its best score.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,50 +29,32 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.staging import stage
 
-SHARD_ROWS, LINKS, EF, QUERY_BLOCK = 8192, 16, 96, 512
-_CANDIDATES = 48
-
-
-def _links(x: np.ndarray, nodes: np.ndarray, width: int) -> np.ndarray:
-    """Neighbours of each of `nodes` among them, as numbers in the shard, -1 where there are fewer."""
-    n, half = len(nodes), width // 2
-    y, c = x[nodes], min(_CANDIDATES, len(nodes) - 1)
-    if c <= 0:
-        return np.full((n, width), -1, np.int32)
-    out: list[np.ndarray] = []
-    for a in range(0, n, 256):
-        sim = y[a : a + 256] @ y.T
-        b = len(sim)
-        sim[np.arange(b), np.arange(a, a + b)] = -np.inf
-        near = np.argpartition(-sim, c - 1, axis=1)[:, :c]
-        own = np.take_along_axis(sim, near, 1)
-        order = np.argsort(-own, axis=1, kind="stable")
-        near, own = np.take_along_axis(near, order, 1), np.take_along_axis(own, order, 1)
-        z = y[near]
+SHARD_ROWS, LINKS, EF, QUERY_BLOCK = 8192, 16, 128, 512
+#: Beam of an insertion, most nodes inserted at once, and the nearest of them that a node of the batch considers.
+EF_BUILD, BATCH, MATES = 64, 512, 16
+
+
+def _choose(x: np.ndarray, nodes: np.ndarray, near: np.ndarray, keep: int) -> np.ndarray:
+    """Up to `keep` diverse links of each of `nodes` among `near` (-1: none), nearest first among the chosen."""
+    out = np.full((len(nodes), keep), -1, np.int32)
+    for a in range(0, len(nodes), 1024):
+        own, c = nodes[a : a + 1024], np.sort(near[a : a + 1024], axis=1)
+        c[:, 1:][c[:, 1:] == c[:, :-1]] = -1
+        c[c == own[:, None]] = -1
+        sim = np.where(c >= 0, np.einsum("nd,ncd->nc", x[own], x[c]), -np.inf)
+        order = np.argsort(-sim, axis=1, kind="stable")
+        c, sim = np.take_along_axis(c, order, 1), np.take_along_axis(sim, order, 1)
+        z = x[c]
         among = z @ z.transpose(0, 2, 1)
-        chosen, blocked, count = np.zeros((b, c), bool), np.full((b, c), -np.inf, np.float32), np.zeros(b, int)
-        for k in range(c):
-            take = (own[:, k] > blocked[:, k]) & (count < half)
+        chosen, blocked, count = np.zeros(c.shape, bool), np.full(c.shape, -np.inf, np.float32), np.zeros(len(c), int)
+        for k in range(c.shape[1]):
+            take = (sim[:, k] > blocked[:, k]) & (count < keep)
             chosen[:, k] = take
             count += take
             blocked = np.where(take[:, None], np.maximum(blocked, among[:, k, :]), blocked)
-        rank = np.argsort(~chosen, axis=1, kind="stable")[:, :half]
-        out.append(np.take_along_axis(near, rank, 1))
-    forward = np.concatenate(out)
-    src, dst = np.repeat(np.arange(n), forward.shape[1]), forward.ravel()
-    a, b = np.concatenate([src, dst]), np.concatenate([dst, src])
-    back = np.repeat([0, 1], len(src))
-    sim = np.einsum("ij,ij->i", y[a], y[b])
-    order = np.lexsort((b, -sim, back, a))
-    a, b = a[order], b[order]
-    _, first = np.unique(a.astype(np.int64) * n + b, return_index=True)
-    keep = np.sort(first)
-    a, b = a[keep], b[keep]
-    place = np.arange(len(a)) - np.searchsorted(a, a)
-    ok = place < width
-    table = np.full((n, width), -1, np.int32)
-    table[a[ok], place[ok]] = nodes[b[ok]]
-    return table
+        picked = np.take_along_axis(c, np.argsort(~chosen, axis=1, kind="stable")[:, :keep], 1)
+        out[a : a + 1024, : picked.shape[1]] = picked
+    return out
 
 
 class Graph:
@@ -79,10 +70,48 @@ class Graph:
         layers = []
         for l in range(level.max() + 1):
             nodes = np.flatnonzero(level >= l).astype(np.int32)
-            layers.append((nodes, _links(unit, nodes, 2 * LINKS if l == 0 else LINKS)))
+            layers.append((nodes, np.full((len(nodes), 2 * LINKS if l == 0 else LINKS), -1, np.int32)))
             if len(nodes) <= LINKS:
                 break
-        return cls(unit, layers)
+        graph, level = cls(unit, layers), np.minimum(level, len(layers) - 1)
+        order, at = np.argsort(-level, kind="stable").astype(np.int32), 0
+        while at < len(order):
+            batch = order[at : at + min(max(at, LINKS), BATCH)]
+            graph._insert(batch, level[batch], order[:at])
+            at += len(batch)
+        return graph
+
+    def _insert(self, batch: np.ndarray, level: np.ndarray, there: np.ndarray) -> None:
+        """Add nodes to their layers; nodes of the top layer went in first, so every search has where to start."""
+        entry = there[np.isin(there[:LINKS], self.layers[-1][0]).nonzero()[0]]
+        start = np.full((len(batch), LINKS), -1, np.int32)
+        start[:, : len(entry)] = entry
+        for layer in range(len(self.layers) - 1, -1, -1):
+            found = self._beam(self.unit[batch], layer, start, EF_BUILD)
+            start = found[:, :LINKS]
+            mine = level >= layer
+            if mine.any():
+                self._link(layer, batch[mine], found[mine])
+
+    def _link(self, layer: int, new: np.ndarray, found: np.ndarray) -> None:
+        x, (nodes, table) = self.unit, self.layers[layer]
+        width, half = table.shape[1], table.shape[1] // 2
+        sim = x[new] @ x[new].T
+        np.fill_diagonal(sim, -np.inf)
+        mates = new[np.argpartition(-sim, min(MATES, len(new) - 1), axis=1)[:, :MATES]]
+        links = _choose(x, new, np.concatenate([found, mates], 1), half)
+        table[np.searchsorted(nodes, new), :half] = links
+        to, source = links.ravel(), np.repeat(new, half)
+        to, source = to[to >= 0], source[to >= 0]
+        order = np.lexsort((-np.einsum("ij,ij->i", x[to], x[source]), to))
+        to, source = to[order], source[order]
+        place = np.arange(len(to)) - np.searchsorted(to, to)
+        ends, at = np.unique(to, return_inverse=True)
+        back = np.full((len(ends), width), -1, np.int32)
+        ok = place < width
+        back[at[ok], place[ok]] = source[ok]
+        row = np.searchsorted(nodes, ends)
+        table[row] = _choose(x, ends, np.concatenate([table[row], back], 1), width)
 
     def _beam(self, q: np.ndarray, layer: int, start: np.ndarray, width: int) -> np.ndarray:
         """The nearest nodes found to each query, best first, from the start nodes (-1: none)."""
@@ -145,7 +174,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return rows.filter("vec_id IS NOT NULL").filter(finite).dropDuplicates(["vec_id", "v"])
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.stack([np.asarray(x.values) for x in column]) if len(column) else np.zeros((0, 0))
 
 
@@ -173,34 +202,47 @@ def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[
 
 def nearest(queries: DataFrame, index: DataFrame, shards: int, k: int = 5, ef: int = EF) -> DataFrame:
     """query_id, rank, vec_id, score of each query row (vec_id, v): its k nearest found, never itself."""
-    queries = stage(queries.select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim")), "ann-queries")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks)).cast("long")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    offered = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    asked = queries.select(
+        F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.col("vec_id").alias("query_id"), "v",
+        *[F.lit(None).cast(index.schema[c].dataType).alias(c) for c in ("vectors", "ids", "layers")],
+    )
+    held = index.select("dim", "shard", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("v"), "vectors", "ids", "layers")
+    rows = held.union(asked).repartition("dim", "shard").sortWithinPartitions("dim", "shard", F.col("query_id").asc_nulls_first())
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def look(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return schema.empty_table()
-        dim, ids = right["dim"][0].as_py(), right["ids"][0].as_py()
-        vectors = np.frombuffer(right["vectors"][0].as_buffer(), "<f8").reshape(-1, dim)
-        q, own = _matrix(left["v"]), left["query_id"].to_pylist()
-        found = Graph.from_row(vectors, right["layers"][0].as_py()).search(q, min(2 * k + 2, len(vectors)), ef)
-        norms, qn = np.linalg.norm(vectors, axis=1), np.linalg.norm(q, axis=1)
+    def look(shard: tuple, part: pa.RecordBatch) -> pa.RecordBatch:
+        vectors, norms, ids, graph = shard
+        q, own = _matrix(part.column("v")), part.column("query_id").to_pylist()
+        found, qn = graph.search(q, min(2 * k + 2, len(vectors)), ef), np.linalg.norm(q, axis=1)
         out: list[tuple] = []
         for i, near in enumerate(found):
             near = near[near >= 0]
-            scores = (vectors[near] @ q[i]) / (norms[near] * qn[i])
+            scores = (vectors[near] * q[i]).sum(1) / (norms[near] * qn[i])
             best: dict[int, float] = {}
             for n, s in zip(near.tolist(), scores.tolist()):
                 for v in ids[n]:
                     if v != own[i]:
                         best[v] = max(s, best.get(v, -2.0))
             out += [(own[i], v, s) for v, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))] if out else [[], [], []], schema=schema)
-
-    keys = ["dim", "shard", "block"]
-    found = asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInArrow(look, "query_id long, vec_id long, score double")
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], []), schema.types)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each shard's graph, then its queries in blocks; queries of a length that no vector has meet no graph."""
+        at, shard = None, None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("dim", "shard")])
+            graphs = batch.column("query_id").is_null().to_numpy(zero_copy_only=False)
+            new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0) | graphs[1:] | graphs[:-1]) + 1
+            for a, b in itertools.pairwise([0, *new.tolist(), batch.num_rows]):
+                if graphs[a]:
+                    row = batch.slice(a, 1).to_pylist()[0]
+                    vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
+                    at, shard = keys[:, a].tolist(), (vectors, np.linalg.norm(vectors, axis=1), row["ids"], Graph.from_row(vectors, row["layers"]))
+                elif at == keys[:, a].tolist():
+                    for c in range(a, b, QUERY_BLOCK):
+                        yield look(shard, batch.slice(c, min(QUERY_BLOCK, b - c)))
+
+    found = rows.mapInArrow(run, "query_id long, vec_id long, score double")
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return merged.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
