@@ -1,10 +1,18 @@
 """Chat formatting: a hidden Markov model over lines recovers who speaks, then turns are rendered in one canonical form.
 
-States are the roles. A line emits its speaker marker ("User:", "[assistant]", "### Human:" and the like); a row's first
-line also emits the row's length class, its place in the conversation and, where the table names one, the given role.
-Between lines of a row a speaker tends to stay; between rows the change follows a matrix. Lengths, places and changes are
-counted over all rows with a known role; no model is given from outside. Viterbi finds the most likely roles twice: from
-all evidence (`role`) and without the given roles (`text_role`), which measures the parser where roles are known.
+States are the roles. A line emits its speaker marker; a row's first line also emits the row's length class and its
+place in the conversation, and the given role, where the table names one, is evidence there and on every marked line. Markers
+are strong ("User:", "[assistant]", "### Human", "<|user|>"), fair (names that are also words, before a colon: "Q:",
+"Model:") or faint (such names before another sign: "a)", "me |"). Between lines of a row a speaker tends to stay; between
+rows, and where a strong marker opens a turn, the change follows a matrix. So a strong marker overrules the given role,
+a fair one only speaks where none is given, and a faint one is hardly evidence. A row given as user or assistant never
+speaks as system. Lengths, places and changes are counted over all rows with a known role; no model is given from outside.
+Viterbi finds the most likely roles twice: from all evidence (`role`) and without the given roles (`text_role`), which
+measures the parser where roles are known.
+
+No text is lost: a marker is taken off only where its line opens a part and the decoded role is the marker's, and it stays in
+`marker`; the rest is rendered as it stands, with a backslash put into whatever looks like a token of the canonical form
+("<|"), so that no text can open or close a turn. `original` undoes this: markers and bodies on end give the row's text.
 
 A conversation is cut into segments of SEGMENT rows, in order of turn, role and text. Where it has several, each segment's
 best-path matrix is computed first and a pass over these small matrices fixes the roles at its borders, so the path is that
@@ -35,10 +43,18 @@ ALIASES = {
     "user": ("user", "human", "me", "customer", "client", "question", "q", "prompter", "you"),
     "assistant": ("assistant", "ai", "bot", "gpt", "model", "agent", "support", "answer", "a", "chatgpt"),
 }
+#: Those of them that hardly begin a line of prose.
+NAMES = ("system", "sys", "user", "human", "prompter", "assistant", "ai", "bot", "gpt", "chatgpt")
 _ROLE_OF = {alias: i for i, r in enumerate(ROLES) for alias in ALIASES[r]}
-_MARKER = re.compile(r"^\s{0,8}(?:[#>*\[<|(]{0,4}\s?)(" + "|".join(sorted(_ROLE_OF, key=len, reverse=True)) + r")(?:\s?(?:\d{1,3}))?\s?(?:[\])>|*]{0,4}\s?[:：]\*{0,2}|[\])>|]{1,4})\s?", re.I)
-_HIT, _MISS = math.log(0.95), math.log(0.025)
-_GIVEN, _NOT_GIVEN = math.log(0.99), math.log(0.005)
+_MARKER = re.compile(
+    r"^\s{0,8}(?P<lead>[#>*\[<|(]{0,4}\s?)(?P<name>" + "|".join(sorted(_ROLE_OF, key=len, reverse=True)) + r")(?:\s?(?:\d{1,3}))?\s?(?P<sign>[\])>|*]{0,4}\s?[:：]\*{0,2}|[\])>|]{1,4}|(?=\s*$)(?<=[a-z]))\s?", re.I
+)
+FAINT, FAIR, STRONG = range(3)
+#: Log-probabilities of a marker where its role speaks and where another does, by strength.
+_HIT, _MISS = (math.log(0.5), math.log(0.8), math.log(0.95)), (math.log(0.25), math.log(0.1), math.log(0.025))
+#: Of the given role and each other one: on a row's first line, and on a marked line.
+_GIVEN, _NOT_GIVEN = (math.log(0.99), math.log(0.9)), (math.log(0.005), math.log(0.05))
+_NEVER = -1e3
 _STAY, _LEAVE = math.log(0.98), math.log(0.01)
 _N = len(ROLES)
 
@@ -104,37 +120,71 @@ def learn(rows: DataFrame) -> dict[str, list]:
     return {"length": log(length), "place": log(place), "change": log(change)}
 
 
-def lines_of(text: str) -> list[tuple[int | None, str]]:
-    """(role of the marker or None, line without it) of each line."""
-    out = []
-    for line in text.split("\n"):
-        m = _MARKER.match(line)
-        out.append((_ROLE_OF[m[1].lower()], line[m.end() :]) if m else (None, line))
-    return out
+def marker_of(line: str) -> tuple[int, int, int] | None:
+    """(role, strength, characters) of the marker that a line begins with."""
+    m = _MARKER.match(line)
+    if not m:
+        return None
+    name, lead, sign = m["name"].lower(), m["lead"].strip(), m["sign"]
+    colon = ":" in sign or "：" in sign
+    if not sign and lead[:1] != "#":
+        return None
+    framed = lead[:1] == "#" or lead[:2] == "<|" and sign[:2] == "|>" or lead[:1] == "[" and "]" in sign
+    strength = STRONG if framed and (name in NAMES or lead[:2] == "<|") or colon and name in NAMES else FAIR if colon or framed else FAINT
+    return _ROLE_OF[name], strength, m.end()
+
+
+def lines_of(text: str) -> list[tuple[tuple[int, int, int] | None, str]]:
+    """(marker or None, line) of each line."""
+    return [(marker_of(line), line) for line in text.split("\n")]
 
 
 _WITHIN = [[_STAY if i == j else _LEAVE for j in range(_N)] for i in range(_N)]
 
 
+def _between(change: list[list[float]]) -> tuple[list, list, list]:
+    """Change of role at a marker by strength: within a row, either, as between rows."""
+    either = [[math.log((math.exp(a) + math.exp(b)) / 2) for a, b in zip(x, y)] for x, y in zip(_WITHIN, change)]
+    return _WITHIN, either, change
+
+
 def steps_of(row: dict, lines: list, model: dict[str, list], with_given: bool) -> list[tuple[list, list[float]]]:
     """(change matrix, emissions) of each line of a row."""
-    text = row["text"]
+    text, given = row["text"], row["given"] if with_given else None
     size = min(int(math.log2(len(text) + 1) * 2), LENGTHS - 1)
     place = max(min(row["turn"] or 0, PLACES - 1), 0)
+    between = _between(model["change"])
     out = []
     for k, (marker, _) in enumerate(lines):
-        e = [0.0] * _N
-        if k == 0:
-            e = [model["length"][s][size] + model["place"][s][place] for s in range(_N)]
-            if with_given and row["given"] is not None:
-                e = [x + (_GIVEN if s == row["given"] else _NOT_GIVEN) for s, x in enumerate(e)]
+        e = [model["length"][s][size] + model["place"][s][place] for s in range(_N)] if k == 0 else [0.0] * _N
+        change = model["change"] if k == 0 else _WITHIN
         if marker is not None:
-            e = [x + (_HIT if s == marker else _MISS) for s, x in enumerate(e)]
-        # a marker opens a turn as a new row does
-        out.append((model["change"] if k == 0 or marker is not None else _WITHIN, e))
+            role, strength, _ = marker
+            e = [x + (_HIT if s == role else _MISS)[strength] for s, x in enumerate(e)]
+            change = change if k == 0 else between[strength]
+        if given is not None and (k == 0 or marker is not None):
+            marked = int(marker is not None and (k > 0 or marker[1] == STRONG))
+            e = [x + (_GIVEN if s == given else _NOT_GIVEN)[marked] for s, x in enumerate(e)]
+        if given:
+            e[0] += _NEVER
+        out.append((change, e))
     return out
 
 
+def parts_of(lines: list, roles: list[int]) -> list[tuple[int, str, str]]:
+    """(first line, marker, body) of each part of a row: one opens at its start, where the role changes, and at a strong
+    marker of the role that speaks."""
+    out: list[tuple[int, str, list[str]]] = []
+    for k, ((marker, line), role) in enumerate(zip(lines, roles)):
+        own = marker is not None and marker[0] == role and marker[1] > FAINT
+        if k == 0 or role != roles[k - 1] or own and marker[1] == STRONG:
+            cut = marker[2] if own else 0
+            out.append((k, line[:cut], [line[cut:]]))
+        else:
+            out[-1][2].append(line)
+    return [(k, marker, "\n".join(body)) for k, marker, body in out]
+
+
 def viterbi(steps: list, before: int | None = None, last: int | None = None) -> list[int]:
     """The best path of roles; `before` is the role ahead of the first line, `last` the one of the final line, if fixed."""
     (change, e), back = steps[0], []
@@ -214,12 +264,18 @@ def borders(rows: DataFrame, model: dict[str, list]) -> DataFrame:
 
 
 def render(role: str, text: str) -> str:
-    """The canonical form of a turn."""
-    return f"<|{role}|>\n{text.strip()}\n<|end|>\n"
+    """The canonical form of a turn; what looks like a token in the text gets one backslash more."""
+    return f"<|{role}|>\n" + re.sub(r"<(\\*)\|", r"<\\\1|", text) + "\n<|end|>\n"
+
+
+def original(rendered: str) -> tuple[str, str]:
+    """(role, text) of a canonical turn."""
+    head, _, rest = rendered.partition("\n")
+    return head[2:-2], re.sub(r"<\\(\\*)\|", r"<\1|", rest.removesuffix("\n<|end|>\n"))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, part, copies, given_role, role, text_role, rendered: the turns of every row of `turns`.
+    """conv_id, turn, part, copies, given_role, role, text_role, marker, rendered: the turns of every row of `turns`.
 
     A row whose lines change speaker, or carry a new marker, becomes several parts, numbered from 0.
     """
@@ -228,7 +284,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     fixed = stage(borders(rows, model), "chat-borders")
     dealt = rows.join(fixed, ["conv", "seg"], "left").repartition("conv", "seg").sortWithinPartitions(*_SORT)
     kinds = {f.name: f.dataType for f in turns.schema.fields}
-    out = f"conv_id {kinds['conv_id'].simpleString()}, turn {kinds['turn'].simpleString()}, part int, copies long, given_role string, role string, text_role string, rendered string"
+    out = f"conv_id {kinds['conv_id'].simpleString()}, turn {kinds['turn'].simpleString()}, part int, copies long, given_role string, role string, text_role string, marker string, rendered string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
@@ -240,17 +296,13 @@ def format_chats(turns: DataFrame) -> DataFrame:
             )
             found, at = [], 0
             for r, lines in zip(held, split):
-                part, start = 0, 0
-                for k in range(1, len(lines) + 1):
-                    if k < len(lines) and lines[k][0] is None and role[at + k] == role[at + start]:
-                        continue
-                    name = ROLES[role[at + start]]
-                    found.append((r["conv_id"], r["turn"], part, r["copies"], r["given_role"], name, ROLES[text_role[at + start]], render(name, "\n".join(x for _, x in lines[start:k]))))
-                    part, start = part + 1, k
+                for part, (k, marker, body) in enumerate(parts_of(lines, role[at : at + len(lines)])):
+                    name = ROLES[role[at + k]]
+                    found.append((r["conv_id"], r["turn"], part, r["copies"], r["given_role"], name, ROLES[text_role[at + k]], marker, render(name, body)))
                 at += len(lines)
-            schema = schema or ["conv_id", "turn", "part", "copies", "given_role", "role", "text_role", "rendered"]
-            types = (None, None, pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
-            arrays = [pa.array(c, t or source) for c, t, source in zip(zip(*found), types, (id_type, turn_type, *[None] * 6))]
+            schema = schema or ["conv_id", "turn", "part", "copies", "given_role", "role", "text_role", "marker", "rendered"]
+            types = (None, None, pa.int32(), pa.int64(), *[pa.string()] * 5)
+            arrays = [pa.array(c, t or source) for c, t, source in zip(zip(*found), types, (id_type, turn_type, *[None] * 7))]
             yield pa.RecordBatch.from_arrays(arrays, schema)
 
     from pyspark.sql.pandas.types import to_arrow_type
