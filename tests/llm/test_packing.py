@@ -1,5 +1,6 @@
 """Packing: ids against the tokenizer on whole texts, a gapless round trip, and padding."""
 
+import os
 import zlib
 from collections import defaultdict
 
@@ -86,3 +87,18 @@ def test_odd_rows(spark):
     check(df)
     check(df, shard_tokens=500)
     assert pack(df.limit(0), PATH).count() == 0
+
+
+def test_a_tokenizer_that_keeps_case_and_space():
+    """A file that the rules of word tables do not hold for is applied to whole texts."""
+    for name in sorted(os.listdir(os.path.dirname(PATH))):
+        if not name.endswith(".json"):
+            continue
+        try:
+            whole = Tokenizer.from_file(os.path.join(os.path.dirname(PATH), name))
+        except Exception:
+            continue
+        fast = WordTokenizer(os.path.join(os.path.dirname(PATH), name))
+        for t in ("Two  Words.\n Next (one) it's", "", "ÀÉ x"):
+            ids, at = fast.encode(pa.array([t, None], pa.large_string()))
+            assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids and at.tolist() == [0, len(ids), len(ids)]

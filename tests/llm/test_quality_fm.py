@@ -38,3 +38,16 @@ def test_odd_rows_and_no_labels(spark):
     one = spark.createDataFrame([(3, 1), (3, 0), (1, 1), (None, 1), (2, None)], "doc_id long, quality int")
     assert fm.classify(docs, one).count() == 4
     assert fm.classify(docs.limit(0), one).count() == 0
+
+
+def test_one_id_many_times(spark, monkeypatch):
+    """An id that comes 50,000 times with other texts brings one row to the driver, and reruns share the model."""
+    taken = []
+    old = fm.train
+    monkeypatch.setattr(fm, "train", lambda stats, owner, bucket, y, **k: taken.append(len(y)) or old(stats, owner, bucket, y, **k))
+    hot = spark.range(50_000).selectExpr("2L AS doc_id", "concat('hot text ', id) AS text", "id AS n_chars")
+    rest = spark.range(3, 400).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'good words here' ELSE '### $$$ 77' END AS text", "id AS n_chars")
+    labels = spark.range(2, 400).selectExpr("id AS doc_id", "1 - id % 2 AS quality")
+    docs = hot.union(rest)
+    first, second = fm.fit(docs, labels, 100), fm.fit(docs.repartition(7), labels, 100)
+    assert taken == [100, 100] and np.array_equal(first.w, second.w)

@@ -5,8 +5,9 @@ document f times, and once more those whose hash lies under the source's thresho
 sort: tokens are summed by source and hash bucket, the bucket where the running sum crosses the budget is refined by
 the next hash bits, and so on until it holds one hash (LEVELS rounds at most). All rows that share one hash (copies of one row) fall on the same side.
 
-Sources are ordered by code point with null last; weights repeat over that order. A source holds one row in the target
-table, so only that table (a row a source) is ordered as a whole. Joins carry no broadcast hint: Spark
+Sources are ordered by code point with null last; weights repeat over that order. Ranges of the order are numbered side
+by side, and the budget is dealt by sums over all sources, so no task reads the whole table of sources however many
+there are. Joins carry no broadcast hint: Spark
 broadcasts the target table where its size is below the session's threshold, else it shuffles. Rows with null ids or texts take part with size 0.
 """
 
@@ -22,28 +23,39 @@ HASH_BITS, LEVELS, BITS = 60, 5, 12
 CAP = 3
 
 
+def _numbered(by_source: DataFrame) -> DataFrame:
+    """The rows with `rank` from 0 in the order of sources: each range of the order is numbered by itself, and the rows of
+    earlier ranges, one count a range, are added."""
+    order = F.col("source").asc_nulls_last()
+    dealt = by_source.repartitionByRange(order).sortWithinPartitions(order).withColumn("id", F.monotonically_increasing_id())
+    dealt = stage(dealt, "mix-sources").withColumn("range", F.shiftright("id", 33))
+    parts = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    ahead = parts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("ahead"))
+    inside = F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(ahead, "range").withColumn("rank", F.col("ahead") + inside).drop("id", "range", "ahead")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: int = CAP) -> DataFrame:
     """source, source_size, target: the budget dealt by weight, none above `cap` times its source's size.
 
-    Sources in order of cap / weight: the first k are held at their cap where the level that the others reach,
-    (budget - caps held) / (weights left), does not pass the next source's cap / weight.
+    Water filling by sums: the level is (budget - limits of the sources held at them) / (weights of the others); sources
+    whose limit the level passes are held, which raises the level, until no more are.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    n = len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % n + 1).cast("int"))
-    every = Window.partitionBy()
-    level = Window.orderBy("at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    t = by_source.withColumn("weight", weight).withColumn("limit", (F.col("source_size") * cap).cast("double"))
+    t = _numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    t = stage(t.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * cap).cast("double").alias("limit")), "mix-weights")
     t = t.withColumn("at", F.col("limit") / F.col("weight"))
-    t = t.withColumn("budget", F.sum("source_size").over(every) * F.lit(float(share)))
-    held = F.coalesce(F.sum("limit").over(level), F.lit(0.0))
-    left = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(level), F.lit(0.0))
-    t = t.withColumn("level", (F.col("budget") - held) / left)
-    # the first source whose level its own limit admits sets the level of all that follow
-    t = t.withColumn("final", F.min(F.when(F.col("level") <= F.col("at"), F.struct("at", "level"))).over(every)["level"])
-    target = F.when(F.col("final").isNull() | (F.col("at") < F.col("final")), F.col("limit")).otherwise(F.col("final") * F.col("weight"))
-    return t.select("source", "source_size", F.least(target, F.col("limit")).alias("target"))
+    level, before = float("-inf"), -1
+    while True:
+        held = F.col("at") < F.lit(level)
+        sums = t.agg(
+            F.count_if(held), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum(F.when(held, F.col("limit"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~held, F.col("weight"))), F.lit(0.0))
+        ).first()
+        if sums[0] == before or not sums[3]:
+            break
+        before, level = sums[0], (sums[1] * share - sums[2]) / sums[3]
+    filled = F.col("limit") if not sums[3] else F.when(F.col("at") < F.lit(level), F.col("limit")).otherwise(F.lit(level) * F.col("weight"))
+    return t.select("source", "source_size", F.least(filled, F.col("limit")).alias("target"))
 
 
 def _bucket(level: int) -> Column:
@@ -79,7 +91,7 @@ def thresholds(sized: DataFrame, targets: DataFrame, source_cap: int = CAP) -> t
             first.select(
                 "source", "source_size", "target", "passes", (F.col("rest") - spent).alias("rest"), (F.shiftleft(F.col("prefix"), BITS) + bucket).alias("prefix"),
                 (F.col("b.bucket").isNull()).alias("all"), F.col("b.tokens").alias("tokens"), F.coalesce(F.col("b.mixed"), F.lit(False)).alias("mixed"),
-            ).coalesce(1),
+            ),
             "mix-edge",
         )
         if edge.filter("mixed AND rest > 0").isEmpty():
@@ -97,7 +109,7 @@ def _extra(hashed: Column, threshold: str, bits: int) -> Column:
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: int = CAP, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for every row of `docs` (doc_id, text, source)."""
     sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _hash(seed).alias("hash")), "mix-sized")
-    targets = stage(source_targets(sized, weights, share, cap).coalesce(1), "mix-targets")
+    targets = stage(source_targets(sized, weights, share, cap), "mix-targets")
     return apply_thresholds(sized, *thresholds(sized, targets, cap))
 
 
@@ -110,7 +122,7 @@ def _hash(seed: int) -> Column:
 def resample(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: int = CAP, seed: int = 17) -> DataFrame:
     """The mixed corpus: every row of `docs` as often as the mix takes it, with the columns it came with."""
     sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _hash(seed).alias("hash")), "mix-sized")
-    edges, bits = thresholds(sized, stage(source_targets(sized, weights, share, cap).coalesce(1), "mix-targets"), cap)
+    edges, bits = thresholds(sized, stage(source_targets(sized, weights, share, cap), "mix-targets"), cap)
     e = edges.select(F.col("source").alias("mix_source"), F.col("passes").alias("mix_passes"), F.col("threshold").alias("mix_threshold"))
     copies = F.least(F.col("mix_passes") + _extra(_hash(seed), "mix_threshold", bits), F.lit(cap).cast("long")).cast("int")
     joined = docs.join(e, docs["source"].eqNullSafe(F.col("mix_source"))).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies)))

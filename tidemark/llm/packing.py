@@ -12,6 +12,7 @@ Null and empty texts have only the END id. Repeated rows are packed row by row.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,11 +33,16 @@ _BATCH_BYTES = 2 << 20
 _PARTS = "^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[!-/:-@\\[-`{-~]*)$"
 
 
+#: Texts on which the rules of WordTokenizer are tried.
+SAMPLES = ("Two Words", " Lead,  and\ttrail.\n\nNext (one) ", "ÀÉ été Straße's", "a1b2 3.14 x-y", "the quick brown Fox jumps; over")
+
+
 class WordTokenizer:
     """Ids of whole texts from a file of the `tokenizers` library, word by word.
 
     Holds for tokenizers that lower-case, drop white space, never join over it and part letters from other marks: then
-    a text's ids are its words' ids on end, and those of "Word.)" are those of "word" and ".)". Words met before come from
+    a text's ids are its words' ids on end, and those of "Word.)" are those of "word" and ".)". Other files, told by
+    samples (SAMPLES), are applied to whole texts. Words met before come from
     bounded tables. New words of plain letters are encoded together, parted by spaces, and told apart by their end
     tokens; all others are encoded one by one as they stand.
     """
@@ -52,6 +58,15 @@ class WordTokenizer:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.by_words = bool(self.ends.any()) and all(self._parted(t) for t in SAMPLES)
+
+    def _parted(self, text: str) -> bool:
+        """Whether the text's ids are those of its words on end, and a word's those of its small letters and its marks."""
+        pieces = []
+        for word in text.split():
+            m = re.match(_PARTS, word)
+            pieces += [m["core"].lower(), m["mark"]] if m else [word]
+        return self._whole(text) == b"".join(map(self._whole, pieces))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -88,6 +103,9 @@ class WordTokenizer:
 
         Distinct words of a batch are split into letters and marks; the distinct parts are looked up once.
         """
+        if not self.by_words:
+            ids = [self._whole(t or "") for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)])
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = split.flatten().dictionary_encode()
         names, each = words.dictionary, words.indices.to_numpy()

@@ -7,7 +7,7 @@ Features: distinct lower-cased words hashed to 2**WORD_BITS buckets, each statis
 quantile bins, and the bins of the n_chars metadata. Labels, lang, source and doc_id are no features.
 
 The model is fitted on at most `max_rows` labelled rows, those with the smallest hash of their id, whatever the size of
-the corpus; scoring reads every document whole. Null and empty texts have no word features and get a score from their
+the corpus, and of an id with several rows on the one with the smallest hash; scoring reads every document whole. Null and empty texts have no word features and get a score from their
 statistics. Labels that contradict each other for one id are left out. Without labels of both kinds every score is
 the share of label 1 (0.5 without any).
 """
@@ -147,7 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     rated = labels.filter(learnable(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"))
     picked = rated.filter("lo = hi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", F.col("lo").cast("double").alias("y"))
     # max_rows ids and labels: a few hundred kilobytes at most
-    rows = docs.select("doc_id", "text", "n_chars").join(F.broadcast(picked), "doc_id").select("text", "n_chars", "y")
+    rows = docs.select("doc_id", "text", "n_chars", F.xxhash64("text", "n_chars").alias("key")).join(F.broadcast(picked), "doc_id")
+    # an id may come with any number of rows: one of them is left before anything is sent to the driver
+    least = rows.groupBy("doc_id").agg(F.min("key").alias("key"))
+    rows = rows.join(F.broadcast(least), ["doc_id", "key"]).dropDuplicates(["doc_id"]).select("text", "n_chars", "y")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
                 )
 
     got = rows.mapInArrow(extract, "y double, stats array<double>, buckets array<int>").toArrow()
-    # repeated ids may bring more rows than labels: hold the bound, in an order that reruns share
-    order = sorted(range(len(got)), key=lambda i: (got["stats"][i].as_py(), got["y"][i].as_py()))[:max_rows]
+    # in an order that reruns share
+    order = sorted(range(len(got)), key=lambda i: (got["stats"][i].as_py(), got["y"][i].as_py()))
     got = got.take(pa.array(order, pa.int64()))
     stats = np.array(got["stats"].to_pylist()).reshape(-1, len(STATS))
     buckets = got["buckets"].combine_chunks()
@@ -189,5 +192,3 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_row
     docs = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"))
     scored = with_score(docs, fit(docs, labels, max_rows)).select("doc_id", "score")
     return scored.select("doc_id", F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
-
-
