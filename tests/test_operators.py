@@ -1,5 +1,6 @@
 """Operators that SQL does not say, and corner cases of those that it does, against plain loops."""
 
+import hashlib
 import random
 import re
 from datetime import datetime, timedelta
@@ -74,14 +75,13 @@ def test_lineage(spark):
     assert {r["path"]: (r["seq"], r["prov"]) for r in St.lineage(df).collect()} == want
 
 
-def test_running_total_over_spans(spark):
-    df = spark.range(1, 501).select(F.col("id").alias("n"), (F.col("id") % 7).alias("v"))
-    for span in (1, 10, 1000):
-        got = {r["n"]: r["t"] for r in O.running_total(df, "n", "v", "t", span).collect()}
-        run = 0
-        for n in range(1, 501):
-            run += n % 7
-            assert got[n] == run
+def test_running_total_over_ranges(spark):
+    """In the order of a sparse column, with ties, over any number of ranges."""
+    df = spark.range(1, 501).select((F.floor(F.col("id") / 3) * 1000 + F.lit(0.5)).alias("n"), F.col("id"), (F.col("id") % 7 + 1).alias("v"))
+    rows = sorted((r["t"], r["n"]) for r in O.running_total(df, "n", "v", "t").collect())
+    assert [n for _, n in rows] == [i // 3 * 1000 + 0.5 for i in range(1, 501)]
+    last = {n: t for t, n in rows}
+    assert all(last[n] == sum(i % 7 + 1 for i in range(1, 501) if i // 3 * 1000 + 0.5 <= n) for n in last)
 
 
 FORM_C = [  # input, output or error
@@ -132,7 +132,7 @@ def test_syntax_and_yaml(spark):
     got = [r["r"] for r in spark.createDataFrame(rows, "p string, t string").select(C.syntax_check(F.col("p"), F.col("t")).alias("r")).collect()]
     assert got == ["ok", "invalid", "ok", "invalid", "ok", "invalid", "skipped"]
     out = spark.createDataFrame([('{"a":"x","b":[1,2],"c":"k: v"}', "body"), ("{}", "body"), (None, "body")], "m string, b string").select(C.with_frontmatter(F.col("m"), F.col("b")).alias("r")).collect()
-    assert [r["r"] for r in out] == ['---\na: x\nb: [1, 2]\nc: "k: v"\n---\n\nbody', "body", "body"]
+    assert [r["r"] for r in out] == ["---\na: x\nb:\n- 1\n- 2\nc: 'k: v'\n---\n\nbody", "body", "body"]
 
 
 def test_seed_only_an_empty_store(spark):
@@ -285,3 +285,128 @@ def test_guards_by_content(spark, sf):
     got = {r["doc_id"]: list(r)[1:] for r in registry.queries()["dec3_dec6_snk5_by_content"](spark, sf).collect()}
     assert got == want
     assert {x[1] for x in want.values()} == {"none", "preserve_and_push", "stash_then_align"} and len({x[3] for x in want.values()}) >= 3
+
+
+YAML = [
+    {"title": "true", "v": "123", "n": "null", "b": "- x", "z": 1, "a": 2.5, "t": True, "none": None}, {"no": "No", "date": "2020-01-01", "time": "12:30", "e": "1e5", "h": "0x1F", "u": "1_000", "d": ".5", "eq": "=", "m": "<<"},
+    {"c": "a: b", "h": "a #b", "q": "it's", "w": " lead", "x": "trail ", "k:": ": ", "": "", "nl": "two\nlines\n", "tab": "a\tb", "emoji": "😀 é", "bs": "\\", "dq": '"x"', "z": "\x07\x00\x85"},
+    {"tags": ["a", "- b", ["c", {"d": []}], {}, {"k": {"l": "yes"}}], "map": {"b": {"a": [1, 2]}, "a": "~"}},
+]
+
+
+def test_frontmatter_reads_back(spark):
+    """Every string stays a string, keys rise, nested values come back; null and {} have no block."""
+    import json
+
+    yaml = pytest.importorskip("yaml")
+    rows = [(i, json.dumps(v), "body") for i, v in enumerate(YAML)] + [(90, "{}", "x"), (91, None, "x"), (92, "null", "x"), (93, "[]", "x")]
+    got = {r["i"]: r["t"] for r in spark.createDataFrame(rows, "i int, m string, b string").select("i", C.with_frontmatter(F.col("m"), F.col("b")).alias("t")).collect()}
+    for i, v in enumerate(YAML):
+        block = got[i].removeprefix("---\n").removesuffix("---\n\nbody")
+        assert len(block) == len(got[i]) - 13 and yaml.safe_load(block) == v and list(yaml.safe_load(block)) == sorted(v)
+    assert got[90] == got[91] == got[92] == "x" and got[93] == "---\n[]\n---\n\nx"
+
+
+def test_yaml_files_are_checked(spark):
+    pytest.importorskip("yaml")
+    rows = [("x.yaml", "a: 1\nb:\n  - 2\n  - 3\n"), ("x.yml", "a: 1\n\tb: [unterminated\n"), ("X.YAML", ""), ("x.yml", "a: 1\n---\nb: 2\n"), ("x.yml", "[" * 5000), ("yaml", "{"), ("d.yaml/x", "{")]
+    got = [r["r"] for r in spark.createDataFrame(rows, "p string, t string").coalesce(1).select(C.syntax_check(F.col("p"), F.col("t")).alias("r")).collect()]
+    assert got == ["ok", "invalid", "ok", "invalid", "invalid", "skipped", "skipped"]
+
+
+def test_journal_lines_odd(spark):
+    whole = lambda i, v=1: f'{{"schema_version":{v},"id":"{i}","path":"p","action":"create","content_sha":"s","queued_at":"q","device_id":"d"}}'
+    files = {
+        1: [whole("a"), "\t", " \x0b\u00a0\u2003\r", whole("b")], 2: [whole("c"), whole("x", -1), whole("d")], 3: [whole("e"), whole("x", 0), whole("x", 2), whole("x", 4294967295), whole("f")],
+        4: [whole("g"), whole("x", 4294967296), whole("h")], 5: [whole("i"), whole("x", '"1.5"'), whole("j")], 6: ["", whole("k"), "{}", whole("l")], 7: [whole("m"), '{"schema_version":1}', whole("n")],
+    }
+    rows = [(f, i, line) for f, lines in files.items() for i, line in enumerate(lines)]
+    got = sorted((r["file"], r["id"]) for r in St.journal_lines(spark.createDataFrame(rows, "file int, line_no int, line string")).collect())
+    assert got == [(1, "a"), (1, "b"), (2, "c"), (3, "e"), (3, "f"), (4, "g"), (5, "i"), (6, "k"), (7, "m"), (7, "n")]
+
+
+def test_empty_files_are_listed(spark, tmp_path):
+    from tidemark.sources.files import candidate_files, file_manifest
+
+    (tmp_path / "d e").mkdir()
+    for name, data in (("a.md", b"x"), ("empty.md", b""), ("d e/é %41.md", b""), ("d e/b.md", b"yy"), ("c.txt", b"")):
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"]: (r["size_bytes"], r["content_hash"][:8]) for r in file_manifest(candidate_files(spark, str(tmp_path))).collect()}
+    assert got == {"a.md": (1, "2d711642"), "empty.md": (0, "e3b0c442"), "d e/é %41.md": (0, "e3b0c442"), "d e/b.md": (2, hashlib.sha256(b"yy").hexdigest()[:8])}
+    assert {r["path"]: r["decision"] for r in candidate_files(spark, str(tmp_path)).collect()}["c.txt"] == "drop_extension"
+
+
+def test_stores_are_rewritten_whole(spark, tmp_path):
+    folder, schema = f"file://{tmp_path}/store", "k STRING, v BIGINT"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    assert St.load(spark, folder, schema).count() == 0
+    assert St.save_if_changed(frame([]), folder, schema) and St.save_if_changed(frame([("a", 1), ("a", 1), (None, None)]), folder, schema)
+    assert not St.save_if_changed(frame([(None, None), ("a", 1), ("a", 1)]), folder, schema)
+    frame([("b", 2)]).write.parquet(f"{folder}/v3")  # a run that failed before it named its version
+    assert sorted(map(str, St.load(spark, folder, schema).collect())) == sorted(map(str, frame([("a", 1), ("a", 1), (None, None)]).collect()))
+    assert St.save(frame([("c", 3)]), folder) == 3 and [tuple(r) for r in St.load(spark, folder, schema).collect()] == [("c", 3)]
+
+
+def test_admission_over_islands(spark):
+    """Roots are cut at gaps; the result is that of the loop, and a root with gaps lies in several parts."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for root in (1, 2, None):
+        times = sorted(rng.randrange(30) + 1000 * rng.randrange(6) for _ in range(200))
+        ids = [(root or 0) * 1000 + i for i in range(200)]
+        rows += [(root, i, T0 + timedelta(seconds=t)) for i, t in zip(ids, times)]
+        want |= dict(zip(ids, admitted(times, 3, 7)))
+    df = spark.createDataFrame(rows, "root long, event_id long, ts timestamp")
+    assert {r["event_id"]: r["admitted"] for r in O.admission(df, 3, 7).collect()} == want
+    cut = O.islands(df.withColumn("t", F.unix_micros("ts")), "root", "t", 7_000_000)
+    assert cut.count() == 600 and cut.select("root", "island").distinct().count() >= 15
+
+
+def test_replay_touches_only_its_buckets(spark, tmp_path):
+    from tidemark.streaming import feeds
+
+    rng, latest = random.Random(3), {}
+    for i in range(6):
+        rows = [(100 * i + j, f"p{rng.randrange(12) if i else j}", rng.choice(["UPSERT", "DELETE"]), rng.randrange(500)) for j in range(40 if not i else 3)]
+        for e, p, op, seq in rows:
+            latest[p] = max(latest.get(p, (-1, -1, "")), (seq, e, op))
+        spark.createDataFrame(rows, "event_id long, path string, op string, seq long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("event_id long, path string, op string, seq long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    name = f"replay-{tmp_path.name}-{rng.random()}"
+    got = {r["path"]: (r["seq"], r["event_id"], r["op"]) for r in feeds.replay(stream, spark, name).collect()}
+    assert got == latest
+    held = feeds._held(spark, f"{feeds.shared_dir(spark)}/{name}", 1 << 62)
+    assert len(held) > 8 and max(len(v) for v in held.values()) <= 2 and len({v[0] for v in held.values()}) > 1
+    again = feeds.replay(stream, spark, name)  # nothing new: the store as it was
+    assert {r["path"]: (r["seq"], r["event_id"], r["op"]) for r in again.collect()} == latest
+
+
+def test_watched_folder(spark, tmp_path):
+    from tidemark.streaming import feeds
+
+    (tmp_path / "in" / "d").mkdir(parents=True)
+    files = {"a.md": b"x", "d/b.md": b"yy", "d/c.txt": b"z", "d/n.conflict-from-a-1.md": b"q"}
+    for name, data in files.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    q = feeds.watch_folder(spark, str(tmp_path / "in")).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["path"]: (r["content_hash"], r["size_bytes"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {n: (hashlib.sha256(files[n]).hexdigest(), len(files[n])) for n in ("a.md", "d/b.md")}
+
+
+def test_no_local_folder_on_a_cluster():
+    from tidemark.plans.staging import shared_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Spark:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://head:7077"
+            getConf = staticmethod(Conf)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Spark())

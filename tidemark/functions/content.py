@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -100,22 +101,59 @@ def contained_in_order(server: Column, local: Column) -> Column:
     return F.aggregate(lines(local), F.lit(0), lambda p, h: F.when(F.get(want, p).eqNullSafe(h), p + 1).otherwise(p)) >= F.size(want)
 
 
+#: Plain words that a YAML reader takes for null, truth values and the like.
+_YAML_WORDS = {"", "~", "null", "true", "false", "yes", "no", "on", "off", "y", "n", "<<", "=", "---", "...", ".inf", "-.inf", "+.inf", ".nan"}
+_YAML_PLAIN = re.compile(r"[^\s\-?:,\[\]{}#&*!|>'\"%@`\x00-\x1f\x7f]([^\x00-\x1f\x7f\x85\u2028\u2029\ufeff]*[^\s:\x00-\x1f\x7f\ufeff])?")
+
+
+def _yaml_text(v: str) -> str:
+    """A string as a YAML scalar that reads as that string."""
+    number = v[:1].isdigit() or v[:1] in "+." and len(v) > 1
+    if _YAML_PLAIN.fullmatch(v) and v.lower() not in _YAML_WORDS and not number and ": " not in v and " #" not in v and ":\t" not in v:
+        return v
+    if v.isprintable():
+        return "'" + v.replace("'", "''") + "'"
+    return json.dumps(v, ensure_ascii=True) if v.isascii() or all(ord(c) < 0x10000 for c in v) else '"' + "".join(c if c.isprintable() and c not in '"\\' else f"\\U{ord(c):08x}" for c in v) + '"'
+
+
+def _yaml_lines(value, indent: str = "") -> list[str]:
+    """Block style: mappings by rising key, lists at the depth of their key."""
+    out: list[str] = []
+    if isinstance(value, dict):
+        for k in sorted(value):
+            v, head = value[k], f"{indent}{_yaml_text(k)}:"
+            if isinstance(v, (dict, list)) and v:
+                out += [head, *_yaml_lines(v, indent + "  " if isinstance(v, dict) else indent)]
+            else:
+                out.append(f"{head} {_yaml_scalar(v)}")
+        return out
+    for v in value:
+        if isinstance(v, (dict, list)) and v:
+            first, *rest = _yaml_lines(v, indent + "  ")
+            out += [f"{indent}- {first[len(indent) + 2 :]}", *rest]
+        else:
+            out.append(f"{indent}- {_yaml_scalar(v)}")
+    return out
+
+
+def _yaml_scalar(v) -> str:
+    return _yaml_text(v) if isinstance(v, str) else json.dumps(v)
+
+
 @F.pandas_udf(StringType())
 def _yaml(s: pd.Series) -> pd.Series:
     def one(text: str | None) -> str | None:
-        if text is None:
+        value = json.loads(text) if text is not None else None
+        if value is None or value == {}:
             return None
-        value = json.loads(text)
-        if not value:
-            return None
-        show = lambda v: json.dumps(v, ensure_ascii=False) if not isinstance(v, str) or v == "" or v != v.strip() or any(c in v for c in ":#{}[],&*!|>'\"%@`\n") else v
-        return "".join(f"{k}: {show(v)}\n" for k, v in value.items())
+        lines = _yaml_lines(value) if isinstance(value, (dict, list)) and value else [_yaml_scalar(value)]
+        return "".join(line + "\n" for line in lines)
 
     return s.map(one)
 
 
 def with_frontmatter(meta_json: Column, body: Column) -> Column:
-    """The body behind its metadata as a flat YAML block; nested values are written in flow style."""
+    """The body behind its metadata as a YAML block, keys in rising order; without metadata (null or {}) the body alone."""
     block = _yaml(meta_json)
     return F.when(block.isNull(), body).otherwise(F.concat(F.lit("---\n"), block, F.lit("---\n\n"), body))
 
@@ -132,15 +170,23 @@ def _syntax(kind: pd.Series, text: pd.Series) -> pd.Series:
     import ast
     import tomllib
 
+    try:
+        import yaml
+    except ImportError:  # without a reader of YAML its files go unchecked
+        yaml = None
+
     def one(k: str, t: str) -> str:
         try:
             if k == "toml":
                 tomllib.loads(t)
             elif k == "py":
                 ast.parse(t)
+            elif yaml:
+                if len(list(yaml.compose_all(t, yaml.CSafeLoader if hasattr(yaml, "CSafeLoader") else yaml.SafeLoader))) > 1:
+                    return "invalid"
             else:
                 return "skipped"
-        except (ValueError, SyntaxError):
+        except (ValueError, SyntaxError, RecursionError, *((yaml.YAMLError,) if yaml else ())):
             return "invalid"
         return "ok"
 
@@ -148,10 +194,12 @@ def _syntax(kind: pd.Series, text: pd.Series) -> pd.Series:
 
 
 def syntax_check(path: Column, text: Column) -> Column:
-    """ok, invalid or skipped by the path's ending; JSON in the JVM, TOML and Python parsed in Arrow batches."""
-    ext = F.lower(F.regexp_extract(path, "\\.([A-Za-z]+)$", 1))
+    """ok, invalid or skipped by the path's ending; JSON in the JVM, TOML, YAML (one document a file) and Python parsed in
+    Arrow batches. Files of other endings never leave the JVM."""
+    ext = F.lower(F.regexp_extract(path, "[^/]\\.([A-Za-z]+)$", 1))
+    kind = F.when(ext.isin("yml", "yaml"), F.lit("yaml")).when(ext.isin("toml", "py"), ext)
     parsed = F.call_function("try_parse_json", text)
-    return F.when(ext == "json", F.when(parsed.isNotNull(), F.lit("ok")).otherwise(F.lit("invalid"))).when(ext.isin("toml", "py"), _syntax(ext, text)).otherwise(F.lit("skipped"))
+    return F.when(ext == "json", F.when(parsed.isNotNull(), F.lit("ok")).otherwise(F.lit("invalid"))).when(kind.isNotNull(), _syntax(kind, text)).otherwise(F.lit("skipped"))
 
 
 def integrity(path: Column, content: Column, size: Column, digest: Column) -> Column:

@@ -208,3 +208,21 @@ def relative_to(path: Column, root: str) -> Column:
     """An absolute path below `root` without it; null elsewhere."""
     lead = root.rstrip("/") + "/"
     return F.when(F.startswith(path, F.lit(lead)), F.substring(path, len(lead) + 1, 1 << 30))
+
+
+def is_mutating(kind: Column) -> Column:
+    """Whether a file event may change content: all kinds but `access` and `modify/metadata` with what lies below them; unknown ones do."""
+    k = F.lower(F.coalesce(kind, F.lit("any")))
+    below = lambda p: (k == p) | F.startswith(k, F.lit(p + "/"))
+    return ~(below("access") | below("modify/metadata"))
+
+
+def target_path(mode: Column, rel: Column, live_root: Column, shadow_root: Column) -> Column:
+    """Where a path is written: below the live root in live mode, below the shadow's in every other, unknown and null ones too."""
+    root = F.when(mode == "live", live_root).otherwise(shadow_root)
+    return F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"), rel)
+
+
+def is_redflag(path: Column, is_file: Column) -> Column:
+    """The stop flag: a regular file of exactly this name at the root."""
+    return (path == "redflag.md") & is_file

@@ -19,7 +19,77 @@ def op_of(body: Column) -> Column:
 
 
 def legacy_id(*parts: str | Column) -> Column:
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+    """`legacy-` and 16 hex digits that equal entries share. The digits are of another hash than the original's, which is not published."""
+    return F.concat(F.lit("legacy-"), F.left(F.sha2(F.concat_ws("\x1f", *parts), 256), F.lit(16)))
+
+
+def new_event_id(nanos: Column, n: Column) -> Column:
+    """The time in nanoseconds and a counter."""
+    return F.concat_ws("-", nanos.cast("string"), n.cast("string"))
+
+
+def is_finished(event_type: Column) -> Column:
+    """The phase gate of the feed; an unknown or null kind does not pass."""
+    return event_type.eqNullSafe(F.lit("enrichment_complete"))
+
+
+def response_outcome(status: Column, answer: Column) -> Column:
+    """Outcome of a push by HTTP status and, where it went through, by the answer in the body; all that is not known is retried."""
+    fine = F.when(answer == "accepted", "sent").when(answer == "merged", "merged").when(answer == "conflict_markers", "conflict_markers").otherwise("network_exhausted")
+    return (
+        F.when(status.isin(200, 201), fine).when(status == 409, "conflict_unrecoverable").when(status == 401, "unauthorized").when(status == 403, "forbidden")
+        .when(status == 426, "upgrade_required").when(status.isin(400, 422), "skipped").otherwise("network_exhausted")
+    )
+
+
+def is_acked(outcome: Column) -> Column:
+    """Whether an outcome takes its line out of the journal; an unknown one does not."""
+    return F.coalesce(outcome.isin("sent", "merged", "conflict_markers", "skipped", "unauthorized", "forbidden", "conflict_unrecoverable"), F.lit(False))
+
+
+def ack_hash(answer: Column, server: Column, content: Column, local: Column) -> Column:
+    """The baseline after an answer: the first hash known where the server took the bytes, else none."""
+    return F.when(answer.isin("accepted", "merged"), F.coalesce(server, content, local))
+
+
+def platform_name(os: Column, arch: Column) -> Column:
+    name = F.concat_ws("-", os, arch)
+    return F.when(name.isin("windows-x86_64", "macos-x86_64", "macos-aarch64", "linux-x86_64", "linux-aarch64"), name).otherwise("unknown")
+
+
+def user_agent(product: Column, version: Column, platform: Column) -> Column:
+    return F.concat_ws("/", product, version, platform)
+
+
+def heartbeat_body(version: Column, platform: Column, last_seen: Column, last_sync: Column) -> Column:
+    """A JSON object; a sync that is not known is left out, never null."""
+    return F.to_json(F.struct(version.alias("daemon_version"), platform.alias("daemon_platform"), last_seen.alias("last_seen"), last_sync.alias("last_sync")))
+
+
+def subscriber_id(own: Column, fallback: Column) -> Column:
+    """A root's own subscriber, the common one where it has none."""
+    return F.coalesce(F.nullif(own, F.lit("")), fallback)
+
+
+def cycle_red(pulls_failed: Column, still_divergent: Column) -> Column:
+    """Whether a pass left something undone; its negation makes the pass count towards convergence. Null counts are 0."""
+    return (F.coalesce(pulls_failed, F.lit(0)) > 0) | (F.coalesce(still_divergent, F.lit(0)) > 0)
+
+
+def restart_now(staged: Column, staged_for: Column, idle_for: Column, uploads: Column, verifying: Column, reconciling: Column, quiet: int, longest: int) -> Column:
+    """Restart into a staged update: at once after `longest` seconds, else when nothing runs and all was quiet for `quiet`
+    seconds; an activity never seen (null) is quiet."""
+    busy = (uploads > 0) | verifying | reconciling
+    return F.when(~staged, False).when(staged_for >= longest, True).when(busy, False).otherwise(F.coalesce(idle_for >= quiet, F.lit(True)))
+
+
+def launch(configured: Column, token: Column) -> Column:
+    """(start_sync, show_wizard)"""
+    return F.struct(configured.alias("start_sync"), (~(configured & token)).alias("show_wizard"))
+
+
+def plugin_policy(managed: Column) -> Column:
+    return F.struct(*[(~managed).alias(c) for c in ("single_instance", "updater", "autostart", "allow_wizard")])
 
 
 def truncated(s: Column, n: int) -> Column:

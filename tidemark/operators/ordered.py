@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.staging import stage
+
 
 def compact(journal: DataFrame) -> DataFrame:
     """The last line of every path."""
@@ -15,16 +17,17 @@ def compact(journal: DataFrame) -> DataFrame:
     return journal.withColumn("rn", F.row_number().over(last)).filter("rn = 1").drop("rn")
 
 
-def running_total(rows: DataFrame, order: str, value: str, name: str, span: int = 65_536) -> DataFrame:
-    """Running sum of `value` in the order of a whole-number column, without one task that reads all rows.
+def running_total(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Running sum of `value` in the order of any column, without one task that reads all rows.
 
-    Rows are cut into spans of the order column; totals of earlier spans, one row a span, are added to the sum inside.
+    Ranges of the order are summed side by side; the totals of earlier ranges, one row a range, are added.
     """
-    cut = rows.withColumn("span", F.floor(F.col(order) / span))
-    totals = cut.groupBy("span").agg(F.sum(value).alias("total"))
-    ahead = totals.select("span", (F.sum("total").over(Window.orderBy("span")) - F.col("total")).alias("ahead"))
-    inside = F.sum(value).over(Window.partitionBy("span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return cut.withColumn("inside", inside).join(ahead, "span").withColumn(name, F.col("inside") + F.col("ahead")).drop("span", "inside", "ahead")
+    cut = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("range", F.spark_partition_id())
+    cut = stage(cut, "running-total")
+    totals = cut.groupBy("range").agg(F.sum(value).alias("total"))
+    ahead = totals.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total")).alias("ahead"))
+    inside = F.sum(value).over(Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("inside", inside).join(ahead, "range").withColumn(name, F.col("inside") + F.col("ahead")).drop("range", "inside", "ahead")
 
 
 def append_within(rows: DataFrame, held: int, cap: int) -> DataFrame:
@@ -105,23 +108,39 @@ def free_suffix(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     return w.join(free, ["base", "k"]).select("base", "ord", "slot", name.alias("name"))
 
 
+def islands(rows: DataFrame, key: str, time: str, width: int) -> DataFrame:
+    """`rows` with `island`: numbers of groups of a key's rows that are more than `width` apart from each other.
+
+    Times are cut into slices of that width; where one slice is empty, the rows on its two sides are further apart. Only
+    the table of slices that hold rows is put in order.
+    """
+    cut = rows.withColumn("slice", F.floor(F.col(time) / width))
+    held = cut.select(key, "slice").distinct()
+    by = Window.partitionBy(key).orderBy("slice")
+    new = F.coalesce((F.col("slice") - F.lag("slice").over(by) > 1).cast("int"), F.lit(0))
+    held = held.withColumn("new", new).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    return cut.join(held.withColumnRenamed(key, "of"), F.col(key).eqNullSafe(F.col("of")) & (cut["slice"] == held["slice"])).select(*rows.columns, "island")
+
+
 def admission(events: DataFrame, threshold: int, window_seconds: int) -> DataFrame:
     """Conflict breaker by root: an event is admitted while fewer than `threshold` admitted ones lie within the window.
 
     Whether one is admitted hangs on those before it, so no window function says it: sorted rows stream by, and a task
-    holds the last `threshold` admitted times of one root.
+    holds the last `threshold` admitted times of one root. Roots are cut where more than the window lies between two
+    events: nothing is held there, so both sides go to tasks of their own.
     """
     micros = window_seconds * 1_000_000
-    rows = events.select("root", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id").repartition("root").sortWithinPartitions("root", "t", "event_id")
+    rows = events.select("root", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
+    rows = islands(rows, "root", "t", micros).repartition("root", "island").sortWithinPartitions("root", "island", "t", "event_id")
 
     def run(batches):
         at, held = None, deque()
         for batch in batches:
-            roots, times = batch.column("root").to_pylist(), batch.column("t").to_pylist()
+            keys = zip(batch.column("root").to_pylist(), batch.column("island").to_pylist())
             out = []
-            for root, t in zip(roots, times):
-                if root != at:
-                    at, held = root, deque()
+            for key, t in zip(keys, batch.column("t").to_pylist()):
+                if key != at:
+                    at, held = key, deque()
                 while held and t - held[0] > micros:
                     held.popleft()
                 ok = threshold == 0 or len(held) < threshold
@@ -160,3 +179,15 @@ def backoff(n: Column, initial: int, most: int) -> Column:
 def bursts(events: DataFrame, gap: str) -> DataFrame:
     """Events of a key less than `gap` apart as one. The reference's debounce is a third-party crate, so this is an approximation."""
     return events.groupBy("key", F.session_window(F.col("ts").cast("timestamp"), gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id")).select("key", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "last_id")
+
+
+def cooldown(rows: DataFrame, seconds: int) -> DataFrame:
+    """held: the last arming before a row, by root, is less than `seconds` old."""
+    by = Window.partitionBy("root").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    armed = F.last(F.when(F.col("arm"), F.col("ts")), True).over(by)
+    return rows.withColumn("held", F.coalesce(F.col("ts") < armed + F.expr(f"INTERVAL {seconds} SECONDS"), F.lit(False)))
+
+
+def last_state(sets: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """The value that each key was set to last."""
+    return sets.groupBy(key).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))

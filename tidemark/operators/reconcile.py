@@ -102,3 +102,42 @@ def compare_and_set(rows: DataFrame, expected: Column, strips: Column) -> DataFr
 def upsert(store: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """`store` with the rows of `fresh` in place of those of the same key; `fresh` has one row a key."""
     return store.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+
+
+def push_events(events: DataFrame, device: str) -> DataFrame:
+    """event_id, path, action, content_sha, base, queued_at, device of file events (event_id, kind, path, new_path, content, queued_at).
+
+    A rename is a create at the new path; the bytes are hashed, not kept. Missing content gives no row, but a delete needs none.
+    """
+    kind, gone = F.col("kind"), F.col("kind") == "deleted"
+    action = F.when(gone, "delete").when(kind == "modified", "modify").when(kind.isin("created", "renamed"), "create")
+    rows = events.withColumn("action", action).filter(F.col("action").isNotNull() & (gone | F.col("content").isNotNull()))
+    sha = F.when(gone, "").otherwise(F.sha2(F.col("content").cast("binary"), 256))
+    path = F.when(kind == "renamed", F.col("new_path")).otherwise(F.col("path"))
+    return rows.select("event_id", path.alias("path"), "action", sha.alias("content_sha"), F.lit(None).cast("string").alias("base_hash"), "queued_at", F.lit(device).alias("device_id"))
+
+
+def preserve_bytes(pushed: DataFrame, files: DataFrame) -> DataFrame:
+    """stash: the pushed bytes (path, content_sha) lie nowhere else, as the file (path, content_hash) differs or is gone."""
+    there = files.select("path", "content_hash")
+    return pushed.join(there, "path", "left").withColumn("stash", ~F.col("content_hash").eqNullSafe(F.col("content_sha"))).drop("content_hash")
+
+
+def drain_progress(outcomes: DataFrame, pending: DataFrame, by: str) -> DataFrame:
+    """synced, progress and skipped of each drain: what was taken stamps a sync, any outcome or an empty journal is progress."""
+    o = outcomes.groupBy(by).agg(F.bool_or(F.col("outcome").isin("sent", "merged")).alias("synced"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("outcome") == "skipped").alias("skipped"))
+    rows = pending.select(by, "pending").join(o, by, "full")
+    progress = (F.coalesce("n", F.lit(0)) > 0) | (F.coalesce("pending", F.lit(0)) == 0)
+    return rows.select(by, F.coalesce("synced", F.lit(False)).alias("synced"), progress.alias("progress"), F.coalesce("skipped", F.lit(0)).alias("skipped"))
+
+
+def after_conflict(found: Column, action: Column, receipt: Column) -> Column:
+    """What follows a refused push once the note is fetched again: gone, the stores forget it and a delete is accepted while
+    other bytes are created anew; there, it is merged, with a read receipt where its hash was verified."""
+    gone = F.when(action == "delete", "accept_delete").otherwise("recreate_no_row")
+    return F.when(~found, gone).when(receipt.isNotNull(), "receipt_and_merge").otherwise("merge")
+
+
+def stash_positions(rows: DataFrame, base_seq: DataFrame) -> DataFrame:
+    """lsn: the sequence under which local bytes are stashed before a delete; 0 where none is known."""
+    return rows.join(base_seq.select("path", "seq"), "path", "left").withColumn("lsn", F.coalesce("seq", F.lit(0).cast("long"))).drop("seq")

@@ -4,24 +4,86 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import paths as P
+from tidemark.functions import scalars as S
 
-HEADER = "schema_version INT, id STRING"
-ENTRY = "schema_version INT, id STRING, path STRING, action STRING, base_hash STRING, content_sha STRING, queued_at STRING, device_id STRING"
+ENTRY = "schema_version STRING, id STRING, path STRING, action STRING, base_hash STRING, content_sha STRING, queued_at STRING, device_id STRING"
+#: Fixed value: white space of all scripts, as a Java class.
+_BLANK = "^[\\s\\x0B\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]*$"
 
 
-def journal_lines(lines: DataFrame) -> DataFrame:
-    """Live entries of (file, line_no, line): blank lines are passed over, the first line without a header ends a file,
-    other versions and broken bodies are skipped, an empty id becomes a hash of the entry."""
-    t = lines.filter(F.trim("line") != "").withColumn("head", F.from_json("line", HEADER)).withColumn("e", F.from_json("line", ENTRY))
-    stop = t.filter(F.col("head.schema_version").isNull()).groupBy("file").agg(F.min("line_no").alias("stop"))
-    t = t.join(stop, "file", "left").filter("stop IS NULL OR line_no < stop").filter("head.schema_version = 1")
+def journal_lines(lines: DataFrame, version: int = 1) -> DataFrame:
+    """Live entries of (file, line_no, line): blank lines are passed over, the first line without a readable version (a whole
+    number from 0 to 2**32 - 1) ends a file, other versions and broken bodies are skipped, an empty id becomes a hash of the entry."""
+    number = F.when(F.rlike(F.col("e.schema_version"), F.lit("^[0-9]{1,10}$")), F.col("e.schema_version").cast("long"))
+    t = lines.filter(~F.rlike("line", F.lit(_BLANK))).select("file", "line_no", F.from_json("line", ENTRY).alias("e")).withColumn("version", F.when(number < 1 << 32, number))
+    stop = F.min(F.when(F.col("version").isNull(), F.col("line_no")))
+    kept = t.join(t.groupBy("file").agg(stop.alias("stop")).filter("stop IS NOT NULL"), "file", "left").filter("stop IS NULL OR line_no < stop").filter(F.col("version") == version)
     whole = F.col("e.path").isNotNull() & F.col("e.action").isin("create", "modify", "delete") & F.col("e.content_sha").isNotNull()
-    own = F.when(F.coalesce(F.col("e.id"), F.lit("")) == "", F.sha2(F.concat_ws("\x1f", "e.path", "e.content_sha", "e.queued_at", "e.action"), 256)).otherwise(F.col("e.id"))
-    return t.filter(whole).select("file", "line_no", own.alias("id"), "e.path", "e.action", "e.base_hash", "e.content_sha")
+    own = F.when(F.coalesce(F.col("e.id"), F.lit("")) == "", S.legacy_id("e.path", "e.content_sha", "e.queued_at", "e.action")).otherwise(F.col("e.id"))
+    return kept.filter(whole).select("file", "line_no", own.alias("id"), "e.path", "e.action", "e.base_hash", "e.content_sha")
+
+
+def nack(journal: DataFrame, ids: DataFrame) -> DataFrame:
+    """A refused line stays where it is, to be drained again."""
+    return journal
+
+
+def ack(journal: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The journal without the lines of `ids`; ids that it does not hold change nothing."""
+    return journal.join(ids.select(key), key, "left_anti")
+
+
+def stash_manifest(stashes: DataFrame) -> DataFrame:
+    """line: one JSON object for each stash (original, stash, device, lsn, ts), paths with forward slashes."""
+    return stashes.select(F.to_json(F.struct("original", P.fold_slashes(F.col("stash")).alias("stash"), "device", F.col("lsn").cast("long").alias("lsn"), F.col("ts").cast("long").alias("ts"))).alias("line"))
+
+
+def record_stash_manifest(stashes: DataFrame, folder: str) -> None:
+    """Append the lines to a folder of text files, which concurrent writers may share."""
+    stash_manifest(stashes).write.mode("append").text(folder)
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _version(spark: SparkSession, folder: str) -> int | None:
+    """The number of the version that the pointer names."""
+    path, fs = _files(spark, folder)
+    found = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return max((int(n.removeprefix("current-")) for n in found if n.startswith("current-")), default=None)
+
+
+def save(store: DataFrame, folder: str) -> int:
+    """Rewrite a store whole: its rows go to a new version, and then one empty file names that version current. So a reader
+    sees the old rows or the new ones, and a run that fails leaves the old."""
+    spark = store.sparkSession
+    number = (_version(spark, folder) or 0) + 1
+    store.write.mode("overwrite").parquet(f"{folder}/v{number}")
+    path, fs = _files(spark, f"{folder}/current-{number}")
+    fs.create(path, True).close()
+    return number
+
+
+def load(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The current version of a store; a missing one is empty."""
+    number = _version(spark, folder)
+    return spark.createDataFrame([], schema) if number is None else spark.read.schema(schema).parquet(f"{folder}/v{number}")
+
+
+def save_if_changed(store: DataFrame, folder: str, schema: str) -> bool:
+    """save(), unless the current version has the same rows."""
+    old = load(store.sparkSession, folder, schema)
+    marked = old.select(*old.columns, F.lit(1).alias("n")).unionByName(store.select(*old.columns, F.lit(-1).alias("n")))
+    if _version(store.sparkSession, folder) is not None and marked.groupBy(*old.columns).agg(F.sum("n").alias("n")).filter("n <> 0").isEmpty():
+        return False
+    save(store, folder)
+    return True
 
 
 def map_store(files: DataFrame, value: str = "string") -> DataFrame:
@@ -38,10 +100,11 @@ def migrate_keys(store: DataFrame, folders: Sequence[str], legacy_wins: bool = F
     return rows.withColumn("rn", F.row_number().over(rank)).filter("rn = 1").select(F.col("new_key").alias("key"), "value")
 
 
-def scope_suspect(store: DataFrame, folders: Sequence[str]) -> Column | DataFrame:
-    """Number of keys with a folder where none is known; null if there are none or folders are known."""
-    n = F.count_if(F.contains("key", F.lit("/")))
-    return store.agg((F.nullif(n, F.lit(0).cast("long")) if not folders else F.lit(None).cast("long")).alias("suspect"))
+def scope_suspect(store: DataFrame, folders: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """suspect: the number of keys with a folder where none is known, of a whole store or of each group `by`; null if there
+    are none or folders are known."""
+    n = F.nullif(F.count_if(F.contains("key", F.lit("/"))), F.lit(0).cast("long"))
+    return store.groupBy(*by).agg((n if not folders else F.lit(None).cast("long")).alias("suspect"))
 
 
 def lineage(writes: DataFrame) -> DataFrame:

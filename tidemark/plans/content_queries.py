@@ -57,9 +57,15 @@ def scl4_scl8_scl10_scl11(spark, sf, notes=X.notes):
     return n.select("doc_id", C.sha(F.col("note")).alias("sha"), C.has_frontmatter(F.col("note")).alias("has_block"), (F.length(f) - F.length("body")).alias("body_at"), "body")
 
 
-@query("scl12_contained", None)
+#: Lines of a text without their ends, as content.lines() has them.
+_LINES = "CASE WHEN {0} = '' THEN [] ELSE string_split_regex(regexp_replace({0}, '\\r?\\n$', ''), '\\r?\\n') END"
+
+
+@query("scl12_contained", with_sql(f"""WITH RECURSIVE p AS (SELECT a.doc_id, {_LINES.format('a.note')} AS want, {_LINES.format('b.note')} AS have FROM notes a JOIN notes b ON b.doc_id = a.doc_id + 15),
+ r AS (SELECT doc_id, 0 AS i, 0 AS k FROM p UNION ALL SELECT p.doc_id, i + 1, k + coalesce(want[k + 1] = have[i + 1], false)::INT FROM r JOIN p ON p.doc_id = r.doc_id WHERE i < len(have))
+ SELECT p.doc_id, max(k) >= len(any_value(want)) AS contained FROM p JOIN r ON r.doc_id = p.doc_id GROUP BY p.doc_id""", "notes"))
 def scl12(spark, sf, notes=X.notes):
-    """Each note against the next one; tests hold it against the plain loop."""
+    """Each note against the next one of its shape, line by line."""
     a = notes(spark, sf)
     b = a.select((F.col("doc_id") - 15).alias("doc_id"), F.col("note").alias("local"))
     return a.join(b, "doc_id").select("doc_id", C.contained_in_order(F.col("note"), F.col("local")).alias("contained"))
@@ -79,9 +85,22 @@ def scl5(spark, sf, notes=X.notes):
     return notes(spark, sf).select("doc_id", F.replace(b, F.lit("\r\n"), F.lit("")).alias("b64")).withColumn("bytes", F.octet_length(F.unbase64("b64")).cast("long"))
 
 
-@query("scl13_serialize", None)
+#: Strings that a YAML reader would take for something else, and how they are written.
+_TITLES = {"true": "'true'", "123": "'123'", "null": "'null'", "- x": "'- x'", "a: b": "'a: b'", "it's": "it's", "plain words": "plain words", "": "''"}
+
+
+def _sql_texts(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+@query("scl13_serialize", f"""SELECT doc_id, sha256(CASE WHEN doc_id % 4 = 0 THEN text ELSE concat('---', chr(10), 'id: ', doc_id, chr(10), 'lang: ', lang, chr(10), 'tags:', chr(10), '- ', source, chr(10), '- ''', doc_id % 2 = 0, '''', chr(10),
+ 'title: ', {_sql_texts(_TITLES.values())}[doc_id % 8 + 1], chr(10), '---', chr(10), chr(10), text) END) AS sha FROM documents""")
 def scl13(spark, sf):
-    meta = F.when(F.col("doc_id") % 4 > 0, F.to_json(F.struct("lang", "source", F.col("doc_id").alias("id")))).otherwise(F.lit("{}"))
+    """Keys in rising order, whatever order they come in."""
+    title = F.element_at(F.array(*[F.lit(t) for t in _TITLES]), (F.col("doc_id") % 8 + 1).cast("int"))
+    tags = F.array("source", (F.col("doc_id") % 2 == 0).cast("string"))
+    given = F.to_json(F.struct(title.alias("title"), tags.alias("tags"), "lang", F.col("doc_id").alias("id")))
+    meta = F.when(F.col("doc_id") % 4 > 0, given).when(F.col("doc_id") % 8 == 0, F.lit("{}"))
     return table(spark, sf, "documents").select("doc_id", F.sha2(C.with_frontmatter(meta, F.col("text")), 256).alias("sha"))
 
 
@@ -91,18 +110,22 @@ def scl26(spark, sf):
     return table(spark, sf, "documents").select("doc_id", C.byte_check(F.col("text"), F.octet_length("text") + (F.col("doc_id") % 3 == 0).cast("int"), digest).alias("result"))
 
 
-_TEXT = "CASE doc_id % 3 WHEN 0 THEN '{\"a\": ' || doc_id || '}' WHEN 1 THEN '{\"a\": ' ELSE 'x' END"
+#: Files by ending with a sound and a broken text; endings that are not known are skipped.
+_FILES = (
+    ("a.json", '{"a": 1}', '{"a": ', True), ("a.yaml", "a: 1\nb:\n  - 2\n  - 3\n", "a: 1\n\tb: [unterminated\n", True), ("A.YML", "- x\n- 'y'\n", "'open", True), ("a.toml", "a = 1\n", "a = \n", True),
+    ("d/a.py", "x = 1\n", "def f(:\n", True), ("a.md", "---", "\t", False), ("noext", "{", "", False), ("x.d/.json", "{", "", False),
+)
 
 
-@query("scl27_fn1_integrity", f"SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'size_mismatch' WHEN doc_id % 2 = 0 THEN CASE WHEN json_valid({_TEXT}) THEN 'ok' ELSE 'invalid' END ELSE 'skipped' END AS result FROM documents")
+@query("scl27_fn1_integrity", f"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'size_mismatch' WHEN doc_id % 11 = 0 THEN 'sha_mismatch:' || left(sha256(t), 16) WHEN NOT {[k for *_, k in _FILES]}[i] THEN 'skipped' WHEN broken THEN 'invalid' ELSE 'ok' END AS result
+ FROM (SELECT doc_id, doc_id % {len(_FILES)} + 1 AS i, (doc_id // {len(_FILES)}) % 2 = 1 AS broken, CASE WHEN (doc_id // {len(_FILES)}) % 2 = 1 THEN {_sql_texts(f[2] for f in _FILES)}[doc_id % {len(_FILES)} + 1] ELSE {_sql_texts(f[1] for f in _FILES)}[doc_id % {len(_FILES)} + 1] END AS t FROM documents)""")
 def scl27_fn1(spark, sf):
-    """JSON by ending; tests cover TOML and Python."""
-    d = F.col("doc_id")
-    text = F.when(d % 3 == 0, F.concat(F.lit('{"a": '), d.cast("string"), F.lit("}"))).when(d % 3 == 1, '{"a": ').otherwise("x")
-    path = F.when(d % 2 == 0, "a.json").otherwise("a.md")
-    rows = table(spark, sf, "documents").select("doc_id", text.alias("t"), path.alias("path"))
-    size = F.octet_length("t") + (d % 7 == 0).cast("int")
-    return rows.select("doc_id", C.integrity(F.col("path"), F.col("t"), size, F.sha2("t", 256)).alias("result"))
+    """Bytes first, then the syntax by ending."""
+    d, n = F.col("doc_id"), len(_FILES)
+    pick = lambda k: F.element_at(F.array(*[F.lit(f[k]) for f in _FILES]), (d % n + 1).cast("int"))
+    rows = table(spark, sf, "documents").select("doc_id", pick(0).alias("path"), F.when(F.floor(d / n) % 2 == 1, pick(2)).otherwise(pick(1)).alias("t"))
+    digest = F.when(d % 11 == 0, "0").otherwise(F.sha2("t", 256))
+    return rows.select("doc_id", C.integrity(F.col("path"), F.col("t"), F.octet_length("t") + (d % 7 == 0).cast("int"), digest).alias("result"))
 
 
 @query("pred14_pre_journal", with_sql("WITH " + _fm_sql("note") + """ SELECT n.doc_id, CASE WHEN n.doc_id % 10 = 9 THEN 'managed' WHEN n.doc_id % 10 = 8 THEN 'extension' WHEN n.note = '' THEN 'empty'
@@ -145,11 +168,12 @@ def scl18_scl19(spark, sf):
     return table(spark, sf, "events").select("event_id", S.seq_of(body).alias("seq"), S.op_of(body).alias("op"))
 
 
-@query("scl20_event_ids", with_sql("SELECT event_id, sha256(path || chr(31) || content_sha || chr(31) || strftime(queued_at, '%Y-%m-%d %H:%M:%S') || chr(31) || action) AS id FROM journal", "journal"))
+@query("scl20_event_ids", with_sql("SELECT event_id, 'legacy-' || left(sha256(path || chr(31) || content_sha || chr(31) || strftime(queued_at, '%Y-%m-%d %H:%M:%S') || chr(31) || action), 16) AS id, (epoch_us(queued_at) * 1000) || '-' || (event_id % 7) AS fresh FROM journal", "journal"))
 def scl20(spark, sf):
-    """The reference's own hash cannot be had; only that equal entries share an id is kept."""
+    """Ids of old entries without one, which equal entries share, and of fresh ones."""
     j = X.journal(spark, sf)
-    return j.select("event_id", S.legacy_id("path", "content_sha", F.date_format("queued_at", "yyyy-MM-dd HH:mm:ss"), "action").alias("id"))
+    fresh = S.new_event_id(F.unix_micros(F.col("queued_at").cast("timestamp")) * 1000, F.col("event_id") % 7)
+    return j.select("event_id", S.legacy_id("path", "content_sha", F.date_format("queued_at", "yyyy-MM-dd HH:mm:ss"), "action").alias("id"), fresh.alias("fresh"))
 
 
 @query("scl22_timestamps", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' AS text, epoch_us(ts) AS micros FROM events")
@@ -169,16 +193,25 @@ def scl28(spark, sf):
     return table(spark, sf, "events").select("event_id", S.staleness(F.col("event_id") * 37).alias("age"))
 
 
-@query("scl29_heartbeat_body", "SELECT event_id, '{\"version\":\"1\",\"last_seen\":' || event_id || CASE WHEN event_id % 2 = 0 THEN ',\"last_sync\":' || event_id ELSE '' END || '}' AS body FROM events")
+_OS, _ARCH = ("windows", "macos", "linux", "linux", "beos", None), ("x86_64", "aarch64", "aarch64", "riscv", "x86_64", None)
+_PLATFORM = f"CASE WHEN concat_ws('-', {_sql_texts(_OS[:5])}[event_id % 6 + 1], {_sql_texts(_ARCH[:5])}[event_id % 6 + 1]) IN ('windows-x86_64', 'macos-x86_64', 'macos-aarch64', 'linux-x86_64', 'linux-aarch64') THEN concat_ws('-', {_sql_texts(_OS[:5])}[event_id % 6 + 1], {_sql_texts(_ARCH[:5])}[event_id % 6 + 1]) ELSE 'unknown' END"
+_SEEN = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z'"
+
+
+@query("scl29_heartbeat_body", f"""SELECT event_id, '{{"daemon_version":"1.2","daemon_platform":"' || {_PLATFORM} || '","last_seen":"' || {_SEEN} || '"' || CASE WHEN event_id % 2 = 0 THEN ',"last_sync":"' || {_SEEN} || '"' ELSE '' END || '}}' AS body, 'tidemark/1.2/' || {_PLATFORM} AS agent FROM events""")
 def scl29(spark, sf):
-    body = F.to_json(F.struct(F.lit("1").alias("version"), F.col("event_id").alias("last_seen"), F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("last_sync")))
-    return table(spark, sf, "events").select("event_id", body.alias("body"))
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % 6 + 1).cast("int"))
+    seen = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    e = table(spark, sf, "events").select("event_id", S.platform_name(pick(_OS), pick(_ARCH)).alias("platform"), seen.alias("seen"))
+    body = S.heartbeat_body(F.lit("1.2"), F.col("platform"), F.col("seen"), F.when(F.col("event_id") % 2 == 0, F.col("seen")))
+    return e.select("event_id", body.alias("body"), S.user_agent(F.lit("tidemark"), F.lit("1.2"), F.col("platform")).alias("agent"))
 
 
-@query("scl30_subscribers", "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END, ''), 'main') AS subscriber FROM documents")
+@query("scl30_subscribers", "SELECT doc_id, coalesce(nullif(CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN '' END, ''), CASE WHEN doc_id % 2 = 0 THEN 'main' ELSE lang END) AS subscriber FROM documents")
 def scl30(spark, sf):
-    own = F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("")
-    return table(spark, sf, "documents").select("doc_id", F.coalesce(F.nullif(own, F.lit("")), F.lit("main")).alias("subscriber"))
+    d = F.col("doc_id")
+    own = F.when(d % 3 == 0, F.col("source")).when(d % 3 == 1, "")
+    return table(spark, sf, "documents").select("doc_id", S.subscriber_id(own, F.when(d % 2 == 0, "main").otherwise(F.col("lang"))).alias("subscriber"))
 
 
 @query("scl31_settings", "SELECT doc_id, coalesce(nullif(greatest(TRY_CAST(CASE doc_id % 4 WHEN 0 THEN '12' WHEN 1 THEN '-3' WHEN 2 THEN 'x' END AS BIGINT), 0), 0), 600) AS seconds FROM documents")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars as S
 from tidemark.operators import ordered as O
+from tidemark.operators import reconcile as R
+from tidemark.operators import stores as St
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as X
 from tidemark.sources.fixtures import with_sql
@@ -94,9 +96,17 @@ def win8_snk7(spark, sf):
     return O.free_suffix(wanted, taken)
 
 
-@query("win9_conflict_breaker", None)
+#: Row by row of each root, with the admitted times that still count.
+BREAKER_SQL = """WITH RECURSIVE e AS (SELECT event_id, user_id % 8 AS root, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) AS n FROM events),
+ a AS (SELECT root, n, event_id, true AS admitted, [t] AS held FROM e WHERE n = 1
+  UNION ALL SELECT root, n, event_id, len(h) < 5, CASE WHEN len(h) < 5 THEN list_append(h, t) ELSE h END
+   FROM (SELECT e.root, e.n, e.event_id, e.t, list_filter(a.held, lambda x: e.t - x <= 21600000000) AS h FROM a JOIN e ON e.root = a.root AND e.n = a.n + 1))
+ SELECT root, event_id, admitted FROM a"""
+
+
+@query("win9_conflict_breaker", BREAKER_SQL)
 def win9(spark, sf):
-    """Not expressible as plain SQL (admission hangs on earlier admissions); tests hold it against the plain loop."""
+    """Admission hangs on earlier admissions."""
     e = table(spark, sf, "events").select("event_id", "ts", (F.col("user_id") % 8).alias("root"))
     return O.admission(e, 5, 6 * 3600)
 
@@ -136,8 +146,10 @@ def dec14(spark, sf):
     return _idle(spark, sf).select("event_id", out.alias("action"))
 
 
-@query("win12_debounce", None)
+@query("win12_debounce", """WITH g AS (SELECT event_id, ts, user_id AS key, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ s AS (SELECT *, sum(new::INT) OVER (PARTITION BY key ORDER BY ts) AS k FROM g) SELECT key, min(ts) AS start, count(*)::BIGINT AS n, max(event_id) AS last_id FROM s GROUP BY key, k""")
 def win12(spark, sf):
+    """An approximation: how the original lumps bursts is not published."""
     e = table(spark, sf, "events").select("event_id", "ts", F.col("user_id").alias("key"))
     return O.bursts(e, "30 minutes")
 
@@ -149,9 +161,9 @@ def win13(spark, sf):
 
 @query("join7_ack", with_sql("SELECT event_id, path FROM journal WHERE event_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)", "journal"))
 def join7_kv6_set2(spark, sf):
-    """Ids that are not in the journal change nothing."""
+    """Ids that are not in the journal change nothing, nor does a refusal."""
     acked = table(spark, sf, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("event_id"))
-    return X.journal(spark, sf).join(acked, "event_id", "left_anti").select("event_id", "path")
+    return St.ack(St.nack(X.journal(spark, sf), acked), acked, "event_id").select("event_id", "path")
 
 
 @query("join8_join9_base", with_sql("""WITH s AS (SELECT 'notes/' || (r_regionkey * 7) || '.md' AS path, sha256(r_name) AS shadow FROM region)
@@ -190,44 +202,42 @@ def agg11(spark, sf):
     return X.journal(spark, sf).agg(F.count(F.lit(1)).alias("depth"), F.sum("line_bytes").alias("bytes"), (F.count(F.lit(1)) == 0).alias("is_empty"))
 
 
-_STATUS = "CASE doc_id % 12 WHEN 0 THEN 200 WHEN 1 THEN 201 WHEN 2 THEN 409 WHEN 3 THEN 401 WHEN 4 THEN 403 WHEN 5 THEN 426 WHEN 6 THEN 400 WHEN 7 THEN 422 WHEN 8 THEN 503 WHEN 9 THEN 404 WHEN 10 THEN 500 ELSE 200 END"
-_BODY = "CASE doc_id % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'merged' WHEN 2 THEN 'conflict_markers' ELSE 'error' END"
+_CODES, _ANSWERS = (200, 201, 409, 401, 403, 426, 400, 422, 503, 404, 500, None), ("accepted", "merged", "conflict_markers", "error", "odd", None)
+_STATUS = "[" + ", ".join("NULL" if c is None else str(c) for c in _CODES) + "][doc_id % 12 + 1]"
+_BODY = "[" + ", ".join("NULL" if c is None else f"'{c}'" for c in _ANSWERS) + "][(doc_id // 12) % 6 + 1]"
 _OUTCOME = f"""CASE WHEN {_STATUS} IN (200, 201) THEN CASE {_BODY} WHEN 'accepted' THEN 'sent' WHEN 'merged' THEN 'merged' WHEN 'conflict_markers' THEN 'conflict_markers' ELSE 'network_exhausted' END
  WHEN {_STATUS} = 409 THEN 'conflict_unrecoverable' WHEN {_STATUS} = 401 THEN 'unauthorized' WHEN {_STATUS} = 403 THEN 'forbidden' WHEN {_STATUS} = 426 THEN 'upgrade_required' WHEN {_STATUS} IN (400, 422) THEN 'skipped' ELSE 'network_exhausted' END"""
 
 
 def _responses(spark, sf):
-    codes = (200, 201, 409, 401, 403, 426, 400, 422, 503, 404, 500, 200)
-    status = F.element_at(F.array(*[F.lit(c) for c in codes]), (F.col("doc_id") % 12 + 1).cast("int"))
-    body = F.element_at(F.array(*[F.lit(c) for c in ("accepted", "merged", "conflict_markers", "error")]), (F.col("doc_id") % 4 + 1).cast("int"))
-    return table(spark, sf, "documents").select("doc_id", "lang", status.alias("status"), body.alias("body"))
-
-
-def _outcome():
-    s, b = F.col("status"), F.col("body")
-    fine = F.when(b == "accepted", "sent").when(b == "merged", "merged").when(b == "conflict_markers", "conflict_markers").otherwise("network_exhausted")
-    return (
-        F.when(s.isin(200, 201), fine).when(s == 409, "conflict_unrecoverable").when(s == 401, "unauthorized").when(s == 403, "forbidden")
-        .when(s == 426, "upgrade_required").when(s.isin(400, 422), "skipped").otherwise("network_exhausted")
-    )
+    """Responses of every known and unknown status with every answer, nulls included."""
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), n.cast("int"))
+    d = F.col("doc_id")
+    rows = table(spark, sf, "documents").select("doc_id", "lang", pick(_CODES, d % 12 + 1).alias("status"), pick(_ANSWERS, F.floor(d / 12) % 6 + 1).alias("body"))
+    return rows.withColumn("outcome", S.response_outcome(F.col("status"), F.col("body")))
 
 
 @query("scl25_dec11_outcomes", f"SELECT doc_id, {_OUTCOME} AS outcome, {_OUTCOME} NOT IN ('network_exhausted', 'upgrade_required') AS acked FROM documents")
 def scl25_dec11_snk10(spark, sf):
     """A response's outcome and whether its journal line is acknowledged."""
-    return _responses(spark, sf).withColumn("outcome", _outcome()).select("doc_id", "outcome", (~F.col("outcome").isin("network_exhausted", "upgrade_required")).alias("acked"))
+    return _responses(spark, sf).select("doc_id", "outcome", S.is_acked(F.col("outcome")).alias("acked"))
 
 
-@query("agg12_progress", f"SELECT lang, bool_or({_OUTCOME} IN ('sent', 'merged')) AS synced, count(*) > 0 AS progress, count(*) FILTER (WHERE {_OUTCOME} = 'skipped')::BIGINT AS skipped FROM documents GROUP BY lang")
+@query("agg12_progress", f"""WITH o AS (SELECT lang, bool_or(o IN ('sent', 'merged')) AS synced, count(*) AS n, count(*) FILTER (WHERE o = 'skipped')::BIGINT AS skipped FROM (SELECT lang, {_OUTCOME} AS o FROM documents WHERE doc_id % 5 < 3) GROUP BY lang),
+ p AS (SELECT lang, count(*) FILTER (WHERE doc_id % 5 = 3) AS pending FROM documents GROUP BY lang UNION ALL SELECT 'idle', 0 UNION ALL SELECT 'stuck', 3)
+ SELECT p.lang, coalesce(synced, false) AS synced, coalesce(n, 0) > 0 OR pending = 0 AS progress, coalesce(skipped, 0) AS skipped FROM p LEFT JOIN o ON p.lang = o.lang""")
 def agg12(spark, sf):
-    r = _responses(spark, sf).withColumn("outcome", _outcome())
-    return r.groupBy("lang").agg(F.bool_or(F.col("outcome").isin("sent", "merged")).alias("synced"), (F.count(F.lit(1)) > 0).alias("progress"), F.count_if(F.col("outcome") == "skipped").alias("skipped"))
+    """By language as a drain; one is idle with nothing to do, one is stuck."""
+    pending = table(spark, sf, "documents").groupBy("lang").agg(F.count_if(F.col("doc_id") % 5 == 3).alias("pending"))
+    pending = pending.unionByName(spark.createDataFrame([("idle", 0), ("stuck", 3)], "lang string, pending long"))
+    return R.drain_progress(_responses(spark, sf).filter("doc_id % 5 < 3"), pending, "lang")
 
 
-@query("scl24_ack_hash", f"SELECT doc_id, CASE WHEN {_BODY} IN ('accepted', 'merged') THEN coalesce(CASE WHEN doc_id % 3 = 0 THEN 's' END, CASE WHEN doc_id % 5 = 0 THEN 'c' END, 'l') END AS hash FROM documents")
+@query("scl24_ack_hash", f"SELECT doc_id, CASE WHEN {_BODY} IN ('accepted', 'merged') THEN coalesce(CASE WHEN doc_id % 3 = 0 THEN sha256(text) END, CASE WHEN doc_id % 5 = 0 THEN sha256(lang) END, sha256(source)) END AS hash FROM documents")
 def scl24(spark, sf):
-    first = F.coalesce(F.when(F.col("doc_id") % 3 == 0, "s"), F.when(F.col("doc_id") % 5 == 0, "c"), F.lit("l"))
-    return _responses(spark, sf).select("doc_id", F.when(F.col("body").isin("accepted", "merged"), first).alias("hash"))
+    d = F.col("doc_id")
+    rows = _responses(spark, sf).select("doc_id", "body").join(table(spark, sf, "documents"), "doc_id")
+    return rows.select("doc_id", S.ack_hash(F.col("body"), F.when(d % 3 == 0, F.sha2("text", 256)), F.when(d % 5 == 0, F.sha2("lang", 256)), F.sha2("source", 256)).alias("hash"))
 
 
 @query("dec19_cooldown", """WITH a AS (SELECT event_id, ts, user_id % 8 AS root, event_id % 40 = 0 AS arm FROM events),
@@ -235,19 +245,19 @@ def scl24(spark, sf):
  SELECT event_id, coalesce(ts < armed + INTERVAL 900 SECOND, false) AS held FROM l""")
 def dec19(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", (F.col("user_id") % 8).alias("root"), (F.col("event_id") % 40 == 0).alias("arm"))
-    by = Window.partitionBy("root").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    armed = F.last(F.when(F.col("arm"), F.col("ts")), True).over(by)
-    return e.select("event_id", F.coalesce(F.col("ts") < armed + F.expr("INTERVAL 900 SECONDS"), F.lit(False)).alias("held"))
+    return O.cooldown(e, 900).select("event_id", "held")
 
 
 @query("fn5_fn8_last_state", "SELECT user_id, arg_max(event_type, event_id) AS last_type, max(event_id) AS last_id FROM events GROUP BY user_id")
 def fn8(spark, sf):
     """Setters: the last write wins."""
-    return table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.max("event_id").alias("last_id"))
+    return O.last_state(table(spark, sf, "events"), "user_id", "event_type", "event_id").select("user_id", F.col("event_type").alias("last_type"), F.col("event_id").alias("last_id"))
 
 
-@query("dec15_restart", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN false WHEN doc_id * 100 >= 86400 THEN true WHEN doc_id % 4 = 0 OR doc_id % 5 = 0 THEN false WHEN doc_id % 7 = 0 THEN true ELSE doc_id % 700 >= 300 END AS restart FROM documents""")
+@query("dec15_restart", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN false WHEN n_chars * 60 >= 86400 THEN true WHEN doc_id % 4 = 0 OR doc_id % 5 = 0 OR doc_id % 11 = 0 THEN false WHEN doc_id % 7 = 0 THEN true ELSE length(text) % 700 >= 300 END AS restart FROM documents""")
 def dec15(spark, sf):
+    """The length of a text as the time since an update was staged; every seventh never saw any activity."""
     d = F.col("doc_id")
-    out = F.when(d % 3 == 0, False).when(d * 100 >= 86_400, True).when((d % 4 == 0) | (d % 5 == 0), False).when(d % 7 == 0, True).otherwise(d % 700 >= 300)
+    idle = F.when(d % 7 != 0, F.length("text") % 700)
+    out = S.restart_now(d % 3 != 0, F.col("n_chars") * 60, idle, F.when(d % 4 == 0, d + 1).otherwise(0), d % 5 == 0, d % 11 == 0, 300, 86_400)
     return table(spark, sf, "documents").select("doc_id", out.alias("restart"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import paths as P
+from tidemark.functions import scalars as S
+from tidemark.operators import reconcile as R
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as X
 from tidemark.sources.fixtures import with_sql
@@ -74,10 +76,19 @@ def pred13(spark, sf):
     return a.join(b, "doc_id").select("doc_id", (P.is_safe(F.col("path")) & P.is_safe(F.col("new"))).alias("allowed"))
 
 
-@query("pred11_pred16_kinds", "SELECT event_type, count(*)::BIGINT AS n, event_type NOT IN ('view') AS mutating, event_type = 'purchase' AS enriched FROM events GROUP BY event_type")
+#: Kinds of file events, in any case and to any depth, and whether they may change content.
+_KINDS = (("create", True), ("remove/file", True), ("modify/data", True), ("modify/name", True), ("Modify/Metadata", False), ("modify/metadata/permissions", False), ("access", False), ("ACCESS/open", False), ("any", True), ("other", True), ("accessory", True), (None, True))
+_FEED = ("enrichment_complete", "lint_complete", "", None)
+_SQL_KINDS = "[" + ", ".join("NULL" if k is None else f"'{k}'" for k, _ in _KINDS) + "]"
+
+
+@query("pred11_pred16_kinds", f"""SELECT event_id, {_SQL_KINDS}[event_id % {len(_KINDS)} + 1] AS kind, [{', '.join(str(m).lower() for _, m in _KINDS)}][event_id % {len(_KINDS)} + 1] AS mutating, (event_id // {len(_KINDS)}) % 4 = 0 AS finished FROM events""")
 def pred11_pred16(spark, sf):
-    t = F.col("event_type")
-    return table(spark, sf, "events").groupBy(t).agg(F.count(F.lit(1)).alias("n")).select("event_type", "n", (~t.isin("view")).alias("mutating"), (t == "purchase").alias("enriched"))
+    """Every kind with every phase of the feed."""
+    e = F.col("event_id")
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    rows = table(spark, sf, "events").select("event_id", pick([k for k, _ in _KINDS], e).alias("kind"), pick(_FEED, F.floor(e / len(_KINDS))).alias("phase"))
+    return rows.select("event_id", "kind", P.is_mutating(F.col("kind")).alias("mutating"), S.is_finished(F.col("phase")).alias("finished"))
 
 
 @query("pred15_backfill_filter", with_sql(f"SELECT doc_id, doc_id % 2 = 0 AND {_SAFE} AND {_RULE} IS NULL AS pull FROM paths", "paths"))
@@ -136,18 +147,21 @@ def join10(spark, sf):
 def join12(spark, sf):
     """Pushed bytes are stashed where the file differs or is gone."""
     j = X.journal(spark, sf)
-    l = j.select("path").distinct().filter("path <> 'notes/3.md'").withColumn("content_hash", F.sha2("path", 256))
-    return j.join(l, "path", "left").select("event_id", (~F.col("content_hash").eqNullSafe(F.col("content_sha"))).alias("stash"))
+    files = j.select("path").distinct().filter("path <> 'notes/3.md'").withColumn("content_hash", F.sha2("path", 256))
+    return R.preserve_bytes(j, files).select("event_id", "stash")
 
 
-@query("proj1_push_events", with_sql("SELECT event_id, path, CASE WHEN action = 'modify' AND event_id % 5 = 0 THEN 'create' ELSE action END AS action, CASE WHEN action = 'delete' THEN '' ELSE content_sha END AS content_sha FROM journal WHERE action = 'delete' OR event_id % 9 <> 0", "journal"))
+@query("proj1_push_events", """SELECT event_id, 'n' || user_id || CASE WHEN event_id % 5 = 3 THEN '-new.md' ELSE '.md' END AS path, ['create', 'modify', 'delete', 'create'][event_id % 5 + 1] AS action,
+ CASE WHEN event_id % 5 = 2 THEN '' ELSE sha256(props) END AS content_sha, NULL::VARCHAR AS base_hash, 'dev-a' AS device_id FROM events WHERE event_id % 5 <> 4 AND (event_id % 5 = 2 OR event_id % 9 <> 0)""")
 def proj1(spark, sf):
-    """A rename (every fifth modify) is a create at the new path; missing content gives no row, but a delete needs none."""
-    j = X.journal(spark, sf)
-    content = F.when(F.col("event_id") % 9 != 0, F.col("content_sha"))
-    action = F.when((F.col("action") == "modify") & (F.col("event_id") % 5 == 0), "create").otherwise(F.col("action"))
-    gone = F.col("action") == "delete"
-    return j.filter(gone | content.isNotNull()).select("event_id", "path", action.alias("action"), F.when(gone, "").otherwise(content).alias("content_sha"))
+    """Created, modified, deleted and renamed files, and a kind that is not known; every ninth has no content to read."""
+    e = F.col("event_id")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("created", "modified", "deleted", "renamed", "odd")]), (e % 5 + 1).cast("int"))
+    name = F.concat(F.lit("n"), F.col("user_id").cast("string"))
+    events = table(spark, sf, "events").select(
+        "event_id", kind.alias("kind"), F.concat(name, F.lit(".md")).alias("path"), F.concat(name, F.lit("-new.md")).alias("new_path"), F.when(e % 9 != 0, F.col("props")).alias("content"), F.col("ts").alias("queued_at"),
+    )
+    return R.push_events(events, X.DEVICE).drop("queued_at")
 
 
 @query("proj3_relative", with_sql("SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN path END AS rel FROM paths", "paths"))
@@ -156,13 +170,21 @@ def proj3(spark, sf):
     return _paths(spark, sf).select("doc_id", P.relative_to(absolute, "/vault").alias("rel"))
 
 
-@query("fn4_targets", "SELECT doc_id, CASE WHEN lang = 'en' THEN '/live/' WHEN lang = 'de' THEN '/dry/' ELSE '/shadow/' END || source || '.md' AS target FROM documents")
+_MODES = ("live", "disabled", "shadow", "LIVE", "", None)
+
+
+@query("fn4_targets", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN '/vaults/' ELSE '/state/shadow/' END || source || '/' || doc_id || '.md' AS target FROM documents")
 def fn4(spark, sf):
-    """Mode to root; an unknown mode is the shadow."""
-    root = F.when(F.col("lang") == "en", "/live/").when(F.col("lang") == "de", "/dry/").otherwise("/shadow/")
-    return table(spark, sf, "documents").select("doc_id", F.concat(root, "source", F.lit(".md")).alias("target"))
+    """Mode to root; an unknown mode is the shadow's."""
+    mode = F.element_at(F.array(*[F.lit(m) for m in _MODES]), (F.col("doc_id") % 6 + 1).cast("int"))
+    rel = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return table(spark, sf, "documents").select("doc_id", P.target_path(mode, rel, F.lit("/vaults"), F.lit("/state/shadow/")).alias("target"))
 
 
-@query("dec18_redflag", with_sql("SELECT bool_or(path = 'redflag.md') AS tripped, bool_or(lower(path) = 'readme.md') AS other FROM paths", "paths"))
+@query("dec18_redflag", """SELECT source, bool_or(doc_id % 40 = 0) AS tripped FROM documents GROUP BY source""")
 def dec18(spark, sf):
-    return _paths(spark, sf).agg(F.bool_or(F.col("path") == "redflag.md").alias("tripped"), F.bool_or(F.lower("path") == "readme.md").alias("other"))
+    """By folder: only a regular file of the exact name trips; folders, other cases and deeper files do not."""
+    d = F.col("doc_id")
+    name = F.when(d % 20 == 0, "redflag.md").when(d % 20 == 1, "Redflag.md").when(d % 20 == 2, "a/redflag.md").otherwise("redflag.md.txt")
+    rows = table(spark, sf, "documents").select("source", P.is_redflag(name, d % 40 != 20).alias("hit"))
+    return rows.groupBy("source").agg(F.bool_or("hit").alias("tripped"))

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import content as C
 from tidemark.functions import paths as P
+from tidemark.functions import scalars as S
+from tidemark.operators import ordered as O
 from tidemark.operators import reconcile as R
+from tidemark.operators import stores as St
+from tidemark.plans import content_queries as CQ
 from tidemark.plans.registry import query
 from tidemark.plans.staging import stage
 from tidemark.sources import fixtures as X
@@ -89,29 +94,61 @@ def dec1_counts(spark, sf):
     return _decided(spark, sf).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("dec3_dec4_guard", with_sql(_DECIDED + """ SELECT path, CASE WHEN path LIKE '%/en/%' AND (decision LIKE '%pull_clean%' OR decision LIKE '%conflict%')
-  THEN CASE WHEN size_bytes % 2 = 0 THEN 'preserve_and_push' ELSE 'stash_then_align' END ELSE 'none' END AS guard_arm,
-  CASE WHEN decision LIKE '%noop%' AND size_bytes % 3 = 0 THEN 'align' ELSE 'keep' END AS alignment FROM de""", *_ALL))
-def dec3_dec4(spark, sf):
-    """The derived texts have no frontmatter; language and size stand in for the two content tests."""
-    d = F.col("decision")
-    return _decided(spark, sf).select(
-        "path", R.guard(d, F.contains("path", F.lit("/en/")), F.col("size_bytes") % 2 == 0).alias("guard_arm"), R.align(d, F.col("size_bytes") % 3 != 0).alias("alignment")
-    )
+#: Notes of both sides as X.sides() has them, what they compare as, and the decision on each.
+_CONTENT = f"""notes0 AS ({X.WHOLE_NOTES}), n0 AS (SELECT doc_id, note, {CQ._PULL} AS f FROM notes0), n1 AS (SELECT *, substr(f, length({CQ._BLOCK.format('f')}) + 1) AS body FROM n0),
+ sd AS (SELECT n1.doc_id, source || '/' || lang || '/' || n1.doc_id || '.md' AS path, n1.doc_id % 3 AS root, n1.doc_id * 600 AS secs, note AS local,
+  CASE n1.doc_id % 7 WHEN 1 THEN body WHEN 2 THEN note || chr(10) || 'server-edit' WHEN 3 THEN {CQ._FOLD.format('note')} WHEN 4 THEN body || chr(10) || 'server-edit' WHEN 5 THEN concat('---', chr(10), 'k: v', chr(10), '---', chr(10), body) ELSE note END AS server,
+  CASE WHEN n1.doc_id % 11 = 0 THEN note || chr(10) || 'later' ELSE note END AS now FROM n1 JOIN documents d ON d.doc_id = n1.doc_id),
+ notes AS (SELECT 2 * doc_id AS doc_id, local AS note FROM sd UNION ALL SELECT 2 * doc_id + 1, server FROM sd), {CQ._fm_sql(CQ._PULL)},
+ pt AS (SELECT doc_id, {CQ._BOM1} AS n, {CQ._PULL} AS f FROM notes), pr AS (SELECT doc_id, starts_with(n, '---' || chr(10)) OR starts_with(n, '---' || chr(13) || chr(10)) OR n = '---' AS block, substr(f, length({CQ._BLOCK.format('f')}) + 1) AS body FROM pt),
+ hs AS (SELECT sd.*, sha256(a.form) AS content_hash, sha256(b.form) AS server_hash, x.block AND NOT y.block AS strips, x.body = y.body AS same_body FROM sd JOIN frm a ON a.doc_id = 2 * sd.doc_id JOIN frm b ON b.doc_id = 2 * sd.doc_id + 1
+  JOIN pr x ON x.doc_id = 2 * sd.doc_id JOIN pr y ON y.doc_id = 2 * sd.doc_id + 1),
+ sh AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN server_hash WHEN 1 THEN content_hash WHEN 2 THEN sha256(path) END AS shadow_hash FROM hs), de AS (SELECT *, {_DECIDE} AS decision FROM sh)"""
+_GUARD = "CASE WHEN strips AND (decision LIKE '%pull_clean%' OR decision LIKE '%conflict%') THEN CASE WHEN same_body THEN 'preserve_and_push' ELSE 'stash_then_align' END ELSE 'none' END"
+_ALIGN = "CASE WHEN decision LIKE '%noop%' AND local <> server THEN 'align' ELSE 'keep' END"
+_REWRITE = "CASE WHEN now IS NULL THEN 'skip_missing' WHEN now <> local THEN 'skip_concurrent_edit' WHEN strips THEN 'skip_frontmatter_strip' ELSE 'written' END"
+#: Admission to the breaker of the rows `asked` (root, secs, doc_id), each after the one before it.
+_ADMIT = """nb AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY secs, doc_id) AS n FROM asked),
+ ad AS (SELECT root, n, doc_id, true AS admitted, [secs] AS held FROM nb WHERE n = 1
+  UNION ALL SELECT root, n, doc_id, len(h) < 5, CASE WHEN len(h) < 5 THEN list_append(h, secs) ELSE h END FROM (SELECT nb.*, list_filter(ad.held, lambda x: nb.secs - x <= 21600) AS h FROM ad JOIN nb ON nb.root = ad.root AND nb.n = ad.n + 1))"""
+
+
+def _contents(spark, sf):
+    """Whole notes of both sides with what they compare as, each test by its own function."""
+    form = lambda c: C.sha(C.pull_form(F.col(c), X.STRIP))
+    rows = X.sides(spark, sf).withColumn("content_hash", form("local")).withColumn("server_hash", form("server"))
+    based = F.when(F.col("base") == "server", F.col("server_hash")).when(F.col("base") == "local", F.col("content_hash")).when(F.col("base") == "other", F.sha2(F.col("path"), 256))
+    rows = rows.withColumn("shadow_hash", based)
+    return rows.withColumn("decision", R.decide_rows(rows)).withColumn("strips", C.has_frontmatter(F.col("local")) & ~C.has_frontmatter(F.col("server")))
 
 
-_CAUSAL = "CASE WHEN decision LIKE '%conflict%' AND coalesce(prov = 'adopted' AND change_seq <= seq, false) THEN 'preserve_local' ELSE decision END"
+@query("dec3_dec4_guard", f"WITH {_CONTENT} SELECT doc_id, decision, {_GUARD} AS guard_arm, {_ALIGN} AS alignment FROM de")
+def dec3_dec4(spark, sf):
+    """What a pull that would drop frontmatter becomes, by the two bodies; what a no-op whose bytes differ becomes."""
+    d = F.col("decision")
+    same_body = C.body_only(F.col("local")) == C.body_only(F.col("server"))
+    return _contents(spark, sf).select("doc_id", "decision", R.guard(d, F.col("strips"), same_body).alias("guard_arm"), R.align(d, F.col("local") == F.col("server")).alias("alignment"))
 
 
-@query("dec5_dec6_conflicts", with_sql(_DECIDED + f""", ca AS (SELECT de.path, shadow_hash, {_CAUSAL} AS final, size_bytes FROM de LEFT JOIN base_seq b ON de.path = b.path)
-  SELECT path, final, CASE WHEN final NOT LIKE '%conflict%' THEN 'not_conflict' WHEN shadow_hash IS NULL AND size_bytes % 2 = 0 THEN 'skip_scope_suspect'
-  WHEN size_bytes % 5 = 0 THEN 'skip_breaker' ELSE 'stash_and_write' END AS outcome FROM ca""", *_ALL, "base_seq"))
+@query("dec5_dec6_conflicts", with_sql(f"""WITH RECURSIVE {_CONTENT}, ca AS (SELECT de.doc_id, de.root, de.secs, shadow_hash IS NOT NULL AS known, CASE WHEN decision LIKE '%conflict%' AND coalesce(prov = 'adopted' AND change_seq <= seq, false) THEN 'preserve_local' ELSE decision END AS final
+  FROM de LEFT JOIN server_state s ON s.path = de.path LEFT JOIN base_seq b ON b.path = de.path),
+ asked AS (SELECT root, secs, doc_id FROM ca WHERE final LIKE '%conflict%' AND (known OR root = 0)), {_ADMIT}
+ SELECT ca.doc_id, final, CASE WHEN final NOT LIKE '%conflict%' THEN 'not_conflict' WHEN NOT known AND ca.root <> 0 THEN 'skip_scope_suspect' WHEN NOT coalesce(admitted, true) THEN 'skip_breaker' ELSE 'stash_and_write' END AS outcome
+ FROM ca LEFT JOIN ad ON ad.doc_id = ca.doc_id""", "server_state", "base_seq"))
 def dec5_dec6_snk4(spark, sf):
-    """SNK-4: the outcome of a write for every conflicting pull."""
-    rows = _decided(spark, sf).join(X.base_seq(spark, sf), "path", "left")
-    rows = rows.withColumn("final", R.causal(F.col("decision"), F.col("change_seq"), F.col("seq"), F.col("prov")))
-    out = R.mint(F.col("final"), F.col("shadow_hash").isNotNull(), F.col("size_bytes") % 2 == 0, F.col("size_bytes") % 5 == 0)
-    return rows.select("path", "final", out.alias("outcome"))
+    """SNK-4: the outcome of a write for every conflicting pull. The store of root 0 has keys without folders, so only the
+    others are suspect; what the store does not hold back goes to the breaker in order of time."""
+    rows = _contents(spark, sf).select("doc_id", "path", "root", "ts", "decision", F.col("shadow_hash").isNotNull().alias("known"))
+    seq = X.server_state(spark, sf).select("path", "change_seq").join(X.base_seq(spark, sf), "path", "full")
+    rows = rows.join(seq, "path", "left").withColumn("final", R.causal(F.col("decision"), F.col("change_seq"), F.col("seq"), F.col("prov")))
+    rows = stage(rows.select("doc_id", "path", "root", "ts", "known", "final"), "conflicts")
+    keys = rows.filter("known").select("root", F.when(F.col("root") == 0, P.basename(F.col("path"))).otherwise(F.col("path")).alias("key"))
+    suspect = St.scope_suspect(keys, (), ("root",)).select("root", F.col("suspect").isNotNull().alias("suspect"))
+    rows = rows.join(suspect, "root", "left").withColumn("suspect", F.coalesce("suspect", F.lit(False)))
+    asked = rows.filter(F.col("final").contains("conflict") & (F.col("known") | ~F.col("suspect"))).select("root", "ts", F.col("doc_id").alias("event_id"))
+    admitted = O.admission(asked, 5, 6 * 3600).select(F.col("event_id").alias("doc_id"), "admitted")
+    out = R.mint(F.col("final"), F.col("known"), F.col("suspect"), ~F.coalesce("admitted", F.lit(True)))
+    return rows.join(admitted, "doc_id", "left").select("doc_id", "final", out.alias("outcome"))
 
 
 _OUTCOMES = ("error", "integrity_failed", "breaker_open", "local_edit_preserved", "guard_preserve_push_up", "shadow_scope_suspect", "written", "identical")
@@ -126,18 +163,24 @@ def dec7(spark, sf):
     return d.groupBy("lang", R.pull_class(outcome).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("agg1_agg2_report", with_sql(_SHADOWED + f""", di AS (SELECT split_part(path, '/', 1) AS root, path, {_DIRECTION} AS direction, state FROM sh),
+#: What becomes of a pull: most are written.
+_PULLS = ("error", "integrity_failed", "breaker_open", "local_edit_preserved", *["written"] * 60)
+
+
+@query("agg1_agg2_report", with_sql(_SHADOWED + f""", di AS (SELECT split_part(path, '/', 1) AS root, path, {_DIRECTION} AS direction, state, CASE WHEN {_DIRECTION} = 'pull' THEN {list(_PULLS)}[('0x' || left(server_hash, 2))::INT % 64 + 1] END AS outcome FROM sh),
   rk AS (SELECT *, row_number() OVER (PARTITION BY root, direction, state ORDER BY path) AS rn FROM di)
   SELECT root, count(*)::BIGINT AS files_scanned, count(*) FILTER (WHERE direction = 'push' AND state = 'drift')::BIGINT AS modify_count,
   count(*) FILTER (WHERE direction = 'push' AND state <> 'drift')::BIGINT AS add_count, count(*) FILTER (WHERE direction = 'pull')::BIGINT AS pulls_attempted,
   (count(*) - count(*) FILTER (WHERE direction = 'push' AND state = 'drift'))::BIGINT AS files_in_sync,
   coalesce(string_agg(path, ',' ORDER BY path) FILTER (WHERE direction = 'push' AND state <> 'drift' AND rn <= 5), '') AS add_sample,
-  count(*) FILTER (WHERE direction = 'pull') > 3 AS cycle_red, NOT count(*) FILTER (WHERE direction = 'pull') > 3 AS soak_eligible FROM rk GROUP BY root""", *_ALL))
+  count(*) FILTER (WHERE outcome IN ('error', 'integrity_failed'))::BIGINT AS pulls_failed, count(*) FILTER (WHERE outcome IN ('breaker_open', 'local_edit_preserved'))::BIGINT AS still_divergent,
+  count(*) FILTER (WHERE outcome IN ('error', 'integrity_failed', 'breaker_open', 'local_edit_preserved')) > 0 AS cycle_red,
+  count(*) FILTER (WHERE outcome IN ('error', 'integrity_failed', 'breaker_open', 'local_edit_preserved')) = 0 AS soak_eligible FROM rk GROUP BY root""", *_ALL))
 def agg1_agg2(spark, sf):
-    """By root; ORD-3: samples are the first five paths. Pulls beyond three stand in for failed ones."""
+    """By root; ORD-3: samples are the first five paths. A pull's outcome goes by the head of its server hash."""
     from pyspark.sql import Window
 
-    rows = _directed(spark, sf).withColumn("root", F.split_part("path", F.lit("/"), F.lit(1)))
+    rows = _directed(spark, sf).withColumn("outcome", F.when(F.col("direction") == "pull", F.element_at(F.array(*[F.lit(x) for x in _PULLS]), F.conv(F.left("server_hash", F.lit(2)), 16, 10).cast("int") % 64 + 1))).withColumn("root", F.split_part("path", F.lit("/"), F.lit(1)))
     rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("root", "direction", "state").orderBy("path")))
     modify = (F.col("direction") == "push") & (F.col("state") == "drift")
     add = (F.col("direction") == "push") & (F.col("state") != "drift")
@@ -145,8 +188,9 @@ def agg1_agg2(spark, sf):
     sample = F.array_join(F.array_sort(F.collect_list(F.when(add & (F.col("rn") <= 5), F.col("path")))), ",")
     return rows.groupBy("root").agg(
         n.alias("files_scanned"), F.count_if(modify).alias("modify_count"), F.count_if(add).alias("add_count"), pulls.alias("pulls_attempted"),
-        (n - F.count_if(modify)).alias("files_in_sync"), sample.alias("add_sample"), (pulls > 3).alias("cycle_red"), (~(pulls > 3)).alias("soak_eligible"),
-    )
+        (n - F.count_if(modify)).alias("files_in_sync"), sample.alias("add_sample"),
+        F.count_if(R.pull_class(F.col("outcome")) == "failed").alias("pulls_failed"), F.count_if(F.col("outcome").isin("breaker_open", "local_edit_preserved")).alias("still_divergent"),
+    ).withColumn("cycle_red", S.cycle_red(F.col("pulls_failed"), F.col("still_divergent"))).withColumn("soak_eligible", ~F.col("cycle_red"))
 
 
 @query("agg3_agg7_rollup", with_sql(_SHADOWED + f""" SELECT count(*)::BIGINT AS files_scanned, count(*) FILTER (WHERE {_DIRECTION} = 'push')::BIGINT AS pushes,
@@ -179,11 +223,12 @@ def join14_snk6(spark, sf):
     return R.deletes(l.filter("doc_id % 2 = 0").select("path"), X.shadow(spark, sf), l.filter("doc_id % 6 <> 0")).select("path", "outcome")
 
 
-@query("snk5_compare_and_set", with_sql(_STATES + """ SELECT path, CASE WHEN content_hash <> CASE WHEN size_bytes % 4 = 0 THEN 'other' ELSE content_hash END THEN 'skip_concurrent_edit'
-  WHEN size_bytes % 4 = 1 THEN 'skip_frontmatter_strip' ELSE 'written' END AS outcome FROM st WHERE state = 'drift'""", "local_manifest", "server_state"))
+@query("snk5_compare_and_set", f"WITH {_CONTENT} SELECT doc_id, {_REWRITE} AS outcome FROM (SELECT * REPLACE (CASE WHEN doc_id % 13 <> 0 THEN now END AS now) FROM de)")
 def snk5(spark, sf):
-    expected = F.when(F.col("size_bytes") % 4 == 0, "other").otherwise(F.col("content_hash"))
-    return R.compare_and_set(_states(spark, sf).filter("state = 'drift'"), expected, F.col("size_bytes") % 4 == 1).select("path", "outcome")
+    """A file is rewritten only if it is still what was seen; every thirteenth is gone."""
+    now = F.when(F.col("doc_id") % 13 != 0, C.sha(F.col("now")))
+    rows = _contents(spark, sf).withColumn("content_hash", now)
+    return R.compare_and_set(rows, C.sha(F.col("local")), F.col("strips")).select("doc_id", "outcome")
 
 
 @query("dec8_stash_policy", """SELECT doc_id, p AS policy, CASE WHEN source = 'src1' OR p IN ('server_wins', 'manual') THEN true ELSE doc_id % 3 = 0 OR doc_id % 100 < 50 END AS stash
@@ -217,29 +262,25 @@ def kv1_kv2(spark, sf):
     return R.upsert(X.shadow(spark, sf), fresh, "path")
 
 
-@query("dec16_launch", "SELECT doc_id, doc_id % 2 = 0 AS start_sync, NOT (doc_id % 2 = 0 AND doc_id % 3 = 0) AS show_wizard, doc_id % 5 <> 0 AS single_instance FROM documents")
+@query("dec16_launch", """SELECT doc_id, doc_id % 2 = 0 AS start_sync, NOT (doc_id % 2 = 0 AND doc_id % 3 = 0) AS show_wizard, doc_id % 5 <> 0 AS single_instance, doc_id % 5 <> 0 AS updater, doc_id % 5 <> 0 AS autostart, doc_id % 5 <> 0 AS allow_wizard FROM documents""")
 def dec16(spark, sf):
-    config, token, managed = F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0, F.col("doc_id") % 5 == 0
-    return table(spark, sf, "documents").select("doc_id", config.alias("start_sync"), (~(config & token)).alias("show_wizard"), (~managed).alias("single_instance"))
+    """Every combination of the three facts."""
+    d = F.col("doc_id")
+    rows = table(spark, sf, "documents").select("doc_id", S.launch(d % 2 == 0, d % 3 == 0).alias("a"), S.plugin_policy(d % 5 == 0).alias("b"))
+    return rows.select("doc_id", "a.*", "b.*")
 
 
-@query("dec3_dec6_snk5_by_content", None)
+@query("dec3_dec6_snk5_by_content", f"""WITH RECURSIVE {_CONTENT}, asked AS (SELECT root, secs, doc_id FROM de WHERE decision = 'R4_conflict'), {_ADMIT}
+ SELECT de.doc_id, decision, {_GUARD} AS guard_arm, {_ALIGN} AS alignment, CASE WHEN decision NOT LIKE '%conflict%' THEN 'not_conflict' WHEN decision = 'R5_conflict' THEN 'skip_scope_suspect' WHEN NOT coalesce(admitted, true) THEN 'skip_breaker' ELSE 'stash_and_write' END AS outcome,
+ {_REWRITE} AS rewrite FROM de LEFT JOIN ad ON ad.doc_id = de.doc_id""")
 def dec3_dec4_dec6_snk5(spark, sf):
     """Guard, alignment, mint and compare-and-set on whole notes of both sides (X.sides), each test by its own function.
 
     Decisions compare pull forms. Conflicts that the store does not hold back go to the breaker in order of time.
     """
-    from tidemark.functions import content as C
-    from tidemark.operators import ordered as O
-    from tidemark.operators import stores as St
-
-    form = lambda c: C.sha(C.pull_form(F.col(c), X.STRIP))
-    rows = X.sides(spark, sf).withColumn("content_hash", form("local")).withColumn("server_hash", form("server"))
-    based = F.when(F.col("base") == "server", F.col("server_hash")).when(F.col("base") == "local", F.col("content_hash")).when(F.col("base") == "other", F.sha2(F.col("path"), 256))
-    rows = rows.withColumn("shadow_hash", based).withColumn("decision", R.decide_rows(rows.withColumn("shadow_hash", based)))
-    strips = C.has_frontmatter(F.col("local")) & ~C.has_frontmatter(F.col("server"))
+    rows = _contents(spark, sf)
     rows = stage(rows.select(
-        "doc_id", "path", "root", "ts", "decision", F.col("shadow_hash").isNotNull().alias("known"), strips.alias("strips"), (C.body_only(F.col("local")) == C.body_only(F.col("server"))).alias("same_body"),
+        "doc_id", "path", "root", "ts", "decision", F.col("shadow_hash").isNotNull().alias("known"), "strips", (C.body_only(F.col("local")) == C.body_only(F.col("server"))).alias("same_body"),
         (F.col("local") == F.col("server")).alias("raw_equal"), C.sha(F.col("local")).alias("seen"), C.sha(F.col("now")).alias("content_hash"),
     ), "content-sides")
     suspect = St.scope_suspect(rows.filter("known").select(F.col("path").alias("key")), ()).select(F.col("suspect").isNotNull().alias("suspect"))

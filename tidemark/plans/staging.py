@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this application; a folder of our own only where the session names none."""
+    """The shared folder of this application. Where the session names none, a folder of our own, but only on one machine: on a
+    cluster every executor would write to its own disk, so that is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"

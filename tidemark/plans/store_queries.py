@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars as S
+from tidemark.operators import reconcile as R
 from tidemark.operators import stores as St
 from tidemark.plans.registry import query
+from tidemark.plans.staging import shared_dir
 from tidemark.sources import fixtures as X
 from tidemark.sources.fixtures import with_sql
 from tidemark.sources.tables import table
 
-_LINE = """CASE WHEN event_id % 50 = 0 THEN '  ' WHEN event_id % 211 = 0 THEN '{"schema' WHEN event_id % 31 = 0 THEN '{"schema_version":2,"id":"x"}' WHEN event_id % 37 = 0 THEN '{"schema_version":1,"id":"x"}'
+_LINE = """CASE WHEN event_id % 50 = 0 THEN '  ' WHEN event_id % 53 = 0 THEN chr(9) || ' ' || chr(13) WHEN event_id % 307 = 0 THEN '{"schema_version":-1,"id":"x"}' WHEN event_id % 211 = 0 THEN '{"schema' WHEN event_id % 31 = 0 THEN '{"schema_version":2,"id":"x"}' WHEN event_id % 37 = 0 THEN '{"schema_version":1,"id":"x"}'
  ELSE '{"schema_version":1,"id":"' || CASE WHEN event_id % 6 = 0 THEN '' ELSE event_id::VARCHAR END || '","path":"' || path || '","action":"' || action || '","content_sha":"' || content_sha || '","queued_at":"q","device_id":"d"}' END"""
 
 
@@ -21,13 +26,13 @@ def _lines(spark, sf):
         text('{"schema_version":1,"id":"'), F.when(e % 6 == 0, "").otherwise(e.cast("string")), text('","path":"'), "path", text('","action":"'), "action",
         text('","content_sha":"'), "content_sha", text('","queued_at":"q","device_id":"d"}'),
     )
-    line = F.when(e % 50 == 0, "  ").when(e % 211 == 0, '{"schema').when(e % 31 == 0, '{"schema_version":2,"id":"x"}').when(e % 37 == 0, '{"schema_version":1,"id":"x"}').otherwise(whole)
+    line = F.when(e % 50 == 0, "  ").when(e % 53 == 0, "\t \r").when(e % 307 == 0, '{"schema_version":-1,"id":"x"}').when(e % 211 == 0, '{"schema').when(e % 31 == 0, '{"schema_version":2,"id":"x"}').when(e % 37 == 0, '{"schema_version":1,"id":"x"}').otherwise(whole)
     return X.journal(spark, sf).select(F.floor(e / 500).alias("file"), "line_no", line.alias("line"))
 
 
 @query("src3_journal_lines", with_sql(f"""WITH l AS (SELECT event_id // 500 AS file, line_no, event_id, path, action, content_sha, {_LINE} AS line FROM journal),
- s AS (SELECT file, min(line_no) AS stop FROM l WHERE line = '{{"schema' GROUP BY file)
- SELECT l.file, line_no, CASE WHEN event_id % 6 = 0 THEN sha256(path || chr(31) || content_sha || chr(31) || 'q' || chr(31) || action) ELSE event_id::VARCHAR END AS id, path, action, NULL::VARCHAR AS base_hash, content_sha
+ s AS (SELECT file, min(line_no) AS stop FROM l WHERE line IN ('{{"schema', '{{"schema_version":-1,"id":"x"}}') GROUP BY file)
+ SELECT l.file, line_no, CASE WHEN event_id % 6 = 0 THEN 'legacy-' || left(sha256(path || chr(31) || content_sha || chr(31) || 'q' || chr(31) || action), 16) ELSE event_id::VARCHAR END AS id, path, action, NULL::VARCHAR AS base_hash, content_sha
  FROM l LEFT JOIN s ON l.file = s.file WHERE (stop IS NULL OR line_no < stop) AND starts_with(line, '{{"schema_version":1,"id":"') AND line <> '{{"schema_version":1,"id":"x"}}'""", "journal"))
 def src3(spark, sf):
     return St.journal_lines(_lines(spark, sf))
@@ -91,15 +96,45 @@ def dec10_kv2(spark, sf):
     return St.lineage(table(spark, sf, "events").select(F.col("event_id").alias("line_no"), F.concat(F.lit("p"), (F.col("user_id") % 50).cast("string")).alias("path"), seq.alias("seq"), prov.alias("prov")))
 
 
-@query("dec13_conflict_refetch", with_sql("""SELECT l.path, CASE WHEN s.fs_hash IS NULL THEN CASE WHEN l.doc_id % 2 = 0 THEN 'accept_delete' ELSE 'recreate_no_row' END WHEN s.fs_hash = l.content_hash THEN 'receipt' ELSE 'receipt_and_merge' END AS action
- FROM local_manifest l LEFT JOIN server_state s ON l.path = s.path""", "local_manifest", "server_state"))
+@query("dec13_conflict_refetch", with_sql("""SELECT j.event_id, CASE WHEN s.fs_hash IS NULL THEN CASE WHEN action = 'delete' THEN 'accept_delete' ELSE 'recreate_no_row' END
+ WHEN s.doc_id % 3 <> 0 AND s.doc_id % 4 <> 3 THEN 'receipt_and_merge' ELSE 'merge' END AS action
+ FROM (SELECT event_id, action, event_id % 1200 AS doc_id FROM journal) j LEFT JOIN (SELECT s.doc_id, min(s.fs_hash) AS fs_hash FROM server_state s GROUP BY s.doc_id) s ON s.doc_id = j.doc_id""", "journal", "server_state"))
 def dec13(spark, sf):
-    """After a 409: a note that is gone clears the stores (a delete is accepted, else re-created with no base row)."""
-    rows = X.local_manifest(spark, sf).join(X.server_state(spark, sf).select("path", "fs_hash"), "path", "left")
-    gone = F.when(F.col("doc_id") % 2 == 0, "accept_delete").otherwise("recreate_no_row")
-    return rows.select("path", F.when(F.col("fs_hash").isNull(), gone).when(F.col("fs_hash") == F.col("content_hash"), "receipt").otherwise("receipt_and_merge").alias("action"))
+    """Refused pushes of the journal against the notes fetched again; a receipt needs the declared hash, the head and a sequence."""
+    d = F.col("doc_id")
+    fetched = X.server_state(spark, sf).groupBy("doc_id").agg(F.min("fs_hash").alias("fs_hash"), F.max("change_seq").alias("change_seq"))
+    fetched = fetched.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    receipt = S.receipt(F.col("text"), F.when(d % 3 == 0, "x").otherwise(F.sha2("text", 256)), F.when(d % 4 == 3, "y").when(d % 4 == 2, F.sha2("text", 256)), F.col("change_seq"))
+    fetched = fetched.select("doc_id", F.lit(True).alias("found"), receipt.alias("receipt"))
+    refused = X.journal(spark, sf).select("event_id", "action", (F.col("event_id") % 1200).alias("doc_id"))
+    rows = refused.join(fetched, "doc_id", "left").select("event_id", "action", F.coalesce("found", F.lit(False)).alias("found"), "receipt")
+    return rows.select("event_id", R.after_conflict(F.col("found"), F.col("action"), F.col("receipt")).alias("action"))
 
 
 @query("fn3_stash_positions", with_sql("SELECT l.path, coalesce(b.seq, 0) AS lsn FROM local_manifest l LEFT JOIN base_seq b ON l.path = b.path", "local_manifest", "server_state", "base_seq"))
 def fn3(spark, sf):
-    return X.local_manifest(spark, sf).join(X.base_seq(spark, sf).select("path", "seq"), "path", "left").select("path", F.coalesce("seq", F.lit(0).cast("long")).alias("lsn"))
+    return R.stash_positions(X.local_manifest(spark, sf), X.base_seq(spark, sf)).select("path", "lsn")
+
+
+@query("snk8_stash_manifest", """SELECT '{"original":"' || source || '/' || doc_id || '.md","stash":"' || source || '/' || doc_id || '.conflict-from-dev-a-' || doc_id || '.md","device":"dev-a","lsn":' || doc_id || ',"ts":' || (1700000000 + doc_id) || '}' AS line FROM documents""")
+def snk8(spark, sf):
+    """The lines that a pass appends for its stashes; written to a folder and read again."""
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".conflict-from-dev-a-"), F.col("doc_id").cast("string"), F.lit(".md"))
+    stashes = table(spark, sf, "documents").select(
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("original"), F.concat("source", F.lit("\\"), name).alias("stash"), F.lit(X.DEVICE).alias("device"),
+        F.col("doc_id").alias("lsn"), (F.lit(1_700_000_000).cast("long") + F.col("doc_id")).alias("ts"),
+    )
+    folder = f"{shared_dir(spark)}/stash-manifest-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        St.record_stash_manifest(stashes.filter(F.col("lsn") % 2 == half), folder)
+    return spark.read.text(folder).select(F.col("value").alias("line"))
+
+
+@query("snk3_kv5_rewrite", with_sql("SELECT path, server_hash FROM shadow WHERE server_hash >= '8'", "local_manifest", "server_state", "shadow"))
+def snk3_kv5(spark, sf):
+    """A store saved, rewritten whole, and saved again unchanged, which writes nothing; then its current version."""
+    folder, schema = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", "path STRING, server_hash STRING"
+    St.save(X.shadow(spark, sf), folder)
+    St.save(St.load(spark, folder, schema).filter("server_hash >= '8'"), folder)
+    St.save_if_changed(X.shadow(spark, sf).filter("server_hash >= '8'"), folder, schema)
+    return St.load(spark, folder, schema)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.guard_queries import BREAKER_SQL
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as X
 from tidemark.sources.files import candidate_files, file_manifest
@@ -64,7 +67,7 @@ def win3_live(spark, sf):
     return feeds.drain(feeds.live_echo(_stream(spark, sf, "echo"), 6 * 3600), spark, f"echo-{uuid.uuid4().hex}")
 
 
-@query("win9_live_breaker", None)
+@query("win9_live_breaker", BREAKER_SQL)
 def win9_live(spark, sf):
     return feeds.drain(feeds.live_breaker(_stream(spark, sf, "conflicts"), 5, 6 * 3600), spark, f"breaker-{uuid.uuid4().hex}")
 
@@ -82,12 +85,11 @@ def src2_files(spark, sf):
     return file_manifest(candidate_files(spark, sf, roots=(), allowed=(".parquet",)))
 
 
-@query("entry_fixture_counts", None)
+_VIEWS = ("local_manifest", "server_state", "shadow", "base_seq", "journal", "burst_events", "echo_events", "paths", "notes")
+
+
+@query("entry_fixture_counts", X.with_sql(" UNION ALL ".join(f"SELECT '{v}' AS view, count(*)::BIGINT AS n FROM {v}" for v in _VIEWS), *_VIEWS))
 def counts(spark, sf):
     """Rows of each derived view."""
-    views = ("local_manifest", "server_state", "shadow", "base_seq", "journal", "burst_events", "echo_events", "paths", "notes")
-    one = [getattr(X, v)(spark, sf).agg(F.count(F.lit(1)).alias("n")).select(F.lit(v).alias("view"), "n") for v in views]
-    out = one[0]
-    for x in one[1:]:
-        out = out.unionByName(x)
-    return out
+    one = [getattr(X, v)(spark, sf).agg(F.count(F.lit(1)).alias("n")).select(F.lit(v).alias("view"), "n") for v in _VIEWS]
+    return reduce(DataFrame.unionByName, one)

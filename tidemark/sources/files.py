@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ def candidate_files(spark: SparkSession, root: str, roots: Sequence[str] = (), e
     """path (relative), decision, rule, size_bytes and the lazily read content of every file below `root`.
 
     Only the columns asked for are read: a query that needs no content opens no file. A missing root has no files.
-    Files without a byte are passed over: the reader of whole files does not list them.
+    Spark's reader of whole files lists files without a byte but gives no rows for them; they are added from its listing.
     """
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(root)
@@ -23,6 +24,9 @@ def candidate_files(spark: SparkSession, root: str, roots: Sequence[str] = (), e
         return spark.createDataFrame([], "path STRING, decision STRING, rule STRING, size_bytes BIGINT, content BINARY")
     lead = fs.makeQualified(top).toString().rstrip("/") + "/"
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    known = spark.createDataFrame([(unquote(f).replace(":///", ":/", 1),) for f in rows.inputFiles()], "path STRING")
+    empty = known.join(rows.select("path"), "path", "left_anti")
+    rows = rows.select("path", "length", "content").unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
     plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
     rel = F.substring(plain(F.col("path")), F.length(plain(F.lit(lead))) + 1, F.lit(1 << 30))
     rel = F.when(rel == "", P.basename(F.col("path"))).otherwise(rel)

@@ -149,7 +149,7 @@ def with_sql(body: str, *names: str) -> str:
     for n in names:
         add(n)
     ctes = [f"{n} AS ({SQL[n]})" for n in order]
-    head, rest = ("WITH ", body)
-    if body.lstrip().upper().startswith("WITH "):
-        rest = ", " + body.lstrip()[5:]
-    return head + ", ".join(ctes) + (" " if not rest.startswith(",") else "") + rest
+    head, own = "WITH ", body.lstrip()
+    if own.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(ctes)}, {own[15:]}"
+    return head + ", ".join(ctes) + (f", {own[5:]}" if own.upper().startswith("WITH ") else f" {body}")

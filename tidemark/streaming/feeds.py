@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from datetime import UTC
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,24 +30,67 @@ def latest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.max(F.struct("seq", "event_id", "op")).alias("m")).select("path", "m.seq", "m.event_id", "m.op")
 
 
+STORE = "path STRING, seq BIGINT, event_id BIGINT, op STRING"
+BUCKETS = 64
+
+
+def _held(spark: SparkSession, base: str, before: int) -> dict[int, list[int]]:
+    """Numbers of the micro-batches below `before` that wrote each bucket, newest first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[int, list[int]] = {}
+    for s in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/v*/bucket=*")) or []:
+        number, bucket = int(s.getPath().getParent().getName()[1:]), int(s.getPath().getName().partition("=")[2])
+        if number < before:
+            out.setdefault(bucket, []).append(number)
+    return {b: sorted(n, reverse=True) for b, n in out.items()}
+
+
+def _store(spark: SparkSession, base: str, before: int, only: set[int] | None = None) -> DataFrame:
+    paths = [f"{base}/v{n[0]}/bucket={b}" for b, n in _held(spark, base, before).items() if only is None or b in only]
+    return spark.read.schema(STORE).parquet(*paths) if paths else spark.createDataFrame([], STORE)
+
+
 def replay(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """Run a feed to its end and return the store: path, seq, event_id, op; deletes leave a row with op DELETE.
 
-    Each micro-batch is merged into a new version of the store, whose number is the batch's: a batch that is run again
-    after a failure writes the same version, so replays change nothing. The checkpoint holds the feed's offset.
+    The store lies in BUCKETS buckets of paths. A micro-batch writes the buckets that it touches under its own number, merged
+    with what the newest earlier batch left of them: a batch that is run again after a failure writes the same rows, so
+    replays change nothing. Of each bucket that was touched, older versions than the one merged are removed. The
+    checkpoint holds the feed's offset.
     """
     base = f"{shared_dir(spark)}/{name}"
-    schema = "path STRING, seq BIGINT, event_id BIGINT, op STRING"
+    bucket = F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
     def merge(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
-        old = s.read.schema(schema).parquet(f"{base}/v{number - 1}") if number else s.createDataFrame([], schema)
-        latest(old.unionByName(latest(batch))).write.mode("overwrite").parquet(f"{base}/v{number}")
+        fresh = latest(batch).persist()
+        try:
+            touched = {r["bucket"] for r in fresh.select(bucket).distinct().collect()}
+            merged = latest(_store(s, base, number, touched).unionByName(fresh))
+            merged.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/v{number}")
+        finally:
+            fresh.unpersist()
+        jvm = s.sparkContext._jvm
+        for b, versions in _held(s, base, number).items():
+            for old in versions[1:] if b in touched else ():
+                path = jvm.org.apache.hadoop.fs.Path(f"{base}/v{old}/bucket={b}")
+                path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = q.lastProgress
-    return spark.read.schema(schema).parquet(f"{base}/v{last['batchId'] if last else 0}") if last else spark.createDataFrame([], schema)
+    return _store(spark, base, 1 << 62)
+
+
+def watch_folder(spark: SparkSession, root: str, roots=(), excludes=(), allowed=(".md",)) -> DataFrame:
+    """A stream of the files that come into a folder (or change there), as the manifest has them: path, content_hash,
+    size_bytes, modified. Paths are filtered as on a scan. Removals are no events of a file stream; a scan finds them."""
+    schema = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+    rows = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root)
+    lead = root.rstrip("/").split(":", 1)[-1].lstrip("/")
+    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", ""), f"^/*{re.escape(lead)}/+", "")
+    passed = P.write_filter(rel, roots, excludes, allowed)["decision"] == "allow"
+    return rows.filter(passed).select(rel.alias("path"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
 
 
 def in_order(rows: DataFrame, order: list[str], name: str, rows_a_file: int = 100_000) -> DataFrame:
@@ -68,12 +113,16 @@ def in_order(rows: DataFrame, order: list[str], name: str, rows_a_file: int = 10
 
 
 class EchoGuard(StatefulProcessor):
-    """The last record of a key, used up by the first probe that it matches within the TTL."""
+    """The last record of a key, used up by the first probe that it matches within the TTL.
+
+    A record is dropped when the watermark passes its end, so keys that fall silent leave nothing behind.
+    """
 
     def __init__(self, ttl_seconds: float):
         self.ttl = ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.held = handle.getValueState("held", "sha BIGINT, at TIMESTAMP")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -86,24 +135,42 @@ class EchoGuard(StatefulProcessor):
             hit = held is not None and held[0] == r.sha and (r.ts.to_pydatetime() - held[1].replace(tzinfo=r.ts.tzinfo)).total_seconds() < self.ttl
             out.append((r.event_id, key[0], hit))
             held = None if hit else held
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
         if held is None:
             self.held.clear()
         else:
             self.held.update(held)
+            self.handle.registerTimer(int((_utc(held[1]) + self.ttl) * 1000) + 1)
         yield pd.DataFrame(out, columns=["event_id", "key", "suppressed"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield pd.DataFrame([], columns=["event_id", "key", "suppressed"])
+
+
+def _utc(t) -> float:
+    return t.replace(tzinfo=UTC).timestamp() if t.tzinfo is None else t.timestamp()
+
+
+#: How late an event may come, by the time it carries; what comes later than that is dropped by the stream.
+LATE = "1 minute"
+
 
 def live_echo(stream: DataFrame, ttl_seconds: float) -> DataFrame:
-    return stream.groupBy("key").transformWithStateInPandas(EchoGuard(ttl_seconds), "event_id BIGINT, key BIGINT, suppressed BOOLEAN", "Append", "None")
+    guarded = stream.withWatermark("ts", LATE).groupBy("key")
+    return guarded.transformWithStateInPandas(EchoGuard(ttl_seconds), "event_id BIGINT, key BIGINT, suppressed BOOLEAN", "Append", "EventTime")
 
 
 class ConflictBreaker(StatefulProcessor):
-    """Admits an event while fewer than `threshold` admitted ones lie within the window; holds their times only."""
+    """Admits an event while fewer than `threshold` admitted ones lie within the window; holds their times only, and none
+    of a root once the watermark has passed the window."""
 
     def __init__(self, threshold: int, window_seconds: int):
         self.threshold, self.window = threshold, window_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.held = handle.getListState("held", "t BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -112,15 +179,27 @@ class ConflictBreaker(StatefulProcessor):
         for r in found.itertuples(index=False):
             held = [t for t in held if r.t - t <= self.window * 1_000_000]
             ok = self.threshold == 0 or len(held) < self.threshold
-            if ok:
+            if ok and self.threshold:
                 held.append(int(r.t))
             out.append((r.event_id, key[0], ok))
-        self.held.put([(t,) for t in held])
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if held:
+            self.held.put([(t,) for t in held])
+            self.handle.registerTimer(held[-1] // 1000 + self.window * 1000 + 1)
+        else:
+            self.held.clear()
         yield pd.DataFrame(out, columns=["event_id", "root", "admitted"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield pd.DataFrame([], columns=["event_id", "root", "admitted"])
+
 
 def live_breaker(stream: DataFrame, threshold: int, window_seconds: int) -> DataFrame:
-    return stream.groupBy("root").transformWithStateInPandas(ConflictBreaker(threshold, window_seconds), "event_id BIGINT, root BIGINT, admitted BOOLEAN", "Append", "None")
+    """`stream` has root, event_id and t, the time in microseconds."""
+    guarded = stream.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", LATE).groupBy("root")
+    return guarded.transformWithStateInPandas(ConflictBreaker(threshold, window_seconds), "event_id BIGINT, root BIGINT, admitted BOOLEAN", "Append", "EventTime")
 
 
 def drain(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
