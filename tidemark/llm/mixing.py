@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.text_sql import n_words
+from tidemark.llm.text_sql import fresh, n_words
 from tidemark.plans.staging import stage
 
 HASH_BITS, LEVELS, BITS = 60, 5, 12
@@ -123,10 +123,11 @@ def resample(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float
     """The mixed corpus: every row of `docs` as often as the mix takes it, with the columns it came with."""
     sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _hash(seed).alias("hash")), "mix-sized")
     edges, bits = thresholds(sized, stage(source_targets(sized, weights, share, cap), "mix-targets"), cap)
-    e = edges.select(F.col("source").alias("mix_source"), F.col("passes").alias("mix_passes"), F.col("threshold").alias("mix_threshold"))
-    copies = F.least(F.col("mix_passes") + _extra(_hash(seed), "mix_threshold", bits), F.lit(cap).cast("long")).cast("int")
-    joined = docs.join(e, docs["source"].eqNullSafe(F.col("mix_source"))).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return joined.select(*[docs[c] for c in docs.columns])
+    of, passes, threshold, copy = (fresh(docs, c) for c in ("mix_source", "mix_passes", "mix_threshold", "mix_copy"))
+    e = edges.select(F.col("source").alias(of), F.col("passes").alias(passes), F.col("threshold").alias(threshold))
+    copies = F.least(F.col(passes) + _extra(_hash(seed), threshold, bits), F.lit(cap).cast("long")).cast("int")
+    joined = docs.join(e, docs["source"].eqNullSafe(F.col(of))).withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies)))
+    return joined.select(*docs.columns)
 
 
 def apply_thresholds(sized: DataFrame, edges: DataFrame, bits: int) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
+from tidemark.llm.text_sql import fresh
 from tidemark.llm.words import mix, shingles, slices, texts_of, word_hashes
 from tidemark.plans.staging import stage
 
@@ -334,22 +335,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Dat
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """`docs` with `near_node`: the id, or another number above 2**62 for every further text of an id that has several.
+def _nodes(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with a column `name`: the id, or another number above 2**62 for every further text of an id that has several.
 
     So each text is judged by itself, and a document whose number is its id stands before one whose number is not.
     """
-    of, key = F.col("doc_id").cast("long"), F.xxhash64("text")
-    several = docs.select(of.alias("several_id"), key.alias("key")).groupBy("several_id").agg(F.min("key").alias("own"), F.max("key").alias("top"))
-    several = stage(several.filter("own <> top").drop("top"), "dup-several")
+    of, key, several_id, first = F.col("doc_id").cast("long"), F.xxhash64("text"), fresh(docs, "several_id"), fresh(docs, "first_key")
+    several = docs.select(of.alias(several_id), key.alias("key")).groupBy(several_id).agg(F.min("key").alias(first), F.max("key").alias("top"))
+    several = stage(several.filter(F.col(first) != F.col("top")).drop("top"), "dup-several")
     other = F.xxhash64(of, key).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    node = F.when(F.col("own").isNull() | (F.col("own") == key), of).otherwise(other)
-    return docs.join(several, of == F.col("several_id"), "left").withColumn("near_node", node).drop("several_id", "own")
+    node = F.when(F.col(first).isNull() | (F.col(first) == key), of).otherwise(other)
+    return docs.join(several, of == F.col(several_id), "left").withColumn(name, node).drop(several_id, first)
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs` that stand for their group, one for each id and text; rows with a null id all stay."""
-    named = _nodes(docs.filter("doc_id IS NOT NULL"))
-    kept = near_duplicates(named.select(F.col("near_node").alias("doc_id"), "text"), k, similarity).filter("kept").select(F.col("doc_id").alias("near_node")).distinct()
-    one = named.join(kept, "near_node", "left_semi").dropDuplicates(["near_node"]).drop("near_node")
+    node = fresh(docs, "near_node")
+    named = _nodes(docs.filter("doc_id IS NOT NULL"), node)
+    kept = near_duplicates(named.select(F.col(node).alias("doc_id"), "text"), k, similarity).filter("kept").select(F.col("doc_id").alias(node)).distinct()
+    one = named.join(kept, node, "left_semi").dropDuplicates([node]).select(*docs.columns)
     return one.unionByName(docs.filter("doc_id IS NULL"))

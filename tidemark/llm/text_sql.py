@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The white space that ends a word, as a list of characters and as a Java character class.
@@ -27,6 +27,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores behind it as it takes for `df` to have no such column (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 NO_SPANS = "array<struct<kind:int,start:int,end:int,hit:string,before:string>>"
 #: Elements in a block of a running total, and characters in a piece of a text that is cut up.
 _BLOCK, _PIECE = 128, 1024
