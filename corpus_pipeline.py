@@ -1,7 +1,8 @@
 """Corpus pipeline: quality classifier, near-duplicates, personal data, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it left; all but the last return the
-columns of `documents`. Empty input passes through every stage; what null and odd rows become is stated by the operators.
+columns of `documents`, and further columns of the input, whatever their names. Empty input passes through every stage; what null
+and odd rows become is stated by the operators. Rows that repeat an id with other texts are documents of their own.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from tidemark.llm.near_dups import drop_near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import redact
 from tidemark.llm.quality_fm import fit, with_score
+from tidemark.llm.text_sql import fresh
 from tidemark.plans.staging import stage
 from tidemark.sources.tables import table
 
@@ -22,8 +24,9 @@ THRESHOLD = 0.3
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives label 1 at least THRESHOLD; it is fitted on the labelled ones among `docs`."""
-    scored = with_score(docs, fit(docs, table(spark, sf_dir, "labels")), "quality_score")
-    return scored.filter(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+    score = fresh(docs, "quality_score")
+    scored = with_score(docs, fit(docs, table(spark, sf_dir, "labels")), score)
+    return scored.filter(F.col(score) >= THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +36,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its personal data replaced by the kind; n_chars follows the text where that changed."""
-    cleaned = redact(docs.withColumn("pii_before", F.col("text")))
-    same = F.col("text").eqNullSafe(F.col("pii_before"))
+    before = fresh(docs, "text_before")
+    cleaned = redact(docs.withColumn(before, F.col("text")))
+    same = F.col("text").eqNullSafe(F.col(before))
     return cleaned.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
