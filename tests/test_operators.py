@@ -188,7 +188,7 @@ def test_content_queries_take_whole_texts(spark, sf):
             note = note.replace(mark, value)
         want[r["doc_id"]] = note.replace("{T}", r["text"])
     fold = lambda s: s.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
-    got = {r["doc_id"]: r["text"] for r in queries["scl3_canonical_form_whole"](spark, sf).collect()}
+    got = {r["doc_id"]: r["text"] for r in queries["scl3_canonical_form"](spark, sf).collect()}
     assert got == {i: None if "\0" in n else fold(n) for i, n in want.items()}
     assert max(len(x or "") for x in got.values()) > 1000 and any((x or "").count("\n") > 20 for x in got.values())
 
@@ -197,7 +197,7 @@ def test_content_queries_take_whole_texts(spark, sf):
         return all(x in rest for x in server)
 
     split = lambda s: re.sub("\r\n?", "\n", s).split("\n")
-    got = {r["doc_id"]: r["contained"] for r in queries["scl12_contained_whole"](spark, sf).collect()}
+    got = {r["doc_id"]: r["contained"] for r in queries["scl12_contained"](spark, sf).collect()}
     assert set(got) == {i for i in want if i + 15 in want}
     same = [i for i in got if got[i] != contained(split(want[i]), split(want[i + 15]))]
     assert same == []
@@ -211,7 +211,7 @@ def test_chains_cover_the_whole_journal(spark, sf):
     want = {}
     for i, (_, path, action) in enumerate(lines):
         want.setdefault((i // 32, path), []).append(action)
-    got = {(r["batch"], r["path"]): (r["n"], r["chain"]) for r in registry.queries()["agg10_chains_by_batch"](spark, sf).collect()}
+    got = {(r["batch"], r["path"]): (r["n"], r["chain"]) for r in registry.queries()["agg10_chains"](spark, sf).collect()}
     assert len(lines) > 400 and got == {k: (len(v), ">".join(v)) for k, v in want.items()}
 
 

@@ -181,15 +181,8 @@ def ord2(spark, sf):
     return X.journal(spark, sf).orderBy("line_no").limit(32).select("line_no", "path")
 
 
-@query("agg10_chains", with_sql("SELECT path, count(*)::BIGINT AS n, string_agg(action, '>' ORDER BY line_no) AS chain FROM journal WHERE line_no < 400 GROUP BY path", "journal"))
+@query("agg10_chains", with_sql("SELECT batch, path, count(*)::BIGINT AS n, string_agg(action, '>' ORDER BY line_no) AS chain FROM (SELECT *, (row_number() OVER (ORDER BY line_no) - 1) // 32 AS batch FROM journal) GROUP BY batch, path", "journal"))
 def agg10(spark, sf):
-    """A drained batch by path, order kept; a batch is bounded, so its lists are."""
-    chain = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "action"))), lambda x: x["action"]), ">")
-    return X.journal(spark, sf).filter("line_no < 400").groupBy("path").agg(F.count(F.lit(1)).alias("n"), chain.alias("chain"))
-
-
-@query("agg10_chains_by_batch", with_sql("SELECT batch, path, count(*)::BIGINT AS n, string_agg(action, '>' ORDER BY line_no) AS chain FROM (SELECT *, (row_number() OVER (ORDER BY line_no) - 1) // 32 AS batch FROM journal) GROUP BY batch, path", "journal"))
-def agg10_all(spark, sf):
     """The whole journal, drained in batches of 32 lines: each batch by path, order kept; the lists hold 32 actions at most."""
     ranked = O.running_total(X.journal(spark, sf).withColumn("one", F.lit(1).cast("long")), "line_no", "one", "rank")
     chain = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "action"))), lambda x: x["action"]), ">")

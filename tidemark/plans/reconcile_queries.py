@@ -12,7 +12,7 @@ from tidemark.operators import reconcile as R
 from tidemark.operators import stores as St
 from tidemark.plans import content_queries as CQ
 from tidemark.plans.registry import query
-from tidemark.plans.staging import stage
+from tidemark.plans.staging import shared_dir, stage
 from tidemark.sources import fixtures as X
 from tidemark.sources.fixtures import with_sql
 from tidemark.sources.tables import table
@@ -95,7 +95,7 @@ def dec1_counts(spark, sf):
 
 
 #: Notes of both sides as X.sides() has them, what they compare as, and the decision on each.
-_CONTENT = f"""notes0 AS ({X.WHOLE_NOTES}), n0 AS (SELECT doc_id, note, {CQ._PULL} AS f FROM notes0), n1 AS (SELECT *, substr(f, length({CQ._BLOCK.format('f')}) + 1) AS body FROM n0),
+_CONTENT = f"""notes0 AS ({X.SQL["notes"]}), n0 AS (SELECT doc_id, note, {CQ._PULL} AS f FROM notes0), n1 AS (SELECT *, substr(f, length({CQ._BLOCK.format('f')}) + 1) AS body FROM n0),
  sd AS (SELECT n1.doc_id, source || '/' || lang || '/' || n1.doc_id || '.md' AS path, n1.doc_id % 3 AS root, n1.doc_id * 600 AS secs, note AS local,
   CASE n1.doc_id % 7 WHEN 1 THEN body WHEN 2 THEN note || chr(10) || 'server-edit' WHEN 3 THEN {CQ._FOLD.format('note')} WHEN 4 THEN body || chr(10) || 'server-edit' WHEN 5 THEN concat('---', chr(10), 'k: v', chr(10), '---', chr(10), body) ELSE note END AS server,
   CASE WHEN n1.doc_id % 11 = 0 THEN note || chr(10) || 'later' ELSE note END AS now FROM n1 JOIN documents d ON d.doc_id = n1.doc_id),
@@ -204,8 +204,9 @@ def agg3_agg7_set1(spark, sf):
 
 @query("join15_seed_shadow", with_sql(_STATES + " SELECT path, server_hash FROM st WHERE state = 'match'", "local_manifest", "server_state"))
 def join15_pred17(spark, sf):
-    """The store is empty here; tests cover one that is not."""
-    return R.seed_shadow(_states(spark, sf), X.shadow(spark, sf).limit(0))
+    """The first pass, which finds no store; tests cover one that is there."""
+    none = St.load(spark, f"{shared_dir(spark)}/no-store-yet", "path STRING, server_hash STRING")
+    return R.seed_shadow(_states(spark, sf), none)
 
 
 @query("join5_bodies", with_sql("""SELECT e.event_id, e.path, s.change_seq, s.fs_hash IS NOT NULL AS found FROM (SELECT event_id, 'src' || (user_id % 20) || '/en/' || (event_id % 1000) || '.md' AS path FROM events) e

@@ -19,11 +19,6 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def registered(name: str):
-    """The function and the twin, or None, of a query registered so far."""
-    return _QUERIES[name], _SQL.get(name)
-
-
 def _load() -> None:
     from tidemark.plans import content_queries, guard_queries, path_queries, reconcile_queries, store_queries, stream_queries  # noqa: F401
 

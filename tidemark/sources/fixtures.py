@@ -17,7 +17,7 @@ PATHS = (
     "{s}/n{d}.conflict-from-dev-a-{d}.md", "{s}/n{d}.conflict-from-dev-a-{d}-2.md", "{s}/n.conflict-from-{d}.md", "{s}/n.conflict-from-x-99999999999999999999.md", "{s}/.conflict-from-a-1.md",
     "{s}/Credentials.md", "credentials/{d}.md", "02_Projects/Protocols/Infrastructure/{d}.md", "{s}/caf\u0065\u0301/{d}.md", "{s}/né/{d}.txt", "..", "{s}/.trash/{d}.md", "{s}/rules/{l}.md",
 )
-#: Shapes of notes, {T} the head of a document, {R} {N} {B} {Z} CR, LF, BOM, NUL.
+#: Shapes of notes, {T} the text of a document, {R} {N} {B} {Z} CR, LF, BOM, NUL.
 NOTES = (
     "{T}", "---{N}title: {T}{N}modified: 1{N}---{N}{T}", "---{R}{N}title: x{R}{N}---{R}{N}{T}{R}{N}", "{B}---{N}a: 1{N}---{N}{T}", "{B}{B}{T}", "{T}{R}{T}{R}{N}{T}",
     "---{N}modified:{N}  - 1{N}  - 2{N}tags: y{N}\t z{N}sha : q{N}---{N}body{N}", "---{N}---{N}{T}", "---{N}open {T}", "---", "a{Z}b", "", "a{N}{T}{N}b{N}", "x{R}{R}{N}", "---{N}k: v{N}---",
@@ -83,17 +83,10 @@ def paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf: str) -> DataFrame:
-    """The first 40 characters of each document in the note templates, as the SQL twins of the content queries have them."""
-    d = table(spark, sf, "documents")
-    head = F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" "))
-    return d.select("doc_id", pick(NOTES, F.col("doc_id"), {"{T}": head, "{R}": F.lit("\r"), "{N}": F.lit("\n"), "{B}": F.lit("﻿"), "{Z}": F.lit("\x00")}).alias("note"))
-
-
-def whole_notes(spark: SparkSession, sf: str) -> DataFrame:
     """The whole text of each document, with its line ends, in the note templates."""
     t = F.array(*[F.lit(x) for x in NOTES])
     note = F.element_at(t, (F.col("doc_id") % len(NOTES) + 1).cast("int"))
-    for mark, value in (("{R}", "\r"), ("{N}", "\n"), ("{B}", "﻿"), ("{Z}", "\x00")):
+    for mark, value in (("{R}", "\r"), ("{N}", "\n"), ("{B}", "\ufeff"), ("{Z}", "\x00")):
         note = F.replace(note, F.lit(mark), F.lit(value))
     # the text goes in last, so that no mark in it is taken for one of the template
     return table(spark, sf, "documents").select("doc_id", F.replace(note, F.lit("{T}"), F.col("text")).alias("note"))
@@ -111,7 +104,7 @@ def sides(spark: SparkSession, sf: str) -> DataFrame:
     now = F.when(d % 11 == 0, F.concat(note, F.lit("\nlater"))).otherwise(note)
     base = F.when(d % 4 == 0, "server").when(d % 4 == 1, "local").when(d % 4 == 2, "other")
     places = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.concat(d.cast("string"), F.lit(".md"))).alias("path"))
-    rows = whole_notes(spark, sf).join(places, "doc_id").withColumn("server", server)
+    rows = notes(spark, sf).join(places, "doc_id").withColumn("server", server)
     return rows.select("doc_id", "path", (d % 3).alias("root"), F.timestamp_seconds(d * 600).alias("ts"), note.alias("local"), "server", now.alias("now"), base.alias("base"))
 
 
@@ -129,10 +122,8 @@ SQL = {
     "burst_events": "SELECT event_id, ts, user_id % 8 AS root, event_id % 97 = 0 AS is_reset FROM events WHERE event_type = 'error' OR event_id % 97 = 0",
     "echo_events": "SELECT event_id, ts, user_id AS key, CASE WHEN event_type = 'click' THEN 'record' ELSE 'probe' END AS kind, ((floor(value)::BIGINT % 4) + 4) % 4 AS sha FROM events WHERE event_type IN ('click', 'view')",
     "paths": f"SELECT doc_id, replace(replace(replace({_sql_list(PATHS)}[doc_id % {len(PATHS)} + 1], '{{s}}', source), '{{l}}', lang), '{{d}}', doc_id::VARCHAR) AS path FROM documents",
-    "notes": f"SELECT doc_id, replace(replace(replace(replace(replace({_sql_list(NOTES)}[doc_id % {len(NOTES)} + 1], '{{T}}', replace(substr(text, 1, 40), chr(10), ' ')), '{{R}}', chr(13)), '{{N}}', chr(10)), '{{B}}', chr(65279)), '{{Z}}', chr(0)) AS note FROM documents",
+    "notes": f"SELECT doc_id, replace(replace(replace(replace(replace({_sql_list(NOTES)}[doc_id % {len(NOTES)} + 1], '{{R}}', chr(13)), '{{N}}', chr(10)), '{{B}}', chr(65279)), '{{Z}}', chr(0)), '{{T}}', text) AS note FROM documents",
 }
-#: The same view over whole texts.
-WHOLE_NOTES = f"SELECT doc_id, replace(replace(replace(replace(replace({_sql_list(NOTES)}[doc_id % {len(NOTES)} + 1], '{{R}}', chr(13)), '{{N}}', chr(10)), '{{B}}', chr(65279)), '{{Z}}', chr(0)), '{{T}}', text) AS note FROM documents"
 _NEEDS = {"shadow": ("local_manifest", "server_state"), "base_seq": ("server_state",)}
 
 
