@@ -117,7 +117,10 @@ def learn(rows: DataFrame) -> dict[str, list]:
     for r in crossings:
         change[r["before"], r["given"]] += r["n"]
     log = lambda m: np.log(m / m.sum(1, keepdims=True)).tolist()
-    return {"length": log(length), "place": log(place), "change": log(change)}
+    within = np.where(np.eye(_N) > 0, _STAY, _LEAVE)
+    either = np.log((np.exp(within) + np.exp(np.array(log(change)))) / 2).tolist()
+    # the change of role at a marked line by the marker's strength: as within a row, either, as between rows
+    return {"length": log(length), "place": log(place), "change": log(change), "marked": [within.tolist(), either, log(change)]}
 
 
 def marker_of(line: str) -> tuple[int, int, int] | None:
@@ -142,18 +145,11 @@ def lines_of(text: str) -> list[tuple[tuple[int, int, int] | None, str]]:
 _WITHIN = [[_STAY if i == j else _LEAVE for j in range(_N)] for i in range(_N)]
 
 
-def _between(change: list[list[float]]) -> tuple[list, list, list]:
-    """Change of role at a marker by strength: within a row, either, as between rows."""
-    either = [[math.log((math.exp(a) + math.exp(b)) / 2) for a, b in zip(x, y)] for x, y in zip(_WITHIN, change)]
-    return _WITHIN, either, change
-
-
 def steps_of(row: dict, lines: list, model: dict[str, list], with_given: bool) -> list[tuple[list, list[float]]]:
     """(change matrix, emissions) of each line of a row."""
     text, given = row["text"], row["given"] if with_given else None
     size = min(int(math.log2(len(text) + 1) * 2), LENGTHS - 1)
     place = max(min(row["turn"] or 0, PLACES - 1), 0)
-    between = _between(model["change"])
     out = []
     for k, (marker, _) in enumerate(lines):
         e = [model["length"][s][size] + model["place"][s][place] for s in range(_N)] if k == 0 else [0.0] * _N
@@ -161,7 +157,7 @@ def steps_of(row: dict, lines: list, model: dict[str, list], with_given: bool) -
         if marker is not None:
             role, strength, _ = marker
             e = [x + (_HIT if s == role else _MISS)[strength] for s, x in enumerate(e)]
-            change = change if k == 0 else between[strength]
+            change = change if k == 0 else model["marked"][strength]
         if given is not None and (k == 0 or marker is not None):
             marked = int(marker is not None and (k > 0 or marker[1] == STRONG))
             e = [x + (_GIVEN if s == given else _NOT_GIVEN)[marked] for s, x in enumerate(e)]
