@@ -31,7 +31,9 @@ from tidemark.plans.staging import stage
 
 SHARD_ROWS, LINKS, EF, QUERY_BLOCK = 8192, 16, 128, 512
 #: Beam of an insertion, most nodes inserted at once, and the nearest of them that a node of the batch considers.
-EF_BUILD, BATCH, MATES = 64, 512, 16
+EF_BUILD, BATCH, MATES = 48, 512, 16
+#: Nodes that a step of a search opens at once.
+OPENED = 4
 
 
 def _choose(x: np.ndarray, nodes: np.ndarray, near: np.ndarray, keep: int) -> np.ndarray:
@@ -114,7 +116,8 @@ class Graph:
         table[row] = _choose(x, ends, np.concatenate([table[row], back], 1), width)
 
     def _beam(self, q: np.ndarray, layer: int, start: np.ndarray, width: int) -> np.ndarray:
-        """The nearest nodes found to each query, best first, from the start nodes (-1: none)."""
+        """The nearest nodes found to each query, best first, from the start nodes (-1: none); a step opens the OPENED best
+        nodes of a beam that were not opened yet."""
         nodes, table = self.layers[layer]
         row = np.full(len(self.unit), -1, np.int32)
         row[nodes] = np.arange(len(nodes), dtype=np.int32)
@@ -123,29 +126,36 @@ class Graph:
         seen = np.zeros((m, len(self.unit) + 1), bool)
         seen[:, -1] = True
         seen[lines, start] = True
+        place = np.zeros((m, len(self.unit) + 1), np.int16)
         sim = np.where(start >= 0, np.einsum("qd,qkd->qk", q, self.unit[start]), -np.inf)
         pad = max(0, width - start.shape[1])
         ids = np.pad(start, ((0, 0), (0, pad)), constant_values=-1)
         sim = np.pad(sim, ((0, 0), (0, pad)), constant_values=-np.inf)
         done = ids < 0
-        active = np.arange(m)
+        active, opened = np.arange(m), min(OPENED, ids.shape[1])
+        at = np.arange(opened * table.shape[1], dtype=np.int16)
         while len(active):
             wait = np.where(done[active], -np.inf, sim[active])
-            best = wait.argmax(1)
-            go = np.isfinite(wait[np.arange(len(active)), best])
-            active, best = active[go], best[go]
+            best = np.argpartition(-wait, opened - 1, axis=1)[:, :opened]
+            go = np.isfinite(np.take_along_axis(wait, best, 1))
+            some = go.any(1)
+            active, best, go = active[some], best[some], go[some]
             if not len(active):
                 break
-            done[active, best] = True
-            near = table[row[ids[active, best]]]
-            fresh = ~seen[active[:, None], near]
-            seen[active[:, None], near] = True
+            own = active[:, None]
+            done[own, best] = True
+            near = np.where(go[:, :, None], table[row[ids[own, best]]], -1).reshape(len(active), -1)
+            fresh = ~seen[own, near]
+            seen[own, near] = True
+            # of a node that several of them link to, one is taken
+            place[own, near] = at
+            fresh &= place[own, near] == at
             s = np.where(fresh, np.einsum("qd,qkd->qk", q[active], self.unit[near]), -np.inf)
-            all_ids = np.concatenate([ids[active], np.where(fresh, near, -1)], 1)
-            all_sim = np.concatenate([sim[active], s], 1)
-            all_done = np.concatenate([done[active], ~fresh], 1)
+            all_ids, all_sim = np.concatenate([ids[active], near], 1), np.concatenate([sim[active], s], 1)
             top = np.argpartition(-all_sim, width - 1, axis=1)[:, :width]
-            ids[active], sim[active], done[active] = (np.take_along_axis(v, top, 1) for v in (all_ids, all_sim, all_done))
+            sim[active], line = np.take_along_axis(all_sim, top, 1), np.arange(len(active))[:, None]
+            ids[active] = np.where(np.isfinite(sim[active]), all_ids[line, top], -1)
+            done[active] = np.concatenate([done[active], ~fresh], 1)[line, top]
         order = np.argsort(-sim, axis=1, kind="stable")
         return np.take_along_axis(ids, order, 1)
 
@@ -197,7 +207,8 @@ def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[
         layer = pa.struct([("nodes", pa.binary()), ("links", pa.binary()), ("width", pa.int32())])
         return pa.Table.from_pylist([row], pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("vectors", pa.binary()), ("ids", pa.list_(pa.list_(pa.int64()))), ("layers", pa.list_(layer))]))
 
-    return stage(dealt.groupBy("dim", "shard").applyInArrow(build, _INDEX), "ann-index"), shards
+    # a fixed number of partitions: small as shards are, building them is work for a task each
+    return stage(dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, _INDEX), "ann-index"), shards
 
 
 def nearest(queries: DataFrame, index: DataFrame, shards: int, k: int = 5, ef: int = EF) -> DataFrame:
@@ -207,7 +218,7 @@ def nearest(queries: DataFrame, index: DataFrame, shards: int, k: int = 5, ef: i
         *[F.lit(None).cast(index.schema[c].dataType).alias(c) for c in ("vectors", "ids", "layers")],
     )
     held = index.select("dim", "shard", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("v"), "vectors", "ids", "layers")
-    rows = held.union(asked).repartition("dim", "shard").sortWithinPartitions("dim", "shard", F.col("query_id").asc_nulls_first())
+    rows = held.union(asked).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", F.col("query_id").asc_nulls_first())
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def look(shard: tuple, part: pa.RecordBatch) -> pa.RecordBatch:
