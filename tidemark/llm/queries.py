@@ -140,6 +140,22 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_i
 FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
 
+#: Every window of 50 words with the white space between them, and the runs of those that two documents have.
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, string_split_regex(text, '[^\x20\x09-\x0D]+') AS g FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+u AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w, unnest(g[:len(w)]) AS g FROM d),
+p AS (SELECT doc_id, i, (sum(length(g) + length(w)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e, length(w) AS l FROM u),
+v AS (SELECT doc_id, i, md5(w[i:i + 49]::VARCHAR || '|' || g[i + 1:i + 49]::VARCHAR) AS h FROM d, unnest(range(1, len(w) - 48)) AS t(i)),
+o AS (SELECT h, min(doc_id) AS a FROM v GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+s AS (SELECT v.h, a, min(CASE WHEN v.doc_id <> a THEN v.doc_id END) AS b FROM v JOIN o ON o.h = v.h GROUP BY v.h, a),
+x AS (SELECT v.doc_id, v.i, v.doc_id = a AS first, CASE WHEN v.doc_id = a THEN b ELSE a END AS partner, p.e - p.l AS lo, q.e AS hi
+  FROM v JOIN s ON s.h = v.h JOIN p ON p.doc_id = v.doc_id AND p.i = v.i JOIN p q ON q.doc_id = v.doc_id AND q.i = v.i + 49),
+r AS (SELECT *, max(hi) OVER (PARTITION BY doc_id, first ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, lag(partner) OVER k = partner AND lag(i) OVER k + 1 = i AS goes_on FROM x WINDOW k AS (PARTITION BY doc_id, first ORDER BY i)),
+m AS (SELECT *, sum((reach IS NULL OR lo > reach)::INT) OVER k AS part, sum((NOT coalesce(goes_on, false))::INT) OVER k AS turn FROM r WINDOW k AS (PARTITION BY doc_id, first ORDER BY i)),
+n AS (SELECT doc_id, first, part, min(lo) AS lo, max(hi) AS hi, count(*) + 49 AS n, min(partner) AS partner FROM m GROUP BY doc_id, first, part, turn)
+SELECT doc_id, min(lo)::BIGINT AS start, max(hi)::BIGINT AS "end", max(n)::BIGINT AS n_words, min(partner) AS partner_id, first FROM n GROUP BY doc_id, first, part"""
+
+
 def _op8_sql() -> str:
     """Gaps and matches of each pattern, their running lengths, and the entropy of every window of a candidate."""
     from tidemark.llm.secrets import KINDS, THRESHOLDS, WINDOW
@@ -177,6 +193,7 @@ def oracles() -> dict[str, str]:
         "op1_quality_rules": _op1_sql(),
         "op2_mixing": "WITH " + MIX_SQL.format(words=_WORDS, docs="documents") + " SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM mixed",
         "op3_near_dups": OP3_SQL,
+        "op4_substring_dedup": OP4_SQL,
         "op8_secrets": _op8_sql(),
     }
 
