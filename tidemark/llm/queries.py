@@ -74,6 +74,12 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.spelling import corpus_words, spelling_groups
+
+    return spelling_groups(corpus_words(table(spark, sf_dir, "documents")))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -207,6 +213,23 @@ SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n
 FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN a ON a.r = d.r"""
 
 
+#: CRC-32 byte by byte, near words by what is left of them without one code point, and the chain of forms.
+OP11_SQL = r"""
+WITH RECURSIVE t AS (SELECT [list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) for i in range(256)] AS t),
+d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+g AS (SELECT run, count(*) AS n, hex(encode(id || ':' || run)) AS x FROM d WHERE length(run) >= 5 GROUP BY id, run),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]), 4294967295)) AS h FROM g, t),
+r AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM r WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+v AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM w, unnest(range(length(word))) AS u(i)),
+p AS (SELECT x.word AS a, y.word AS b FROM v x JOIN v y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word UNION SELECT v.word, w.word FROM v JOIN w ON v.rest = w.word UNION SELECT w.word, v.word FROM v JOIN w ON v.rest = w.word),
+q AS (SELECT a, count(*) AS n_near, arg_min(struct_pack(b := b, n := n), struct_pack(m := -n, b := b)) AS best FROM p JOIN w ON w.word = b GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 2 * n THEN best END AS top FROM w LEFT JOIN q ON a = word),
+c AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.top.b FROM c JOIN f ON f.word = c.root WHERE f.top IS NOT NULL),
+e AS (SELECT c.word, c.root FROM c JOIN f ON f.word = c.root WHERE f.top IS NULL)
+SELECT f.word, top.b AS form, e.root, n, n_near, top.n AS form_n FROM f JOIN e ON e.word = f.word"""
+
+
 #: Cuts by substr; the text that is restored is the text itself.
 OP13_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
@@ -226,6 +249,7 @@ def oracles() -> dict[str, str]:
         "op3_near_dups": OP3_SQL,
         "op4_substring_dedup": OP4_SQL,
         "op8_secrets": _op8_sql(),
+        "op11_spelling": OP11_SQL,
         "op13_fill_middle": OP13_SQL,
     }
 
