@@ -87,3 +87,15 @@ def test_targets_and_taken(spark, counts):
 def test_empty_mix(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix(none).count() == 0 and resample(none).count() == 0
+
+
+def test_copies_of_one_row_are_split(spark):
+    rows = [(1, "word " * 100, "a", i) for i in range(100)] + [(i, "word " * 100, "b", i) for i in range(2, 102)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_row int").repartition(7)
+    got = mix(df).collect()
+    taken = {s: sum(r["taken"] for r in got if r["source"] == s) for s in "ab"}
+    assert len(got) == 200 and abs(taken["a"] - 20_000 / 3) <= 50 and abs(taken["b"] - 40_000 / 3) <= 50
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mix(df).collect()))
+    again = resample(df)
+    assert again.columns == df.columns
+    assert {r["source"]: r["count"] for r in again.groupBy("source").count().collect()} == {s: n // 100 for s, n in taken.items()}

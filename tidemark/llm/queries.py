@@ -140,11 +140,12 @@ lv AS (SELECT *, cap / weight AS ratio, (sum(source_size) OVER () - coalesce(sum
 fin AS (SELECT (SELECT arg_min(level, ratio) FROM lv WHERE level <= ratio) AS final),
 tg AS (SELECT source, source_size, least(CASE WHEN final IS NULL OR ratio < final THEN cap ELSE final * weight END, cap) AS target FROM lv, fin),
 ps AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size)::BIGINT, 3) ELSE 0 END AS passes FROM tg),
-hh AS (SELECT source, h, sum(size)::BIGINT AS tokens FROM sized GROUP BY source, h),
+hh AS (SELECT source, h, sum(size)::BIGINT AS tokens, count(*) AS n FROM sized GROUP BY source, h),
 cu AS (SELECT hh.*, ps.target - ps.passes * ps.source_size AS rest, sum(tokens) OVER (PARTITION BY hh.source ORDER BY h) AS upto
     FROM hh JOIN ps ON hh.source IS NOT DISTINCT FROM ps.source),
-hit AS (SELECT source, h, upto <= rest OR (upto - tokens < rest AND 2 * (rest - (upto - tokens)) >= tokens AND rest > 0) AS extra FROM cu),
-mixed AS (SELECT s.doc_id, s.source, s.h, s.size, ps.source_size, ps.target, least(ps.passes + hit.extra::BIGINT, 3) AS copies
+hit AS (SELECT source, h, CASE WHEN upto <= rest THEN n WHEN upto - tokens < rest THEN floor((rest - (upto - tokens)) / (tokens / n) + 0.5) ELSE 0 END AS quota FROM cu),
+mixed AS (SELECT s.doc_id, s.source, s.h, s.size, ps.source_size, ps.target,
+    least(ps.passes + (row_number() OVER (PARTITION BY s.source, s.h) <= hit.quota)::BIGINT, 3) AS copies
     FROM sized s JOIN ps ON s.source IS NOT DISTINCT FROM ps.source
     JOIN hit ON hit.source IS NOT DISTINCT FROM s.source AND hit.h = s.h)"""
 
