@@ -6,6 +6,7 @@ import numpy as np
 
 from tidemark.llm.hnsw import Graph, build_index, nearest, usable
 from tidemark.llm.queries import op7_hnsw
+from tidemark.plans.staging import stage
 
 
 def brute(rows, queries, k):
@@ -117,3 +118,19 @@ def test_odd_rows(spark):
     none = df.limit(0)
     index, shards = build_index(none, 5)
     assert nearest(none, index, shards, 5).count() == 0
+
+
+def test_tiny_and_huge_vectors(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((1200, 8))
+    scale = np.ones(1200)
+    scale[[100, 150, 151]], scale[[200, 250, 251]] = 1e-200, 1e200
+    rows = stage(usable(spark.createDataFrame([(i, (v[i] * scale[i]).tolist()) for i in range(1200)], "vec_id long, embedding array<double>")), "rows")
+    index, shards = build_index(rows, 5, shard_rows=400)
+    got = nearest(rows.filter("vec_id % 50 = 0"), index, shards, 5).collect()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(0, 1200, 50):
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        want = sorted(((float(unit[q] @ unit[i]), i) for i in range(1200) if i != q), reverse=True)[:5]
+        assert [r.vec_id for r in mine] == [i for _, i in want]
+        assert all(abs(r.score - s) < 1e-9 for r, (s, _) in zip(mine, want))

@@ -59,6 +59,16 @@ def _choose(x: np.ndarray, nodes: np.ndarray, near: np.ndarray, keep: int) -> np
     return out
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component near 1: no cosine changes, and no square over- or underflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True, initial=0))[1]) if vectors.size else vectors
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    x = _scaled(vectors)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
 class Graph:
     """layers[0] holds all nodes; each layer is (its nodes in rising order, their neighbour table)."""
 
@@ -67,7 +77,7 @@ class Graph:
 
     @classmethod
     def build(cls, vectors: np.ndarray, seed: int = 11) -> Graph:
-        unit = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+        unit = _unit(vectors)
         level = np.floor(-np.log(np.random.default_rng(seed).random(len(unit))) / np.log(LINKS)).astype(int)
         layers = []
         for l in range(level.max() + 1):
@@ -161,7 +171,7 @@ class Graph:
 
     def search(self, queries: np.ndarray, k: int, ef: int = EF) -> np.ndarray:
         """Numbers of about the k nearest nodes of each query, -1 where there are fewer."""
-        q = (queries / np.linalg.norm(queries, axis=1, keepdims=True)).astype(np.float32)
+        q = _unit(queries)
         top = self.layers[-1][0]
         start = np.repeat(top[None, :], len(q), 0)[:, : max(LINKS, 1)]
         for layer in range(len(self.layers) - 1, 0, -1):
@@ -173,7 +183,7 @@ class Graph:
 
     @classmethod
     def from_row(cls, vectors: np.ndarray, layers: list[dict]) -> Graph:
-        unit = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+        unit = _unit(vectors)
         return cls(unit, [(np.frombuffer(x["nodes"], "<i4"), np.frombuffer(x["links"], "<i4").reshape(-1, x["width"])) for x in layers])
 
 
@@ -223,7 +233,7 @@ def nearest(queries: DataFrame, index: DataFrame, shards: int, k: int = 5, ef: i
 
     def look(shard: tuple, part: pa.RecordBatch) -> pa.RecordBatch:
         vectors, norms, ids, graph = shard
-        q, own = _matrix(part.column("v")), part.column("query_id").to_pylist()
+        q, own = _scaled(_matrix(part.column("v"))), part.column("query_id").to_pylist()
         found, qn = graph.search(q, min(2 * k + 2, len(vectors)), ef), np.linalg.norm(q, axis=1)
         out: list[tuple] = []
         for i, near in enumerate(found):
@@ -247,7 +257,7 @@ def nearest(queries: DataFrame, index: DataFrame, shards: int, k: int = 5, ef: i
             for a, b in itertools.pairwise([0, *new.tolist(), batch.num_rows]):
                 if graphs[a]:
                     row = batch.slice(a, 1).to_pylist()[0]
-                    vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
+                    vectors = _scaled(np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"]))
                     at, shard = keys[:, a].tolist(), (vectors, np.linalg.norm(vectors, axis=1), row["ids"], Graph.from_row(vectors, row["layers"]))
                 elif at == keys[:, a].tolist():
                     for c in range(a, b, QUERY_BLOCK):
