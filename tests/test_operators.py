@@ -315,14 +315,55 @@ def test_yaml_files_are_checked(spark):
 
 
 def test_journal_lines_odd(spark):
-    whole = lambda i, v=1: f'{{"schema_version":{v},"id":"{i}","path":"p","action":"create","content_sha":"s","queued_at":"q","device_id":"d"}}'
+    """Each shape of line between two good ones: it lives, it is skipped, or nothing behind it is read."""
+    from tidemark.plans.store_queries import ENDING, LIVE, SKIPPED
+
+    fill = lambda t, i: t.replace("{i}", i).replace("{p}", "a/b.md").replace("{a}", "modify").replace("{c}", "c").replace("{q}", "2026-08-05T10:00:00.5+02:00")
+    shapes = [*LIVE, *SKIPPED, *ENDING, "\xff"]
+    rows = [(k, n, fill(t, f"{n}").encode("latin-1" if t == "\xff" else "utf-8")) for k, shape in enumerate(shapes) for n, t in enumerate([LIVE[0], shape, LIVE[0]])]
+    lines = spark.createDataFrame(rows, "file int, line_no long, line binary").withColumn("line", F.col("line").cast("string"))
+    got = St.journal_lines(lines).collect()
+    held = {k: sorted(r.line_no for r in got if r.file == k) for k in range(len(shapes))}
+    want = [[0, 1, 2]] * len(LIVE) + [[0, 2]] * len(SKIPPED) + [[0]] * (len(ENDING) + 1)
+    assert held == dict(enumerate(want))
+    own = {r.file: r.id for r in got if r.line_no == 1}
+    assert own[0] == "1" and own[1] == own[2] and own[1].startswith("legacy-")
+
+
+def test_journal_files(spark, tmp_path):
+    from tidemark.sources import journals as J
+
+    good = lambda i: b'{"schema_version":1,"id":"%d","path":"p","action":"delete","content_sha":"c","queued_at":"2026-08-05T10:00:00Z","device_id":"d"}' % i
     files = {
-        1: [whole("a"), "\t", " \x0b\u00a0\u2003\r", whole("b")], 2: [whole("c"), whole("x", -1), whole("d")], 3: [whole("e"), whole("x", 0), whole("x", 2), whole("x", 4294967295), whole("f")],
-        4: [whole("g"), whole("x", 4294967296), whole("h")], 5: [whole("i"), whole("x", '"1.5"'), whole("j")], 6: ["", whole("k"), "{}", whole("l")], 7: [whole("m"), '{"schema_version":1}', whole("n")],
+        "one": b"\n".join(good(i) for i in range(3000)), "crlf": b"".join(good(i) + b"\r\n" for i in range(700)), "empty": b"", "blank": b"\n\r\n\n" + good(1) + b"\n",
+        "broken": b"".join(good(i) + b"\n" for i in range(900)) + b"\xc3\n" + good(901) + b"\n", "sub/deep": good(5) + b"\r", "cr": good(1) + b"\r" + good(2) + b"\n" + good(3),
     }
-    rows = [(f, i, line) for f, lines in files.items() for i, line in enumerate(lines)]
-    got = sorted((r["file"], r["id"]) for r in St.journal_lines(spark.createDataFrame(rows, "file int, line_no int, line string")).collect())
-    assert got == [(1, "a"), (1, "b"), (2, "c"), (3, "e"), (3, "f"), (4, "g"), (5, "i"), (6, "k"), (7, "m"), (7, "n")]
+    for name, raw in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = J.numbered_lines(spark, str(tmp_path)).withColumn("name", F.regexp_extract("file", "([a-z]+)$", 1)).collect()
+        entries, sizes = J.open_journal(spark, str(tmp_path))
+        live = {(r.file.rsplit("/", 1)[1], r.line_no, r.id) for r in entries.collect()}
+        assert {r.file.rsplit("/", 1)[1]: r.total_bytes for r in sizes.collect()} == {n.rsplit("/", 1)[-1]: len(raw) for n, raw in files.items() if raw}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, raw in files.items():
+        plain = raw.split(b"\n")
+        plain = [x.removesuffix(b"\r") for x in (plain if plain[-1] else plain[:-1])]
+        if name != "broken":
+            assert sorted((r.line_no, r.line.encode()) for r in lines if r.name == name.rsplit("/", 1)[-1]) == list(enumerate(plain, 1))
+    want = {("one", i + 1, str(i)) for i in range(3000)} | {("crlf", i + 1, str(i)) for i in range(700)} | {("broken", i + 1, str(i)) for i in range(900)}
+    assert live == want | {("blank", 4, "1"), ("deep", 1, "5")}
+    entries, sizes = J.open_journal(spark, str(tmp_path / "none"))
+    assert entries.count() == sizes.count() == 0
+
+
+def test_journal_lines_parse_once(spark):
+    plan = St.journal_lines(spark.createDataFrame([], "file int, line_no long, line string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") <= 2  # once on each side of the join with the files' ends
 
 
 def test_empty_files_are_listed(spark, tmp_path):

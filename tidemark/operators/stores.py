@@ -3,28 +3,58 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import paths as P
 from tidemark.functions import scalars as S
+from tidemark.functions.bind import bind
 
-ENTRY = "schema_version STRING, id STRING, path STRING, action STRING, base_hash STRING, content_sha STRING, queued_at STRING, device_id STRING"
 #: Fixed value: white space of all scripts, as a Java class.
 _BLANK = "^[\\s\\x0B\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]*$"
 
 
+#: Times as RFC 3339 writes them.
+_INSTANT = "^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
+_BASE64 = "^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
+
+
 def journal_lines(lines: DataFrame, version: int = 1) -> DataFrame:
-    """Live entries of (file, line_no, line): blank lines are passed over, the first line without a readable version (a whole
-    number from 0 to 2**32 - 1) ends a file, other versions and broken bodies are skipped, an empty id becomes a hash of the entry."""
-    number = F.when(F.rlike(F.col("e.schema_version"), F.lit("^[0-9]{1,10}$")), F.col("e.schema_version").cast("long"))
-    t = lines.filter(~F.rlike("line", F.lit(_BLANK))).select("file", "line_no", F.from_json("line", ENTRY).alias("e")).withColumn("version", F.when(number < 1 << 32, number))
-    stop = F.min(F.when(F.col("version").isNull(), F.col("line_no")))
-    kept = t.join(t.groupBy("file").agg(stop.alias("stop")).filter("stop IS NOT NULL"), "file", "left").filter("stop IS NULL OR line_no < stop").filter(F.col("version") == version)
-    whole = F.col("e.path").isNotNull() & F.col("e.action").isin("create", "modify", "delete") & F.col("e.content_sha").isNotNull()
-    own = F.when(F.coalesce(F.col("e.id"), F.lit("")) == "", S.legacy_id("e.path", "e.content_sha", "e.queued_at", "e.action")).otherwise(F.col("e.id"))
-    return kept.filter(whole).select("file", "line_no", own.alias("id"), "e.path", "e.action", "e.base_hash", "e.content_sha")
+    """Live entries of (file, line_no, line): blank lines are passed over; the first line that is no UTF-8, no single JSON object, or without a
+    whole number from 0 to 2**32 - 1 as its version ends a file; other versions, and bodies with a field missing or of a wrong type, are
+    skipped; a missing or empty id becomes a hash of the entry.
+
+    A line is parsed once, to a variant, inside an array that its own digest ends: text behind the object never reads as that.
+    """
+    mark = F.md5(F.col("line").cast("binary"))
+    t = lines.filter(~F.rlike("line", F.lit(_BLANK)) | ~F.is_valid_utf8("line")).select("file", "line_no", "line")
+    whole = F.when(F.is_valid_utf8("line"), F.concat(F.lit('[{"e":'), "line", F.lit('},"'), mark, F.lit('"]')))
+    t = bind(t, "v", F.call_function("try_parse_json", whole)).withColumn("mark", mark).drop("line")
+    kind = lambda at: F.call_function("schema_of_variant", F.call_function("variant_get", F.col("v"), F.lit(f"$[0].e.{at}")))
+    get = lambda at, to="string": F.call_function("try_variant_get", F.col("v"), F.lit(f"$[0].e.{at}"), F.lit(to))
+    single = F.call_function("try_variant_get", F.col("v"), F.lit("$[1]"), F.lit("string")) == F.col("mark")
+    number = F.when(single & (kind("schema_version") == "BIGINT"), get("schema_version", "bigint"))
+    fields = F.struct(
+        F.when(number.between(0, (1 << 32) - 1), number).alias("version"),
+        *[get(c).alias(c) for c in ("id", "path", "action", "base_hash", "content_sha", "queued_at", "device_id", "content_bytes")],
+        *[kind(c).alias(f"{c}_kind") for c in ("id", "path", "action", "base_hash", "content_sha", "queued_at", "device_id", "content_bytes")],
+        get("content_bytes", "array<bigint>").alias("numbers"),
+    )
+    t = bind(t, "e", fields).select("file", "line_no", "e.*")
+    stops = t.filter("version IS NULL").groupBy("file").agg(F.min("line_no").alias("stop"))
+    kept = t.filter(F.col("version") == version).join(stops, "file", "left").filter("stop IS NULL OR line_no < stop")
+    text = lambda *names: reduce(lambda a, b: a & b, [F.col(f"{c}_kind") == "STRING" for c in names])
+    absent = lambda c: F.col(f"{c}_kind").isNull() | (F.col(f"{c}_kind") == "VOID")
+    at = F.col("queued_at").try_cast("timestamp")
+    raw = F.coalesce(F.forall("numbers", lambda x: x.between(0, 255)), F.lit(False)) & (F.col("content_bytes_kind").isin("ARRAY<BIGINT>", "ARRAY<VOID>"))
+    right = (
+        text("path", "action", "content_sha", "queued_at", "device_id") & F.col("action").isin("create", "modify", "delete") & F.rlike("queued_at", F.lit(_INSTANT)) & at.isNotNull()
+        & (F.col("id_kind").isNull() | text("id")) & (absent("base_hash") | text("base_hash")) & (absent("content_bytes") | text("content_bytes") & F.rlike("content_bytes", F.lit(_BASE64)) | raw)
+    )
+    own = F.when(F.coalesce(F.col("id"), F.lit("")) == "", S.legacy_id("path", "content_sha", F.unix_micros(at).cast("string"), "action")).otherwise(F.col("id"))
+    return kept.filter(right).select("file", "line_no", own.alias("id"), "path", "action", "base_hash", "content_sha")
 
 
 def nack(journal: DataFrame, ids: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -12,30 +13,70 @@ from tidemark.operators import stores as St
 from tidemark.plans.registry import query
 from tidemark.plans.staging import shared_dir
 from tidemark.sources import fixtures as X
+from tidemark.sources import journals as J
 from tidemark.sources.fixtures import with_sql
 from tidemark.sources.tables import table
 
-_LINE = """CASE WHEN event_id % 50 = 0 THEN '  ' WHEN event_id % 53 = 0 THEN chr(9) || ' ' || chr(13) WHEN event_id % 307 = 0 THEN '{"schema_version":-1,"id":"x"}' WHEN event_id % 211 = 0 THEN '{"schema' WHEN event_id % 31 = 0 THEN '{"schema_version":2,"id":"x"}' WHEN event_id % 37 = 0 THEN '{"schema_version":1,"id":"x"}'
- ELSE '{"schema_version":1,"id":"' || CASE WHEN event_id % 6 = 0 THEN '' ELSE event_id::VARCHAR END || '","path":"' || path || '","action":"' || action || '","content_sha":"' || content_sha || '","queued_at":"q","device_id":"d"}' END"""
+_HEAD, _TAIL = '{"schema_version":1,', '"path":"{p}","action":"{a}","content_sha":"{c}","queued_at":"{q}","device_id":"d"}'
+#: Lines that live, lines that are skipped, and lines that end a file; {i} {p} {a} {c} {q} id, path, action, hash and time.
+LIVE = (
+    _HEAD + '"id":"{i}",' + _TAIL, _HEAD + '"id":"",' + _TAIL, _HEAD + _TAIL, _HEAD + '"id":"{i}","base_hash":null,"content_bytes":null,"more":[1],' + _TAIL,
+    _HEAD + '"id":"{i}","base_hash":"","content_bytes":"aGk=",' + _TAIL, '  ' + _HEAD + '"id":"{i}","base_hash":"b1","content_bytes":[104,0,255],' + _TAIL + '  ', _HEAD + '"content_bytes":[],"id":"{i}",' + _TAIL,
+)
+SKIPPED = (
+    "  ", "\t \u00a0", '{"schema_version":2,"id":"x"}', '{"schema_version":0,' + _TAIL, '{"schema_version":4294967295,' + _TAIL, '{"schema_version":1,"id":"x"}',
+    _HEAD + '"path":5,"action":"{a}","content_sha":"{c}","queued_at":"{q}","device_id":"d"}', _HEAD + '"path":"{p}","action":"{a}","content_sha":"{c}","device_id":"d"}', _HEAD + _TAIL.replace("{q}", "q"),
+    _HEAD + _TAIL.replace("{q}", "2026-13-40T00:00:00Z"), _HEAD + _TAIL.replace("{a}", "rename"), _HEAD + _TAIL.replace("{a}", "Create"), _HEAD + _TAIL.replace('"{c}"', "null"), _HEAD + _TAIL.replace(',"device_id":"d"', ""),
+    _HEAD + '"id":null,' + _TAIL, _HEAD + '"id":7,' + _TAIL, _HEAD + '"base_hash":7,' + _TAIL, _HEAD + '"content_bytes":"***",' + _TAIL, _HEAD + '"content_bytes":[256],' + _TAIL, _HEAD + '"content_bytes":["a"],' + _TAIL,
+)
+ENDING = (
+    '{"schema', '{"schema_version":-1,"id":"x"}', '{"schema_version":"1",' + _TAIL, '{"schema_version":1.0,' + _TAIL, '{"schema_version":4294967296,' + _TAIL, "{" + _TAIL, "null", "7",
+    _HEAD + _TAIL + " x", _HEAD + _TAIL + _HEAD + _TAIL, _HEAD + _TAIL + "," + _HEAD + _TAIL, _HEAD + _TAIL + "}]", _HEAD + _TAIL + "\x00", '{"schema_version":null,' + _TAIL,
+)
+
+
+#: kind 0 lives, 1 is skipped, 2 ends the file (the last of them by a byte that is no UTF-8).
+_KIND = "CASE WHEN event_id % 1009 = 0 AND event_id % 4 = 0 THEN 2 WHEN event_id % 5 = 0 THEN 1 ELSE 0 END"
+_SHAPE = f"CASE {_KIND} WHEN 0 THEN event_id % {len(LIVE)} WHEN 1 THEN event_id // 5 % {len(SKIPPED)} ELSE event_id // 4036 % {len(ENDING) + 1} END"
 
 
 def _lines(spark, sf):
+    """file, n (its order there) and line as bytes; lines of odd files end in CR."""
     e = F.col("event_id")
-    text = lambda s: F.lit(s)
-    whole = F.concat(
-        text('{"schema_version":1,"id":"'), F.when(e % 6 == 0, "").otherwise(e.cast("string")), text('","path":"'), "path", text('","action":"'), "action",
-        text('","content_sha":"'), "content_sha", text('","queued_at":"q","device_id":"d"}'),
-    )
-    line = F.when(e % 50 == 0, "  ").when(e % 53 == 0, "\t \r").when(e % 307 == 0, '{"schema_version":-1,"id":"x"}').when(e % 211 == 0, '{"schema').when(e % 31 == 0, '{"schema_version":2,"id":"x"}').when(e % 37 == 0, '{"schema_version":1,"id":"x"}').otherwise(whole)
-    return X.journal(spark, sf).select(F.floor(e / 500).alias("file"), "line_no", line.alias("line"))
-
-
-@query("src3_journal_lines", with_sql(f"""WITH l AS (SELECT event_id // 500 AS file, line_no, event_id, path, action, content_sha, {_LINE} AS line FROM journal),
- s AS (SELECT file, min(line_no) AS stop FROM l WHERE line IN ('{{"schema', '{{"schema_version":-1,"id":"x"}}') GROUP BY file)
- SELECT l.file, line_no, CASE WHEN event_id % 6 = 0 THEN 'legacy-' || left(sha256(path || chr(31) || content_sha || chr(31) || 'q' || chr(31) || action), 16) ELSE event_id::VARCHAR END AS id, path, action, NULL::VARCHAR AS base_hash, content_sha
- FROM l LEFT JOIN s ON l.file = s.file WHERE (stop IS NULL OR line_no < stop) AND starts_with(line, '{{"schema_version":1,"id":"') AND line <> '{{"schema_version":1,"id":"x"}}'""", "journal"))
+    kind = F.expr(_KIND)
+    shape = F.when(kind == 0, e % len(LIVE)).when(kind == 1, F.floor(e / 5) % len(SKIPPED)).otherwise(F.floor(e / 4036) % (len(ENDING) + 1)).cast("int")
+    of = lambda texts: F.get(F.array(*map(F.lit, texts)), shape)
+    line = F.when(kind == 0, of(LIVE)).when(kind == 1, of(SKIPPED)).otherwise(of((*ENDING, "")))
+    at = F.date_format(F.col("queued_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    for mark, value in (("{i}", e.cast("string")), ("{p}", F.col("path")), ("{a}", F.col("action")), ("{c}", F.col("content_sha")), ("{q}", at)):
+        line = F.replace(line, F.lit(mark), value)
+    broken = (kind == 2) & (shape == len(ENDING))
+    raw = F.concat(F.encode(line, "UTF-8"), F.when(broken, F.lit(b"\xff")).otherwise(F.lit(b"")))
+    return X.journal(spark, sf).select((e % 64).alias("file"), e.alias("n"), raw.cast("string").alias("line"))
+
+
+_SRC3_SQL = with_sql(f"""WITH l AS (SELECT event_id % 64 AS file, row_number() OVER (PARTITION BY event_id % 64 ORDER BY event_id) AS line_no, event_id, path, action, content_sha, queued_at, {_KIND} AS kind, {_SHAPE} AS shape FROM journal),
+ s AS (SELECT file, min(line_no) AS stop FROM l WHERE kind = 2 GROUP BY file)
+ SELECT l.file, line_no, CASE WHEN shape IN (1, 2) THEN 'legacy-' || left(sha256(path || chr(31) || content_sha || chr(31) || epoch_us(queued_at::TIMESTAMP) || chr(31) || action), 16) ELSE event_id::VARCHAR END AS id, path, action,
+  CASE shape WHEN 4 THEN '' WHEN 5 THEN 'b1' END AS base_hash, content_sha
+ FROM l LEFT JOIN s ON l.file = s.file WHERE (stop IS NULL OR line_no < stop) AND kind = 0""", "journal")
+
+
+@query("src3_journal_lines", _SRC3_SQL)
 def src3(spark, sf):
-    return St.journal_lines(_lines(spark, sf))
+    number = F.row_number().over(Window.partitionBy("file").orderBy("n")).cast("long")
+    return St.journal_lines(_lines(spark, sf).withColumn("line_no", number))
+
+
+@query("src3_kv6_journal_files", _SRC3_SQL)
+def src3_files(spark, sf):
+    """The lines written to files, one a journal, some with CR and LF, and read back from them."""
+    path = f"{shared_dir(spark)}/journals-{uuid.uuid4().hex}"
+    ended = F.when(F.col("file") % 2 == 1, F.concat("line", F.lit("\r"))).otherwise(F.col("line"))
+    rows = _lines(spark, sf).repartition("file").sortWithinPartitions("file", "n")
+    rows.select(F.col("file").alias("journal"), ended.alias("value")).write.partitionBy("journal").option("lineSep", "\n").text(path)
+    entries, _ = J.open_journal(spark, path)
+    return entries.withColumn("file", F.regexp_extract("file", "journal=([0-9]+)", 1).cast("long"))
 
 
 def _store_files(spark, sf):
