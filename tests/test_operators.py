@@ -42,24 +42,47 @@ def test_admission(spark, threshold, window):
     assert {r["event_id"]: r["admitted"] for r in O.admission(df, threshold, window).collect()} == want
 
 
-@pytest.mark.parametrize("threshold", [1, 2, 3])
-def test_delete_burst(spark, threshold):
+@pytest.mark.parametrize("threshold,window", [(0, 10), (1, 10), (2, 10), (3, 10), (1, 0), (0, 0)])
+def test_delete_burst(spark, threshold, window):
     rng = random.Random(threshold)
     rows, want = [], {}
-    for root in range(3):
+    for root in (0, 1, 2, None):
         held, latched = [], False
-        for i, t in enumerate(sorted(rng.randrange(90) for _ in range(60))):
-            reset = rng.random() < 0.1
-            rows.append((root, root * 100 + i, T0 + timedelta(seconds=t), reset))
+        for i, t in enumerate(sorted(rng.randrange(90) for _ in range(200 if root == 1 else 60))):
+            reset, n = rng.random() < 0.1, (9 if root is None else root) * 1000 + i
+            rows.append((root, n, T0 + timedelta(seconds=t), reset, "x"))
             if reset:
-                held, latched = [], False
+                want[n], held, latched = (latched, False), [], False
                 continue
-            held = [h for h in held if h > t - 10] + [t]
-            trip = not latched and len(held) >= threshold
-            want[root * 100 + i] = (latched, trip)
+            held = [h for h in held if h > t - window] + [t]
+            trip = window > 0 and not latched and len(held) >= threshold
+            want[n] = (latched, trip)
             latched = latched or trip
-    df = spark.createDataFrame(rows, "root long, event_id long, ts timestamp_ntz, is_reset boolean")
-    assert {r["event_id"]: (r["paused"], r["tripped"]) for r in O.delete_burst(df, threshold, "10 SECONDS").collect()} == want
+    df = spark.createDataFrame(rows, "root long, event_id long, ts timestamp_ntz, is_reset boolean, range string")
+    got = O.delete_burst(df.withColumnRenamed("range", "note"), threshold, f"{window} SECONDS").collect()
+    assert len(got) == len(rows) and {r["event_id"]: (r["paused"], r["tripped"]) for r in got} == want
+
+
+def test_classify_events(spark):
+    at = lambda s: T0 + timedelta(seconds=s)
+    rows = [
+        (1, at(0), 1, "delete", "a/1.md", None), (1, at(1), 2, "delete", "node_modules/x.md", None), (1, at(2), 3, "delete", "a/2.md", None), (1, at(3), 4, "delete", "a/3.md", None),
+        (1, at(4), 5, "rename", "a/4.md", "a/5.md"), (1, at(5), 6, "rename", "a/4.md", "node_modules/5.md"), (1, at(6), 7, "rename", "a/4.txt", "../5.md"), (1, at(7), 8, "reset", None, None),
+        (1, at(8), 9, "reset", None, None), (1, at(9), 10, "delete", "a/6.md", None), (1, at(10), 11, "modify", "a/6.txt", None), (2, at(3), 12, "delete", "a/3.md", None), (2, at(4), 13, "create", None, None),
+    ]
+    df = spark.createDataFrame(rows, "root long, ts timestamp_ntz, event_id long, kind string, path string, new_path string")
+    got = {r.event_id: (r.decision, r.side) for r in O.classify(df, 2, "30 SECONDS").collect()}
+    want = {1: ("allow", None), 2: ("drop_exclude", "old"), 3: ("allow", None), 4: ("drop_delete_burst", None), 5: ("allow", None), 6: ("drop_exclude", "new"), 7: ("drop_extension", "old"), 8: ("resumed", None), 9: ("not_paused", None), 10: ("allow", None), 11: ("drop_extension", "old"), 12: ("allow", None)}
+    assert {k: v for k, v in got.items() if k != 13} == want
+    n = O.drop_counts(O.classify(df.filter("root = 1"), 2, "30 SECONDS")).first().asDict()
+    assert n == {"dropped_substrate": 0, "dropped_extension": 2, "dropped_excludes": 2, "filtered": 5}
+    assert O.classify(df.limit(0), 2, "30 SECONDS").count() == 0
+
+
+def test_ledger_cuts_long_errors(spark):
+    df = spark.createDataFrame([("p", 1, T0, False, "é" * 300), ("q", 1, T0, False, "e" * 512)], "path string, line_no long, ts timestamp_ntz, is_clear boolean, error string")
+    got = {r["path"]: r["last_error"] for r in O.retry_ledger(df).collect()}
+    assert got == {"p": "é" * 256 + "...", "q": "e" * 512}
 
 
 def test_lineage(spark):

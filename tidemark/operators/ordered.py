@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import paths as P
+from tidemark.functions import scalars as S
+from tidemark.functions.bind import bind
 from tidemark.plans.staging import stage
 
+T_ZERO = "2000-01-01 00:00:00"
+#: Fixed value: bytes of an error that a ledger keeps.
+ERROR_BYTES = 512
+
 
 def compact(journal: DataFrame) -> DataFrame:
     """The last line of every path."""
@@ -36,19 +45,90 @@ def append_within(rows: DataFrame, held: int, cap: int) -> DataFrame:
     return total.withColumn("fits", F.col("run_bytes") + held <= cap)
 
 
+def numbered(rows: DataFrame, key: str, order: Sequence[str], counts: dict[str, Column]) -> DataFrame:
+    """`rows` with running counts by `key` in the order of `order`, and the range that a row lies in; null keys are a key.
+
+    `counts` names conditions: how many rows up to each one fulfil them. One key may hold all rows: ranges of the
+    order are counted side by side, and the counts of earlier ranges, one row a range and key, are added.
+    """
+    by = [key, *order]
+    cut = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("range", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    cut = stage(cut.select("*", *[F.coalesce(c, F.lit(False)).cast("long").alias(f"is_{n}") for n, c in counts.items()]), "numbered")
+    sums = cut.groupBy("range", F.col(key).alias("of")).agg(*[F.sum(f"is_{n}").alias(f"sum_{n}") for n in counts])
+    earlier = Window.partitionBy("of").orderBy("range")
+    sums = sums.select(F.col("range").alias("in"), "of", *[(F.sum(f"sum_{n}").over(earlier) - F.col(f"sum_{n}")).alias(f"ahead_{n}") for n in counts])
+    own = Window.partitionBy("range", key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    inside = cut.select("*", *[F.sum(f"is_{n}").over(own).alias(f"inside_{n}") for n in counts])
+    joined = inside.join(sums, (F.col("range") == F.col("in")) & F.col(key).eqNullSafe(F.col("of")))
+    return joined.select(*rows.columns, "range", *[(F.col(f"inside_{n}") + F.col(f"ahead_{n}")).alias(n) for n in counts])
+
+
+def _spread(first: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`first` (one row for each of `keys`) once for each range that has such rows, so that joins on range and keys have no hot key."""
+    held = rows.select("range", *keys).distinct()
+    same = reduce(lambda a, b: a & b, [held[k].eqNullSafe(first[k]) for k in keys])
+    return held.join(first, same).select(held["range"], *[held[k] for k in keys], *[first[c] for c in first.columns if c not in keys])
+
+
 def delete_burst(events: DataFrame, threshold: int, window: str) -> DataFrame:
-    """tripped: this delete is the one at which `threshold` fall within the window (edge excluded); paused: the latch
-    before it. Resets open a new epoch. By root, in order of (ts, event_id)."""
-    by = Window.partitionBy("root").orderBy("ts", "event_id")
-    e = events.withColumn("epoch", F.sum(F.col("is_reset").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))).filter("NOT is_reset")
-    own = Window.partitionBy("root", "epoch").orderBy("ts", "event_id")
-    if threshold <= 1:
-        trip = F.lit(True)
+    """The valve of deletes, by root in order of (ts, event_id); resets open a new epoch.
+
+    For a delete, tripped: it is the first at which `threshold` deletes of its epoch lie within the window (edge excluded); paused: the
+    latch before it. For a reset, paused: whether it found the valve shut. A window of zero never trips; a threshold of
+    zero trips like one. No task needs all rows of a root: which delete lies `threshold` - 1 back is a join on numbers, and
+    the first trip of an epoch a minimum.
+    """
+    e = numbered(events, "root", ["ts", "event_id"], {"epoch": F.col("is_reset"), "nth": ~F.col("is_reset")})
+    e = stage(e, "valve")
+    width = F.expr(f"INTERVAL {window}")
+    deletes = e.filter("NOT is_reset")
+    at = F.lit(T_ZERO).cast("timestamp_ntz")
+    if events.sparkSession.range(1).select(at + width == at).first()[0]:
+        hits = deletes.filter("false")
+    elif threshold <= 1:
+        hits = deletes
     else:
-        trip = F.coalesce(F.lag("ts", threshold - 1).over(own) > F.col("ts") - F.expr(f"INTERVAL {window}"), F.lit(False))
-    e = e.withColumn("at_threshold", trip)
-    latched = F.coalesce(F.max(F.col("at_threshold").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)) == 1, F.lit(False))
-    return e.withColumn("paused", latched).withColumn("tripped", F.col("at_threshold") & ~latched).drop("at_threshold")
+        back = deletes.select(F.col("root").alias("r"), F.col("epoch").alias("p"), (F.col("nth") + threshold - 1).alias("k"), F.col("ts").alias("from"))
+        near = deletes["root"].eqNullSafe(F.col("r")) & (F.col("epoch") == F.col("p")) & (F.col("nth") == F.col("k"))
+        hits = deletes.join(back, near).filter(F.col("from") > F.col("ts") - width)
+    trips = stage(hits.groupBy("root", "epoch").agg(F.min("nth").alias("trip")), "trips")
+    here = _spread(trips, deletes, ["root", "epoch"]).select(F.col("range").alias("g"), F.col("root").alias("r"), F.col("epoch").alias("p"), "trip")
+    there = _spread(trips.withColumn("epoch", F.col("epoch") + 1), e.filter("is_reset"), ["root", "epoch"]).select(F.col("range").alias("g"), F.col("root").alias("r"), F.col("epoch").alias("p"), F.lit(0).cast("long").alias("trip"))
+    # a reset looks at the epoch that it ends, a delete at its own
+    marks = here.withColumn("w", F.lit(False)).union(there.withColumn("w", F.lit(True)))
+    joined = e.join(marks, (F.col("range") == F.col("g")) & e["root"].eqNullSafe(F.col("r")) & (F.col("epoch") == F.col("p")) & (F.col("is_reset") == F.col("w")), "left")
+    paused = F.when(F.col("is_reset"), F.col("trip").isNotNull()).otherwise(F.coalesce(F.col("nth") > F.col("trip"), F.lit(False)))
+    return joined.select(*events.columns, paused.alias("paused"), (~F.col("is_reset") & F.coalesce(F.col("nth") == F.col("trip"), F.lit(False))).alias("tripped"))
+
+
+def classify(events: DataFrame, threshold: int, window: str, **gates) -> DataFrame:
+    """decision, rule and side of each file event (root, ts, event_id, kind, path, new_path), in order by root.
+
+    Creates and modifies pass the gates of write_filter (`gates` are its arguments), renames those of both paths (the first that fails
+    names its side and nothing else is looked at; a burst does not stop them), deletes the gates and then the valve, which counts deletes that
+    were allowed only. The delete that trips is still allowed. A reset opens the valve: "resumed" if it was shut, else "not_paused".
+    """
+    old, new = P.write_filter(F.col("path"), **gates), P.write_filter(F.col("new_path"), **gates)
+    e = bind(events, "old", F.when(F.col("kind") != "reset", old))
+    e = bind(e, "new", F.when((F.col("kind") == "rename") & (F.col("old.decision") == "allow"), new))
+    failed = F.coalesce(F.col("new.decision"), F.lit("allow")) != "allow"
+    e = e.select(
+        *events.columns, F.when(failed, F.col("new.decision")).otherwise(F.col("old.decision")).alias("decision"), F.when(failed, F.col("new.rule")).otherwise(F.col("old.rule")).alias("rule"),
+        F.when(failed, "new").when(F.col("old.decision") != "allow", "old").alias("side"),
+    )
+    e = stage(e, "gated")
+    valve = F.coalesce((F.col("kind") == "reset") | (F.col("kind") == "delete") & (F.col("decision") == "allow"), F.lit(False))
+    seen = delete_burst(e.filter(valve).withColumn("is_reset", F.col("kind") == "reset"), threshold, window)
+    answer = F.when(F.col("is_reset"), F.when(F.col("paused"), "resumed").otherwise("not_paused")).when(F.col("paused"), "drop_delete_burst").otherwise(F.col("decision"))
+    return seen.withColumn("decision", answer).select(*e.columns).union(e.filter(~valve).select(*e.columns))
+
+
+def drop_counts(classified: DataFrame, *by: str) -> DataFrame:
+    """Dropped events by reason, and in all: scope counts as an exclude, and what only the valve stops has no counter of its own."""
+    n = lambda *d: F.count_if(F.col("decision").isin(*d))
+    every = ("drop_substrate", "drop_extension", "drop_exclude", "drop_out_of_scope")
+    return classified.groupBy(*by).agg(
+        n(every[0]).alias("dropped_substrate"), n(every[1]).alias("dropped_extension"), n(*every[2:]).alias("dropped_excludes"), n(*every, "drop_delete_burst").alias("filtered"))
 
 
 def echo(events: DataFrame, ttl: str) -> DataFrame:
@@ -89,7 +169,7 @@ def retry_ledger(attempts: DataFrame) -> DataFrame:
     by = Window.partitionBy("path").orderBy("line_no")
     e = attempts.withColumn("epoch", F.sum(F.col("is_clear").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     e = e.withColumn("last_epoch", F.max("epoch").over(Window.partitionBy("path"))).filter("epoch = last_epoch AND NOT is_clear")
-    return e.groupBy("path").agg(F.count(F.lit(1)).alias("attempts"), F.min("ts").alias("first_failed"), F.max("ts").alias("last_attempt"), F.max_by("error", "line_no").alias("last_error"))
+    return e.groupBy("path").agg(F.count(F.lit(1)).alias("attempts"), F.min("ts").alias("first_failed"), F.max("ts").alias("last_attempt"), F.max_by("error", "line_no").alias("last_error")).withColumn("last_error", S.truncated(F.col("last_error"), ERROR_BYTES))
 
 
 def free_suffix(wanted: DataFrame, taken: DataFrame) -> DataFrame:

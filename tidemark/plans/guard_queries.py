@@ -32,16 +32,20 @@ def snk2(spark, sf):
     return X.journal(spark, sf).select("line_no", F.when(over, "error_over_cap").otherwise("ok").alias("status"))
 
 
-_BURST = """WITH e AS (SELECT *, sum(is_reset::INT) OVER (PARTITION BY root ORDER BY ts, event_id) AS epoch FROM burst_events),
- t AS (SELECT *, coalesce(lag(ts, 2) OVER (PARTITION BY root, epoch ORDER BY ts, event_id) > ts - INTERVAL 6 HOUR, false) AS hit FROM e WHERE NOT is_reset),
- l AS (SELECT *, coalesce(max(hit::INT) OVER (PARTITION BY root, epoch ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS paused FROM t)
- SELECT event_id, root, paused, hit AND NOT paused AS tripped FROM l"""
+_BURST = """e AS (SELECT *, coalesce(sum(is_reset::INT) OVER (PARTITION BY root ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM burst_events),
+ t AS (SELECT event_id, ts, root, epoch, coalesce(lag(ts, 2) OVER (PARTITION BY root, epoch ORDER BY ts, event_id) > ts - INTERVAL 6 HOUR, false) AS hit FROM e WHERE NOT is_reset),
+ v AS (SELECT e.event_id, e.root, is_reset, coalesce(max(hit::INT) OVER (PARTITION BY e.root, e.epoch ORDER BY e.ts, e.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS paused, coalesce(hit, false) AS hit FROM e LEFT JOIN t ON t.event_id = e.event_id)"""
 
 
-@query("win2_delete_burst", with_sql(_BURST, "burst_events"))
+@query("win2_delete_burst", with_sql("WITH " + _BURST + " SELECT event_id, root, is_reset, paused, hit AND NOT paused AS tripped FROM v", "burst_events"))
 def win2_fn7(spark, sf):
-    """FN-7: the reset rows. The delete that trips is itself let through; those after it are not."""
-    return O.delete_burst(X.burst_events(spark, sf), 3, "6 HOURS").select("event_id", "root", "paused", "tripped")
+    """FN-7: whether a reset found the valve shut. The delete that trips is itself let through; those after it are not."""
+    return O.delete_burst(X.burst_events(spark, sf), 3, "6 HOURS").select("event_id", "root", "is_reset", "paused", "tripped")
+
+
+@query("win2_window_zero", with_sql("SELECT event_id, root, is_reset, false AS paused, false AS tripped FROM burst_events", "burst_events"))
+def win2_zero(spark, sf):
+    return O.delete_burst(X.burst_events(spark, sf), 1, "0 SECONDS").select("event_id", "root", "is_reset", "paused", "tripped")
 
 
 @query("win3_join6_echo", with_sql("""WITH r AS (SELECT *, max(CASE WHEN kind = 'record' THEN rn END) OVER (PARTITION BY key ORDER BY rn) AS rr FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS rn FROM echo_events)),
@@ -72,12 +76,12 @@ def win6(spark, sf):
 
 
 def _attempts(spark, sf):
-    return X.journal(spark, sf).select("path", "line_no", (F.col("action") == "create").alias("is_clear"), F.col("queued_at").alias("ts"), F.col("content_sha").alias("error"))
+    return X.journal(spark, sf).select("path", "line_no", (F.col("action") == "create").alias("is_clear"), F.col("queued_at").alias("ts"), F.repeat(F.col("content_sha"), F.when(F.col("line_no") % 2 == 0, 20).otherwise(1)).alias("error"))
 
 
 _LEDGER = """WITH e AS (SELECT *, sum((action = 'create')::INT) OVER (PARTITION BY path ORDER BY line_no) AS epoch FROM journal),
  f AS (SELECT *, max(epoch) OVER (PARTITION BY path) AS last_epoch FROM e),
- g AS (SELECT path, count(*)::BIGINT AS attempts, min(queued_at) AS first_failed, max(queued_at) AS last_attempt, arg_max(content_sha, line_no) AS last_error FROM f WHERE epoch = last_epoch AND action <> 'create' GROUP BY path)"""
+ g AS (SELECT path, count(*)::BIGINT AS attempts, min(queued_at) AS first_failed, max(queued_at) AS last_attempt, arg_max(CASE WHEN line_no % 2 = 0 THEN left(repeat(content_sha, 20), 512) || '...' ELSE content_sha END, line_no) AS last_error FROM f WHERE epoch = last_epoch AND action <> 'create' GROUP BY path)"""
 
 
 @query("win7_agg6_ledger", with_sql(_LEDGER + " SELECT path, attempts, first_failed, last_attempt, last_error FROM g", "journal"))

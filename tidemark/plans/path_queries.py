@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import paths as P
 from tidemark.functions import scalars as S
 from tidemark.operators import reconcile as R
+from tidemark.operators import ordered as O
+from tidemark.plans.guard_queries import _BURST
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as X
 from tidemark.sources.fixtures import with_sql
@@ -62,18 +64,56 @@ def pred12_pred4_ord6(spark, sf):
     return _paths(spark, sf).withColumn("f", f).select("doc_id", "f.decision", "f.rule")
 
 
-@query("agg5_drop_counts", with_sql(f"SELECT split_part({_CASCADE}, '|', 1) AS decision, count(*)::BIGINT AS n FROM paths GROUP BY 1", "paths"))
+def _watched(spark, sf):
+    """File events: kinds by event type, resets now and then, paths and new paths of the shapes of X.PATHS."""
+    e, n = table(spark, sf, "events"), F.col("event_id")
+    parts = {"{s}": F.concat(F.lit("src"), (F.col("user_id") % 3).cast("string")), "{l}": F.lit("en"), "{d}": n.cast("string")}
+    kind = F.when(n % 97 == 0, "reset").when(n % 5 == 0, "rename").when(n % 2 == 0, "delete").when(n % 3 == 0, "create").otherwise("modify")
+    good = "{s}/{l}/{d}.md"
+    path = F.when(n % 3 == 0, X.pick(X.PATHS, F.floor(n / 3), parts)).otherwise(X.pick((good,), n, parts))
+    new = F.when(n % 4 == 0, X.pick(X.PATHS, F.floor(n / 4), parts)).otherwise(X.pick((good,), n, parts))
+    return e.select(n, "ts", (F.col("user_id") % 8).alias("root"), kind.alias("kind"), path.alias("path"), F.when(kind == "rename", new).alias("new_path"))
+
+
+def _shape(n: str) -> str:
+    return f"replace(replace(replace({X._sql_list(X.PATHS)}[{n} % {len(X.PATHS)} + 1], '{{s}}', 'src' || user_id % 3), '{{l}}', 'en'), '{{d}}', event_id::VARCHAR)"
+
+
+_GOOD = "'src' || user_id % 3 || '/en/' || event_id || '.md'"
+#: The gates of both paths, the valve over deletes that pass them, and the answer to each event.
+_CLASSIFIED = f"""ev AS (SELECT event_id, ts, user_id % 8 AS root, CASE WHEN event_id % 97 = 0 THEN 'reset' WHEN event_id % 5 = 0 THEN 'rename' WHEN event_id % 2 = 0 THEN 'delete' WHEN event_id % 3 = 0 THEN 'create' ELSE 'modify' END AS kind,
+  CASE WHEN event_id % 3 = 0 THEN {_shape('(event_id // 3)')} ELSE {_GOOD} END AS old_path, CASE WHEN event_id % 4 = 0 THEN {_shape('(event_id // 4)')} ELSE {_GOOD} END AS new_path FROM events),
+ si AS (SELECT event_id, 'old' AS side, old_path AS path FROM ev WHERE kind <> 'reset' UNION ALL SELECT event_id, 'new', new_path FROM ev WHERE kind = 'rename'),
+ ca AS (SELECT event_id, side, {_CASCADE} AS c FROM si),
+ ga AS (SELECT event_id, side, split_part(c, '|', 1) AS decision, nullif(substr(c, strpos(c, '|') + 1), CASE WHEN c LIKE '%out_of_scope|' OR c = 'allow|' THEN '' END) AS rule FROM ca),
+ fi AS (SELECT event_id, arg_min(struct_pack(d := decision, r := rule, s := side), side <> 'old') AS f FROM ga WHERE decision <> 'allow' GROUP BY event_id),
+ gt AS (SELECT ev.*, coalesce(f.d, 'allow') AS gate, f.r AS rule, f.s AS side FROM ev LEFT JOIN fi ON fi.event_id = ev.event_id),
+ burst_events AS (SELECT event_id, ts, root, kind = 'reset' AS is_reset FROM gt WHERE kind = 'reset' OR kind = 'delete' AND gate = 'allow'), {_BURST},
+ cl AS (SELECT gt.event_id, gt.root, gt.kind, CASE WHEN kind = 'reset' THEN CASE WHEN paused THEN 'resumed' ELSE 'not_paused' END WHEN paused THEN 'drop_delete_burst' ELSE gate END AS decision, rule, side FROM gt LEFT JOIN v ON v.event_id = gt.event_id)"""
+
+
+def _classified(spark, sf):
+    return O.classify(_watched(spark, sf), 3, "6 HOURS", roots=("src", *ROOTS), excludes=OUT, rules=RULES)
+
+
+@query("pred13_fn7_classify", f"WITH {_CLASSIFIED} SELECT * FROM cl")
+def pred13_fn7(spark, sf):
+    return _classified(spark, sf).select("event_id", "root", "kind", "decision", "rule", "side")
+
+
+@query("agg5_drop_counts", f"""WITH {_CLASSIFIED} SELECT root, count(*) FILTER (WHERE decision = 'drop_substrate') AS dropped_substrate, count(*) FILTER (WHERE decision = 'drop_extension') AS dropped_extension,
+ count(*) FILTER (WHERE decision IN ('drop_exclude', 'drop_out_of_scope')) AS dropped_excludes, count(*) FILTER (WHERE starts_with(decision, 'drop_')) AS filtered FROM cl GROUP BY root""")
 def agg5(spark, sf):
-    f = P.write_filter(F.col("path"), ("src", *ROOTS), OUT, (".md",), RULES)
-    return _paths(spark, sf).groupBy(f["decision"].alias("decision")).agg(F.count(F.lit(1)).alias("n"))
+    return O.drop_counts(_classified(spark, sf), "root")
 
 
-@query("pred13_renames", with_sql(f"SELECT a.doc_id, {_SAFE.replace('path', 'a.path')} AND {_SAFE.replace('path', 'b.path')} AS allowed FROM paths a JOIN paths b ON b.doc_id = a.doc_id + 1", "paths"))
+@query("pred13_renames", with_sql(f"SELECT a.doc_id, a.ok AND b.ok AS allowed FROM (SELECT doc_id, {_CASCADE} = 'allow|' AS ok FROM paths) a JOIN (SELECT doc_id, {_CASCADE} = 'allow|' AS ok FROM paths) b ON b.doc_id = a.doc_id + 1", "paths"))
 def pred13(spark, sf):
-    """A rename passes only where both of its sides do."""
+    """A rename passes only where both of its sides pass every gate."""
     a = _paths(spark, sf)
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("path").alias("new"))
-    return a.join(b, "doc_id").select("doc_id", (P.is_safe(F.col("path")) & P.is_safe(F.col("new"))).alias("allowed"))
+    ok = lambda c: P.write_filter(F.col(c), ("src", *ROOTS), OUT, (".md",), RULES)["decision"] == "allow"
+    return a.join(b, "doc_id").select("doc_id", (ok("path") & ok("new")).alias("allowed"))
 
 
 #: Kinds of file events, in any case and to any depth, and whether they may change content.
