@@ -167,7 +167,7 @@ def byte_check(content: Column, size: Column, digest: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _syntax(kind: pd.Series, text: pd.Series) -> pd.Series:
-    import ast
+    import json
     import tomllib
 
     try:
@@ -175,14 +175,37 @@ def _syntax(kind: pd.Series, text: pd.Series) -> pd.Series:
     except ImportError:  # without a reader of YAML its files go unchecked
         yaml = None
 
+    def refuse(name: str):
+        raise ValueError(name)
+
+    def keys_once(node) -> bool:
+        """Whether no mapping has a plain key twice."""
+        todo, seen = [node], set()
+        while todo:
+            n = todo.pop()
+            if n is None or id(n) in seen:
+                continue
+            seen.add(id(n))
+            if isinstance(n, yaml.MappingNode):
+                keys = [(k.tag, k.value) for k, _ in n.value if isinstance(k, yaml.ScalarNode)]
+                if len(keys) != len(set(keys)):
+                    return False
+                todo += [x for pair in n.value for x in pair]
+            elif isinstance(n, yaml.SequenceNode):
+                todo += n.value
+        return True
+
     def one(k: str, t: str) -> str:
         try:
             if k == "toml":
                 tomllib.loads(t)
+            elif k == "json":
+                json.loads(t, parse_constant=refuse)
             elif k == "py":
-                ast.parse(t)
+                compile(t, "f", "exec", dont_inherit=True)
             elif yaml:
-                if len(list(yaml.compose_all(t, yaml.CSafeLoader if hasattr(yaml, "CSafeLoader") else yaml.SafeLoader))) > 1:
+                parts = list(yaml.compose_all(t, yaml.CSafeLoader if hasattr(yaml, "CSafeLoader") else yaml.SafeLoader))
+                if len(parts) > 1 or not all(map(keys_once, parts)):
                     return "invalid"
             else:
                 return "skipped"
@@ -194,12 +217,15 @@ def _syntax(kind: pd.Series, text: pd.Series) -> pd.Series:
 
 
 def syntax_check(path: Column, text: Column) -> Column:
-    """ok, invalid or skipped by the path's ending; JSON in the JVM, TOML, YAML (one document a file) and Python parsed in
-    Arrow batches. Files of other endings never leave the JVM."""
+    """ok, invalid or skipped by the path's ending. JSON is parsed in the JVM, inside an array that its own digest ends, so that text behind
+    the value is seen; what is refused there (a key twice is fine in JSON) is parsed again. TOML, YAML (one document a
+    file, no key twice) and Python (compiled, so that a stray return is seen) are parsed in Arrow batches. Files of other endings never leave the JVM."""
     ext = F.lower(F.regexp_extract(path, "[^/]\\.([A-Za-z]+)$", 1))
-    kind = F.when(ext.isin("yml", "yaml"), F.lit("yaml")).when(ext.isin("toml", "py"), ext)
-    parsed = F.call_function("try_parse_json", text)
-    return F.when(ext == "json", F.when(parsed.isNotNull(), F.lit("ok")).otherwise(F.lit("invalid"))).when(kind.isNotNull(), _syntax(kind, text)).otherwise(F.lit("skipped"))
+    mark = F.md5(text.cast("binary"))
+    parsed = F.call_function("try_parse_json", F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    whole = F.coalesce(F.call_function("try_variant_get", parsed, F.lit("$[1]"), F.lit("string")) == mark, F.lit(False))
+    kind = F.when(ext.isin("yml", "yaml"), F.lit("yaml")).when(ext.isin("toml", "py") | (ext == "json") & ~whole, ext)
+    return F.when((ext == "json") & whole, F.lit("ok")).when(kind.isNotNull(), _syntax(kind, F.when(kind.isNotNull(), text))).otherwise(F.lit("skipped"))
 
 
 def integrity(path: Column, content: Column, size: Column, digest: Column) -> Column:

@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 from tidemark.functions.paths import head_bytes
 
 
+def _field(body: Column, name: str) -> tuple[Column, Column]:
+    """Kind and text of a field of a JSON object; both null where it is missing or the text is none."""
+    found = F.call_function("variant_get", F.call_function("try_parse_json", body), F.lit(f"$.{name}"))
+    return F.call_function("schema_of_variant", found), F.call_function("try_variant_get", found, F.lit("$"), F.lit("string"))
+
+
 def seq_of(body: Column) -> Column:
-    """A feed position given as a number or as digits in a string; 0 for anything else."""
-    return F.coalesce(F.get_json_object(body, "$.lsn").try_cast("bigint"), F.lit(0).cast("long"))
+    """A feed position given as a whole number or as digits in a string; 0 for anything else, signs of less and spaces too.
+    Positions beyond a signed 64-bit number are 0."""
+    kind, value = _field(body, "lsn")
+    whole = (kind == "BIGINT") & ~F.startswith(value, F.lit("-")) | (kind == "STRING") & F.rlike(value, F.lit("\\A\\+?[0-9]+\\z"))
+    return F.coalesce(F.when(whole, value.try_cast("bigint")), F.lit(0).cast("long"))
 
 
 def op_of(body: Column) -> Column:
-    """A missing operation is an upsert."""
-    return F.coalesce(F.get_json_object(body, "$.op"), F.lit("UPSERT"))
+    """A missing operation is an upsert; null where it is no string (an explicit null included), or the body no JSON: such messages are refused."""
+    kind, value = _field(body, "op")
+    return F.when(F.call_function("try_parse_json", body).isNotNull(), F.when(kind.isNull(), F.lit("UPSERT")).when(kind == "STRING", value))
 
 
 def legacy_id(*parts: str | Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import paths as P
+from tidemark.functions import scalars as S
 
 
 def states(local: DataFrame, server: DataFrame) -> DataFrame:
@@ -63,6 +67,50 @@ def pull_class(outcome: Column) -> Column:
     return F.when(outcome.isin("error", "integrity_failed"), "failed").when(outcome.isin("breaker_open", "local_edit_preserved", "guard_preserve_push_up", "shadow_scope_suspect"), "deferred").otherwise("succeeded")
 
 
+#: Fixed value: paths of a kind that a report names.
+SAMPLE_PATHS = 50
+
+
+def _samples(rows: DataFrame, by: Sequence[str], lists: dict[str, Column], cap: int) -> DataFrame:
+    """The `cap` first paths of each list by `by`, as arrays. The limit is taken in each partition before the shuffle, so no task collects
+    more than `cap` paths of a partition and list."""
+    kind = reduce(lambda w, kv: w.when(kv[1], kv[0]), lists.items(), F.when(F.lit(False), ""))
+    first = Window.partitionBy(*by, "list").orderBy("path")
+    held = rows.select(*by, "path", kind.alias("list")).filter("list IS NOT NULL").withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= cap)
+    some = held.groupBy(*by).agg(*[F.array_sort(F.collect_list(F.when(F.col("list") == n, F.col("path")))).alias(n) for n in lists])
+    return some
+
+
+def report(rows: DataFrame, by: Sequence[str] = ("root",), cap: int = SAMPLE_PATHS) -> DataFrame:
+    """The report of a pass over (path, direction, outcome) and the columns `by`, one row each.
+
+    Every push is a modify, every pull that went through an add; a failed or deferred one is still divergent, and one of either makes the
+    pass red. Deletes are always none. Outcomes count for pulls only; a pull without one was not executed, which is deferred.
+    """
+    push, pull = F.col("direction") == "push", F.col("direction") == "pull"
+    what = F.when(pull, F.when(F.col("outcome").isNull(), "deferred").otherwise(pull_class(F.col("outcome"))))
+    rows = rows.select(*by, "path", push.alias("push"), what.alias("class"))
+    n = lambda c: F.count_if(F.col("class") == c)
+    counts = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("files_scanned"), F.count_if("push").alias("modify_count"), n("succeeded").alias("add_count"), F.lit(0).cast("long").alias("delete_count"),
+        F.count("class").alias("pulls_attempted"), n("succeeded").alias("pulls_succeeded"), n("failed").alias("pulls_failed"), n("deferred").alias("pulls_deferred"),
+    )
+    counts = counts.withColumn("files_in_sync", F.col("files_scanned") - F.col("modify_count")).withColumn("still_divergent", F.col("pulls_failed") + F.col("pulls_deferred"))
+    counts = counts.withColumn("cycle_red", S.cycle_red(F.col("pulls_failed"), F.col("still_divergent"))).withColumn("soak_eligible", ~F.col("cycle_red"))
+    lists = {"modify_sample": F.col("push"), "add_sample": F.col("class") == "succeeded", "unresolved_sample": F.col("class").isin("failed", "deferred")}
+    some = _samples(rows, by, lists, cap).select(*[F.col(c).alias(f"of_{c}") for c in by], *lists)
+    same = reduce(lambda a, b: a & b, [counts[c].eqNullSafe(some[f"of_{c}"]) for c in by])
+    none = F.array().cast("array<string>")
+    return counts.join(some, same, "left").select(*counts.columns, *[F.coalesce(c, none).alias(c) for c in lists])
+
+
+def rollup(reports: DataFrame, order: str = "root") -> DataFrame:
+    """One report of many: counts are added, samples are put on end in the order of the reports. Each report holds a bounded number of paths."""
+    total = [F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("files_scanned", "files_in_sync", "modify_count", "add_count", "delete_count")]
+    ends = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).alias("s")))), lambda x: x["s"])).alias(c) for c in ("modify_sample", "add_sample")]
+    return reports.agg(F.count(F.lit(1)).alias("roots"), *total, *ends)
+
+
 def stash_decision(path: Column, policy: Column, local_lsn: Column, server_lsn: Column) -> Column:
     older = local_lsn.isNull() | (local_lsn < server_lsn)
     return (P.sensitivity_class(path) == "D") | policy.isin("server_wins", "manual") | older

@@ -109,7 +109,8 @@ def scl26(spark, sf):
 
 #: Files by ending with a sound and a broken text; endings that are not known are skipped.
 _FILES = (
-    ("a.json", '{"a": 1}', '{"a": ', True), ("a.yaml", "a: 1\nb:\n  - 2\n  - 3\n", "a: 1\n\tb: [unterminated\n", True), ("A.YML", "- x\n- 'y'\n", "'open", True), ("a.toml", "a = 1\n", "a = \n", True),
+    ("a.json", '{"a": 1}', '{"a": ', True), ("a.yaml", "a: 1\nb:\n  - 2\n  - 3\n", "a: 1\n\tb: [unterminated\n", True), ("A.YML", "- x\n- 'y'\n", "'open", True), ("b.json", '{"a": 1, "a": [2]}', '{"a": 1} trailing', True), ("c.JSON", ' "x" ', '{"a":1}{"b":2}', True),
+    ("d.json", "1e5", "NaN", True), ("b.yaml", "a: 1\nb: {a: 2}\n", "a: 1\na: 2\n", True), ("b.py", "def f():\n    return 1\n", "return 1\n", True), ("a.toml", "a = 1\n", "a = \n", True),
     ("d/a.py", "x = 1\n", "def f(:\n", True), ("a.md", "---", "\t", False), ("noext", "{", "", False), ("x.d/.json", "{", "", False),
 )
 
@@ -156,12 +157,18 @@ def dec9_kv3(spark, sf):
     return table(spark, sf, "documents").select("doc_id", r.alias("receipt"))
 
 
-@query("scl18_scl19_envelopes", """SELECT event_id, coalesce(CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN event_id WHEN 2 THEN NULL ELSE NULL END, 0)::BIGINT AS seq, CASE WHEN event_id % 3 = 0 THEN 'DELETE' ELSE 'UPSERT' END AS op FROM events""")
+#: Positions and operations as a feed may send them ({n} a number), with what they are read as; no operation means that the message is refused.
+_POSITIONS = (("{n}", 1), ('"{n}"', 1), ("null", 0), ('"x1"', 0), ("-{n}", 0), ('" {n} "', 0), ('"+{n}"', 1), ('"-{n}"', 0), ("{n}.0", 0), ("[{n}]", 0), ('"00{n}"', 1), ("true", 0), ('""', 0))
+_OPERATIONS = ((', "op": "DELETE"}', "DELETE"), ("}", "UPSERT"), (', "op": null}', None), (', "op": 5}', None), (', "op": ""}', ""), (', "op": ["x"]}', None), (', "op": "odd"', None))
+_WHOLE = f"(event_id // {len(_POSITIONS)}) % {len(_OPERATIONS)} <> {len(_OPERATIONS) - 1}"
+
+
+@query("scl18_scl19_envelopes", f"""SELECT event_id, CASE WHEN {_WHOLE} THEN {[k for _, k in _POSITIONS]}[event_id % {len(_POSITIONS)} + 1] * event_id ELSE 0 END::BIGINT AS seq,
+ [{", ".join("NULL" if o is None else f"'{o}'" for _, o in _OPERATIONS)}][(event_id // {len(_POSITIONS)}) % {len(_OPERATIONS)} + 1] AS op FROM events""")
 def scl18_scl19(spark, sf):
     e = F.col("event_id")
-    n = e.cast("string")
-    lsn = F.when(e % 4 == 0, n).when(e % 4 == 1, F.concat(F.lit('"'), n, F.lit('"'))).when(e % 4 == 2, F.lit("null")).otherwise(F.lit('"x1"'))
-    body = F.concat(F.lit('{"lsn": '), lsn, F.when(e % 3 == 0, F.lit(', "op": "DELETE"}')).otherwise(F.lit("}")))
+    one = lambda texts, n: F.get(F.array(*[F.lit(t) for t, _ in texts]), (n % len(texts)).cast("int"))
+    body = F.concat(F.lit('{"lsn": '), F.replace(one(_POSITIONS, e), F.lit("{n}"), e.cast("string")), one(_OPERATIONS, F.floor(e / len(_POSITIONS))))
     return table(spark, sf, "events").select("event_id", S.seq_of(body).alias("seq"), S.op_of(body).alias("op"))
 
 

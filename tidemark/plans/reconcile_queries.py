@@ -163,43 +163,40 @@ def dec7(spark, sf):
     return d.groupBy("lang", R.pull_class(outcome).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-#: What becomes of a pull: most are written.
-_PULLS = ("error", "integrity_failed", "breaker_open", "local_edit_preserved", *["written"] * 60)
-
-
-@query("agg1_agg2_report", with_sql(_SHADOWED + f""", di AS (SELECT split_part(path, '/', 1) AS root, path, {_DIRECTION} AS direction, state, CASE WHEN {_DIRECTION} = 'pull' THEN {list(_PULLS)}[('0x' || left(server_hash, 2))::INT % 64 + 1] END AS outcome FROM sh),
-  rk AS (SELECT *, row_number() OVER (PARTITION BY root, direction, state ORDER BY path) AS rn FROM di)
-  SELECT root, count(*)::BIGINT AS files_scanned, count(*) FILTER (WHERE direction = 'push' AND state = 'drift')::BIGINT AS modify_count,
-  count(*) FILTER (WHERE direction = 'push' AND state <> 'drift')::BIGINT AS add_count, count(*) FILTER (WHERE direction = 'pull')::BIGINT AS pulls_attempted,
-  (count(*) - count(*) FILTER (WHERE direction = 'push' AND state = 'drift'))::BIGINT AS files_in_sync,
-  coalesce(string_agg(path, ',' ORDER BY path) FILTER (WHERE direction = 'push' AND state <> 'drift' AND rn <= 5), '') AS add_sample,
-  count(*) FILTER (WHERE outcome IN ('error', 'integrity_failed'))::BIGINT AS pulls_failed, count(*) FILTER (WHERE outcome IN ('breaker_open', 'local_edit_preserved'))::BIGINT AS still_divergent,
-  count(*) FILTER (WHERE outcome IN ('error', 'integrity_failed', 'breaker_open', 'local_edit_preserved')) > 0 AS cycle_red,
-  count(*) FILTER (WHERE outcome IN ('error', 'integrity_failed', 'breaker_open', 'local_edit_preserved')) = 0 AS soak_eligible FROM rk GROUP BY root""", *_ALL))
-def agg1_agg2(spark, sf):
-    """By root; ORD-3: samples are the first five paths. A pull's outcome goes by the head of its server hash."""
-    from pyspark.sql import Window
+#: What becomes of a pull: most are written, some never run.
+_PULLS = ("error", "integrity_failed", "breaker_open", "local_edit_preserved", "guard_preserve_push_up", "shadow_scope_suspect", "", *["written"] * 57)
+_OUTCOME = f"nullif({list(_PULLS)}[('0x' || left(server_hash, 2))::INT % 64 + 1], '')"
+_FAILED, _DEFERRED = "('error', 'integrity_failed')", "('breaker_open', 'local_edit_preserved', 'guard_preserve_push_up', 'shadow_scope_suspect')"
+_REPORT = f""", di AS (SELECT split_part(path, '/', 1) AS root, path, {_DIRECTION} AS d, CASE WHEN {_DIRECTION} = 'pull' THEN CASE WHEN {_OUTCOME} IN {_FAILED} THEN 'f' WHEN {_OUTCOME} IN {_DEFERRED} OR {_OUTCOME} IS NULL THEN 'd' ELSE 's' END END AS c FROM sh),
+ rn AS (SELECT *, row_number() OVER (PARTITION BY root, d = 'push', c = 's', c IN ('f', 'd') ORDER BY path) AS rn FROM di),
+ re AS (SELECT root, count(*) AS files_scanned, count(*) FILTER (WHERE d = 'push') AS modify_count, count(*) FILTER (WHERE c = 's') AS add_count, 0::BIGINT AS delete_count, count(c) AS pulls_attempted,
+  count(*) FILTER (WHERE c = 's') AS pulls_succeeded, count(*) FILTER (WHERE c = 'f') AS pulls_failed, count(*) FILTER (WHERE c = 'd') AS pulls_deferred, count(*) FILTER (WHERE d <> 'push') AS files_in_sync,
+  count(*) FILTER (WHERE c IN ('f', 'd')) AS still_divergent, count(*) FILTER (WHERE c IN ('f', 'd')) > 0 AS cycle_red, count(*) FILTER (WHERE c IN ('f', 'd')) = 0 AS soak_eligible,
+  coalesce(list(path ORDER BY path) FILTER (WHERE d = 'push' AND rn <= 50), []) AS modify_sample, coalesce(list(path ORDER BY path) FILTER (WHERE c = 's' AND rn <= 50), []) AS add_sample,
+  coalesce(list(path ORDER BY path) FILTER (WHERE c IN ('f', 'd') AND rn <= 50), []) AS unresolved_sample FROM rn GROUP BY root)"""
+
+
+def _reports(spark, sf):
+    """A pull's outcome goes by the head of its server hash."""
+    outcome = F.nullif(F.element_at(F.array(*[F.lit(x) for x in _PULLS]), F.conv(F.left("server_hash", F.lit(2)), 16, 10).cast("int") % 64 + 1), F.lit(""))
+    rows = _directed(spark, sf).withColumn("outcome", outcome).withColumn("root", F.split_part("path", F.lit("/"), F.lit(1)))
+    return R.report(rows)
+
+
+def _joined(rows, *names):
+    """Lists as text, one path after another."""
+    return rows.select(*[F.array_join(c, ",").alias(c) if c in names else c for c in rows.columns])
+
+
+@query("agg1_agg2_report", with_sql(_SHADOWED + _REPORT + " SELECT * REPLACE (array_to_string(modify_sample, ',') AS modify_sample, array_to_string(add_sample, ',') AS add_sample, array_to_string(unresolved_sample, ',') AS unresolved_sample) FROM re", *_ALL))
+def agg1_agg2_ord3(spark, sf):
+    return _joined(_reports(spark, sf), "modify_sample", "add_sample", "unresolved_sample")
+
 
-    rows = _directed(spark, sf).withColumn("outcome", F.when(F.col("direction") == "pull", F.element_at(F.array(*[F.lit(x) for x in _PULLS]), F.conv(F.left("server_hash", F.lit(2)), 16, 10).cast("int") % 64 + 1))).withColumn("root", F.split_part("path", F.lit("/"), F.lit(1)))
-    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("root", "direction", "state").orderBy("path")))
-    modify = (F.col("direction") == "push") & (F.col("state") == "drift")
-    add = (F.col("direction") == "push") & (F.col("state") != "drift")
-    pulls, n = F.count_if(F.col("direction") == "pull"), F.count(F.lit(1))
-    sample = F.array_join(F.array_sort(F.collect_list(F.when(add & (F.col("rn") <= 5), F.col("path")))), ",")
-    return rows.groupBy("root").agg(
-        n.alias("files_scanned"), F.count_if(modify).alias("modify_count"), F.count_if(add).alias("add_count"), pulls.alias("pulls_attempted"),
-        (n - F.count_if(modify)).alias("files_in_sync"), sample.alias("add_sample"),
-        F.count_if(R.pull_class(F.col("outcome")) == "failed").alias("pulls_failed"), F.count_if(F.col("outcome").isin("breaker_open", "local_edit_preserved")).alias("still_divergent"),
-    ).withColumn("cycle_red", S.cycle_red(F.col("pulls_failed"), F.col("still_divergent"))).withColumn("soak_eligible", ~F.col("cycle_red"))
-
-
-@query("agg3_agg7_rollup", with_sql(_SHADOWED + f""" SELECT count(*)::BIGINT AS files_scanned, count(*) FILTER (WHERE {_DIRECTION} = 'push')::BIGINT AS pushes,
-  count(*) FILTER (WHERE {_DIRECTION} = 'pull')::BIGINT AS pulls, count(DISTINCT split_part(path, '/', 1))::BIGINT AS roots FROM sh""", *_ALL))
+@query("agg3_agg7_rollup", with_sql(_SHADOWED + _REPORT + """ SELECT count(*) AS roots, sum(files_scanned)::BIGINT AS files_scanned, sum(files_in_sync)::BIGINT AS files_in_sync, sum(modify_count)::BIGINT AS modify_count, sum(add_count)::BIGINT AS add_count,
+ 0::BIGINT AS delete_count, array_to_string(flatten(list(modify_sample ORDER BY root)), ',') AS modify_sample, array_to_string(flatten(list(add_sample ORDER BY root)), ',') AS add_sample FROM re""", *_ALL))
 def agg3_agg7_set1(spark, sf):
-    """Sums over the reports of all roots (their bag union)."""
-    by = _directed(spark, sf).groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("root")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("direction") == "push").alias("a"), F.count_if(F.col("direction") == "pull").alias("b"))
-    return by.agg(F.sum("n").alias("files_scanned"), F.sum("a").alias("pushes"), F.sum("b").alias("pulls"), F.count(F.lit(1)).alias("roots"))
+    return _joined(R.rollup(_reports(spark, sf)), "modify_sample", "add_sample")
 
 
 @query("join15_seed_shadow", with_sql(_STATES + " SELECT path, server_hash FROM st WHERE state = 'match'", "local_manifest", "server_state"))

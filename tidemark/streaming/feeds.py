@@ -19,10 +19,10 @@ ENVELOPE = "path STRING, phase STRING"
 
 
 def decode_feed(events: DataFrame, roots=(), excludes=()) -> DataFrame:
-    """Finished notifications on safe paths in scope: event_id, path, op, seq. Others are dropped and move no cursor."""
+    """Finished notifications on safe paths in scope: event_id, path, op, seq. Others, and messages without a readable operation, are dropped and move no cursor."""
     e = events.filter("event_type = 'enrichment_complete'").withColumn("d", F.from_json("data", ENVELOPE)).filter("d.path IS NOT NULL")
     e = e.select("event_id", "d.path", S.op_of(F.col("data")).alias("op"), S.seq_of(F.col("data")).alias("seq"))
-    return e.filter(P.is_safe(F.col("path")) & P.in_scope(F.col("path"), roots, excludes))
+    return e.filter("op IS NOT NULL").filter(P.is_safe(F.col("path")) & P.in_scope(F.col("path"), roots, excludes))
 
 
 def latest(rows: DataFrame) -> DataFrame:
