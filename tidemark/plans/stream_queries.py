@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.guard_queries import BREAKER_SQL
 from tidemark.plans.registry import query
+from tidemark.plans.staging import shared_dir
 from tidemark.sources import fixtures as X
 from tidemark.sources.files import candidate_files, file_manifest
 from tidemark.sources.tables import table
 from tidemark.streaming import feeds
+from tidemark.streaming import materialize as M
 
 _DATA = """'{"path": "src' || (user_id % 20) || '/n' || (event_id % 200) || '.md", "phase": "done", "lsn": ' || event_id || CASE WHEN event_id % 9 = 0 THEN ', "op": "DELETE"' ELSE '' END || '}'"""
 
@@ -72,6 +74,31 @@ def win9_live(spark, sf):
     return feeds.drain(feeds.live_breaker(_stream(spark, sf, "conflicts"), 5, 6 * 3600), spark, f"breaker-{uuid.uuid4().hex}")
 
 
+_SNK4 = X.with_sql("""WITH j AS (SELECT coalesce(l.path, s.path) AS path, l.content_hash AS own, s.fs_hash AS sent, s.change_seq, s.doc_id % 17 = 0 AS bad, w.server_hash AS base
+  FROM local_manifest l FULL JOIN server_state s ON l.path = s.path LEFT JOIN shadow w ON w.path = l.path),
+ d AS (SELECT *, CASE WHEN sent IS NULL THEN 'none' WHEN bad THEN 'failed' WHEN own IS NULL THEN 'create' WHEN own = sent THEN 'equal' WHEN base IS NULL THEN 'conflict' WHEN base = sent THEN 'kept' WHEN own = base THEN 'pulled' ELSE 'conflict' END AS d FROM j)
+ SELECT path, CASE WHEN d IN ('create', 'conflict', 'pulled') THEN sent ELSE own END AS sha, CASE WHEN d IN ('create', 'conflict', 'pulled', 'equal') THEN sent ELSE base END AS server_hash,
+  CASE WHEN d IN ('create', 'conflict', 'pulled', 'equal') THEN change_seq END AS seq, CASE WHEN d = 'equal' THEN 'observed' WHEN d IN ('create', 'conflict', 'pulled') THEN 'adopted' END AS prov,
+  CASE WHEN d = 'failed' THEN 1 END::BIGINT AS attempts, CASE WHEN d = 'conflict' THEN path[:-4] || '.conflict-from-dev-a-' || change_seq || '.md' END AS stash, CASE WHEN d = 'conflict' THEN own END AS stashed_sha FROM d""", "local_manifest", "server_state", "shadow")
+
+
+@query("snk4_commit_stores", _SNK4)
+def snk4(spark, sf):
+    """Server notes against local ones, in micro-batches, each written to all stores at once; some come with bytes that are not theirs."""
+    base, d = f"{shared_dir(spark)}/stores-{uuid.uuid4().hex}", table(spark, sf, "documents").select("doc_id", "text")
+    local = X.local_manifest(spark, sf).join(d, "doc_id").select("path", F.col("text").alias("content"), F.col("content_hash").alias("sha"))
+    M.Stores(spark, base).commit({"notes": local, "baseline": X.shadow(spark, sf)}, set(range(M.BUCKETS)), -1)
+    edited = (F.col("doc_id") % 7 == 0) & ~F.startswith("path", F.lit("remote/"))
+    sent = X.server_state(spark, sf).join(d, "doc_id").withColumn("content", F.when(F.col("doc_id") % 17 == 0, "cut").when(edited, F.concat("text", F.lit("\nserver-edit"))).otherwise(F.col("text")))
+    stream = feeds.in_order(sent.select("path", "content", F.col("fs_hash").alias("server_hash"), F.col("change_seq").alias("seq")), ["seq"], f"sent-{uuid.uuid4().hex}")
+    end = M.materialize(stream, spark, base, f"{base}-checkpoint", X.DEVICE)
+    stashes = end.read("stashes").select("path", "stash", F.sha2("content", 256).alias("stashed_sha"))
+    rows = end.read("notes").select("path", "sha")
+    for more in (end.read("baseline"), end.read("lineage"), end.read("ledger").drop("last_error"), stashes):
+        rows = rows.join(more, "path", "full")
+    return rows
+
+
 @query("src1_file_scan", None)
 def src1_ord1(spark, sf):
     """Files of the folder by name and size; contents are read for none of them."""
