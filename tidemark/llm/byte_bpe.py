@@ -54,6 +54,7 @@ class ByteBPE:
     """A vocabulary of byte strings with ranks; a rank is the token's id."""
 
     def __init__(self, path: str, pattern: str):
+        import ahocorasick
         import regex
 
         with open(path, "rb") as f:
@@ -61,11 +62,17 @@ class ByteBPE:
         self.tokens = [b""] * (max(self.ids.values()) + 1)
         for token, rank in self.ids.items():
             self.tokens[rank] = token
-        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
-        #: Ends of tokens: how far back a token that ends at some byte may reach.
-        self.tails = {t[i:] for t in self.ids for i in range(len(t))}
+        self.lengths = [len(t) for t in self.tokens]
+        self.sizes = np.array(self.lengths, np.int64)
+        self.longest, self.width = max(map(len, self.ids)), len(self.tokens)
+        #: Finds all tokens that end at each byte, one character a byte.
+        self.endings = ahocorasick.Automaton()
+        for token, rank in self.ids.items():
+            self.endings.add_word(token.decode("latin-1"), (rank, len(token) - 1))
+        self.endings.make_automaton()
         self.pattern = regex.compile(pattern)
         self.fits = Memory(self._fits)
+        self.alone = Memory(lambda token: self.merged(self.tokens[token]) == [token])
         short = lambda piece: len(piece) <= _KEPT_CHARS
         self.piece_ids = Memory(lambda piece: array("i", self.read(self.table(piece.encode()))).tobytes(), short)
         self.piece_table = Memory(lambda piece: self._closed(self.table(piece.encode())), short)
@@ -81,21 +88,23 @@ class ByteBPE:
             i = ranks.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def _fits(self, pair: tuple[int, int]) -> bool:
-        """Whether two tokens may stand side by side; for (-1, token), whether the token may stand alone."""
-        a, b = pair
-        return self.merged(self.tokens[b]) == [b] if a < 0 else self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+    def _fits(self, pair: int) -> bool:
+        """Whether two tokens may stand side by side (first * width + second)."""
+        a, b = divmod(pair, self.width)
+        return self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
 
     def table(self, piece: bytes, known: list[int] | None = None) -> list[int]:
         """The last token of each prefix of a piece; `known` holds those of its first bytes."""
-        last, ids, tails, fits = list(known or ()), self.ids, self.tails, self.fits
-        for end in range(len(last) + 1, len(piece) + 1):
-            start, fit = end - 1, []
-            while start >= 0 and (tail := piece[start:end]) in tails:
-                if tail in ids:
-                    fit.append((start, ids[tail]))
-                start -= 1
-            last.append(next(t for s, t in reversed(fit) if fits[(last[s - 1] if s else -1), t]))
+        last, fits, width = list(known or ()), self.fits, self.width
+        done = len(last)
+        text = piece.decode("latin-1")
+        # each byte ends one token that goes with what stands before it, or that stands alone and merges to itself
+        for end, (token, back) in self.endings.iter(text, max(done + 1 - self.longest, 0)):
+            if end == done:
+                start = end - back
+                if fits[last[start - 1] * width + token] if start else self.alone[token]:
+                    last.append(token)
+                    done += 1
         return last
 
     def read(self, last) -> list[int]:
@@ -103,7 +112,7 @@ class ByteBPE:
         out, at = [], len(last)
         while at:
             out.append(last[at - 1])
-            at -= len(self.tokens[last[at - 1]])
+            at -= self.lengths[last[at - 1]]
         return out[::-1]
 
     @staticmethod
