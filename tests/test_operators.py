@@ -474,3 +474,30 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Spark())
+
+
+def test_frontmatter_is_searched_once(spark):
+    df = spark.createDataFrame([("x",)], "s string").repartition(1)
+    for form in (C.pull_form, C.push_form):
+        plan = df.select(form(F.col("s"), ["a"]).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract") == 1 and plan.count("regexp_replace") == 1
+
+
+def plain_strip(block, fields):
+    out, skip = [], False
+    for raw in block.removesuffix("\n").split("\n") if block else []:
+        line = raw.removesuffix("\r")
+        if line[:1] not in (" ", "\t"):
+            skip = ":" in line and line.split(":", 1)[0].strip(" ") in fields
+        out += [] if skip else [line + "\n"]
+    return "".join(out)
+
+
+def test_strip_fields_is_linear(spark):
+    rng = random.Random(2)
+    parts = ("a: 1", "a : x", "b:", "  - 1", "\tz", "", "c", ": x", "a.b: 1", "axb: 1", "a:\r", "e\r\r", "\x85a: 1", "ab: 2", " a: 1")
+    blocks = ["\n".join(rng.choice(parts) for _ in range(rng.randrange(9))) + rng.choice(("", "\n", "\r\n")) for _ in range(400)]
+    blocks += ["", "\n", "a: 1\n" + "  - x\n" * 60_000 + "c: 1\n", "".join(f"k{i}: 1\n" for i in range(60_000))]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blocks)], "i int, b string").repartition(1)
+    got = {r.i: r.s for r in df.select("i", C.strip_fields(F.col("b"), ["a", "a.b"]).alias("s")).collect()}
+    assert all(got[i] == plain_strip(b, ("a", "a.b")) for i, b in enumerate(blocks))

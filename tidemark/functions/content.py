@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidemark.functions.bind import let
+
 BOM = "﻿"
 
 
@@ -45,34 +47,34 @@ def frontmatter(s: Column) -> Column:
     `inner` starts at byte 4 as on the push side, so a CRLF opening leaves its newline there.
     """
     closed = "(?s)^---\\r?\\n(?:.*?\\n)??---\\r?\\n"
-    block = F.regexp_extract(s, closed, 0)
-    close = F.when(F.endswith(block, F.lit("---\r\n")), F.lit(5)).otherwise(F.lit(4))
-    inner = F.substring(block, F.lit(5), F.length(block) - close - 4)
-    return F.when(block != "", F.struct(inner.alias("inner"), F.substring(s, F.length(block) + 1, F.length(s)).alias("body")))
+
+    def cut(block: Column) -> Column:
+        close = F.when(F.endswith(block, F.lit("---\r\n")), F.lit(5)).otherwise(F.lit(4))
+        inner = F.substring(block, F.lit(5), F.length(block) - close - 4)
+        return F.when(block != "", F.struct(inner.alias("inner"), F.substring(s, F.length(block) + 1, F.length(s)).alias("body")))
+
+    return let(F.when(F.startswith(s, F.lit("---")), F.regexp_extract(s, closed, 0)).otherwise(F.lit("")), cut)
 
 
 def strip_fields(block: Column, fields: Sequence[str]) -> Column:
-    """Top-level `key:` lines of the list and the indented lines below them, dropped; every kept line ends with a newline."""
+    """Top-level `key:` lines of the list and the indented lines below them, dropped; every kept line ends with a newline.
+
+    One search over all lines: its loops never go back, so the time is proportional to the block's length."""
     if not fields:
         return block
-    rows = F.split(F.regexp_replace(block, "\\n$", ""), "\\n")
-    zero = F.struct(F.lit(False).alias("skip"), F.lit("").alias("out"))
-
-    def step(a: Column, raw: Column) -> Column:
-        line = F.regexp_replace(raw, "\\r$", "")
-        top = ~F.startswith(line, F.lit(" ")) & ~F.startswith(line, F.lit("\t"))
-        key = F.when(F.contains(line, F.lit(":")), F.trim(F.split_part(line, F.lit(":"), F.lit(1)))).otherwise(F.lit(""))
-        skip = F.when(top, key.isin(list(fields))).otherwise(a["skip"])
-        return F.struct(skip.alias("skip"), F.when(skip, a["out"]).otherwise(F.concat(a["out"], line, F.lit("\n"))).alias("out"))
-
-    return F.when(block == "", F.lit("")).otherwise(F.aggregate(rows, zero, step, lambda a: a["out"]))
+    keys = "|".join(f"\\Q{f}\\E" for f in fields)
+    drop = f"(?md)^(?:{keys}) *+:[^\\n]*+\\n(?:[ \\t][^\\n]*+\\n)*+"
+    less = lambda t, end: F.when(F.endswith(t, F.lit(end)), F.left(t, F.length(t) - 1)).otherwise(t)
+    ended = let(less(block, "\n"), lambda t: let(F.replace(t, F.lit("\r\n"), F.lit("\n")), lambda u: F.concat(less(u, "\r"), F.lit("\n"))))
+    return F.when(block == "", F.lit("")).otherwise(F.regexp_replace(ended, drop, ""))
 
 
 def _rebuild(s: Column, fields: Sequence[str]) -> Column:
-    fm = frontmatter(s)
-    inner = strip_fields(fm["inner"], fields)
-    inner = F.when(F.endswith(inner, F.lit("\n")), inner).otherwise(F.concat(inner, F.lit("\n")))
-    return F.when(fm.isNull(), s).otherwise(F.concat(F.lit("---\n"), inner, F.lit("---\n"), fm["body"]))
+    def build(t: Column, fm: Column) -> Column:
+        ended = let(strip_fields(fm["inner"], fields), lambda x: F.when(F.endswith(x, F.lit("\n")), x).otherwise(F.concat(x, F.lit("\n"))))
+        return F.when(fm.isNull(), t).otherwise(F.concat(F.lit("---\n"), ended, F.lit("---\n"), fm["body"]))
+
+    return let(s, lambda t: let(frontmatter(t), lambda fm: build(t, fm)))
 
 
 def pull_form(s: Column, fields: Sequence[str]) -> Column:
@@ -86,8 +88,7 @@ def push_form(s: Column, fields: Sequence[str]) -> Column:
 
 
 def body_only(s: Column) -> Column:
-    t = fold_eol(strip_one_bom(s))
-    return F.coalesce(frontmatter(t)["body"], t)
+    return let(fold_eol(strip_one_bom(s)), lambda t: F.coalesce(frontmatter(t)["body"], t))
 
 
 def lines(s: Column) -> Column:
