@@ -69,12 +69,12 @@ class Stores:
 
 
 def decisions(fresh: DataFrame, notes: DataFrame, baseline: DataFrame) -> DataFrame:
-    """path, content, server_hash, seq of `fresh`, the note's own bytes, and what to do: integrity_failed, create, or the rule of the comparison."""
-    rows = fresh.join(notes.select("path", F.col("content").alias("own"), "sha"), "path", "left").join(baseline.select("path", F.col("server_hash").alias("base")), "path", "left")
+    """path, server_hash, seq of `fresh` and what to do: integrity_failed (not `sound`), create, or the rule of the comparison. Hashes only, no texts."""
+    rows = fresh.select("path", "server_hash", "seq", "sound").join(notes.select("path", "sha"), "path", "left").join(baseline.select("path", F.col("server_hash").alias("base")), "path", "left")
     same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
     rule = R.decide(same("sha", "server_hash"), F.col("base").isNotNull(), same("base", "server_hash"), same("sha", "base"))
-    sound = F.coalesce(F.sha2("content", 256) == F.lower("server_hash"), F.lit(False))
-    return rows.withColumn("decision", F.when(~sound, "integrity_failed").when(F.col("sha").isNull(), "create").otherwise(rule))
+    decision = F.when(~F.col("sound"), "integrity_failed").when(F.col("sha").isNull(), "create").otherwise(rule)
+    return rows.select("path", "server_hash", "seq", decision.alias("decision"))
 
 
 def apply_batch(stores: Stores, batch: DataFrame, number: int, device: str) -> bool:
@@ -86,23 +86,26 @@ def apply_batch(stores: Stores, batch: DataFrame, number: int, device: str) -> b
     """
     if number <= stores.batch:
         return False
-    last = batch.groupBy("path").agg(F.max_by(F.struct("content", "server_hash", "seq"), F.struct("seq", "server_hash")).alias("m")).select("path", "m.*").filter("path IS NOT NULL")
-    fresh = stage(last.filter(P.is_safe(F.col("path"))), "fresh")
+    last = batch.groupBy("path").agg(F.max_by(F.struct("content", "server_hash", "seq"), F.struct("seq", "server_hash")).alias("m")).select("path", "m.content", F.lower("m.server_hash").alias("server_hash"), "m.seq")
+    sound = F.coalesce(F.sha2("content", 256) == F.col("server_hash"), F.lit(False))
+    fresh = stage(last.filter("path IS NOT NULL").filter(P.is_safe(F.col("path"))).withColumn("sound", sound), "fresh")
     touched = {r["bucket"] for r in fresh.select(_bucket()).distinct().collect()}
     old = {name: stores.read(name, touched) for name in STORES}
     rows = stage(decisions(fresh, old["notes"], old["baseline"]), "decided")
-    written, fine = F.col("decision").isin("create", "R3_pull_clean", "R4_conflict", "R5_conflict"), F.col("decision") != "integrity_failed"
-    synced = written | (F.col("decision") == "R1_noop")
-    conflict = rows.filter(F.col("decision").isin("R4_conflict", "R5_conflict"))
-    failed = rows.filter(~fine).select("path").join(old["ledger"].select("path", "attempts"), "path", "left")
-    upsert = lambda name, new: old[name].join(new.select("path"), "path", "left_anti").unionByName(new)
+    written = F.col("decision").isin("create", "R3_pull_clean", "R4_conflict", "R5_conflict")
+    synced = rows.filter(written | (F.col("decision") == "R1_noop"))
+    less = lambda name, paths: old[name].join(paths.select("path"), "path", "left_anti")
+    new = fresh.join(rows.filter(written).select("path"), "path", "left_semi").select("path", "content", F.col("server_hash").alias("sha"))
+    failed = rows.filter("decision = 'integrity_failed'").select("path").join(old["ledger"].select("path", "attempts"), "path", "left")
+    attempts = (F.coalesce("attempts", F.lit(0)) + 1).cast("long").alias("attempts")
+    conflict = rows.filter(F.col("decision").isin("R4_conflict", "R5_conflict")).select("path", P.stash_path(F.col("path"), F.lit(device), F.col("seq").cast("string")).alias("stash"))
+    stashed = old["notes"].join(conflict, "path").select("path", "stash", "content")
     out = {
-        "notes": upsert("notes", rows.filter(written).select("path", "content", F.lower("server_hash").alias("sha"))),
-        "baseline": upsert("baseline", rows.filter(synced).select("path", F.lower("server_hash").alias("server_hash"))),
-        "lineage": upsert("lineage", rows.filter(synced).select("path", "seq", F.when(written, "adopted").otherwise("observed").alias("prov"))),
-        "ledger": old["ledger"].join(rows.select("path"), "path", "left_anti").unionByName(
-            failed.select("path", (F.coalesce("attempts", F.lit(0)) + 1).cast("long").alias("attempts"), F.lit("integrity_failed").alias("last_error"))),
-        "stashes": old["stashes"].unionByName(conflict.select("path", P.stash_path(F.col("path"), F.lit(device), F.col("seq").cast("string")).alias("stash"), F.col("own").alias("content"))).dropDuplicates(["path", "stash", "content"]),
+        "notes": less("notes", rows.filter(written)).unionByName(new),
+        "baseline": less("baseline", synced).unionByName(synced.select("path", "server_hash")),
+        "lineage": less("lineage", synced).unionByName(synced.select("path", "seq", F.when(written, "adopted").otherwise("observed").alias("prov"))),
+        "ledger": less("ledger", rows).unionByName(failed.select("path", attempts, F.lit("integrity_failed").alias("last_error"))),
+        "stashes": old["stashes"].join(conflict, ["path", "stash"], "left_anti").unionByName(stashed),
     }
     stores.commit(out, touched, number)
     return True
