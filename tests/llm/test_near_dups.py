@@ -149,3 +149,46 @@ def test_repeated_ids_with_other_texts(spark):
     assert texts(0) == {a} and texts(1) == {a} and texts(4) == set() and b in texts(2)
     assert len([t for _, t in got if t in (c, c + " more")]) == 1 and len([t for _, t in got if t in (d, d + " end")]) == 1
     assert len(got) == 5
+
+
+def test_copies_of_one_row_are_compared_once(spark, monkeypatch):
+    """Thousands of copies beside documents that come near them without a link: one text of each set is moved."""
+    from tidemark.llm import near_dups as nd
+
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(50_000)}" for _ in range(300)]
+    rows = [(i, " ".join(base)) for i in range(3000)]
+    for i in range(3000, 3020):
+        t = list(base)
+        for p in rng.sample(range(300), 9):
+            t[p] = f"v{rng.randrange(50_000)}"
+        rows.append((i, " ".join(t)))
+    dealt, written = [], {}
+    blocked, stage = nd._blocked, nd.stage
+
+    def spy(df, key, pivot=False):
+        dealt.append((key, df.select("rep").distinct().count(), df.groupBy(key).count().agg(F.max("count")).first()[0]))
+        return blocked(df, key, pivot)
+
+    def keep(df, name):
+        out = stage(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(nd, "_blocked", spy)
+    monkeypatch.setattr(nd, "stage", keep)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 0.85).collect()}
+    want = brute([rows[0], *rows[3000:]], 3, 85)
+    assert got == {i: want[i][1] if i in want else want[0][1] for i, _ in rows}
+    assert all(most <= 21 for _, _, most in dealt) and any(key == "cluster" for key, _, _ in dealt)
+    assert written["dup-texts"] <= 21
+
+
+def test_pivot_blocks_grow_with_the_rows(spark):
+    from tidemark.llm import near_dups as nd
+
+    rows = spark.range(5000).select(F.col("id").alias("rep"), F.lit(1).alias("key"), F.lit(50).alias("blocks"))
+    assert nd._blocked(rows, "key").count() == 5000 * 50
+    sent = nd._blocked(rows, "key", pivot=True)
+    assert sent.count() < 5000 * 3
+    assert sent.filter("i = j").count() == 5000 and sent.filter("i > 0 AND i <> j").isEmpty()

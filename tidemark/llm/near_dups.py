@@ -11,7 +11,8 @@ Documents with equal sets form a class at once; only a class's representative go
    indexed once for each position left out, so all pairs within the distance share a key. A similarity so low that
    groups would have fewer than three positions is an error.
 3. Links. First round: in each key the pairs whose whole signatures look linked are gathered to a spanning forest, so
-   a key of n rows gives at most n - 1 pairs; these are confirmed on full sets, and components are formed. Second
+   a key of n rows gives about n pairs (rows of a large key are held against those of their own block and of one
+   pivot block); these are confirmed on full sets, and components are formed. Second
    round: in keys whose rows are still of several components, those that have a pair of different components within
    the distance threshold of the whole signature are linked to clusters, again by forests. A cluster's documents are
    then held against each other on full sets wherever two components come within the threshold, in pairs of blocks of
@@ -19,8 +20,8 @@ Documents with equal sets form a class at once; only a class's representative go
    and what is written grows with the documents of a group, not with its pairs. Large keys are cut into blocks too.
 4. Components of the confirmed links; the smallest doc_id stands for each.
 
-Null, empty and blank texts have an empty set and link with nothing. Rows that repeat are rows of one class. A row
-with a null doc_id links with nothing and is its own component (null), kept. Very long texts are read whole.
+Null, empty and blank texts have an empty set and link with nothing. Rows that repeat are rows of one class, of
+which one row's text is moved and compared. A row with a null doc_id links with nothing and is its own component (null), kept. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def _unpack(signatures: list[bytes]) -> np.ndarray:
 
 
 def digests(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (16 bytes, equal for equal sets; null for the empty set), signature."""
+    """doc_id, n_shingles, set_id (16 bytes, equal for equal sets; null for the empty set), signature and the text itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,9 +99,9 @@ def digests(docs: DataFrame, k: int) -> DataFrame:
                 sums = None if empty else np.array([s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5BD1E9955BD1E995)).sum(dtype=np.uint64)]).tobytes()
                 ids.append(sums)
                 signatures.append(None if empty else signature(s))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "set_id", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(signatures, pa.binary()), batch.column("text")], ["doc_id", "n_shingles", "set_id", "signature", "text"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature binary, text string")
 
 
 def index_keys(reps: DataFrame, groups: list[np.ndarray]) -> DataFrame:
@@ -127,8 +128,8 @@ def index_keys(reps: DataFrame, groups: list[np.ndarray]) -> DataFrame:
     return reps.select("rep", "signature").mapInArrow(run, "key long, rep long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose full sets have at least the similarity, from the texts of `docs` (rep, text).
+def confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of representatives (rep, text_id) whose full sets have at least the similarity, from `texts` (text_id, text).
 
     Pairs are dealt by (a, salt) so that the text of a is sent once for about GROUP partners, and a document with very
     many partners is spread over tasks; a task streams its sorted rows and holds one set of a at a time.
@@ -138,7 +139,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> Dat
     salted = stage(salted, "dup-pairs")
     # the one pass that moves texts: only those of documents in some pair go on
     wanted = salted.select(F.col("a").alias("rep")).union(salted.select("b")).distinct()
-    docs = stage(docs.join(wanted.hint("merge"), "rep", "left_semi"), "dup-texts")
+    wanted = reps.select("rep", "text_id").join(wanted, "rep", "left_semi")
+    docs = stage(texts.join(wanted.hint("merge"), "text_id").select("rep", "text"), "dup-texts")
     heads = salted.select("a", "salt").distinct().join(docs, F.col("a") == docs["rep"]).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     tails = salted.join(docs, F.col("b") == docs["rep"]).select("a", "salt", "b", "text")
     dealt = heads.union(tails).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -208,10 +210,14 @@ def _forest_of_key(rep: np.ndarray, label: np.ndarray, own: np.ndarray, sig: np.
     return a, b, rep[met]
 
 
-def _blocked(rows: DataFrame, key: str) -> DataFrame:
-    """Deal rows (with the number of blocks of their key) to pairs of blocks (i, j) of their key; a small key has one pair."""
-    blocks = F.col("blocks")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+def _blocked(rows: DataFrame, key: str, pivot: bool = False) -> DataFrame:
+    """Deal rows (with the number of blocks of their key) to pairs of blocks (i, j) of their key; a small key has one pair.
+
+    With `pivot` only to pairs of a block with itself and with block 0: rows sent then grow with the rows of a key.
+    """
+    blocks, others = F.col("blocks"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.when(F.col("own") > 0, F.array(F.lit(0), "own")).otherwise(others) if pivot else others))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
     return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
@@ -258,10 +264,10 @@ def near_pairs(keys: DataFrame, labels: DataFrame | None, reps: DataFrame, most:
             seen = (seen if len(seen) < 100_000 else set()) | pairs
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
 
-    return _blocked(rows, "key").mapInArrow(run, "a long, b long").distinct()
+    return _blocked(rows, "key", pivot=labels is None).mapInArrow(run, "a long, b long").distinct()
 
 
-def cluster_links(near: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, most: int, k: int, similarity: float) -> DataFrame:
+def cluster_links(near: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, most: int, k: int, similarity: float) -> DataFrame:
     """Links (a, b) between components, on full sets, among the rows and forests of near_pairs()."""
     near = stage(near, "dup-near")
     of = labels.withColumnRenamed("label", "of")
@@ -270,10 +276,10 @@ def cluster_links(near: DataFrame, labels: DataFrame, reps: DataFrame, docs: Dat
     members = near.filter("b IS NULL").select(F.col("a").alias("rep"))
     members = members.join(of.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("of", "rep")).drop("of")
     members = stage(members.join(clusters.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label"), "dup-members")
-    members = members.join(reps.select("rep", "signature", "n_shingles"), "rep")
+    members = members.join(reps.select("rep", "signature", "n_shingles", "text_id"), "rep")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / TEXT_BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     rows = members.join(members.groupBy("cluster").agg(blocks.alias("blocks")), "cluster")
-    rows = docs.join(rows.hint("merge"), "rep").select("cluster", "blocks", "rep", "label", "signature", "text")
+    rows = texts.join(rows.hint("merge"), "text_id").select("cluster", "blocks", "rep", "label", "signature", "text")
     hundredths = round(100 * similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,17 +318,17 @@ def _linked(a: np.ndarray, b: np.ndarray, hundredths: int) -> bool:
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text)."""
     docs, groups = docs.select("doc_id", "text"), position_groups(similarity)
-    sets = stage(digests(docs, k), "dup-sets")
+    # rows are numbered where they are written: a set's representative is one row, however often its text repeats
+    sets = stage(digests(docs, k).withColumn("text_id", F.monotonically_increasing_id()), "dup-sets")
+    texts = sets.select("text_id", "text")
     full = sets.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    reps = stage(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "dup-reps")
+    reps = stage(full.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "text_id")).alias("of"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")).select("set_id", "of.*", "signature", "n_shingles"), "dup-reps")
     keys = index_keys(reps, groups)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     keys = stage(keys.join(shared, "key"), "dup-keys")
-    # one text for each representative: repeated ids may carry other texts, whose sets differ
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     # the first round only saves work for the second, so one key of each group does
     likely = stage(near_pairs(keys.filter("key & 1 = 1"), None, reps, round(POSITIONS * (1 - similarity))), "dup-likely")
-    links = confirm(likely, texts, k, similarity)
+    links = confirm(likely, reps, texts, k, similarity)
     labels = stage(components(links), "dup-labels")
     most = max_errors(similarity, POSITIONS)
     more = cluster_links(near_pairs(keys, labels, reps, most), labels, reps, texts, most, k, similarity)
