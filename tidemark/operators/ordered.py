@@ -175,17 +175,16 @@ def retry_ledger(attempts: DataFrame) -> DataFrame:
 def free_suffix(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     """A free name for each wanted copy (base, ord): the base itself, else the first numbers from 2 that are not taken.
 
-    The k-th copy gets the k-th free slot; taken numbers are counted, never listed whole: a base with t taken slots and
-    w copies needs slots up to t + w only.
+    The k-th copy gets the k-th free slot: k and as many more as taken slots come before it. A taken slot t that is the i-th of its base has t - i free
+    ones before it, so copies and taken slots are merged in one order and counted range by range; a base may hold all rows.
     """
-    w = wanted.withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("ord")))
-    t = taken.groupBy("base").agg(F.count(F.lit(1)).alias("t"))
-    need = w.groupBy("base").agg(F.max("k").alias("w")).join(t, "base", "left")
-    slots = need.select("base", F.explode(F.sequence(F.lit(1), (F.col("w") + F.coalesce("t", F.lit(0))).cast("int"))).alias("slot"))
-    free = slots.join(taken.select("base", F.col("slot").cast("int").alias("slot")), ["base", "slot"], "left_anti")
-    free = free.withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("slot")))
+    w = numbered(wanted.select("base", "ord"), "base", ["ord"], {"k": F.lit(True)})
+    t = numbered(taken.select("base", F.col("slot").cast("long").alias("slot")).filter("slot >= 1").distinct(), "base", ["slot"], {"i": F.lit(True)})
+    copies = w.select("base", F.col("k").alias("place"), F.lit(1).alias("copy"), "ord")
+    marks = copies.unionByName(t.select("base", (F.col("slot") - F.col("i") + 1).alias("place"), F.lit(0).alias("copy")), allowMissingColumns=True)
+    slots = numbered(marks, "base", ["place", "copy", "ord"], {"ahead": F.col("copy") == 0}).filter("copy = 1").withColumn("slot", (F.col("place") + F.col("ahead")).cast("int"))
     name = F.when(F.col("slot") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("slot").cast("string")))
-    return w.join(free, ["base", "k"]).select("base", "ord", "slot", name.alias("name"))
+    return slots.select("base", "ord", "slot", name.alias("name"))
 
 
 def islands(rows: DataFrame, key: str, time: str, width: int) -> DataFrame:

@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import paths as P
 from tidemark.functions import scalars as S
 from tidemark.operators import reconcile as R
+from tidemark.operators import stash as K
 from tidemark.operators import stores as St
 from tidemark.plans.registry import query
 from tidemark.plans.staging import shared_dir
@@ -179,3 +181,44 @@ def snk3_kv5(spark, sf):
     St.save(St.load(spark, folder, schema).filter("server_hash >= '8'"), folder)
     St.save_if_changed(X.shadow(spark, sf).filter("server_hash >= '8'"), folder, schema)
     return St.load(spark, folder, schema)
+
+
+#: Losing texts of notes of few names, many of them equal, and the files that lie there already, some under numbers.
+_LOSING = """SELECT doc_id AS ord, source || CASE WHEN doc_id % 50 = 49 THEN '/../' ELSE '/' END || CASE WHEN doc_id % 40 = 7 THEN repeat('long', 70) ELSE 'n' || doc_id % 40 END || '.md' AS path, doc_id % 3 AS lsn,
+  CASE WHEN doc_id % 4 = 0 THEN 'same' || doc_id % 8 ELSE text END AS content FROM documents"""
+
+
+def _losing(spark, sf):
+    d = F.col("doc_id")
+    note = F.when(d % 40 == 7, "long" * 70).otherwise(F.concat(F.lit("n"), (d % 40).cast("string")))
+    path = F.concat("source", F.when(d % 50 == 49, "/../").otherwise("/"), note, F.lit(".md"))
+    content = F.when(d % 4 == 0, F.concat(F.lit("same"), (d % 8).cast("string"))).otherwise(F.col("text"))
+    return table(spark, sf, "documents").select(d.alias("ord"), path.alias("path"), (d % 3).alias("lsn"), content.alias("content"))
+
+
+def _lying(losing):
+    """Conflict copies that were written before: every fifth row's, in slots 1 to 4 of its name."""
+    o = F.col("ord")
+    name, slot = P.stash_path(F.col("path"), F.lit(X.DEVICE), F.col("lsn")), o % 4 + 1
+    path = F.when(slot == 1, name).otherwise(F.concat(F.left(name, F.length(name) - 3), F.lit("-"), slot.cast("string"), F.lit(".md")))
+    content = F.when(o % 10 == 0, F.col("content")).otherwise(F.concat(F.lit("other"), (o % 7).cast("string")))
+    return losing.filter((o % 5 == 0) & (o % 50 != 49) & F.col("path").isNotNull()).select(path.alias("path"), F.coalesce(content, F.lit("")).alias("content")).groupBy("path").agg(F.min("content").alias("content"))
+
+
+@query("snk7_join10_stash_write", f"""WITH l AS ({_LOSING}),
+ n AS (SELECT *, left(path, strpos(path, '/')) AS dir, substr(path, strpos(path, '/') + 1)[:-4] AS stem, CASE WHEN path IS NULL THEN 'refused' WHEN contains(path, '/../') THEN 'refused' END AS bad FROM l),
+ b AS (SELECT ord, path, lsn, sha256(coalesce(content, '')) AS sha, coalesce(content, '') AS content, bad, CASE WHEN bad IS NULL THEN octet_length(encode(stem || '.conflict-from-{X.DEVICE}-' || lsn || '.md')) > 250 ELSE false END AS hashed,
+  CASE WHEN bad IS NULL THEN dir || CASE WHEN octet_length(encode(stem || '.conflict-from-{X.DEVICE}-' || lsn || '.md')) > 250 THEN left(stem, 48) || '.' || left(sha256(path), 16) ELSE stem END || '.conflict-from-' END AS family FROM n),
+ c AS (SELECT *, family || '{X.DEVICE}-' || lsn || '.md' AS base FROM b),
+ e AS (SELECT base[:-4] || CASE WHEN ord % 4 = 0 THEN '' ELSE '-' || (ord % 4 + 1) END || '.md' AS path, family, min(CASE WHEN ord % 10 = 0 THEN content ELSE 'other' || ord % 7 END) AS content FROM c WHERE ord % 5 = 0 AND base IS NOT NULL GROUP BY ALL),
+ h AS (SELECT family, sha256(content) AS sha, min(path) AS there FROM e GROUP BY ALL),
+ f AS (SELECT c.family, c.sha, min(ord) AS first_ord, arg_min(base, ord) AS base, any_value(there) AS there FROM c LEFT JOIN h ON c.family = h.family AND c.sha = h.sha WHERE c.family IS NOT NULL GROUP BY ALL),
+ w AS (SELECT base, first_ord, row_number() OVER (PARTITION BY base ORDER BY first_ord) AS k FROM f WHERE there IS NULL),
+ r AS (SELECT base, unnest(range(1, max(k) + 5)) AS slot FROM w GROUP BY base),
+ s AS (SELECT base, name, row_number() OVER (PARTITION BY base ORDER BY slot) AS k FROM (SELECT base, slot, CASE WHEN slot = 1 THEN base ELSE base[:-4] || '-' || slot || '.md' END AS name FROM r) x WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.path = x.name))
+ SELECT c.ord, c.path, c.lsn, c.sha, coalesce(f.there, s.name) AS stash, CASE WHEN bad IS NOT NULL THEN bad WHEN f.there IS NOT NULL THEN 'reused' WHEN c.ord = f.first_ord THEN 'written' ELSE 'shared' END AS status, c.hashed
+ FROM c LEFT JOIN f ON c.family = f.family AND c.sha = f.sha LEFT JOIN w ON w.first_ord = f.first_ord LEFT JOIN s ON s.base = w.base AND s.k = w.k""")
+def snk7_join10_snk8(spark, sf):
+    """Tests hold it against the plain loop and follow the files and the manifest lines to disk."""
+    losing = _losing(spark, sf)
+    return K.place_stashes(losing, _lying(losing), X.DEVICE)
