@@ -12,6 +12,7 @@ from tidemark.plans.guard_queries import BREAKER_SQL
 from tidemark.plans.registry import query
 from tidemark.plans.staging import shared_dir
 from tidemark.sources import fixtures as X
+from tidemark.sources import folders
 from tidemark.sources.files import candidate_files, file_manifest
 from tidemark.sources.tables import table
 from tidemark.streaming import feeds
@@ -112,6 +113,24 @@ def src2_files(spark, sf):
     return file_manifest(candidate_files(spark, sf, roots=(), allowed=(".parquet",)))
 
 
+_NOTE = "a' || coalesce(doc_id % 16, 0) || '/' || CASE WHEN doc_id % 7 = 0 THEN 'node_modules/' WHEN doc_id % 7 = 1 THEN 'rules/' ELSE '' END || CASE WHEN doc_id % 11 = 0 THEN '._' ELSE 'n' END || coalesce(doc_id::STRING, '') || '-' || left(sha, 8) || CASE WHEN doc_id % 5 = 0 THEN '.conflict-from-dev-a-3' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN '.TXT' ELSE '.Md' END"
+_TREE = f"""WITH d AS (SELECT DISTINCT doc_id, sha256(coalesce(text, '')) AS sha, strlen(coalesce(text, ''))::BIGINT AS n FROM documents), p AS (SELECT *, '{_NOTE} AS path FROM d),
+ o AS (SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'symlink' WHEN doc_id % 7 = 0 THEN 'exclude' WHEN doc_id % 5 = 0 AND path LIKE '%.md' THEN 'conflict_copy' WHEN doc_id % 11 = 0 THEN 'junk' WHEN doc_id % 7 = 1 THEN 'substrate' WHEN doc_id % 3 = 0 THEN 'extension' ELSE 'take' END AS outcome FROM p)
+ SELECT path, outcome, CASE WHEN outcome = 'take' THEN sha END AS content_hash, CASE WHEN outcome = 'take' THEN n END AS size_bytes FROM o"""
+
+
+@query("src1_src2_folder_walk", _TREE)
+def src1_src2_walk(spark, sf):
+    """All documents as files of a tree, links and refused names among them; walked, tested and hashed on executors."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
+    rows = d.select(F.expr(f"'{_NOTE}").alias("path"), F.encode("text", "UTF-8").alias("content"), F.when(F.col("doc_id") % 13 == 0, "nowhere.md").alias("link"))
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    folders.write_tree(rows, root)
+    scanned = folders.scan(spark, root, rules=[("prefix", "rules/", "")])
+    hashed = folders.hash_files(scanned.filter("outcome = 'take'"))
+    return scanned.select("path", "outcome").join(hashed.select("path", "content_hash", "size_bytes"), "path", "left")
+
+
 _VIEWS = ("local_manifest", "server_state", "shadow", "base_seq", "journal", "burst_events", "echo_events", "paths", "notes")
 
 
