@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.paths import head_bytes
 
 
+#: Seconds without progress, and without a sign of the watcher, after which a run is recovered.
+STALL_SECONDS, ALIVE_SECONDS = 900, 300
+
+
 def _field(body: Column, name: str) -> tuple[Column, Column]:
     """Kind and text of a field of a JSON object; both null where it is missing or the text is none."""
     found = F.call_function("variant_get", F.call_function("try_parse_json", body), F.lit(f"$.{name}"))
@@ -57,6 +61,13 @@ def is_acked(outcome: Column) -> Column:
     return F.coalesce(outcome.isin("sent", "merged", "conflict_markers", "skipped", "unauthorized", "forbidden", "conflict_unrecoverable"), F.lit(False))
 
 
+def recovery_trigger(pending: Column, idle: Column, fenced: Column, silent: Column, threshold: int = STALL_SECONDS, alive_threshold: int = ALIVE_SECONDS) -> Column:
+    """The first reason to recover, null without one: entries wait and none went for `threshold` seconds; the watcher is fenced; it gave no
+    sign for `alive_threshold` seconds. Times that are null count as 0: what never started is not late."""
+    stalled = (F.coalesce(pending, F.lit(0)) > 0) & (F.coalesce(idle, F.lit(0)) >= threshold)
+    return F.when(stalled, "push_stall").when(fenced, "watcher_fenced").when(F.coalesce(silent, F.lit(0)) >= alive_threshold, "watcher_stale")
+
+
 def ack_hash(answer: Column, server: Column, content: Column, local: Column) -> Column:
     """The baseline after an answer: the first hash known where the server took the bytes, else none."""
     return F.when(answer.isin("accepted", "merged"), F.coalesce(server, content, local))

@@ -60,7 +60,29 @@ def numbered(rows: DataFrame, key: str, order: Sequence[str], counts: dict[str,
     own = Window.partitionBy("range", key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     inside = cut.select("*", *[F.sum(f"is_{n}").over(own).alias(f"inside_{n}") for n in counts])
     joined = inside.join(sums, (F.col("range") == F.col("in")) & F.col(key).eqNullSafe(F.col("of")))
-    return joined.select(*rows.columns, "range", *[(F.col(f"inside_{n}") + F.col(f"ahead_{n}")).alias(n) for n in counts])
+    return joined.select(*rows.columns, "range", "at", *[(F.col(f"inside_{n}") + F.col(f"ahead_{n}")).alias(n) for n in counts])
+
+
+def ranged(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """`rows` in ranges of (key, *order), written: range, and at, which rises in that order within a range."""
+    by = [key, *order]
+    return stage(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("range", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "ranged")
+
+
+def carried(cut: DataFrame, key: str, values: dict[str, Column], before: bool = False) -> DataFrame:
+    """The last value of each of `values` that is not null, at or before a row of its key (`before`: only before it), null if there is none.
+
+    `cut` has range and at, as `ranged` and `numbered` give them. One key may hold all rows: each range looks among its own rows, and takes
+    what the ranges ahead of it leave, one row a range and key. Null keys are a key.
+    """
+    left = [F.max(F.when(c.isNotNull(), F.struct("at", c.alias("v")))).alias(f"left_{n}") for n, c in values.items()]
+    left = cut.groupBy(F.col("range").alias("in"), F.col(key).alias("of")).agg(*left)
+    earlier = Window.partitionBy("of").orderBy("in").rowsBetween(Window.unboundedPreceding, -1)
+    left = left.select("in", "of", *[F.last(f"left_{n}", True).over(earlier)["v"].alias(f"ahead_{n}") for n in values])
+    own = Window.partitionBy("range", key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    inside = cut.select("*", *[F.last(c, True).over(own).alias(f"inside_{n}") for n, c in values.items()])
+    joined = inside.join(left, (F.col("range") == F.col("in")) & F.col(key).eqNullSafe(F.col("of")))
+    return joined.select(*cut.columns, *[F.coalesce(f"inside_{n}", f"ahead_{n}").alias(n) for n in values])
 
 
 def _spread(first: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -132,14 +154,16 @@ def drop_counts(classified: DataFrame, *by: str) -> DataFrame:
 
 
 def echo(events: DataFrame, ttl: str) -> DataFrame:
-    """suppressed: the latest record before a probe has its hash, is younger than the TTL, and no probe used it yet."""
-    by = Window.partitionBy("key").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    rec = F.struct("event_id", "ts", "sha")
-    e = events.withColumn("rec", F.last(F.when(F.col("kind") == "record", rec), True).over(by)).filter("kind = 'probe'")
+    """suppressed: the latest record before a probe has its hash, is younger than the TTL, and no probe used it yet.
+
+    A record is used by its first hit, so a hit counts if the hit before it was of another record. No task needs all rows of a key.
+    """
+    rec = F.struct("range", "at", "ts", "sha")
+    e = carried(ranged(events, "key", ["ts", "event_id"]), "key", {"rec": F.when(F.col("kind") == "record", rec)}, before=True).filter("kind = 'probe'")
     hit = (F.col("rec.sha") == F.col("sha")) & (F.col("ts") < F.col("rec.ts") + F.expr(f"INTERVAL {ttl}"))
-    e = e.withColumn("hit", F.coalesce(hit, F.lit(False)))
-    first = Window.partitionBy("key", "rec.event_id", "hit").orderBy("ts", "event_id")
-    return e.withColumn("suppressed", F.col("hit") & (F.row_number().over(first) == 1)).select("event_id", "key", "suppressed")
+    used = F.struct("rec.range", "rec.at")
+    e = carried(e.withColumn("hit", F.coalesce(hit, F.lit(False))), "key", {"used": F.when(F.col("hit"), used)}, before=True)
+    return e.select("event_id", "key", (F.col("hit") & ~used.eqNullSafe(F.col("used"))).alias("suppressed"))
 
 
 def enqueue(events: DataFrame) -> DataFrame:
@@ -232,22 +256,41 @@ def admission(events: DataFrame, threshold: int, window_seconds: int) -> DataFra
 
 
 def capacity_streak(appends: DataFrame, limit: int) -> DataFrame:
-    """tripped: the `limit`-th failure for capacity in a row; fenced: latched from then on. By root."""
-    by = Window.partitionBy("root").orderBy("ts", "event_id")
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    e = appends.withColumn("island", F.sum((~F.col("is_cap")).cast("int")).over(upto))
-    n = F.sum(F.col("is_cap").cast("int")).over(Window.partitionBy("root", "island").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    e = e.withColumn("hit", F.col("is_cap") & (n == limit))
-    seen = F.max(F.col("hit").cast("int")).over(upto) == 1
-    earlier = F.coalesce(F.max(F.col("hit").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)) == 1, F.lit(False))
-    return e.withColumn("tripped", F.col("hit") & ~earlier).withColumn("fenced", seen).drop("hit", "island")
+    """tripped: the `limit`-th failure for capacity in a row; fenced: latched from then on. By root, none of which needs a task of its own."""
+    failed = F.coalesce(F.col("is_cap"), F.lit(False))
+    e = stage(numbered(appends, "root", ["ts", "event_id"], {"caps": failed}), "streak")
+    e = carried(e, "root", {"base": F.when(~failed, F.col("caps"))})
+    e = e.withColumn("hit", failed & (F.col("caps") - F.coalesce("base", F.lit(0)) == limit))
+    e = carried(e, "root", {"shut": F.when(F.col("hit"), F.lit(True))}, before=True)
+    shut = F.coalesce("shut", F.lit(False))
+    return e.select(*appends.columns, (F.col("hit") & ~shut).alias("tripped"), (F.col("hit") | shut).alias("fenced"))
 
 
 def idle_seconds(rows: DataFrame) -> DataFrame:
     """Seconds since the last stamp at or before each row, by root; null before the first."""
-    by = Window.partitionBy("root").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("is_progress"), F.col("ts")), True).over(by)
-    return rows.withColumn("idle", F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(last.cast("timestamp"))) / 1_000_000))
+    e = carried(ranged(rows, "root", ["ts", "event_id"]), "root", {"stamp": F.when(F.col("is_progress"), F.col("ts"))})
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return e.select(*rows.columns, F.floor((micros("ts") - micros("stamp")) / 1_000_000).alias("idle"))
+
+
+def recovery(rows: DataFrame, limit: int, threshold: int = S.STALL_SECONDS, alive_threshold: int = S.ALIVE_SECONDS) -> DataFrame:
+    """pending, idle, silent, fenced and the trigger (see scalars.recovery_trigger) at each row, by root in order of (ts, event_id).
+
+    Kinds: queued (one more waits), sent (one less, and progress), alive (a sign of the watcher), full (a refused append; `limit`
+    in a row fence for good). Idle counts from the first row of a root until something was sent; silent is null before the first sign.
+    """
+    is_ = lambda k: F.col("kind").eqNullSafe(F.lit(k))
+    e = stage(numbered(rows, "root", ["ts", "event_id"], {"nth": F.lit(True), "queued": is_("queued"), "sent": is_("sent"), "full": is_("full")}), "health")
+    stamps = {"start": F.when(F.col("nth") == 1, F.col("ts")), "went": F.when(is_("sent"), F.col("ts")), "sign": F.when(is_("alive"), F.col("ts")), "base": F.when(~is_("full"), F.col("full"))}
+    e = carried(e, "root", stamps)
+    hit = is_("full") & (F.col("full") - F.coalesce("base", F.lit(0)) == limit)
+    e = carried(e.withColumn("hit", hit), "root", {"shut": F.when(F.col("hit"), F.lit(True))})
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    since = lambda c: F.floor((micros(F.col("ts")) - micros(c)) / 1_000_000)
+    e = e.select(
+        *rows.columns, (F.col("queued") - F.col("sent")).alias("pending"), since(F.coalesce("went", "start")).alias("idle"), since(F.col("sign")).alias("silent"),
+        F.coalesce("shut", F.lit(False)).alias("fenced"))
+    return e.withColumn("trigger", S.recovery_trigger(F.col("pending"), F.col("idle"), F.col("fenced"), F.col("silent"), threshold, alive_threshold))
 
 
 def backoff(n: Column, initial: int, most: int) -> Column:
@@ -262,9 +305,8 @@ def bursts(events: DataFrame, gap: str) -> DataFrame:
 
 def cooldown(rows: DataFrame, seconds: int) -> DataFrame:
     """held: the last arming before a row, by root, is less than `seconds` old."""
-    by = Window.partitionBy("root").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    armed = F.last(F.when(F.col("arm"), F.col("ts")), True).over(by)
-    return rows.withColumn("held", F.coalesce(F.col("ts") < armed + F.expr(f"INTERVAL {seconds} SECONDS"), F.lit(False)))
+    e = carried(ranged(rows, "root", ["ts", "event_id"]), "root", {"armed": F.when(F.col("arm"), F.col("ts"))}, before=True)
+    return e.select(*rows.columns, F.coalesce(F.col("ts") < F.col("armed") + F.expr(f"INTERVAL {seconds} SECONDS"), F.lit(False)).alias("held"))
 
 
 def last_state(sets: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -144,10 +144,21 @@ def win11(spark, sf):
 @query("dec14_recovery", _IDLE + """ SELECT event_id, CASE WHEN event_id % 3 > 0 AND coalesce(idle, 0) >= 900 THEN 'push_stall' WHEN event_id % 11 = 0 THEN 'watcher_fenced' WHEN coalesce(idle, 0) >= 300 THEN 'watcher_stale' ELSE 'none' END AS action FROM i""")
 def dec14(spark, sf):
     """The first of stall, fence and stale watcher; an idle time without a stamp counts as 0."""
-    idle = F.coalesce("idle", F.lit(0))
-    pending = F.col("event_id") % 3
-    out = F.when((pending > 0) & (idle >= 900), "push_stall").when(F.col("event_id") % 11 == 0, "watcher_fenced").when(idle >= 300, "watcher_stale").otherwise("none")
-    return _idle(spark, sf).select("event_id", out.alias("action"))
+    out = S.recovery_trigger(F.col("event_id") % 3, F.col("idle"), F.col("event_id") % 11 == 0, F.col("idle"))
+    return _idle(spark, sf).select("event_id", F.coalesce(out, F.lit("none")).alias("action"))
+
+
+@query("dec14_recovery_by_stamps", """WITH a AS (SELECT event_id, ts, user_id % 8 AS root, event_type AS k FROM events),
+ c AS (SELECT *, (count(*) FILTER (k = 'click') OVER w - count(*) FILTER (k = 'purchase') OVER w)::BIGINT AS pending, max(ts) FILTER (k = 'purchase') OVER w AS went, max(ts) FILTER (k = 'view') OVER w AS sign, min(ts) OVER w AS start,
+  count(*) FILTER (k IS DISTINCT FROM 'signup') OVER w AS island FROM a WINDOW w AS (PARTITION BY root ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+ s AS (SELECT *, k = 'signup' AND count(*) FILTER (k = 'signup') OVER (PARTITION BY root, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) = 3 AS hit FROM c),
+ f AS (SELECT *, coalesce(bool_or(hit) OVER (PARTITION BY root ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS fenced, floor((epoch_us(ts) - epoch_us(coalesce(went, start))) / 1000000)::BIGINT AS idle, floor((epoch_us(ts) - epoch_us(sign)) / 1000000)::BIGINT AS silent FROM s)
+ SELECT event_id, root, pending, idle, silent, fenced, CASE WHEN pending > 0 AND idle >= 900 THEN 'push_stall' WHEN fenced THEN 'watcher_fenced' WHEN silent >= 300 THEN 'watcher_stale' END AS trigger FROM f""")
+def dec14_stamps(spark, sf):
+    """Clicks wait, purchases are sent, views are the watcher's signs and signups refused appends."""
+    kinds = F.when(F.col("event_type") == "click", "queued").when(F.col("event_type") == "purchase", "sent").when(F.col("event_type") == "view", "alive").when(F.col("event_type") == "signup", "full")
+    e = table(spark, sf, "events").select("event_id", "ts", (F.col("user_id") % 8).alias("root"), kinds.alias("kind"))
+    return O.recovery(e, 3).drop("ts", "kind")
 
 
 @query("win12_debounce", """WITH g AS (SELECT event_id, ts, user_id AS key, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

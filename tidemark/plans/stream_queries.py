@@ -75,6 +75,16 @@ def win9_live(spark, sf):
     return feeds.drain(feeds.live_breaker(_stream(spark, sf, "conflicts"), 5, 6 * 3600), spark, f"breaker-{uuid.uuid4().hex}")
 
 
+@query("win12_live_debounce", """WITH g AS (SELECT event_id, ts, user_id AS key, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ s AS (SELECT *, sum(new::INT) OVER (PARTITION BY key ORDER BY ts) AS k FROM g) SELECT key, min(ts) AS start, count(*)::BIGINT AS n, max(event_id) AS last_id FROM s GROUP BY key, k
+ HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE""")
+def win12_live(spark, sf):
+    """The bursts that are over by the stream's watermark when the feed ends."""
+    events = feeds.in_order(table(spark, sf, "events"), ["ts", "event_id"], f"events-{uuid.uuid4().hex}")
+    e = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("key"))
+    return feeds.drain(feeds.live_bursts(e, "30 minutes"), spark, f"bursts-{uuid.uuid4().hex}")
+
+
 _SNK4 = X.with_sql("""WITH j AS (SELECT coalesce(l.path, s.path) AS path, l.content_hash AS own, s.fs_hash AS sent, s.change_seq, s.doc_id % 17 = 0 AS bad, w.server_hash AS base
   FROM local_manifest l FULL JOIN server_state s ON l.path = s.path LEFT JOIN shadow w ON w.path = l.path),
  d AS (SELECT *, CASE WHEN sent IS NULL THEN 'none' WHEN bad THEN 'failed' WHEN own IS NULL THEN 'create' WHEN own = sent THEN 'equal' WHEN base IS NULL THEN 'conflict' WHEN base = sent THEN 'kept' WHEN own = base THEN 'pulled' ELSE 'conflict' END AS d FROM j)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterator
 from datetime import UTC
 
@@ -14,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidemark.functions import paths as P
 from tidemark.functions import scalars as S
 from tidemark.plans.staging import shared_dir
+from tidemark.streaming.watchdog import Health
 
 ENVELOPE = "path STRING, phase STRING"
 
@@ -153,12 +155,22 @@ def _utc(t) -> float:
     return t.replace(tzinfo=UTC).timestamp() if t.tzinfo is None else t.timestamp()
 
 
-#: How late an event may come, by the time it carries; what comes later than that is dropped by the stream.
+#: How late an event may come unless the caller says otherwise, by the time it carries; what comes later is dropped, and counted by `watchdog.Health`.
 LATE = "1 minute"
 
 
-def live_echo(stream: DataFrame, ttl_seconds: float) -> DataFrame:
-    guarded = stream.withWatermark("ts", LATE).groupBy("key")
+def live_bursts(stream: DataFrame, gap: str, late: str = LATE) -> DataFrame:
+    """Events (key, ts, event_id) of a key less than `gap` apart as one, given out when the watermark has passed its end: key, start, n, last_id.
+
+    `ordered.bursts` as a stream. The state holds a row for each burst that is still open; those stay there when the input ends.
+    """
+    w = F.session_window("ts", gap)
+    merged = stream.withWatermark("ts", late).groupBy("key", w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id"))
+    return merged.select("key", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "last_id")
+
+
+def live_echo(stream: DataFrame, ttl_seconds: float, late: str = LATE) -> DataFrame:
+    guarded = stream.withWatermark("ts", late).groupBy("key")
     return guarded.transformWithStateInPandas(EchoGuard(ttl_seconds), "event_id BIGINT, key BIGINT, suppressed BOOLEAN", "Append", "EventTime")
 
 
@@ -196,19 +208,27 @@ class ConflictBreaker(StatefulProcessor):
         yield pd.DataFrame([], columns=["event_id", "root", "admitted"])
 
 
-def live_breaker(stream: DataFrame, threshold: int, window_seconds: int) -> DataFrame:
+def live_breaker(stream: DataFrame, threshold: int, window_seconds: int, late: str = LATE) -> DataFrame:
     """`stream` has root, event_id and t, the time in microseconds."""
-    guarded = stream.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", LATE).groupBy("root")
+    guarded = stream.withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", late).groupBy("root")
     return guarded.transformWithStateInPandas(ConflictBreaker(threshold, window_seconds), "event_id BIGINT, root BIGINT, admitted BOOLEAN", "Append", "EventTime")
 
 
-def drain(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Run a stream to the end of its input and return what it wrote."""
+def drain(stream: DataFrame, spark: SparkSession, name: str, health: Health | None = None) -> DataFrame:
+    """Run a stream to the end of its input and return what it wrote. `health` has then seen all of it, late rows included."""
     base = f"{shared_dir(spark)}/{name}"
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    if health:
+        spark.streams.addListener(health)
     try:
-        stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        waited = time.monotonic() + 60
+        while health and str(q.runId) not in health.ended and time.monotonic() < waited:
+            time.sleep(0.05)
     finally:
+        if health:
+            spark.streams.removeListener(health)
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
