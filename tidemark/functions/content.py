@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidemark.functions import paths as P
 from tidemark.functions.bind import let
 
 BOM = "﻿"
@@ -24,6 +25,29 @@ def fold_eol(s: Column) -> Column:
     return F.replace(F.replace(s, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
+def to_base64(content: Column) -> Column:
+    """Bytes as base64 in one line."""
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
+
+
+def body_bytes(field: Column) -> Column:
+    """Bytes of a variant that is base64 text or an array of numbers from 0 to 255; null for anything else."""
+    get = lambda to: F.call_function("try_variant_get", field, F.lit("$"), F.lit(to))
+    kind, text, numbers = F.call_function("schema_of_variant", field), get("string"), get("array<bigint>")
+    hexed = F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x), 2, "0")), "")
+    right = F.forall(numbers, lambda x: F.coalesce(x.between(0, 255), F.lit(False))) & kind.isin("ARRAY<BIGINT>", "ARRAY<VOID>")
+    return F.when(kind == "STRING", F.call_function("try_to_binary", text, F.lit("base64"))).when(right, F.unhex(hexed))
+
+
+def pre_journal(path: Column, body: Column, form: Column, last_hash: Column, allowed: Sequence[str] = (".md",), rules: Sequence[tuple[str, str, str]] = (), managed: bool = True) -> Column:
+    """Why a change is not queued: substrate, managed, extension, empty or identical (`form`, the note as it would be pushed, has the server's last hash); null if it is."""
+    own = P.is_managed_artifact(path) & F.lit(managed)
+    return (
+        F.when(P.substrate_rule(path, rules).isNotNull(), "substrate").when(own, "managed").when(~P.allowed_suffix(path, allowed), "extension")
+        .when(F.octet_length(body) == 0, "empty").when(F.sha2(form, 256) == last_hash, "identical")
+    )
+
+
 def canonical_form(content: Column) -> Column:
     """(text, error): all leading BOMs off, CRLF and CR to LF; bytes that are no UTF-8 or hold NUL are errors."""
     s = content.cast("string")

@@ -198,6 +198,12 @@ def stash_path(path: Column, device: Column, lsn: Column) -> Column:
     return F.concat(parent, stash_name(path, stem, device, lsn))
 
 
+def is_unresolved(path: Column) -> Column:
+    """A name that holds the mark of a conflict copy and ends .md; looser than conflict_parts."""
+    name = basename(fold_slashes(path))
+    return F.contains(name, F.lit(CONFLICT_MARK)) & F.endswith(name, F.lit(".md"))
+
+
 def original_of(path: Column) -> Column:
     """The path that a conflict copy was made of."""
     p = fold_slashes(path)

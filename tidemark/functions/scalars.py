@@ -68,6 +68,23 @@ def recovery_trigger(pending: Column, idle: Column, fenced: Column, silent: Colu
     return F.when(stalled, "push_stall").when(fenced, "watcher_fenced").when(F.coalesce(silent, F.lit(0)) >= alive_threshold, "watcher_stale")
 
 
+def base_kind(base: Column) -> Column:
+    """What a declared base says: unknown (null), no_row ('') or known."""
+    return F.when(base.isNull(), "unknown").when(base == "", "no_row").otherwise("known")
+
+
+def single_append(line_bytes: Column, held: Column | int, cap: int) -> Column:
+    """A single append that would pass the cap is an error and writes nothing, unlike a batch, which keeps what fits."""
+    return F.when(line_bytes + held > cap, "error_over_cap").otherwise("ok")
+
+
+def materialize_back(accepted: Column, action: Column, drained: Column, canonical: Column, server: Column) -> Column:
+    """What follows a push by the server's hash: none where it was not accepted, deletes, or has no hash or the one that was sent; the
+    canonical form where that has the hash; else a fetch. `drained` and `canonical` are hashes."""
+    same = ~F.coalesce(accepted, F.lit(False)) | action.eqNullSafe(F.lit("delete")) | server.isNull() | server.eqNullSafe(drained)
+    return F.when(same, "none").when(canonical == server, "align_form_c").otherwise("fetch")
+
+
 def ack_hash(answer: Column, server: Column, content: Column, local: Column) -> Column:
     """The baseline after an answer: the first hash known where the server took the bytes, else none."""
     return F.when(answer.isin("accepted", "merged"), F.coalesce(server, content, local))

@@ -39,6 +39,14 @@ def running_total(rows: DataFrame, order: str, value: str, name: str) -> DataFra
     return cut.withColumn("inside", inside).join(ahead, "range").withColumn(name, F.col("inside") + F.col("ahead")).drop("range", "inside", "ahead")
 
 
+def chains(journal: DataFrame, size: int = 32) -> DataFrame:
+    """The journal (line_no, path, action) drained in batches of `size` lines: batch, path, n and the actions of a path in order; a list holds `size` at most."""
+    ranked = running_total(journal.withColumn("one", F.lit(1).cast("long")), "line_no", "one", "rank")
+    chain = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "action"))), lambda x: x["action"]), ">")
+    batched = ranked.withColumn("batch", F.floor((F.col("rank") - 1) / size).cast("long"))
+    return batched.groupBy("batch", "path").agg(F.count(F.lit(1)).alias("n"), chain.alias("chain"))
+
+
 def append_within(rows: DataFrame, held: int, cap: int) -> DataFrame:
     """Rows with whether they still fit under the cap; sizes are positive, so those that fit are a prefix."""
     total = running_total(rows, "line_no", "line_bytes", "run_bytes")

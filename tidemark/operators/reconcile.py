@@ -141,6 +141,39 @@ def deletes(events: DataFrame, shadow: DataFrame, local: DataFrame) -> DataFrame
     return rows.withColumn("outcome", outcome)
 
 
+def push_entries(pushes: DataFrame, manifest: DataFrame) -> DataFrame:
+    """path, size_bytes, content_hash and base_hash of the changes (path, state, server_hash) to push; their bodies are read when sent.
+
+    The base is the server's hash where the replicas drift, else '' (no row). A change that the manifest does not know has an
+    `error` and no hash.
+    """
+    base = F.when(F.col("state") == "drift", F.col("server_hash")).otherwise("")
+    rows = pushes.select("path", "state", "server_hash").join(manifest.select("path", "size_bytes", "content_hash"), "path", "left")
+    lost = F.when(F.col("content_hash").isNull(), "delta path not in local manifest")
+    return rows.select("path", "size_bytes", "content_hash", F.when(lost.isNull(), base).alias("base_hash"), lost.alias("error"))
+
+
+def declared_bases(pushes: DataFrame, shadow: DataFrame, base_seq: DataFrame) -> DataFrame:
+    """`pushes` (path, base_hash) with base, base_kind and lineage: an unknown base takes the last-synced hash (shadow: path, server_hash), the others
+    stay as they are; lineage is the sequence of what lies there (base_seq: path, seq), null where none is known."""
+    s, q = shadow.select("path", F.col("server_hash").alias("synced")), base_seq.select("path", F.col("seq").alias("lineage"))
+    b = F.col("base_hash")
+    rows = pushes.join(s, "path", "left").join(q, "path", "left")
+    return rows.select(*[pushes[c] for c in pushes.columns], F.coalesce(b, "synced").alias("base"), S.base_kind(b).alias("base_kind"), "lineage")
+
+
+def folders(paths: DataFrame, marker: str) -> DataFrame:
+    """First folders of `path` but those that start with a dot, and whether they hold `marker`."""
+    f = F.split_part("path", F.lit("/"), F.lit(1))
+    rows = paths.filter(F.contains("path", F.lit("/")) & ~F.startswith("path", F.lit(".")) & (f != ""))
+    return rows.groupBy(f.alias("folder")).agg(F.bool_or(F.split_part("path", F.lit("/"), F.lit(2)) == marker).alias("has_app"))
+
+
+def unseen_stashes(wanted: DataFrame, held: DataFrame, *same: str) -> tuple[DataFrame, DataFrame]:
+    """`wanted` split by whether a stash of the same bytes lies there already (`held`, equal in `same`): those that are there, and those to write."""
+    return wanted.join(held.select(*same), [*same], "left_semi"), wanted.join(held.select(*same), [*same], "left_anti")
+
+
 def compare_and_set(rows: DataFrame, expected: Column, strips: Column) -> DataFrame:
     """Outcome of rewriting a file to the server's bytes only if it is still what was seen."""
     out = F.when(F.col("content_hash").isNull(), "skip_missing").when(F.col("content_hash") != expected, "skip_concurrent_edit").when(strips, "skip_frontmatter_strip").otherwise("written")

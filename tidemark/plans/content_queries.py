@@ -78,8 +78,7 @@ def fn2(spark, sf):
 @query("scl5_base64", with_sql("SELECT doc_id, to_base64(encode(note)) AS b64, strlen(note)::BIGINT AS bytes FROM notes", "notes"))
 def scl5(spark, sf):
     """Base64 out and in again; an array of numbers is read too (tests)."""
-    b = F.base64(F.col("note").cast("binary"))
-    return X.notes(spark, sf).select("doc_id", F.replace(b, F.lit("\r\n"), F.lit("")).alias("b64")).withColumn("bytes", F.octet_length(F.unbase64("b64")).cast("long"))
+    return X.notes(spark, sf).select("doc_id", C.to_base64(F.col("note").cast("binary")).alias("b64")).withColumn("bytes", F.octet_length(F.unbase64("b64")).cast("long"))
 
 
 #: Strings that a YAML reader would take for something else, and how they are written.
@@ -132,10 +131,7 @@ def pred14(spark, sf):
     d = F.col("doc_id")
     path = F.when(d % 10 == 9, "a.conflict-from-x-1.md").when(d % 10 == 8, "a.txt").otherwise("a.md")
     server = F.when(d % 2 == 0, F.sha2("note", 256))
-    skip = (
-        F.when(P.substrate_rule(F.col("path")).isNotNull(), "substrate").when(P.is_managed_artifact(F.col("path")), "managed").when(~P.allowed_suffix(F.col("path"), [".md"]), "extension")
-        .when(F.col("note") == "", "empty").when(F.sha2(C.push_form(F.col("note"), X.STRIP), 256) == F.col("server"), "identical")
-    )
+    skip = C.pre_journal(F.col("path"), F.col("note"), C.push_form(F.col("note"), X.STRIP), F.col("server"))
     return X.notes(spark, sf).withColumn("path", path).withColumn("server", server).select("doc_id", skip.alias("skip"))
 
 
@@ -146,7 +142,8 @@ def dec12(spark, sf):
     """After an accepted push whose server hash differs: the canonical form if it has that hash, else a fetch. Deletes: none."""
     n = X.notes(spark, sf).withColumn("c", C.canonical_form(F.col("note").cast("binary"))).filter("c.error IS NULL")
     h = F.when(F.col("doc_id") % 3 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("c.text", 256))
-    action = F.when(F.col("doc_id") % 4 == 0, "none").when(F.sha2("note", 256) == h, "none").when(F.sha2("c.text", 256) == h, "align_form_c").otherwise("fetch")
+    act = F.when(F.col("doc_id") % 4 == 0, "delete").otherwise("modify")
+    action = S.materialize_back(F.lit(True), act, F.sha2("note", 256), F.sha2("c.text", 256), h)
     return n.select("doc_id", action.alias("action"))
 
 

@@ -28,8 +28,7 @@ def win5_snk1(spark, sf):
 @query("snk2_single_append", with_sql("SELECT line_no, CASE WHEN line_bytes + 99980000 > 100000000 THEN 'error_over_cap' ELSE 'ok' END AS status FROM (SELECT line_no, line_bytes * 100 AS line_bytes FROM journal)", "journal"))
 def snk2(spark, sf):
     """A single append over the cap is an error, unlike in a batch."""
-    over = F.col("line_bytes") * 100 + 99_980_000 > 100_000_000
-    return X.journal(spark, sf).select("line_no", F.when(over, "error_over_cap").otherwise("ok").alias("status"))
+    return X.journal(spark, sf).select("line_no", S.single_append(F.col("line_bytes") * 100, 99_980_000, 100_000_000).alias("status"))
 
 
 _BURST = """e AS (SELECT *, coalesce(sum(is_reset::INT) OVER (PARTITION BY root ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM burst_events),
@@ -186,9 +185,8 @@ def join7_kv6_set2(spark, sf):
 def join8_scl21(spark, sf):
     """Three states: unknown (null) takes the baseline, no row ('') and known hashes stay as they are."""
     s = table(spark, sf, "region").select(F.concat(F.lit("notes/"), (F.col("r_regionkey") * 7).cast("string"), F.lit(".md")).alias("path"), F.sha2("r_name", 256).alias("shadow"))
-    b = F.col("base_hash")
-    rows = X.journal(spark, sf).join(s, "path", "left")
-    return rows.select("event_id", F.when(b.isNull(), F.col("shadow")).otherwise(b).alias("base"), F.when(b.isNull(), "unknown").when(b == "", "no_row").otherwise("known").alias("kind"))
+    rows = R.declared_bases(X.journal(spark, sf), s.withColumnRenamed("shadow", "server_hash"), X.base_seq(spark, sf))
+    return rows.select("event_id", "base", F.col("base_kind").alias("kind"))
 
 
 @query("ord2_drain", with_sql("SELECT line_no, path FROM journal ORDER BY line_no LIMIT 32", "journal"))
@@ -199,10 +197,7 @@ def ord2(spark, sf):
 @query("agg10_chains", with_sql("SELECT batch, path, count(*)::BIGINT AS n, string_agg(action, '>' ORDER BY line_no) AS chain FROM (SELECT *, (row_number() OVER (ORDER BY line_no) - 1) // 32 AS batch FROM journal) GROUP BY batch, path", "journal"))
 def agg10(spark, sf):
     """The whole journal, drained in batches of 32 lines: each batch by path, order kept; the lists hold 32 actions at most."""
-    ranked = O.running_total(X.journal(spark, sf).withColumn("one", F.lit(1).cast("long")), "line_no", "one", "rank")
-    chain = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "action"))), lambda x: x["action"]), ">")
-    batched = ranked.withColumn("batch", F.floor((F.col("rank") - 1) / 32).cast("long"))
-    return batched.groupBy("batch", "path").agg(F.count(F.lit(1)).alias("n"), chain.alias("chain"))
+    return O.chains(X.journal(spark, sf), 32)
 
 
 @query("agg11_depth", with_sql("SELECT count(*)::BIGINT AS depth, sum(line_bytes)::BIGINT AS bytes, count(*) = 0 AS is_empty FROM journal", "journal"))

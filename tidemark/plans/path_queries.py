@@ -154,15 +154,12 @@ def scl16_src12_join11_pred8(spark, sf):
 
 @query("src13_unresolved", with_sql(f"SELECT count(*)::BIGINT AS n FROM paths WHERE contains({_BASE}, '.conflict-from-') AND suffix({_BASE}, '.md')", "paths"))
 def src13_fn5(spark, sf):
-    name = P.basename(P.fold_slashes(F.col("path")))
-    return _paths(spark, sf).agg(F.count_if(F.contains(name, F.lit(P.CONFLICT_MARK)) & F.endswith(name, F.lit(".md"))).alias("n"))
+    return _paths(spark, sf).agg(F.count_if(P.is_unresolved(F.col("path"))).alias("n"))
 
 
 @query("src14_folders", with_sql("SELECT split_part(path, '/', 1) AS folder, bool_or(split_part(path, '/', 2) = 'node_modules') AS has_app FROM paths WHERE contains(path, '/') AND NOT starts_with(path, '.') AND split_part(path, '/', 1) <> '' GROUP BY 1", "paths"))
 def src14_ord4(spark, sf):
-    f = F.split_part("path", F.lit("/"), F.lit(1))
-    rows = _paths(spark, sf).filter(F.contains("path", F.lit("/")) & ~F.startswith("path", F.lit(".")) & (f != ""))
-    return rows.groupBy(f.alias("folder")).agg(F.bool_or(F.split_part("path", F.lit("/"), F.lit(2)) == "node_modules").alias("has_app"))
+    return R.folders(_paths(spark, sf), "node_modules")
 
 
 @query("scl14_scl15_stash_names", """WITH s AS (SELECT doc_id, source || '/' || repeat(lang, (1 + doc_id % 130)::INT) || '.md' AS path, repeat(lang, (1 + doc_id % 130)::INT) AS stem FROM documents)
@@ -180,7 +177,8 @@ def join10(spark, sf):
     d = table(spark, sf, "documents")
     stem = lambda n: F.concat(F.lit("n"), (F.col("doc_id") % n).cast("string"))
     have = d.filter("doc_id % 4 = 0").select(stem(50).alias("stem"), F.sha2("lang", 256).alias("sha"))
-    return d.select("doc_id", stem(60).alias("stem"), F.sha2("lang", 256).alias("sha")).join(have, ["stem", "sha"], "left_semi").select("doc_id", "stem", "sha")
+    wanted = d.select("doc_id", stem(60).alias("stem"), F.sha2("lang", 256).alias("sha"))
+    return R.unseen_stashes(wanted, have, "stem", "sha")[0].select("doc_id", "stem", "sha")
 
 
 @query("join12_preserve_bytes", with_sql("SELECT j.event_id, l.content_hash IS DISTINCT FROM j.content_sha AS stash FROM journal j LEFT JOIN (SELECT path, sha256(path) AS content_hash FROM (SELECT DISTINCT path FROM journal) WHERE path <> 'notes/3.md') l ON j.path = l.path", "journal"))

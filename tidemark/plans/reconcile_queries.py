@@ -66,8 +66,7 @@ def join2_dec2(spark, sf):
 @query("join3_push_entries", with_sql(_SHADOWED + f" SELECT path, size_bytes, content_hash, CASE WHEN state = 'drift' THEN server_hash ELSE '' END AS base_hash FROM sh WHERE {_DIRECTION} = 'push'", *_ALL))
 def join3_proj2(spark, sf):
     """PROJ-2: rows to push with the base that they declare: the server's hash, or none ('')."""
-    base = F.when(F.col("state") == "drift", F.col("server_hash")).otherwise("")
-    return _directed(spark, sf).filter("direction = 'push'").select("path", "size_bytes", "content_hash", base.alias("base_hash"))
+    return R.push_entries(_directed(spark, sf).filter("direction = 'push'"), X.local_manifest(spark, sf)).drop("error")
 
 
 @query("join4_backfill", with_sql("SELECT s.path, s.change_seq FROM server_state s WHERE NOT EXISTS (SELECT 1 FROM local_manifest l WHERE l.path = s.path)", "local_manifest", "server_state"))
