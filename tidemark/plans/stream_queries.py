@@ -101,7 +101,7 @@ def snk4(spark, sf):
     M.Stores(spark, base).commit({"notes": local, "baseline": X.shadow(spark, sf)}, set(range(M.BUCKETS)), -1)
     edited = (F.col("doc_id") % 7 == 0) & ~F.startswith("path", F.lit("remote/"))
     sent = X.server_state(spark, sf).join(d, "doc_id").withColumn("content", F.when(F.col("doc_id") % 17 == 0, "cut").when(edited, F.concat("text", F.lit("\nserver-edit"))).otherwise(F.col("text")))
-    stream = feeds.in_order(sent.select("path", "content", F.col("fs_hash").alias("server_hash"), F.col("change_seq").alias("seq")), ["seq"], f"sent-{uuid.uuid4().hex}")
+    stream = feeds.in_order(sent.select("path", "content", F.col("fs_hash").alias("server_hash"), F.col("change_seq").alias("seq")), ["seq"], f"sent-{uuid.uuid4().hex}", 100_000)
     end = M.materialize(stream, spark, base, f"{base}-checkpoint", X.DEVICE)
     stashes = end.read("stashes").select("path", "stash", F.sha2("content", 256).alias("stashed_sha"))
     rows = end.read("notes").select("path", "sha")

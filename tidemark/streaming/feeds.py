@@ -95,11 +95,11 @@ def watch_folder(spark: SparkSession, root: str, roots=(), excludes=(), allowed=
     return rows.filter(passed).select(rel.alias("path"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
 
 
-def in_order(rows: DataFrame, order: list[str], name: str, rows_a_file: int = 100_000) -> DataFrame:
+def in_order(rows: DataFrame, order: list[str], name: str, rows_a_file: int = 1_000_000) -> DataFrame:
     """`rows` as a stream of micro-batches of at most `rows_a_file` rows, in the order of the columns `order`.
 
-    The rows are written to files of that size, range by range; the stream takes one file at a time, by times set here
-    in the order of the files. So a key has no more rows in a batch than a file has, and none of them comes late.
+    The rows are written to files of at most that size, range by range; the stream takes them by times set here in the order of
+    the files, as many at a time as the bound allows for the largest. So a key has no more rows in a batch than that, and none of them comes late.
     """
     spark, base = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/{name}"
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", rows_a_file).parquet(base)
@@ -111,7 +111,8 @@ def in_order(rows: DataFrame, order: list[str], name: str, rows_a_file: int = 10
     first = fs.getFileStatus(path).getModificationTime() - 10 * len(files)
     for i, f in enumerate(sorted(files, key=place)):
         fs.setTimes(f, first + 10 * i, -1)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base)
+    held = spark.read.schema(rows.schema).parquet(base).groupBy("_metadata.file_path").count().agg(F.max("count")).first()[0]
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, rows_a_file // (held or 1))).parquet(base)
 
 
 class EchoGuard(StatefulProcessor):
@@ -187,13 +188,12 @@ class ConflictBreaker(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         found = pd.concat(list(rows)).sort_values(["t", "event_id"])
-        held, out = [r[0] for r in self.held.get()] if self.held.exists() else [], []
-        for r in found.itertuples(index=False):
-            held = [t for t in held if r.t - t <= self.window * 1_000_000]
-            ok = self.threshold == 0 or len(held) < self.threshold
-            if ok and self.threshold:
-                held.append(int(r.t))
-            out.append((r.event_id, key[0], ok))
+        held, admitted = [r[0] for r in self.held.get()] if self.held.exists() else [], []
+        for now in found["t"].tolist():
+            held = [t for t in held if now - t <= self.window * 1_000_000]
+            admitted.append(self.threshold == 0 or len(held) < self.threshold)
+            if admitted[-1] and self.threshold:
+                held.append(now)
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         if held:
@@ -201,11 +201,11 @@ class ConflictBreaker(StatefulProcessor):
             self.handle.registerTimer(held[-1] // 1000 + self.window * 1000 + 1)
         else:
             self.held.clear()
-        yield pd.DataFrame(out, columns=["event_id", "root", "admitted"])
+        yield pd.DataFrame({"event_id": found["event_id"].to_numpy(), "root": key[0], "admitted": admitted})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.held.clear()
-        yield pd.DataFrame([], columns=["event_id", "root", "admitted"])
+        return iter(())
 
 
 def live_breaker(stream: DataFrame, threshold: int, window_seconds: int, late: str = LATE) -> DataFrame:
@@ -214,11 +214,25 @@ def live_breaker(stream: DataFrame, threshold: int, window_seconds: int, late: s
     return guarded.transformWithStateInPandas(ConflictBreaker(threshold, window_seconds), "event_id BIGINT, root BIGINT, admitted BOOLEAN", "Append", "EventTime")
 
 
+def _settings(spark: SparkSession) -> dict[str, str]:
+    """What a stream with keyed state is started with. A micro-batch opens every partition of the state, however few rows it has, so there are no
+    more of them than tasks that run at once; and it writes what changed in them, not all that they hold."""
+    slots = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(2, spark.sparkContext.defaultParallelism))
+    store = "spark.sql.streaming.stateStore"
+    return {
+        f"{store}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        f"{store}.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.shuffle.partitions": str(slots),
+    }
+
+
 def drain(stream: DataFrame, spark: SparkSession, name: str, health: Health | None = None) -> DataFrame:
     """Run a stream to the end of its input and return what it wrote. `health` has then seen all of it, late rows included."""
     base = f"{shared_dir(spark)}/{name}"
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    settings = _settings(spark)
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     if health:
         spark.streams.addListener(health)
     try:
@@ -230,5 +244,6 @@ def drain(stream: DataFrame, spark: SparkSession, name: str, health: Health | No
     finally:
         if health:
             spark.streams.removeListener(health)
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
