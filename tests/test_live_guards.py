@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordered as O
 from tidemark.streaming import feeds
 
 
@@ -17,3 +21,15 @@ def test_small_files_make_one_batch(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     stream.writeStream.foreachBatch(lambda b, n: sizes.append(b.count())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert sizes == [900]
+
+
+def test_echo_state_over_batches_with_nulls(spark, tmp_path):
+    rng, start = random.Random(4), datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(seconds=rng.randint(0, 200_000)), rng.choice([None, *range(40), 1 << 60, (1 << 60) + 1]), rng.choice(["record", "probe"]), rng.choice([None, 0, 1, 1 << 60])) for i in range(900)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, key long, kind string, sha long")
+    stream = feeds.in_order(df, ["ts", "event_id"], f"test-{tmp_path.name}", rows_a_file=100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = {tuple(r) for r in feeds.drain(feeds.live_echo(stream, 6 * 3600), spark, f"echo-{tmp_path.name}").select("event_id", "key", "suppressed").collect()}
+    assert got == {tuple(r) for r in O.echo(df, "6 HOURS").select("event_id", "key", "suppressed").collect()}
+    assert sum(r[2] for r in got) > 20 and any(r[1] is None for r in got)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before

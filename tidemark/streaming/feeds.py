@@ -5,8 +5,8 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Iterator
-from datetime import UTC
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,45 +115,61 @@ def in_order(rows: DataFrame, order: list[str], name: str, rows_a_file: int = 1_
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, rows_a_file // (held or 1))).parquet(base)
 
 
+#: Groups of keys that a guard keeps in one entry of its state: a call for each key costs more than its few rows.
+SLOTS = 1024
+
+
 class EchoGuard(StatefulProcessor):
-    """The last record of a key, used up by the first probe that it matches within the TTL.
+    """The last record of each key of a slot, used up by the first probe that it matches within the TTL.
 
-    A record is dropped when the watermark passes its end, so keys that fall silent leave nothing behind.
+    A record is dropped when the watermark passes its end, so keys that fall silent leave nothing behind. Times are microseconds; the
+    state's bytes are four rows of integers: keys, whether they are null, hashes and times.
     """
 
     def __init__(self, ttl_seconds: float):
-        self.ttl = ttl_seconds
+        self.ttl = int(ttl_seconds * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "sha BIGINT, at TIMESTAMP")
+        self.held = handle.getValueState("held", "records BINARY")
+
+    def _ends(self, t: np.ndarray) -> int:
+        return (int(t.max()) + self.ttl) // 1000 + 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        held, out = self.held.get() if self.held.exists() else None, []
-        for r in found.itertuples(index=False):
-            if r.kind == "record":
-                held = (int(r.sha), r.ts.to_pydatetime())
-                continue
-            hit = held is not None and held[0] == r.sha and (r.ts.to_pydatetime() - held[1].replace(tzinfo=r.ts.tzinfo)).total_seconds() < self.ttl
-            out.append((r.event_id, key[0], hit))
-            held = None if hit else held
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if held is None:
-            self.held.clear()
+        parts, state = list(rows), self.held.get()
+        old = np.frombuffer(bytes(state[0]) if state else b"", np.int64).reshape(4, -1)
+        n = old.shape[1]
+        of = lambda name, ahead: np.concatenate([ahead, *(p[name].to_numpy() for p in parts)])
+        ones = np.ones(n, bool)
+        t, ids, keys, none, sha = of("t", old[3]), of("event_id", old[3]), of("key", old[0]), of("no_key", old[1] > 0), of("sha", old[2])
+        record, known, came = of("record", ones), of("known", ones), np.arange(len(t)) >= n
+        turn = np.lexsort((ids, t, came, keys, none))
+        t, ids, keys, none, sha, record, known, came = (x[turn] for x in (t, ids, keys, none, sha, record, known, came))
+        place = np.arange(len(t))
+        opens = np.append(True, (keys[1:] != keys[:-1]) | (none[1:] != none[:-1]))
+        opened = np.maximum.accumulate(np.where(opens, place, 0))
+        last = np.maximum.accumulate(np.where(record, place, -1))
+        armed = (last >= opened) & known[last]
+        hit = armed & ~record & known & (sha == sha[last]) & (t - t[last] < self.ttl)
+        used, first = np.unique(last[hit], return_index=True)
+        suppressed = np.zeros(len(t), bool)
+        suppressed[np.flatnonzero(hit)[first]] = True
+        kept = last[armed & np.append(opens[1:], True)]
+        kept = kept[~np.isin(kept, used) & ((t[kept] + self.ttl) // 1000 + 1 > timerValues.getCurrentWatermarkInMs())]
+        if n:
+            self.handle.deleteTimer(self._ends(old[3]))
+        if len(kept):
+            self.held.update((np.stack([keys[kept], none[kept], sha[kept], t[kept]]).astype(np.int64).tobytes(),))
+            self.handle.registerTimer(self._ends(t[kept]))
         else:
-            self.held.update(held)
-            self.handle.registerTimer(int((_utc(held[1]) + self.ttl) * 1000) + 1)
-        yield pd.DataFrame(out, columns=["event_id", "key", "suppressed"])
+            self.held.clear()
+        out = ~record & came
+        yield pd.DataFrame({"event_id": ids[out], "key": pd.array(keys[out], "Int64"), "suppressed": suppressed[out]}).assign(key=lambda x: x["key"].mask(none[out]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.held.clear()
-        yield pd.DataFrame([], columns=["event_id", "key", "suppressed"])
-
-
-def _utc(t) -> float:
-    return t.replace(tzinfo=UTC).timestamp() if t.tzinfo is None else t.timestamp()
+        return iter(())
 
 
 #: How late an event may come unless the caller says otherwise, by the time it carries; what comes later is dropped, and counted by `watchdog.Health`.
@@ -171,8 +187,13 @@ def live_bursts(stream: DataFrame, gap: str, late: str = LATE) -> DataFrame:
 
 
 def live_echo(stream: DataFrame, ttl_seconds: float, late: str = LATE) -> DataFrame:
-    guarded = stream.withWatermark("ts", late).groupBy("key")
-    return guarded.transformWithStateInPandas(EchoGuard(ttl_seconds), "event_id BIGINT, key BIGINT, suppressed BOOLEAN", "Append", "EventTime")
+    """`ordered.echo` as a stream of (key, ts, event_id, kind, sha)."""
+    whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    rows = stream.withWatermark("ts", late).select(
+        "ts", "event_id", F.unix_micros("ts").alias("t"), whole("key"), F.col("key").isNull().alias("no_key"), whole("sha"), F.col("sha").isNotNull().alias("known"),
+        F.coalesce(F.col("kind") == "record", F.lit(False)).alias("record"), F.pmod(F.xxhash64("key"), F.lit(SLOTS)).alias("slot"),
+    )
+    return rows.groupBy("slot").transformWithStateInPandas(EchoGuard(ttl_seconds), "event_id BIGINT, key BIGINT, suppressed BOOLEAN", "Append", "EventTime")
 
 
 class ConflictBreaker(StatefulProcessor):
