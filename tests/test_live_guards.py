@@ -33,3 +33,23 @@ def test_echo_state_over_batches_with_nulls(spark, tmp_path):
     assert got == {tuple(r) for r in O.echo(df, "6 HOURS").select("event_id", "key", "suppressed").collect()}
     assert sum(r[2] for r in got) > 20 and any(r[1] is None for r in got)
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_commits_do_not_grow_with_the_table(spark, sf, monkeypatch):
+    """Before, a batch had 100,000 rows however many there were, and each rewrote all stores."""
+    from tidemark.plans import registry, stream_queries
+
+    sizes = []
+    monkeypatch.setattr(stream_queries, "ROWS_A_COMMIT", 10)
+
+    def ordered(rows, by, name, rows_a_file):
+        sizes.append((rows.count(), rows_a_file))
+        raise InterruptedError
+
+    monkeypatch.setattr(feeds, "in_order", ordered)
+    try:
+        registry.queries()["snk4_commit_stores"](spark, sf)
+    except InterruptedError:
+        pass
+    [(n, most)] = sizes
+    assert n > 100 and most == -(-n // stream_queries.COMMITS)
