@@ -74,3 +74,49 @@ def test_as_a_plain_walk(spark, tmp_path):
     flat = folders.walk(spark, str(top))
     want = {os.path.relpath(os.path.join(d, n), top) for d, sub, names in os.walk(top) for n in sub + names}
     assert {r["path"] for r in flat.select("path").collect()} == want and flat.filter("kind = 'file'").count() == 3000
+
+
+def test_a_file_is_hashed_by_tasks_that_read_a_part_each(spark, tmp_path, monkeypatch):
+    """Before, one task read and held a file whole, and one beyond Spark's limit for a value failed (the limit is lowered here from 2 GB)."""
+    from tidemark.sources.files import candidate_files, file_manifest
+
+    sizes = {"a/none.md": 0, "a/part.md": 999, "one.md": 1000, "two.md": 2000, "b c/large.md": 10_500, "é.md": 1001}
+    for i, (name, n) in enumerate(sizes.items()):
+        (tmp_path / "top" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "top" / name).write_bytes(bytes((i + j * j) % 251 for j in range(n)))
+    (tmp_path / "top/link.md").symlink_to(tmp_path / "top/b c/large.md")
+    want = {(n, hashlib.sha256((tmp_path / "top" / n).read_bytes()).hexdigest(), (tmp_path / "top" / n).stat().st_size) for n in [*sizes, "link.md"]}
+    rounds, stage = [], folders.stage
+    monkeypatch.setattr(folders, "TASK_BYTES", 1000)
+    monkeypatch.setattr(folders, "stage", lambda df, name: rounds.append(stage(df, name)) or rounds[-1])
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "500")
+    try:
+        got = file_manifest(candidate_files(spark, str(tmp_path / "top")))
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert [r.agg(F.max("done")).first()[0] for r in rounds] == [1000 * (i + 1) for i in range(10)]
+    monkeypatch.setattr(folders, "resumed", lambda state: None)
+    assert {tuple(r) for r in file_manifest(candidate_files(spark, str(tmp_path / "top"))).collect()} == want
+
+
+def test_files_are_dealt_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(folders, "TASK_BYTES", 1000)
+    rows = spark.range(0, 400).select(F.col("id").cast("string").alias("path"), F.col("id").cast("string").cast("binary").alias("at"), F.when(F.col("id") % 8 == 0, 1000).otherwise(F.col("id") % 60 + 1).cast("long").alias("n"))
+    total = rows.agg(F.sum("n")).first()[0]
+    dealt = folders._dealt(rows.withColumn("b", F.col("n")), total).groupBy(F.spark_partition_id()).agg(F.sum("b").alias("b"), F.count(F.lit(1)).alias("n"))
+    tasks = dealt.collect()
+    assert sum(r["n"] for r in tasks) == 400 and max(r["b"] for r in tasks) < 2500
+
+
+def test_a_file_that_cannot_be_read_fails_its_manifest(spark, tmp_path):
+    from tidemark.sources.files import candidate_files, file_manifest
+
+    (tmp_path / "a.md").write_bytes(b"x")
+    (tmp_path / "b.md").write_bytes(b"y")
+    files = candidate_files(spark, str(tmp_path)).drop("content").cache()
+    assert files.count() == 2
+    (tmp_path / "b.md").unlink()
+    with pytest.raises(Exception, match="b.md: No such file or directory"):
+        file_manifest(files).collect()
+    files.unpersist()

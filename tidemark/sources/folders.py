@@ -11,22 +11,24 @@ import hashlib
 import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from urllib.parse import unquote, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import paths as P
-from tidemark.plans.staging import shared_dir
+from tidemark.functions.digests import resumed
+from tidemark.plans.staging import shared_dir, stage
 
 ENTRIES = "path STRING, at BINARY, kind STRING, size_bytes BIGINT, error STRING"
-HASHES = "path STRING, content_hash STRING, size_bytes BIGINT, error STRING"
+PARTS = "path STRING, at BINARY, size_bytes BIGINT, done BIGINT, state BINARY, content_hash STRING, error STRING"
 COLUMNS = ["path", "at", "kind", "size_bytes", "error"]
 ROWS = 10_000  # entries that a task holds before it hands them on
 DIRECTORIES = 10_000  # directories that a task lists
 PIECE = 1 << 16  # bytes that are hashed at once
-TASK_BYTES = 1 << 28  # file bytes that a task hashes, but for a single larger file
+TASK_BYTES = 1 << 28  # bytes of a file that a task hashes at once
 
 
 def mounted(root: str) -> str:
@@ -125,32 +127,64 @@ def scan(spark: SparkSession, root: str, excludes: Sequence[str] = P.EXCLUDES, a
     return rows.filter("outcome IS NOT NULL").drop("kind")
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def one(path: str, at: bytes) -> tuple:
-        digest, size = hashlib.sha256(), 0
+def _digests(follow: bool) -> Callable:
+    def one(path: str, at: bytes, size: int, done: int, state: bytes | None) -> tuple:
+        digest, end = resumed(state), done + TASK_BYTES if size - done > TASK_BYTES else None
+        if digest is None:  # no state can be carried here: the file from its start to its end
+            digest, done, end = hashlib.sha256(), 0, None
         try:
             # a file that turned into a link since the walk is not opened
-            with open(os.open(bytes(at), os.O_RDONLY | os.O_NOFOLLOW), "rb") as f:
-                while piece := f.read(PIECE):
+            with open(os.open(bytes(at), os.O_RDONLY | (0 if follow else os.O_NOFOLLOW)), "rb") as f:
+                f.seek(done)
+                while piece := f.read(PIECE if end is None else min(PIECE, end - done)):
                     digest.update(piece)
-                    size += len(piece)
+                    done += len(piece)
+                over = end is None or not f.read(1)
         except OSError as err:
-            return path, None, None, err.strerror
-        return path, digest.hexdigest(), size, None
+            return path, at, size, None, None, None, err.strerror
+        return (path, at, size, done, None, digest.hexdigest(), None) if over else (path, at, size, done, digest.state(), None, None)
 
-    for b in batches:
-        rows = [one(p, a) for p, a in zip(b["path"], b["at"])]
-        yield pd.DataFrame(rows, columns=["path", "content_hash", "size_bytes", "error"]).astype({"size_bytes": "Int64"})
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [one(p, a, n, int(d), s) for p, a, n, d, s in zip(b["path"], b["at"], b["size_bytes"], b["done"], b["state"])]
+            yield pd.DataFrame(rows, columns=["path", "at", "size_bytes", "done", "state", "content_hash", "error"]).astype({"size_bytes": "Int64", "done": "Int64"})
+
+    return hashed
 
 
-def hash_files(files: DataFrame) -> DataFrame:
+def _dealt(files: DataFrame, total: int) -> DataFrame:
+    """`files` (n, the bytes to read of each, `total` in all) in tasks of no more than about twice TASK_BYTES, whatever the sizes; at least as many tasks as run at once.
+
+    Files of more than a 16th of a task's bytes are laid end to end and cut, which one task does with a row for each; smaller ones even out by hash.
+    """
+    share = max(1, min(TASK_BYTES, -(-total // files.sparkSession.sparkContext.defaultParallelism)))
+    tasks, large = max(1, -(-total // share)), F.col("n") > share // 16
+    ahead = F.sum("n").over(Window.orderBy("at", "path").rowsBetween(Window.unboundedPreceding, -1))
+    laid = files.filter(large).withColumn("task", F.floor(F.coalesce(ahead, F.lit(0)) / share).cast("int"))
+    strewn = files.filter(~large).withColumn("task", F.pmod(F.xxhash64("at"), F.lit(tasks)).cast("int"))
+    return laid.unionByName(strewn).repartitionById(tasks, "task").drop("n", "task")
+
+
+def hash_files(files: DataFrame, follow: bool = False) -> DataFrame:
     """path, content_hash, size_bytes, error of the files at `at`, read in pieces. One that cannot be read is a row with its error and no hash.
+    Links are opened with `follow` only.
 
-    Files are dealt to tasks by their bytes in all, so `size_bytes` of the walk decides how many there are.
+    Files are dealt to tasks by their bytes, as `size_bytes` has them. A task reads at most TASK_BYTES of a file: what is left goes on in a
+    round of its own from the state of the digest so far, so a file of any size needs no task with all of it. `resumed` says where that cannot be.
     """
-    total = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b")).first()
-    tasks = max(1, min(total["n"], files.sparkSession.sparkContext.defaultParallelism), -(-total["b"] // TASK_BYTES))
-    return files.select("path", "at").repartition(tasks, "at").mapInPandas(_digests, HASHES)
+    size, out = F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"), []
+    rows = files.select("path", "at", size, F.lit(0).cast("long").alias("done"), F.lit(None).cast("binary").alias("state"))
+    while True:
+        left = F.greatest(F.col("size_bytes") - F.col("done"), F.lit(1))
+        rows = rows.withColumn("n", F.least(left, F.lit(TASK_BYTES)).cast("long"))
+        most, total = rows.agg(F.coalesce(F.max(left), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        hashed = _dealt(rows, total).mapInPandas(_digests(follow), PARTS)
+        out.append(stage(hashed, "digests") if most > TASK_BYTES else hashed)
+        if most <= TASK_BYTES:
+            break
+        rows = out[-1].filter("state IS NOT NULL").select("path", "at", "size_bytes", "done", "state")
+    over = reduce(DataFrame.unionByName, (o.filter("state IS NULL") for o in out))
+    return over.select("path", "content_hash", F.col("done").alias("size_bytes"), "error")
 
 
 def manifest(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
