@@ -6,9 +6,11 @@ import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tidemark.operators import ordered as O
 from tidemark.streaming import feeds
+from tidemark.streaming.watchdog import Health
 
 
 def test_small_files_make_one_batch(spark, tmp_path):
@@ -53,3 +55,29 @@ def test_commits_do_not_grow_with_the_table(spark, sf, monkeypatch):
         pass
     [(n, most)] = sizes
     assert n > 100 and most == -(-n // stream_queries.COMMITS)
+
+
+def test_state_is_written_without_a_read_ahead_of_each_write(spark, tmp_path):
+    """Before, the store counted its entries, which took most of a batch's time."""
+    held, start = [], datetime(2024, 1, 1)
+
+    class Seen(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            held.extend((o.numRowsUpdated, o.numRowsTotal) for o in event.progress.stateOperators)
+
+        def onQueryTerminated(self, event):
+            pass
+
+    rows = [(i, start + timedelta(minutes=40 * i), i % 5) for i in range(100)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, key long")
+    stream, seen, health = feeds.in_order(df, ["ts"], f"test-{tmp_path.name}", rows_a_file=25), Seen(), Health()
+    spark.streams.addListener(seen)
+    try:
+        got = feeds.drain(feeds.live_bursts(stream, "30 minutes"), spark, f"bursts-{tmp_path.name}", health)
+    finally:
+        spark.streams.removeListener(seen)
+    assert {(r["key"], r["start"], r["n"], r["last_id"]) for r in got.collect()} == {(k, t, 1, i) for i, t, k in rows[:-1]}
+    assert sum(u for u, _ in held) >= 100 and {t for _, t in held} == {0}

@@ -237,12 +237,14 @@ def live_breaker(stream: DataFrame, threshold: int, window_seconds: int, late: s
 
 def _settings(spark: SparkSession) -> dict[str, str]:
     """What a stream with keyed state is started with. A micro-batch opens every partition of the state, however few rows it has, so there are no
-    more of them than tasks that run at once; and it writes what changed in them, not all that they hold."""
+    more of them than tasks that run at once; and it writes what changed in them, not all that they hold. How many entries they hold is not
+    counted: that costs a read ahead of every write, and nothing here asks for it."""
     slots = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(2, spark.sparkContext.defaultParallelism))
     store = "spark.sql.streaming.stateStore"
     return {
         f"{store}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         f"{store}.rocksdb.changelogCheckpointing.enabled": "true",
+        f"{store}.rocksdb.trackTotalNumberOfRows": "false",
         "spark.sql.shuffle.partitions": str(slots),
     }
 
