@@ -1,6 +1,7 @@
 """Several stores under one manifest: decisions, failures between two stores, and batches that come again."""
 
 import hashlib
+import random
 
 import pytest
 
@@ -77,3 +78,30 @@ def test_empty(spark, tmp_path):
     s = M.Stores(spark, str(tmp_path / "none"))
     assert all(v == [] for v in state(s).values())
     assert M.apply_batch(s, rows(spark, ("a.md", "x", None, 1)).limit(0), 0, "dev") and not M.apply_batch(s, rows(spark, ("a.md", "x", None, 1)), 0, "dev")
+
+
+def test_texts_are_written_once(spark, tmp_path, monkeypatch):
+    """Before, each commit wrote all texts of its buckets anew, and a stash was one more copy. The map of wanted texts is full here."""
+    monkeypatch.setattr(M, "BITS", 64)
+    at, rng = str(tmp_path / "s"), random.Random(3)
+    mine = {f"n{i}.md": rng.randbytes(100_000).hex() for i in range(20)}
+    M.Stores(spark, at).commit({"notes": spark.createDataFrame([(p, t, sha(t)) for p, t in mine.items()], M.STORES["notes"])}, set(range(M.BUCKETS)), -1)
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "s").rglob("*.parquet"))
+    first = size()
+    for k in range(2):  # all buckets are touched; n0 to n4 conflict in the first batch, n5 to n9 come equal, n10 comes cut
+        more = [(f"m{k}-{i}.md", f"new {k} {i}", None, 1000 * k + i) for i in range(200)]
+        sent = [(f"n{i}.md", "theirs", None, 5000 + i) for i in range(5)] + [(f"n{i}.md", mine[f"n{i}.md"], None, 6000 + i) for i in range(5, 10)] + [("n10.md", "cut", sha("whole"), 7000)]
+        M.apply_batch(M.Stores(spark, at), rows(spark, *more, *(sent if k == 0 else [])).repartition(3), k, "dev")
+    assert size() < 2 * first
+    got = state(M.Stores(spark, at))
+    want = mine | {f"n{i}.md": "theirs" for i in range(5)} | {f"m{k}-{i}.md": f"new {k} {i}" for k in range(2) for i in range(200)}
+    assert got["notes"] == sorted((p, t, sha(t)) for p, t in want.items())
+    assert got["stashes"] == [(f"n{i}.md", f"n{i}.conflict-from-dev-{5000 + i}.md", mine[f"n{i}.md"]) for i in range(5)] and got["ledger"] == [("n10.md", 1, "integrity_failed")]
+    held = spark.read.parquet(f"{at}/texts").groupBy("path").count().collect()
+    assert {r["path"]: r["count"] for r in held} == {p: 1 + (p in {f"n{i}.md" for i in range(5)}) for p in want}
+
+
+def test_of_equal_rows_the_whole_one_counts(spark, tmp_path):
+    at = str(tmp_path / "s")
+    M.apply_batch(M.Stores(spark, at), rows(spark, ("a.md", "cut", sha("whole"), 1), ("a.md", "whole", None, 1), ("a.md", "whole", None, 1), ("b.md", "x", None, None), ("b.md", "y", None, 2)).repartition(4), 0, "dev")
+    assert state(M.Stores(spark, at))["notes"] == [("a.md", "whole", sha("whole")), ("b.md", "y", sha("y"))] and state(M.Stores(spark, at))["ledger"] == []

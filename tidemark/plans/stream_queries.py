@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.guard_queries import BREAKER_SQL
 from tidemark.plans.registry import query
-from tidemark.plans.staging import shared_dir
+from tidemark.plans.staging import release, shared_dir
 from tidemark.sources import fixtures as X
 from tidemark.sources import folders
 from tidemark.sources.files import candidate_files, file_manifest
@@ -93,23 +93,25 @@ _SNK4 = X.with_sql("""WITH j AS (SELECT coalesce(l.path, s.path) AS path, l.cont
   CASE WHEN d = 'failed' THEN 1 END::BIGINT AS attempts, CASE WHEN d = 'conflict' THEN path[:-4] || '.conflict-from-dev-a-' || change_seq || '.md' END AS stash, CASE WHEN d = 'conflict' THEN own END AS stashed_sha FROM d""", "local_manifest", "server_state", "shadow")
 
 
-#: A commit writes all rows of the buckets that it touches, and every batch here touches all: the bytes written are batches x stores. So the number
-#: of batches is fixed (up to the filling of files) where the table is large, and their size follows it.
+#: A commit writes all rows of the buckets that it touches (texts only where they are new), and every batch here touches all. So the number of batches
+#: is fixed (up to the filling of files) where the table is large, and their size follows it.
 COMMITS, ROWS_A_COMMIT = 4, 100_000
 
 
 @query("snk4_commit_stores", _SNK4)
 def snk4(spark, sf):
     """Server notes against local ones, in micro-batches, each written to all stores at once; some come with bytes that are not theirs."""
-    base, d = f"{shared_dir(spark)}/stores-{uuid.uuid4().hex}", table(spark, sf, "documents").select("doc_id", "text")
-    local = X.local_manifest(spark, sf).join(d, "doc_id").select("path", F.col("text").alias("content"), F.col("content_hash").alias("sha"))
-    M.Stores(spark, base).commit({"notes": local, "baseline": X.shadow(spark, sf)}, set(range(M.BUCKETS)), -1)
+    base = f"{shared_dir(spark)}/stores-{uuid.uuid4().hex}"
     edited = (F.col("doc_id") % 7 == 0) & ~F.startswith("path", F.lit("remote/"))
-    sent = X.server_state(spark, sf).join(d, "doc_id").withColumn("content", F.when(F.col("doc_id") % 17 == 0, "cut").when(edited, F.concat("text", F.lit("\nserver-edit"))).otherwise(F.col("text")))
+    sent = X.server_state(spark, sf, "text").withColumn("content", F.when(F.col("doc_id") % 17 == 0, "cut").when(edited, F.concat("text", F.lit("\nserver-edit"))).otherwise(F.col("text")))
     stream = feeds.in_order(sent.select("path", "content", F.col("fs_hash").alias("server_hash"), F.col("change_seq").alias("seq")), ["seq"], f"sent-{uuid.uuid4().hex}", max(ROWS_A_COMMIT, -(-sent.count() // COMMITS)))
+    release(spark)
+    local = X.local_manifest(spark, sf, "text").select("path", F.col("text").alias("content"), F.col("content_hash").alias("sha"))
+    M.Stores(spark, base).commit({"notes": local, "baseline": X.shadow(spark, sf)}, set(range(M.BUCKETS)), -1)
+    release(spark)
     end = M.materialize(stream, spark, base, f"{base}-checkpoint", X.DEVICE)
     stashes = end.read("stashes").select("path", "stash", F.sha2("content", 256).alias("stashed_sha"))
-    rows = end.read("notes").select("path", "sha")
+    rows = end.index("notes").select("path", "sha")
     for more in (end.read("baseline"), end.read("lineage"), end.read("ledger").drop("last_error"), stashes):
         rows = rows.join(more, "path", "full")
     return rows

@@ -30,17 +30,19 @@ def pick(templates: tuple[str, ...], n: Column, values: dict[str, Column]) -> Co
     return reduce(lambda out, kv: F.replace(out, F.lit(kv[0]), kv[1]), values.items(), t)
 
 
-def local_manifest(spark: SparkSession, sf: str) -> DataFrame:
+def local_manifest(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    """`more`: columns of the documents that stay beside."""
     d = table(spark, sf, "documents")
-    return d.select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes"))
+    return d.select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes"), *more)
 
 
-def server_state(spark: SparkSession, sf: str) -> DataFrame:
+def server_state(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    """`more`: columns of the documents that stay beside."""
     d = table(spark, sf, "documents")
     rest = F.concat(F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\nserver-edit"))).otherwise(F.col("text"))
-    here = d.filter("doc_id % 11 <> 0").select("doc_id", F.concat("source", rest).alias("path"), F.sha2(text, 256).alias("fs_hash"), (F.lit(1000000000).cast("long") + F.col("doc_id")).alias("change_seq"))
-    there = d.filter("doc_id % 13 = 0").select("doc_id", F.concat(F.lit("remote"), rest).alias("path"), F.sha2("text", 256).alias("fs_hash"), (F.lit(1000500000).cast("long") + F.col("doc_id")).alias("change_seq"))
+    here = d.filter("doc_id % 11 <> 0").select("doc_id", F.concat("source", rest).alias("path"), F.sha2(text, 256).alias("fs_hash"), (F.lit(1000000000).cast("long") + F.col("doc_id")).alias("change_seq"), *more)
+    there = d.filter("doc_id % 13 = 0").select("doc_id", F.concat(F.lit("remote"), rest).alias("path"), F.sha2("text", 256).alias("fs_hash"), (F.lit(1000500000).cast("long") + F.col("doc_id")).alias("change_seq"), *more)
     return here.unionByName(there)
 
 
